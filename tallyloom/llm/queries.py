@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import bpe
+from . import bpe, quality
+from .common import scratch, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +22,17 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(docs, path, pattern).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = stored(quality.features(docs).drop("text", "lang"), f"{scratch(spark)}/features")
+    result = quality.judged(found, quality.references(found))
+    return result.select("doc_id", *quality.FEATURES, "lang_key", "class_distance", "word_distance", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_quality_rules": op2_quality_rules,
     }
 
 
