@@ -120,7 +120,9 @@ def features(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
         F.concat("`\0bins`", F.array(F.col("n_words") - F.col("`\0n_found`"))).alias("\0common"),
     )
     repeat = _repeat_words("n_words", "`\0starts`")
-    five = four.withColumn("n_repeat_words", repeat).drop("\0starts")
+    # Filters on what follows must not be pushed below, where they would repeat the array work for
+    # each element; a column that isn't deterministic holds them here.
+    five = four.withColumn("n_repeat_words", F.when(F.spark_partition_id() >= 0, repeat)).drop("\0starts")
     return five.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import bpe, quality
+from . import bpe, quality, simhash
 from .common import scratch, stored
 
 
@@ -29,10 +29,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.select("doc_id", *quality.FEATURES, "lang_key", "class_distance", "word_distance", "kept")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_quality_rules": op2_quality_rules,
+        "op4_simhash": op4_simhash,
     }
 
 
