@@ -40,7 +40,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for n in range(1, rounds + 1):
         links = stored(_stars(_stars(links, True), False), f"{path}/{n}")
         drop_path(spark, f"{path}/{n - 1}")
-        # Done when nobody is both a leaf and a centre: then every link points at the least node.
+        # A round that changes no link has every node at the least one it can reach.
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break

@@ -8,8 +8,8 @@ links to the least of them only: no group is expanded into pairs, and no link be
 is lost. Each link is verified again by its differing bits.
 
 A variant takes 8 bytes: an odd multiplier mixes it, the top bits name the bucket that is
-shuffled, and the mask's number takes their place. Rounds over the buckets bound the disk;
-each round's shuffle is dropped before the next.
+shuffled, and the mask's number takes their place. Eight rounds, by a linear syndrome
+of the variant, bound the disk; each round's shuffle is dropped before the next.
 
 Nulls and texts without words have fingerprint zero and link like any other. Whole texts are
 hashed. Copies share a fingerprint and cost one row here. Documents with a null id are
@@ -34,11 +34,10 @@ by_value(__name__)
 RADIUS = 4
 MIX, UNMIX = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 #: Bits that hold the number of a mask (2,081 of them at radius 2), and least bits of a bucket.
-MASK_BITS = 11
-#: Variants a bucket should hold, and those a round should shuffle (8 bytes each).
-BUCKET, ROUND = 1 << 18, 1 << 27
-#: Fingerprints expanded at once by a worker.
-CHUNK = 1024
+MASK_BITS = 12
+#: Variants a bucket should hold at most, rounds (the number of syndromes), fingerprints expanded
+#: at once by a worker, and links held by one before they are passed on.
+BUCKET, ROUNDS, CHUNK, LINKS = 1 << 18, 8, 8192, 500_000
 
 
 def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
@@ -78,78 +77,107 @@ def masks(radius: int) -> np.ndarray:
     return np.array(found, dtype=np.uint64)
 
 
-def _emit(bits: int, rounds: int, number: int, half: int):
-    """Expands fingerprints to the packed variants of one round's buckets, one binary a bucket."""
+def syndromes(fps: np.ndarray) -> np.ndarray:
+    """3-bit XOR of the numbers (mod 8) of the bits that are set: linear, so equal variants agree."""
+    out = np.zeros(len(fps), dtype=np.uint8)
+    for k in range(3):
+        column = np.uint64(sum(1 << i for i in range(64) if i >> k & 1))
+        out |= ((np.bitwise_count(fps & column) & 1) << k).astype(np.uint8)
+    return out
+
+
+def _emit(bits: int, number: int, half: int):
+    """Expands fingerprints to the packed variants of one round's syndrome, one binary a bucket."""
 
     def work(batches):
         with np.errstate(over="ignore"):
-            ball, numbers = masks(half), np.arange(len(masks(half)), dtype=np.uint64)
-            shift, part = np.uint64(64 - bits), np.uint64((1 << bits) // rounds)
-            low = np.uint64(number) * part
+            ball = masks(half)
+            kinds = syndromes(ball)
             for batch in batches:
                 fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
                 for at in range(0, len(fps), CHUNK):
-                    mixed = (fps[at : at + CHUNK, None] ^ ball[None, :]) * np.uint64(MIX)
-                    bucket = mixed >> shift
-                    row, col = np.nonzero((bucket >= low) & (bucket < low + part))
-                    keys = (mixed[row, col] << np.uint64(bits)) & ~np.uint64((1 << MASK_BITS) - 1) | numbers[col]
-                    own = (bucket[row, col] - low).astype(np.uint32)
-                    order = np.argsort(own, kind="stable")
-                    own, keys = own[order], keys[order]
-                    cuts = np.flatnonzero(np.diff(own)) + 1
-                    heads = np.concatenate([[0], cuts]) if len(own) else np.array([], dtype=np.int64)
-                    blobs = [keys[a:b].tobytes() for a, b in zip(heads, [*cuts, len(own)], strict=False)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[heads].astype(np.int64) + int(low)), pa.array(blobs, pa.binary())], names=["bucket", "keys"]
-                    )
+                    part, packed = fps[at : at + CHUNK], []
+                    own = syndromes(part)
+                    for s in range(ROUNDS):
+                        numbers = np.flatnonzero(kinds == s ^ number).astype(np.uint64)
+                        mixed = (part[own == s, None] ^ ball[numbers][None, :]) * np.uint64(MIX)
+                        buckets = (mixed >> np.uint64(64 - bits)).astype(np.uint32)
+                        mixed <<= np.uint64(bits)
+                        mixed &= ~np.uint64((1 << MASK_BITS) - 1)
+                        mixed |= numbers[None, :]
+                        packed.append((buckets.ravel(), mixed.ravel()))
+                    buckets, keys = (np.concatenate(x) for x in zip(*packed, strict=True))
+                    order = np.argsort(buckets, kind="stable")
+                    buckets, keys = buckets[order], keys[order]
+                    heads = np.flatnonzero(np.diff(buckets, prepend=np.uint32(0xFFFFFFFF)))
+                    blobs = [keys[a:b].tobytes() for a, b in zip(heads, [*heads[1:], len(keys)], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(buckets[heads].astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "keys"])
 
     return work
 
 
-def _collide(bits: int, half: int, radius: int):
+def _collisions(bucket: int, blobs: list, bits: int, ball: np.ndarray, radius: int) -> np.ndarray:
     """Links of one bucket: fingerprints of equal variants, each to the least, repeats dropped."""
+    low = np.uint64((1 << MASK_BITS) - 1)
+    keys = np.frombuffer(b"".join(blobs), dtype=np.uint64).copy()
+    keys.sort()
+    variants = keys >> np.uint64(MASK_BITS)
+    same = variants[1:] == variants[:-1]
+    held = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    keys, variants = keys[held], variants[held]
+    # A key has the mixed variant's bits below the bucket's at its top, then the mask's number.
+    mixed = (np.uint64(bucket) << np.uint64(64 - bits)) | ((keys & ~low) >> np.uint64(bits))
+    fps = (mixed * np.uint64(UNMIX)) ^ ball[(keys & low).astype(np.int64)]
+    order = np.lexsort((fps, variants))
+    fps, variants = fps[order], variants[order]
+    first = np.flatnonzero(np.append(True, variants[1:] != variants[:-1])[: len(variants)])
+    least = np.repeat(fps[first], np.diff([*first, len(fps)])) if len(fps) else fps
+    pairs = np.unique(np.stack([least, fps], axis=1)[least != fps], axis=0)
+    return pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= radius]
+
+
+def _collide(bits: int, half: int, radius: int):
+    """Streams a partition's blobs in the order of their buckets and gives its links."""
+
+    def batch_of(pairs: list) -> pa.RecordBatch:
+        done = np.unique(np.concatenate(pairs), axis=0).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(done[:, 0]), pa.array(done[:, 1])], names=["a", "b"])
 
-    def work(group: pa.Table) -> pa.Table:
+    def work(batches):
         with np.errstate(over="ignore"):
-            ball = masks(half)
-            bucket = np.uint64(group.column("bucket")[0].as_py())
-            keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), dtype=np.uint64).copy()
-            keys.sort()
-            variants = keys >> np.uint64(MASK_BITS)
-            same = variants[1:] == variants[:-1]
-            held = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
-            keys, variants = keys[held], variants[held]
-            # The key holds the mixed variant's bits below the bucket's, from its top down.
-            kept = keys & ~np.uint64((1 << MASK_BITS) - 1)
-            mixed = (bucket << np.uint64(64 - bits)) | (kept >> np.uint64(bits))
-            fps = (mixed * np.uint64(UNMIX)) ^ ball[(keys & np.uint64((1 << MASK_BITS) - 1)).astype(np.int64)]
-            order = np.lexsort((fps, variants))
-            fps, variants = fps[order], variants[order]
-            first = np.flatnonzero(np.concatenate([[True], variants[1:] != variants[:-1]])) if len(variants) else np.array([], dtype=np.int64)
-            least = np.repeat(fps[first], np.diff([*first, len(fps)]))
-            pairs = np.unique(np.stack([least, fps], axis=1)[least != fps], axis=0)
-            near = np.unpackbits((pairs[:, 0] ^ pairs[:, 1]).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=1) <= radius
-            pairs = pairs[near]
-        return pa.table({"a": pairs[:, 0].copy().view(np.int64), "b": pairs[:, 1].copy().view(np.int64)})
+            ball, now, blobs, pairs = masks(half), None, [], [np.empty((0, 2), np.uint64)]
+            for batch in batches:
+                for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if bucket != now and blobs:
+                        pairs.append(_collisions(now, blobs, bits, ball, radius))
+                        blobs = []
+                        if sum(map(len, pairs)) > LINKS:
+                            yield batch_of(pairs)
+                            pairs = []
+                    now = bucket
+                    blobs.append(blob)
+            if blobs:
+                pairs.append(_collisions(now, blobs, bits, ball, radius))
+            if pairs:
+                yield batch_of(pairs)
 
     return work
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints `fp` that keep every component of distance <= radius."""
+    """Links (a, b) between the distinct fingerprints `fp` that keep every component of distance <= radius.
+
+    A round takes the variants of one syndrome, an eighth of all.
+    """
     spark, half = distinct.sparkSession, (radius + 1) // 2
     path = scratch(spark)
-    total = distinct.count() * len(masks(half))
-    # 2^bits buckets; a key keeps 64 - bits bits of the variant above MASK_BITS of the mask's number.
-    bits = max(MASK_BITS, 12, (max(1, total) // BUCKET).bit_length())
-    rounds = 1 << max(0, (max(1, total) - 1) // ROUND).bit_length()
-    rounds = min(rounds, 1 << bits)
+    total = max(1, distinct.count() * len(masks(half)) // ROUNDS)
+    bits = max(MASK_BITS, (total // BUCKET).bit_length())
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for n in range(rounds):
-        sent = distinct.select("fp").mapInArrow(_emit(bits, rounds, n, half), "bucket bigint, `keys` binary")
-        # Buckets of a round are consecutive numbers; hashing them deals them out evenly.
-        found = sent.repartition(shuffled, "bucket").groupBy("bucket").applyInArrow(_collide(bits, half, radius), "a bigint, b bigint")
-        stored(found, f"{path}/links", "append")
+    for n in range(ROUNDS):
+        sent = distinct.select("fp").mapInArrow(_emit(bits, n, half), "bucket bigint, `keys` binary")
+        dealt = sent.repartition(shuffled, "bucket").sortWithinPartitions("bucket")
+        stored(dealt.mapInArrow(_collide(bits, half, radius), "a bigint, b bigint"), f"{path}/links", "append")
     return spark.read.schema("a bigint, b bigint").parquet(f"{path}/links")
 
 

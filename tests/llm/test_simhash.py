@@ -62,12 +62,13 @@ def test_chains_of_fingerprints(spark):
     assert {f: got.get(f, f) for f in signed} == want
 
 
-def test_rounds_do_not_change_links(spark, monkeypatch):
+def test_more_buckets_do_not_change_links(spark, monkeypatch):
     rnd = random.Random(4)
     base = [rnd.getrandbits(63) for _ in range(50)]
     df = spark.createDataFrame([(b ^ (1 << i),) for b in base for i in range(3)], "fp long")
     one = {r.node: r.component for r in graph.components(simhash.fingerprint_links(df)).collect()}
-    monkeypatch.setattr(simhash, "ROUND", 100_000)
+    monkeypatch.setattr(simhash, "BUCKET", 4)
+    monkeypatch.setattr(simhash, "CHUNK", 7)
     assert {r.node: r.component for r in graph.components(simhash.fingerprint_links(df)).collect()} == one and len(one) == 150
 
 
