@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import bpe, quality, simhash
+from . import bpe, quality, simhash, toxicity
 from .common import scratch, stored
 
 
@@ -29,6 +29,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.select("doc_id", *quality.FEATURES, "lang_key", "class_distance", "word_distance", "kept")
 
 
+def held_out(id_col: str):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id"))
+    params = toxicity.train(toxicity.training_rows(docs, labels, "doc_id", "text", "toxic"))
+    return toxicity.score(docs, params).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs)
@@ -39,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_quality_rules": op2_quality_rules,
+        "op3_toxicity": op3_toxicity,
         "op4_simhash": op4_simhash,
     }
 
