@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import bpe, quality, simhash, toxicity
+from . import bpe, mixing, quality, sharding, simhash, toxicity
 from .common import scratch, stored
 
 
@@ -46,12 +46,27 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = sharding.text_points(table(spark, sf_dir, "documents"))
+    found = sharding.kd_shards(points, ("size", "n_chars", "text_crc32"), leaves=40)
+    none = F.lit(None).cast("int").alias("grown_shard")
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", none)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+    return mixing.in_order(mixed, "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_quality_rules": op2_quality_rules,
         "op3_toxicity": op3_toxicity,
         "op4_simhash": op4_simhash,
+        "op5_kd_shards": op5_kd_shards,
+        "op6_mixing": op6_mixing,
     }
 
 
