@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import bpe, mixing, quality, sharding, simhash, toxicity
+from . import bpe, chat, mixing, quality, sharding, simhash, toxicity, urls
 from .common import scratch, stored
 
 
@@ -59,6 +59,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.in_order(mixed, "doc_id")
 
 
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.url_filter(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotated(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -67,6 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_kd_shards": op5_kd_shards,
         "op6_mixing": op6_mixing,
+        "op7_url_rules": op7_url_rules,
+        "op8_perspectives": op8_perspectives,
     }
 
 
