@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import bpe, chat, mixing, quality, sharding, simhash, toxicity, urls
+from . import bpe, chat, html_lstm, mixing, quality, sharding, simhash, topk, toxicity, urls
 from .common import scratch, stored
 
 
@@ -71,6 +71,14 @@ def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotated(table(spark, sf_dir, "conversations"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_lstm.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -81,6 +89,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": op6_mixing,
         "op7_url_rules": op7_url_rules,
         "op8_perspectives": op8_perspectives,
+        "op9_top_k": op9_top_k,
+        "op10_main_text": op10_main_text,
     }
 
 
