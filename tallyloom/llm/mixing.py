@@ -63,18 +63,22 @@ def inverse(schedule: Sequence[tuple[float, float]], part: Column) -> Column:
     return F.least(F.lit(schedule[-1][0]), F.greatest(F.lit(schedule[0][0]), out))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, schedules=SCHEDULES, share=SHARE, cap=CAP) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, schedules=SCHEDULES, share=SHARE, cap=CAP, carry: Sequence[str] = ()) -> DataFrame:
     """One row a document: id, size, source, source_size, target, taken, copies and position(s).
 
     taken: words the mix takes of the document, repeats counted; the document at the end of
     a budget gives only the words that are left. copies: times at least half of it is due.
-    positions: a training position for each time it is taken, in order.
+    positions: a training position for each time it is taken, in order. carry: further columns
+    of df to take along, as a struct `carried`.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession)
     ids = F.col(f"`{id_col}`")
     key = F.md5(F.coalesce(ids.cast("string"), F.lit("")).cast("binary"))
-    docs = df.select(ids.alias("id"), F.col(f"`{source_col}`").alias("source"), n_words_of(F.col(f"`{text_col}`")).alias("size"), key.alias("key"))
-    docs = stored(docs.withColumn("bucket", F.substring("key", 1, DIGITS)), f"{path}/sizes")
+    docs = df.select(ids.alias("id"), F.col(f"`{source_col}`").alias("source"), n_words_of(F.col(f"`{text_col}`")).alias("size"), key.alias("key"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []))
+    docs = docs.withColumn("bucket", F.substring("key", 1, DIGITS))
+    if not carry:
+        docs = stored(docs, f"{path}/sizes")
+    also = ["carried"] if carry else []
     sums = docs.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     to = stored(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap), f"{path}/targets")
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -84,7 +88,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     run = W.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, 0)
     running = docs.withColumn("start", F.sum("size").over(run) - F.col("size"))
     same = F.col("d.source").eqNullSafe(F.col("h.source")) & (F.col("d.bucket") == F.col("h.bucket"))
-    joined = running.alias("d").join(heads.alias("h"), same).select("d.id", "d.size", "d.source", (F.col("start") + F.col("head")).alias("start"), "source_size", "target", "budget", "rank")
+    joined = running.alias("d").join(heads.alias("h"), same).select("d.id", "d.size", "d.source", *also, (F.col("start") + F.col("head")).alias("start"), "source_size", "target", "budget", "rank")
     times = range(-int(-cap // 1))
     starts = [F.col("start") + F.col("source_size") * k for k in times]
     gets = [F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - s)) for s in starts]
@@ -100,7 +104,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     places = F.filter(F.array(*[F.when(g > 0, position(s)) for g, s in zip(gets, starts, strict=True)]), lambda x: x.isNotNull())
     out = joined.withColumns({"taken": sum(gets[1:], gets[0]).cast("long"), "copies": sum(halves[1:], halves[0]), "positions": places})
     out = out.withColumn("position", F.get("positions", F.lit(0)))
-    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "taken", "copies", "positions", "position")
+    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "taken", "copies", "positions", "position", *also)
 
 
 def in_order(mixed: DataFrame, *ties: str) -> DataFrame:
