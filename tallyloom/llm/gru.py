@@ -31,7 +31,7 @@ def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     coded = [b"\x02" + w.encode()[:120] + b"\x03" for w in bare]
     data = np.frombuffer(b"".join(coded), dtype=np.uint8).astype(np.uint32)
     sizes = np.array([len(c) for c in coded])
-    word = np.repeat(np.arange(len(words)), sizes)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     grams, owner = [], []
     for n in SIZES:
         count = len(data) - n + 1
@@ -41,11 +41,11 @@ def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for k in range(n):
             h = h * np.uint32(16777619) ^ data[k : k + count]
         inside = word[:count] == word[n - 1 :]
-        grams.append((h[inside] * np.uint32(2654435761) >> np.uint32(17)).astype(np.int64))
+        grams.append((h[inside] * np.uint32(2654435761) >> np.uint32(17)).astype(np.int32))
         owner.append(word[:count][inside])
     grams, owner = np.concatenate(grams), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    starts = np.searchsorted(owner[order], np.arange(len(words)))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))[:-1]])
     return own, grams[order], starts
 
 
