@@ -7,14 +7,495 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import confidence, rules
+from .functions import text as t
+from .operators import linkage, models, parse, quality, runs
+from .plans import adapters as a
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+CASES = "\n".join(f"WHEN regexp_matches(upper(description), '{p}') THEN '{n}'" for n, p in rules.CATEGORIES)
+MONEY, NATIONAL, FOREIGN = parse.MONEY, parse.NATIONAL, parse.FOREIGN
+SQL_ROWS = f"""WITH base AS (
+ SELECT strftime(o_orderdate, '%Y-%m') doc_id, o_orderkey idx, CAST(o_orderdate AS DATE) date,
+  concat_ws(' ', c_mktsegment, CASE o_orderkey % 5 WHEN 0 THEN 'UBER' WHEN 1 THEN 'PADARIA' WHEN 2 THEN 'NETFLIX' END, c_name) description,
+  CAST(o_totalprice AS DECIMAL(18,2)) amount_brl, CASE o_orderkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'BRL' END currency,
+  0.5::DOUBLE + (o_orderkey % 50) / 100.0::DOUBLE confidence, 0.6::DOUBLE + (o_orderkey % 3) / 10.0::DOUBLE pipeline_confidence,
+  ['textract', 'azure', 'pdfplumber', 'camelot'][o_orderkey % 4 + 1] extractor
+ FROM orders JOIN customer ON o_custkey = c_custkey),
+rows AS (SELECT *, CASE {CASES} ELSE 'OUTROS' END category FROM base),
+second AS (SELECT * REPLACE (CASE WHEN idx % 13 = 0 THEN date + 1 ELSE date END AS date, CAST(amount_brl + CASE WHEN idx % 11 = 0 THEN 0.01 ELSE 0 END AS DECIMAL(18,2)) AS amount_brl) FROM rows WHERE idx % 7 <> 0),
+golden1 AS (SELECT * REPLACE (CASE WHEN idx % 17 = 0 THEN 'OUTROS' ELSE category END AS category) FROM rows WHERE idx % 6 <> 0),
+golden AS (SELECT * FROM golden1 UNION ALL SELECT * FROM golden1 WHERE idx % 97 = 0),
+lines AS (SELECT doc_id, idx line_no, strftime(date, '%d/%m') || ' ' || description || CASE WHEN idx % 9 = 0 THEN ' 10,00 ' ELSE ' ' END || translate(format('{{:,.2f}}', amount_brl::DOUBLE), ',.', '.,') line FROM rows),
+runs AS (SELECT event_id run_id, ts, user_id doc_id, event_type AS method, event_id % 10 <> 0 success, (event_id % 100) / 100.0::DOUBLE confidence, round(value, 4) time_ms, event_id % 7 + 1 pages, CASE WHEN event_id % 10 = 0 THEN 'E' || (event_id % 30) END error FROM events)
+"""
+
+
+def query(sql: str | None = None, rows: bool = True):
+    """Registers a query under its function's name, with its SQL if it has any."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = (SQL_ROWS if rows else "") + sql
+        return f
+
+    return register
+
+
+def num(sql: str) -> str:
+    """SQL for decimal text with a comma and thousands points as a number."""
+    return f"TRY_CAST(replace(replace({sql}, '.', ''), ',', '.') AS DECIMAL(38,6))"
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    """Lines parsed back into rows; count and total of each description."""
+    found = parse.parse_lines(a.lines(a.rows(spark, sf_dir)))
+    return found.groupBy("description").agg(F.count("*").alias("n"), F.sum("amount_brl").cast("double").alias("total"))
+
+
+TEXTS = "['1.234,56', '156,78', 'R$ 1.234,56', '-156,78', '', '1234.56', '1,234.56', '1.234.567', 'abc', '12 345,00']"
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    fixed = F.array(*[F.lit(x) for x in eval(TEXTS)])  # noqa: S307  a list of fixed values above
+    return a.table(spark, sf_dir, "orders").select(k.alias("idx"), F.concat(F.element_at(fixed, (k % 10 + 1).cast("int")), F.when(k % 3 == 0, (k % 97).cast("string")).otherwise("")).alias("text"))
+
+
+SQL_TEXTS = f"WITH texts AS (SELECT o_orderkey idx, {TEXTS}[o_orderkey % 10 + 1] || CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 97)::VARCHAR ELSE '' END AS text FROM orders), bare AS (SELECT idx, replace(text, ' ', '') b FROM texts)"
+
+
+@query(f"""{SQL_TEXTS} SELECT idx, round(coalesce(TRY_CAST(regexp_replace(CASE WHEN contains(b, ',') AND contains(b, '.') THEN replace(replace(b, '.', ''), ',', '.') WHEN contains(b, ',') THEN replace(b, ',', '.') ELSE b END, '[^0-9.\\-]', '', 'g') AS DECIMAL(38,6)), 0)::DOUBLE, 4) amount FROM bare""", rows=False)
+def norm_amount(spark, sf_dir):
+    return _texts(spark, sf_dir).select("idx", F.round(t.amount(F.col("text")).cast("double"), 4).alias("amount"))
+
+
+@query(f"""{SQL_TEXTS} SELECT idx, round({num('b')}::DOUBLE, 4) c, round(coalesce({num('b')}, 0)::DOUBLE, 4) g,
+ round(TRY_CAST(replace(regexp_replace(b, '[^0-9,\\-]', '', 'g'), ',', '.') AS DECIMAL(38,6))::DOUBLE, 4) d,
+ round(CASE WHEN regexp_matches(b, '[0-9]') THEN TRY_CAST(replace(b, ',', '.') AS DECIMAL(38,6)) ELSE 0 END::DOUBLE, 4) f,
+ round((CASE WHEN contains(b, ',') AND (NOT contains(b, '.') OR length(b) - instr(reverse(b), ',') > length(b) - instr(reverse(b), '.')) THEN {num('b')} ELSE TRY_CAST(replace(b, ',', '') AS DECIMAL(38,6)) END)::DOUBLE, 4) b FROM bare""", rows=False)
+def norm_amount_variants(spark, sf_dir):
+    return _texts(spark, sf_dir).select("idx", *[F.round(t.amount(F.col("text"), v).cast("double"), 4).alias(v.lower()) for v in "CGDFB"])
+
+
+@query("""SELECT idx, TRY_CAST('2024-' || lpad((idx % 14)::VARCHAR, 2, '0') || '-' || lpad((idx % 33)::VARCHAR, 2, '0') AS DATE) short,
+ TRY_CAST(year(date)::VARCHAR || '-' || strftime(date, '%m-%d') AS DATE) long, TRY_CAST(CASE WHEN idx % 2 = 0 THEN strftime(date, '%Y-%m-%d') END AS DATE) iso FROM rows""")
+def norm_date(spark, sf_dir):
+    k = F.col("idx")
+    short = F.concat_ws("/", (k % 33).cast("string"), (k % 14).cast("string"))
+    found = a.rows(spark, sf_dir)
+    iso = F.when(k % 2 == 0, F.date_format("date", "yyyy-MM-dd")).otherwise(F.date_format("date", "dd/MM/yyyy"))
+    return found.select("idx", t.date(short).alias("short"), t.date(F.date_format("date", "dd/MM/yyyy")).alias("long"), t.iso_date(iso).alias("iso"))
+
+
+@query("""SELECT idx, trim(regexp_replace(replace(ltrim('>@ ' || description || '__x   y ', '>@§$Z)_•*®«» '), '_', ' '), '\\s{2,}', ' ', 'g')) line,
+ trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(description || ' ** 12345678901234567', '\\s+', ' ', 'g'), '\\*+', '', 'g'), '\\d{16,}', '', 'g'), '[A-Z]{10,}', '', 'g')) description,
+ trim(replace(replace(replace(replace(upper('cartao ' || description), 'FINAL', ''), 'CARTAO', ''), 'CART.', ''), '*', '')) model FROM rows""")
+def clean_text(spark, sf_dir):
+    d = F.col("description")
+    return a.rows(spark, sf_dir).select(
+        "idx", t.clean_line(F.concat(F.lit(">@ "), d, F.lit("__x   y "))).alias("line"), t.clean_description(F.concat(d, F.lit(" ** 12345678901234567"))).alias("description"), t.model_text(F.concat(F.lit("cartao "), d)).alias("model")
+    )
+
+
+@query("""SELECT idx, array_to_string(list_filter(string_split_regex(regexp_replace(lower(description || ', da Praça & São-João'), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '' AND x NOT IN ('de','da','do','em','na','no','a','o','e','para','com')), ' ') text FROM rows""")
+def desc_norm(spark, sf_dir):
+    return a.rows(spark, sf_dir).select("idx", t.comparable(F.concat("description", F.lit(", da Praça & São-João"))).alias("text"))
+
+
+@query("""SELECT idx, TRY_CAST(regexp_extract(x, '(\\d{1,2})/(\\d{1,2})', 1) AS INT) seq, TRY_CAST(regexp_extract(x, '(\\d{1,2})/(\\d{1,2})', 2) AS INT) tot, nullif(regexp_extract(x, 'final (\\d{4})', 1), '') card
+ FROM (SELECT idx, description || CASE WHEN idx % 2 = 0 THEN ' 0' || (idx % 9) || '/10' ELSE ' final ' || lpad((idx % 10000)::VARCHAR, 4, '0') END x FROM rows)""")
+def installments(spark, sf_dir):
+    k = F.col("idx")
+    x = F.concat("description", F.when(k % 2 == 0, F.concat(F.lit(" 0"), (k % 9).cast("string"), F.lit("/10"))).otherwise(F.concat(F.lit(" final "), F.lpad((k % 10000).cast("string"), 4, "0"))))
+    seq, tot = t.installment(x)
+    return a.rows(spark, sf_dir).select("idx", seq.alias("seq"), tot.alias("tot"), t.card_last4(x).alias("card"))
+
+
+@query("""SELECT idx, round(TRY_CAST(replace(regexp_extract('Dólar de Conversão R$ 5,' || lpad((idx % 9999)::VARCHAR, 4, '0'), '^D[óo]lar de Convers[ãa]o.*?(\\d+,\\d{4})', 1), ',', '.') AS DECIMAL(18,4))::DOUBLE, 4) rate, 'SPRINGFIELD' city, CASE WHEN idx % 2 = 0 THEN 'USD' ELSE 'EUR' END currency, 10.0::DOUBLE amount FROM rows""")
+def fx_lines(spark, sf_dir):
+    k = F.col("idx")
+    rate = F.concat(F.lit("Dólar de Conversão R$ 5,"), F.lpad((k % 9999).cast("string"), 4, "0"))
+    line = F.concat(F.lit("SPRINGFIELD 10,00 "), F.when(k % 2 == 0, "USD").otherwise("EUR"), F.lit(" "), (k % 1000).cast("string"), F.lit(",50"))
+    x = t.fx_line(line)
+    return a.rows(spark, sf_dir).select("idx", F.round(t.fx_rate(rate).cast("double"), 4).alias("rate"), x["city"].alias("city"), x["currency"].alias("currency"), F.round(x["amount"].cast("double"), 2).alias("amount"))
+
+
+@query("""SELECT idx, CASE idx % 4 WHEN 0 THEN 'SAO PAULO' WHEN 1 THEN 'RIO' WHEN 2 THEN 'BELEM' END city FROM rows""")
+def merchant_city(spark, sf_dir):
+    k = F.col("idx")
+    x = F.when(k % 4 == 0, "loja 1 SAO PAULO BR").when(k % 4 == 1, "posto x RIO").when(k % 4 == 2, "mercado BELEM 22 y").otherwise("pix FINAL")
+    return a.rows(spark, sf_dir).select("idx", t.city(x).alias("city"))
+
+
+@query("""SELECT idx, substr(md5(strftime(date, '%Y-%m-%d') || '_' || description || '_' || amount_brl::VARCHAR), 1, 8) hash, substr(md5(strftime(date, '%Y-%m-%d') || '_' || description || '_' || amount_brl::VARCHAR || '_' || currency), 1, 8) hash4 FROM rows""")
+def ledger_hash(spark, sf_dir):
+    d, x, m = F.col("date"), F.col("description"), F.col("amount_brl")
+    return a.rows(spark, sf_dir).select("idx", t.ledger_hash(d, x, m).alias("hash"), t.ledger_hash(d, x, m, F.col("currency")).alias("hash4"))
+
+
+@query("SELECT idx, category FROM rows")
+def category_rules(spark, sf_dir):
+    return a.rows(spark, sf_dir).select("idx", "category")
+
+
+@query(f"""SELECT idx, CASE WHEN regexp_matches(line, '{rules.FX_ROW}') THEN 'FX' WHEN amount < 0 THEN 'COMPRA' ELSE 'CREDITO' END kind, regexp_matches(upper(line), '{"|".join(rules.FOREIGN)}') international, 'transaction' class
+ FROM (SELECT line_no idx, line, CASE WHEN line_no % 2 = 0 THEN 1 ELSE -1 END amount FROM lines)""")
+def classify_txn(spark, sf_dir):
+    line, value = F.col("line"), F.when(F.col("line_no") % 2 == 0, 1).otherwise(-1)
+    return a.lines(a.rows(spark, sf_dir)).select(F.col("line_no").alias("idx"), rules.kind(line, value).alias("kind"), rules.is_foreign(line).alias("international"), rules.row_class(line).alias("class"))
+
+
+@query(f"""SELECT class, count(*) n FROM (SELECT CASE WHEN regexp_matches(lower(l), '{"|".join(rules.SUMMARY)}') THEN 'summary' WHEN regexp_matches(l, '^\\d{{2}}/\\d{{2}}') THEN 'transaction' ELSE 'noise' END class FROM (SELECT unnest(string_split(text, chr(10))) l FROM documents)) GROUP BY class""", rows=False)
+def row_class(spark, sf_dir):
+    lines = parse.lines_of(a.table(spark, sf_dir, "documents"))
+    return lines.groupBy(rules.row_class(F.col("line")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT line_no idx, CASE WHEN line_no % 3 = 0 THEN 'form' WHEN line_no % 3 = 1 THEN 'invoice' ELSE 'ocr' END route FROM lines")
+def route_docs(spark, sf_dir):
+    k = F.col("line_no")
+    name = F.concat(F.when(k % 3 == 0, "itau_").when(k % 3 == 1, "fatura-").otherwise("scan"), k.cast("string"), F.lit(".pdf"))
+    return a.lines(a.rows(spark, sf_dir)).select(k.alias("idx"), rules.routed(name, [("form", r"itau_.*\.pdf"), ("invoice", r"fatura.*\.pdf")], "ocr").alias("route"))
+
+
+@query("""SELECT idx, round(least(0.5 + 0.2 + CASE WHEN length(description) > 5 THEN 0.2 ELSE 0 END + least((idx % 8) * 0.02, 0.1) + CASE WHEN idx % 2 = 0 THEN 0.05 ELSE 0 END, 1.0)::DOUBLE, 6) row_c,
+ round((0.25 + 0.35 + 0.2 * confidence + 0.1 * pipeline_confidence)::DOUBLE, 6) txn_c, round(least(0.6 * least((idx % 20) / greatest(idx % 10, 1)::DOUBLE, 1.0) + 0.4 * CASE WHEN idx % 20 > 0 THEN 0.5 ELSE 0 END, 1.0)::DOUBLE, 6) ext_c,
+ round((confidence * CASE extractor WHEN 'camelot' THEN 0.9 WHEN 'pdfplumber' THEN 0.85 ELSE 1 END)::DOUBLE, 6) calibrated FROM rows""")
+def row_confidence(spark, sf_dir):
+    k = F.col("idx")
+    return a.rows(spark, sf_dir).select(
+        "idx", F.round(confidence.row(F.col("amount_brl"), F.col("description"), k % 8, k % 2 == 0), 6).alias("row_c"),
+        F.round(confidence.transaction(F.lit(True), F.lit(True), F.col("confidence"), F.lit(False), F.col("pipeline_confidence")), 6).alias("txn_c"),
+        F.round(confidence.extraction(k % 20, k % 10, (k % 20) / 2), 6).alias("ext_c"), F.round(confidence.calibrated(F.col("confidence"), F.col("extractor")), 6).alias("calibrated"),
+    )
+
+
+@query("""SELECT idx, round((a*a*a + b*b*b) / (a*a + b*b), 6) weighted, least(a, b) low, greatest(a, b) high, round((a + b) / 2, 6) mean, CASE WHEN a >= 0.9 THEN 'accept' WHEN a >= 0.7 THEN 'review' WHEN a < 0.5 THEN 'reject' END band FROM (SELECT idx, round(confidence, 2) a, round(pipeline_confidence, 2) b FROM rows)""")
+def confidence_merge(spark, sf_dir):
+    x, y = F.round("confidence", 2), F.round("pipeline_confidence", 2)
+    both = F.array(x, y)
+    m = lambda how: F.round(confidence.merged(both, how), 6)
+    return a.rows(spark, sf_dir).select("idx", m("weighted").alias("weighted"), m("min").alias("low"), m("max").alias("high"), m("average").alias("mean"), rules.band(x).alias("band"))
+
+
+@query("""SELECT idx, round((abs(amount_brl) * CASE WHEN currency IN ('', 'BRL') THEN 0.0038 ELSE 0.0638 END)::DOUBLE, 2) iof,
+ CASE WHEN idx % 3 = 0 THEN 'BRL' WHEN abs(amount_brl) / (amount_brl / 5) BETWEEN 4.5 AND 6.5 AND idx % 3 = 1 THEN 'USD' ELSE 'BRL' END currency FROM rows""")
+def iof_and_currency(spark, sf_dir):
+    k, m = F.col("idx"), F.col("amount_brl")
+    orig = F.when(k % 3 == 1, m / 5).when(k % 3 == 2, m * 3)
+    return a.rows(spark, sf_dir).select("idx", F.round(rules.iof(m, F.col("currency")).cast("double"), 2).alias("iof"), rules.currency(m, orig).alias("currency"))
+
+
+PARSED = f"""parsed AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '{FOREIGN}') THEN 'fx' ELSE 'national' END shape, line FROM lines WHERE regexp_matches(line, '{NATIONAL}')),
+typed AS (SELECT doc_id, line_no, shape, TRY_CAST('2024-' || substr(line, 4, 2) || '-' || substr(line, 1, 2) AS DATE) date,
+ CASE WHEN shape = 'fx' THEN regexp_extract(line, '{FOREIGN}', 2) ELSE regexp_extract(line, '{NATIONAL}', 2) END description,
+ round({num(f"CASE WHEN shape = 'fx' THEN regexp_extract(line, '{FOREIGN}', 4) ELSE regexp_extract(line, '{NATIONAL}', 3) END")}::DOUBLE, 2) amount,
+ CASE WHEN shape = 'fx' THEN round({num(f"regexp_extract(line, '{FOREIGN}', 3)")}::DOUBLE, 2) END orig FROM parsed)"""
+
+
+@query(f", {PARSED} SELECT * FROM typed")
+def parse_lines(spark, sf_dir):
+    found = parse.parse_lines(a.lines(a.rows(spark, sf_dir)))
+    return found.select("doc_id", "line_no", "shape", "date", "description", F.col("amount_brl").cast("double").alias("amount"), F.col("amount_orig").cast("double").alias("orig"))
+
+
+@query("""SELECT doc_id, line_no, CASE idx % 2 WHEN 0 THEN 'ALIMENTOS' END category, CASE idx % 2 WHEN 0 THEN 'CIDADE A' END city FROM (SELECT doc_id, line_no * 2 line_no, line_no idx FROM lines)""")
+def parse_two_line(spark, sf_dir):
+    one = a.lines(a.rows(spark, sf_dir)).withColumn("k", F.col("line_no"))
+    nxt = one.filter("k % 2 = 0").select("doc_id", (F.col("k") * 2 + 1).alias("line_no"), F.lit("ALIMENTOS. CIDADE A").alias("line"))
+    both = one.select("doc_id", (F.col("k") * 2).alias("line_no"), "line").union(nxt)
+    return parse.two_line(both).select("doc_id", "line_no", "category", "city")
+
+
+@query(""", headed AS (SELECT doc_id, line_no, CASE line_no % 10 WHEN 0 THEN 'domestic' WHEN 5 THEN 'international' END head FROM lines)
+ SELECT section, count(*) n FROM (SELECT last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) section FROM headed) GROUP BY section""")
+def section_ffill(spark, sf_dir):
+    k = F.col("line_no")
+    x = F.when(k % 10 == 0, "Lançamentos: compras e saques").when(k % 10 == 5, "LANÇAMENTOS INTERNACIONAIS").otherwise(F.col("line"))
+    found = parse.sections(a.lines(a.rows(spark, sf_dir)).withColumn("line", x))
+    return found.groupBy("section").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, line_no, round(amount_brl::DOUBLE, 2) amount, description FROM rows JOIN (SELECT line_no, doc_id d FROM lines) ON line_no = idx AND d = doc_id WHERE line_no % 2 = 1")
+def parse_fallback(spark, sf_dir):
+    found = a.rows(spark, sf_dir).filter("idx % 2 = 1").select("doc_id", F.col("idx").alias("line_no"), F.concat(F.date_format("date", "dd/MM/yyyy"), F.lit(" "), "description", F.lit("  R$ "), t.money(F.col("amount_brl"))).alias("line"))
+    out = found.withColumn("r", parse.once(parse.fallback(F.col("line"))))
+    return out.select("doc_id", "line_no", F.col("r.amount_brl").cast("double").alias("amount"), "r.description")
+
+
+@query("""SELECT doc_id, line_no * 3 line_no, round(amount::DOUBLE, 2) amount, 5.5::DOUBLE rate, CASE WHEN line_no % 2 = 0 THEN 3.51::DOUBLE END iof FROM (SELECT r.doc_id, idx line_no, amount_brl amount FROM rows r) WHERE line_no % 9 = 0""")
+def fx_chunks(spark, sf_dir):
+    one = a.lines(a.rows(spark, sf_dir))
+    k = F.col("line_no")
+    more = one.filter("line_no % 9 = 0")
+    tax = more.filter("line_no % 2 = 0").select("doc_id", (k * 3 + 1).alias("line_no"), F.lit("Repasse de IOF em R$ 3,51").alias("line"))
+    rate = more.select("doc_id", (k * 3 + 2).alias("line_no"), F.lit("Dólar de Conversão R$ 5,5000").alias("line"))
+    found = parse.fx_chunks(one.select("doc_id", (k * 3).alias("line_no"), "line").union(tax).union(rate))
+    return found.select("doc_id", "line_no", F.col("amount_brl").cast("double").alias("amount"), F.col("fx_rate").cast("double").alias("rate"), F.col("iof_brl").cast("double").alias("iof"))
+
+
+@query("SELECT l_suppkey doc_id, l_orderkey table_idx, 0::INT date_col, 2::INT amount_col, 1::INT description_col FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_linenumber) >= 2", rows=False)
+def infer_columns(spark, sf_dir):
+    found = parse.infer_columns(a.cells(spark, sf_dir).withColumn("content", F.when(F.col("col_idx") == 1, F.regexp_replace("content", r"\d", "x")).otherwise(F.col("content"))))
+    return found.select("doc_id", "table_idx", "date_col", "amount_col", "description_col")
+
+
+@query("SELECT l_suppkey doc_id, l_orderkey table_idx, count(*) n, round(sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE, 2) total FROM (SELECT l_suppkey, l_orderkey, l_linenumber, min(l_extendedprice) l_extendedprice FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) = 1) GROUP BY 1, 2", rows=False)
+def cell_roles(spark, sf_dir):
+    cells = a.cells(spark, sf_dir)
+    once = cells.groupBy("doc_id", "table_idx", "row_idx").agg(F.count("*").alias("n")).filter("n = 3").drop("n")
+    found = parse.table_rows(cells.join(once, ["doc_id", "table_idx", "row_idx"]))
+    return found.groupBy("doc_id", "table_idx").agg(F.count("*").alias("n"), F.sum("amount_brl").cast("double").alias("total"))
+
+
+@query("SELECT l_orderkey doc_id, CAST(round_even(l_linenumber * 2 / 3.0, 0) AS BIGINT) bucket, count(*) n, min((l_linenumber * 2)::DOUBLE) top FROM lineitem GROUP BY 1, 2", rows=False)
+def cluster_words(spark, sf_dir):
+    found = parse.word_rows(a.words(spark, sf_dir))
+    return found.select("doc_id", "bucket", F.size(F.split("line", " ")).cast("long").alias("n"), "top")
+
+
+@query()
+def anchored_words(spark, sf_dir):
+    return parse.anchored_rows(a.words(spark, sf_dir))
+
+
+@query("SELECT doc_id, min(idx % 4) rank, count(*) FILTER (WHERE k = m) n FROM (SELECT *, idx % 4 k, min(idx % 4) OVER (PARTITION BY doc_id) m FROM rows) GROUP BY doc_id")
+def strategy_cascade(spark, sf_dir):
+    found = parse.first_strategy(a.rows(spark, sf_dir).withColumn("strategy_rank", F.col("idx") % 4))
+    return found.groupBy("doc_id").agg(F.min("strategy_rank").alias("rank"), F.count("*").alias("n"))
+
+
+@query("SELECT idx doc_id, i::INT idx, CASE WHEN i = 0 THEN date END dates, CASE WHEN i < 1 + idx % 3 THEN 'd' || i END words FROM rows, unnest(generate_series(0, (idx % 3)::INT)) u(i)")
+def entity_zip(spark, sf_dir):
+    words = F.transform(F.sequence(F.lit(0), (F.col("idx") % 3).cast("int")), lambda i: F.concat(F.lit("d"), i.cast("string")))
+    found = a.rows(spark, sf_dir).select(F.col("idx").alias("doc_id"), F.array("date").alias("dates"), words.alias("words"))
+    return parse.zipped(found, "dates", "words")
+
+
+@query("SELECT a.doc_id, count(*) pairs FROM rows a JOIN second b ON a.doc_id = b.doc_id AND abs(datediff('day', a.date, b.date)) <= 1 AND abs(a.amount_brl - b.amount_brl) <= 0.01 GROUP BY 1")
+def ensemble_pairs(spark, sf_dir):
+    found = a.rows(spark, sf_dir)
+    return linkage.near_pairs(found, a.second(found)).groupBy("doc_id").agg(F.count("*").alias("pairs"))
+
+
+@query()
+def ensemble_clusters(spark, sf_dir):
+    found = a.rows(spark, sf_dir)
+    both = found.withColumn("order", F.col("idx")).union(a.second(found).withColumn("order", F.col("idx") + 10_000_000_000))
+    return linkage.leader_clusters(both.select("doc_id", "order", "date", "description", "amount_brl"), "order")
+
+
+@query("SELECT idx FROM (SELECT idx, row_number() OVER (PARTITION BY doc_id, date, amount_brl, description ORDER BY confidence DESC, idx) n FROM (SELECT * FROM rows UNION ALL SELECT * FROM second)) WHERE n = 1")
+def strict_dedup(spark, sf_dir):
+    found = a.rows(spark, sf_dir)
+    return linkage.strict_dedup(found.union(a.second(found)), "idx").select("idx")
+
+
+@query("SELECT doc_id, count(*) n FROM (SELECT doc_id FROM rows UNION ALL SELECT b.doc_id FROM second b WHERE NOT EXISTS (SELECT 1 FROM rows a WHERE a.doc_id = b.doc_id AND a.date = b.date AND a.description = b.description AND a.amount_brl = b.amount_brl)) GROUP BY 1")
+def union_antidup(spark, sf_dir):
+    found = a.rows(spark, sf_dir)
+    return linkage.union_antidup(found, a.second(found)).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+ALIGNED = """, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, date, amount_brl ORDER BY idx) k FROM rows), g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, date, amount_brl ORDER BY idx) k FROM golden),
+ al AS (SELECT coalesce(f.doc_id, g.doc_id) doc_id, f.idx fi, g.idx gi, f.category fc, g.category gc FROM f FULL OUTER JOIN g ON f.doc_id = g.doc_id AND f.date = g.date AND f.amount_brl = g.amount_brl AND f.k = g.k)"""
+
+
+@query(f"{ALIGNED} SELECT doc_id, count(*) n, count(*) FILTER (WHERE fi IS NULL) missing, count(*) FILTER (WHERE gi IS NULL) extra FROM al GROUP BY 1")
+def align_golden(spark, sf_dir):
+    found = a.rows(spark, sf_dir)
+    out = linkage.aligned(found, a.golden(found), "idx")
+    return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("f").isNull()).alias("missing"), F.count_if(F.col("g").isNull()).alias("extra"))
+
+
+@query(f"""{ALIGNED} SELECT doc_id, count(*) total, count(*) FILTER (WHERE fi IS NOT NULL AND gi IS NOT NULL AND lower(fc) = lower(gc)) correct, round(count(*) FILTER (WHERE fi IS NOT NULL AND gi IS NOT NULL AND lower(fc) = lower(gc)) / count(*)::DOUBLE, 6) accuracy FROM al GROUP BY 1""")
+def cell_accuracy(spark, sf_dir):
+    found = a.rows(spark, sf_dir)
+    return quality.cells(found, a.golden(found), "idx").filter("field = 'category'").select("doc_id", "total", "correct", "accuracy")
+
+
+@query()
+def health_grade(spark, sf_dir):
+    found = a.rows(spark, sf_dir)
+    return quality.health(quality.cells(found, a.golden(found), "idx"))
+
+
+RATES = "round(CASE WHEN f = 0 THEN 0 ELSE tp / f::DOUBLE END, 6) AS precision, round(CASE WHEN g = 0 THEN 0 ELSE tp / g::DOUBLE END, 6) recall, round(CASE WHEN tp = 0 THEN 0 ELSE 2.0 * (tp / f::DOUBLE) * (tp / g::DOUBLE) / (tp / f::DOUBLE + tp / g::DOUBLE) END, 6) f1"
+COUNTS = "x AS (SELECT doc_id, date, amount_brl, count(*) a FROM rows GROUP BY ALL), y AS (SELECT doc_id, date, amount_brl, count(*) b FROM golden GROUP BY ALL), z AS (SELECT doc_id, coalesce(a, 0) a, coalesce(b, 0) b FROM x FULL OUTER JOIN y USING (doc_id, date, amount_brl))"
+
+
+@query(f", {COUNTS}, s AS (SELECT doc_id, sum(least(a, b))::BIGINT tp, sum(a)::BIGINT f, sum(b)::BIGINT g FROM z GROUP BY 1) SELECT doc_id, tp, f found, g golden, {RATES} FROM s")
+def prf_multiset(spark, sf_dir):
+    found = a.rows(spark, sf_dir)
+    return quality.prf(found, a.golden(found))
+
+
+@query(f", {COUNTS}, s AS (SELECT doc_id, sum(least(a, b, 1))::BIGINT tp, sum(least(a, 1))::BIGINT f, sum(least(b, 1))::BIGINT g FROM z GROUP BY 1) SELECT doc_id, tp, f found, g golden, {RATES} FROM s")
+def prf_set(spark, sf_dir):
+    found = a.rows(spark, sf_dir)
+    return quality.prf(found, a.golden(found), multiset=False)
+
+
+@query("SELECT doc_id, idx, round(CASE WHEN currency <> 'BRL' AND idx % 7 <> 0 AND idx % 11 <> 1000 THEN 5 + (idx % 10) / 10.0::DOUBLE END, 4) rate FROM rows")
+def fx_match(spark, sf_dir):
+    found = a.rows(spark, sf_dir)
+    fx = a.second(found).select("doc_id", "idx", "amount_brl", (F.lit(5) + (F.col("idx") % 10) / 10).alias("fx_rate"))
+    return linkage.fx_match(found, fx, "idx").select("doc_id", "idx", F.round("fx_rate", 4).alias("rate"))
+
+
+del ORACLES["fx_match"]  # amounts of other rows of the month may be as near: the first item wins, see the tests
+
+
+@query("SELECT 'missing' kind, doc_id, count(*) n FROM golden g WHERE NOT EXISTS (SELECT 1 FROM rows r WHERE r.doc_id = g.doc_id AND r.date = g.date AND r.amount_brl = g.amount_brl) GROUP BY ALL UNION ALL SELECT 'extra', doc_id, count(*) FROM rows r WHERE NOT EXISTS (SELECT 1 FROM golden g WHERE r.doc_id = g.doc_id AND r.date = g.date AND r.amount_brl = g.amount_brl) GROUP BY ALL")
+def missing_extra(spark, sf_dir):
+    found = a.rows(spark, sf_dir)
+    gold, on = a.golden(found), ["doc_id", "date", "amount_brl"]
+    side = lambda kind, x, y: x.join(y, on, "left_anti").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "doc_id", "n")
+    return side("missing", gold, found).union(side("extra", found, gold))
+
+
+@query("SELECT doc_id, count(*) n FROM rows a WHERE EXISTS (SELECT 1 FROM golden g WHERE g.doc_id = a.doc_id AND lower(trim(g.description)) = lower(trim(a.description))) GROUP BY 1")
+def desc_coverage(spark, sf_dir):
+    found = a.rows(spark, sf_dir)
+    key = lambda d: d.withColumn("d", F.lower(F.trim("description")))
+    return key(found).join(key(a.golden(found)), ["doc_id", "d"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def semantic_match(spark, sf_dir):
+    found = a.rows(spark, sf_dir)
+    return linkage.greedy_match(found, a.second(found), "idx")
+
+
+@query("""SELECT idx pair_id, field, CASE field WHEN 'date' THEN TRUE WHEN 'amount' THEN TRUE WHEN 'category' THEN TRUE ELSE TRUE END matches, 1.0::DOUBLE similarity FROM second, unnest(['date', 'amount', 'category', 'description']) u(field)""")
+def field_compare(spark, sf_dir):
+    found = a.rows(spark, sf_dir)
+    pairs = found.alias("x").join(a.second(found).alias("y"), "idx").select(F.col("idx").alias("pair_id"), F.struct("x.date", "x.description", "x.amount_brl", "x.category").alias("l"), F.struct("y.date", "y.description", "y.amount_brl", "y.category").alias("r"))
+    return quality.field_compare(pairs)
+
+
+@query("""SELECT idx, round(len(list_intersect(a, b)) / len(list_distinct(a || b))::DOUBLE, 6) jaccard FROM (SELECT idx, list_distinct(string_split(lower(description), ' ')) a, ['household', 'uber', 'netflix'] b FROM (SELECT idx, replace(description, '#', ' ') description FROM rows))""")
+def jaccard(spark, sf_dir):
+    return a.rows(spark, sf_dir).select("idx", F.round(t.jaccard(t.comparable(F.col("description")), F.lit("household uber netflix")), 6).alias("jaccard"))
+
+
+@query("""SELECT doc_id, count(*) n, round(sum(amount_brl)::DOUBLE, 2) total, count(*) FILTER (WHERE currency = 'BRL') domestic, count(*) FILTER (WHERE currency <> 'BRL') international, min(date) first_date, max(date) last_date, array_to_string(list_sort(list(DISTINCT category)), ',') categories FROM rows GROUP BY 1""")
+def statement_summary(spark, sf_dir):
+    return runs.statement_summary(a.rows(spark, sf_dir)).withColumn("total", F.round("total", 2))
+
+
+@query("SELECT coalesce(method, 'ALL') AS method, count(*) runs, round(avg(success::INT), 6) success_rate, round(avg(confidence) FILTER (WHERE success), 6) avg_confidence, round(avg(time_ms), 4) avg_time_ms, sum(pages)::BIGINT pages, 0.0::DOUBLE AS cost FROM runs GROUP BY ROLLUP (method)")
+def run_metrics(spark, sf_dir):
+    return runs.run_metrics(a.runs(spark, sf_dir))
+
+
+@query("SELECT error, count(*) n FROM runs WHERE NOT success GROUP BY 1 ORDER BY n DESC, error LIMIT 5")
+def top_errors(spark, sf_dir):
+    return runs.top_errors(a.runs(spark, sf_dir))
+
+
+@query("SELECT run_id FROM (SELECT run_id, coalesce(max((confidence >= 0.9)::INT) OVER (PARTITION BY doc_id ORDER BY time_ms, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) won FROM runs) WHERE won = 0")
+def race_select(spark, sf_dir):
+    return runs.race(a.runs(spark, sf_dir)).select("run_id")
+
+
+@query("SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, method, count(*) runs, round(count(*) / 300.0::DOUBLE, 6) AS rate, round(avg(success::INT), 6) success_rate, round(quantile_cont(time_ms, 0.5), 4) p50, round(quantile_cont(time_ms, 0.95), 4) p95 FROM runs GROUP BY ALL")
+def dashboard(spark, sf_dir):
+    return runs.dashboard(a.runs(spark, sf_dir)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT category, count(*) n FROM rows GROUP BY 1")
+def category_hist(spark, sf_dir):
+    return a.rows(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("SELECT field, round(filled, 6) filled FROM (SELECT 'category' field, avg((category <> '')::INT) filled FROM rows UNION ALL SELECT 'description', avg((trim(description) <> '')::INT) FROM rows UNION ALL SELECT 'currency', avg((idx % 4 < 2)::INT) FROM rows)")
+def field_completeness(spark, sf_dir):
+    found = a.rows(spark, sf_dir).withColumn("currency", F.when(F.col("currency") != "BRL", F.col("currency")))
+    return quality.completeness(found, ["category", "description", "currency"])
+
+
+@query("SELECT doc_id, round(0.5 * avg(pipeline_confidence) + 0.4 * avg(confidence) + 0.1 * least(0.1 * count(DISTINCT extractor), 0.3), 6) ensemble, round(least(0.5 * avg(pipeline_confidence) + 0.4 * avg(confidence) + 0.1 * least(0.1 * count(DISTINCT extractor), 0.3) + 0.2 * 0.5, 1.0), 6) boosted FROM rows GROUP BY 1")
+def ensemble_confidence(spark, sf_dir):
+    return runs.ensemble_confidence(a.rows(spark, sf_dir).withColumn("filled", F.lit(0.5)))
+
+
+@query("""SELECT idx FROM (SELECT idx, row_number() OVER (PARTITION BY doc_id, idx // 3 ORDER BY round((c*c*c + p*p*p) / (c*c + p*p) * CASE extractor WHEN 'textract' THEN 1.0 WHEN 'azure' THEN 0.95 WHEN 'pdfplumber' THEN 0.9 ELSE 0.85 END, 9) DESC, idx) n FROM (SELECT *, confidence c, pipeline_confidence p FROM rows)) WHERE n = 1""")
+def resolve_groups(spark, sf_dir):
+    return linkage.resolved(a.rows(spark, sf_dir).withColumn("leader", F.floor(F.col("idx") / 3))).select("idx")
+
+
+@query("SELECT doc_id, round(100 * avg(ok::INT), 6) success_percent FROM (SELECT doc_id, unnest([count(*) BETWEEN 1 AND 200, true, true, true, true, true, true, true, sum(amount_brl) BETWEEN -50000 AND 50000]) ok FROM rows GROUP BY doc_id) GROUP BY 1")
+def expectations(spark, sf_dir):
+    found = quality.expectations(a.rows(spark, sf_dir), categories=[n for n, _ in rules.CATEGORIES] + [rules.CATCH_ALL])
+    return quality.suite(found).select("doc_id", "success_percent")
+
+
+@query("SELECT doc_id, round(0.4 * avg(confidence) + 0.3 + 0.2 * (avg((year(date) BETWEEN 2020 AND 2030)::INT) + 1) / 2 + 0.1, 6) quality, 'A' speed FROM rows GROUP BY doc_id HAVING count(*) > 1")
+def quality_score(spark, sf_dir):
+    found = a.rows(spark, sf_dir)
+    many = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    return quality.quality_score(found, many.withColumn("seconds", F.lit(2.0)))
+
+
+@query("SELECT class, sum(s)::BIGINT support, sum(p)::BIGINT guesses, sum(h)::BIGINT hits FROM (SELECT category class, 1 s, 0 p, 0 h FROM rows UNION ALL SELECT CASE WHEN idx % 17 = 0 THEN 'OUTROS' ELSE category END, 0, 1, (idx % 17 <> 0 OR category = 'OUTROS')::INT FROM rows) GROUP BY 1")
+def confusion(spark, sf_dir):
+    found = a.rows(spark, sf_dir).withColumn("predicted", F.when(F.col("idx") % 17 == 0, "OUTROS").otherwise(F.col("category")))
+    return quality.confusion(found, "category", "predicted").select("class", "support", "guesses", "hits")
+
+
+@query("SELECT name, rank FROM (SELECT name, row_number() OVER (PARTITION BY day ORDER BY confidence DESC, name) AS rank FROM (SELECT 'stmt' || run_id AS name, CAST(ts AS DATE) AS day, confidence, run_id FROM runs) WHERE confidence >= 0.95 AND run_id % 1000 + 1 <= 1000 AND run_id % 500 <> 0 AND run_id % 3 <> 0) WHERE rank <= 5")
+def auto_golden(spark, sf_dir):
+    k = F.col("run_id")
+    found = a.runs(spark, sf_dir).select(F.concat(F.lit("stmt"), k.cast("string")).alias("name"), F.to_date("ts").alias("day"), "confidence", (k % 1000 + 1).alias("n"), (k % 500).alias("total"), k)
+    return runs.auto_golden(found, found.filter("run_id % 3 = 0")).select("name", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT doc_id, TRUE national_ok, abs(b) <= 0 international_ok FROM (SELECT doc_id, sum(CASE WHEN currency <> 'BRL' THEN amount_brl ELSE 0 END) b FROM rows GROUP BY 1)")
+def totals_check(spark, sf_dir):
+    found = a.rows(spark, sf_dir)
+    home = found.groupBy("doc_id").agg(F.sum(F.when(F.col("currency") == "BRL", F.col("amount_brl")).otherwise(0)).alias("s"))
+    text = home.select("doc_id", F.concat(F.lit("Total nacional R$ "), t.money(F.col("s")), F.lit("\nTOTAL INTERNACIONAL R$ 0,00")).alias("text"))
+    return runs.totals_check(found, parse.totals(text))
+
+
+@query("SELECT doc_id, CASE WHEN NOT max(success) FILTER (WHERE side = 0) AND max(success) FILTER (WHERE side = 1) THEN 'fallback' ELSE 'primary' END choice FROM (SELECT idx doc_id, 0 side, idx % 3 <> 0 success FROM rows UNION ALL SELECT idx, 1, idx % 2 = 0 FROM rows) GROUP BY 1")
+def fallback_merge(spark, sf_dir):
+    k = F.col("idx")
+    found = a.rows(spark, sf_dir)
+    side = lambda ok: found.select(k.alias("doc_id"), ok.alias("success"), F.lit(0.5).alias("confidence"), F.lit(1).alias("n"))
+    return linkage.chosen(side(k % 3 != 0), side(k % 2 == 0))
+
+
+@query()
+def account_info(spark, sf_dir):
+    docs = a.rows(spark, sf_dir).select(F.col("idx").alias("doc_id"), F.concat(F.lit("Conta: 12345-"), (F.col("idx") % 10).cast("string"), F.lit("\nSaldo final: R$ "), t.money(F.col("amount_brl"))).alias("text"))
+    return parse.account(docs).select("doc_id", "account", F.col("balance").cast("double").alias("balance"))
+
+
+ORACLES["account_info"] = SQL_ROWS + "SELECT idx doc_id, '12345-' || (idx % 10) account, round(amount_brl::DOUBLE, 2) balance FROM rows"
+
+
+@query()
+def category_model(spark, sf_dir):
+    found = a.rows(spark, sf_dir).select("idx", "description", "category")
+    model = models.train_categories(found, trees=10, words=200)
+    return models.predict_categories(model, found).groupBy("category", "predicted").agg(F.count("*").alias("n"))
+
+
+@query()
+def calibrated_scores(spark, sf_dir):
+    found = a.rows(spark, sf_dir).select("idx", "confidence", (F.col("idx") % 50 > F.col("idx") % 37).alias("hit"))
+    return models.calibrate(found).select("idx", F.round("calibrated", 6).alias("calibrated"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
