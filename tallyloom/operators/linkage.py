@@ -21,6 +21,10 @@ from ..functions import text as t
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 
+#: Groups that a document's blocks are dealt to for the order-dependent steps.
+PARTS = 16
+
+
 def cents(value: Column) -> Column:
     return F.round(value * 100, 0).cast("long")
 
@@ -93,9 +97,10 @@ def leader_clusters(rows: DataFrame, order: str, days: int = 1, within: float =
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order).reset_index(drop=True)
-        leaders: list = []
+        by_block: dict = {}
         found = []
         for row in pdf.itertuples(index=False):
+            leaders = by_block.setdefault(row.block, [])
             for lead in leaders:
                 near = abs((row.date - lead.date).days) <= days and abs(float(row.amount_brl - lead.amount_brl)) <= within + 1e-9
                 if near and token_set_ratio(row.description, lead.description) >= least:
@@ -104,9 +109,11 @@ def leader_clusters(rows: DataFrame, order: str, days: int = 1, within: float =
             else:
                 leaders.append(row)
                 found.append(getattr(row, order))
-        return pdf.drop(columns="block").assign(leader=found)
+        return pdf.drop(columns=["block"]).assign(leader=found)[schema.names]
 
-    return blocks(rows, days, round(within * 100)).groupBy("doc_id", "block").applyInPandas(cluster, schema)
+    # Small blocks share a call; a hot document's blocks are dealt to PARTS groups.
+    dealt = blocks(rows, days, round(within * 100))
+    return dealt.groupBy("doc_id", F.pmod(F.xxhash64("block"), F.lit(PARTS))).applyInPandas(cluster, schema)
 
 
 def strict_dedup(rows: DataFrame, order: str) -> DataFrame:
@@ -157,7 +164,7 @@ def greedy_match(a: DataFrame, b: DataFrame, order: str, least: float = 0.8, blo
         return pd.DataFrame(out, columns=["doc_id", "a_id", "b_id", "score"])
 
     doc = dict(a.dtypes)["doc_id"]
-    return pairs.groupBy("doc_id", "a_cents").applyInPandas(pick, f"doc_id {doc}, a_id long, b_id long, score double")
+    return pairs.groupBy("doc_id", F.pmod(F.xxhash64("a_cents"), F.lit(PARTS))).applyInPandas(pick, f"doc_id {doc}, a_id long, b_id long, score double")
 
 
 def fx_match(rows: DataFrame, fx: DataFrame, order: str) -> DataFrame:

@@ -120,6 +120,9 @@ def completeness(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
 def confusion(rows: DataFrame, label: str, predicted: str) -> DataFrame:
     """Per class: rows, predicted rows, hits and rates, of two columns."""
     both = rows.groupBy(F.col(label).alias("l"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
-    sides = both.select(F.explode(F.array(F.struct(F.col("l").alias("class"), F.col("n").alias("rows"), F.lit(0).cast("long").alias("guesses"), F.when(F.col("l") == F.col("p"), F.col("n")).otherwise(0).alias("hits")), F.struct(F.col("p"), F.lit(0).cast("long"), F.col("n"), F.lit(0).cast("long")))).alias("s")).select("s.*")
+    zero = F.lit(0).cast("long")
+    side = lambda c, rows, guesses, hits: F.struct(F.col(c).alias("class"), rows.alias("rows"), guesses.alias("guesses"), hits.alias("hits"))
+    hit = F.when(F.col("l") == F.col("p"), F.col("n")).otherwise(zero)
+    sides = both.select(F.explode(F.array(side("l", F.col("n"), zero, hit), side("p", zero, F.col("n"), zero))).alias("s")).select("s.*")
     out = sides.groupBy("class").agg(F.sum("rows").alias("support"), F.sum("guesses").alias("guesses"), F.sum("hits").alias("hits"))
     return out.select("class", "support", "guesses", "hits", *rates(F.col("hits"), F.col("guesses"), F.col("support")))
