@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from . import bpe, chat, html_lstm, mixing, quality, sharding, simhash, topk, toxicity, urls
+from . import bpe, chat, html_lstm, mixing, quality, sharding, simhash, sql, topk, toxicity, urls
 from .common import scratch, stored
 
 
@@ -95,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": sql.OP6, "op8_perspectives": sql.OP8, "op9_top_k": sql.OP9}
