@@ -26,7 +26,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = stored(quality.features(docs).drop("text", "lang"), f"{scratch(spark)}/features")
     result = quality.judged(found, quality.references(found))
-    return result.select("doc_id", *quality.FEATURES, "lang_key", "class_distance", "word_distance", "kept")
+    return result.select("doc_id", *quality.FEATURES, "kept")
 
 
 def held_out(id_col: str):
@@ -95,4 +95,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": sql.OP6, "op8_perspectives": sql.OP8, "op9_top_k": sql.OP9}
+    q = quality
+    op2 = sql.op2(q.COMMON_WORDS, q.CLASSES, (q.CLASS_WORDS, q.CLASS_LIMIT), (q.HIST_WORDS, q.WORD_LIMIT, q.WORD_SLACK), q.REFERENCE_WORDS, q.PARTS)
+    return {"op2_quality_rules": op2, "op6_mixing": sql.OP6, "op8_perspectives": sql.OP8, "op9_top_k": sql.OP9}

@@ -30,3 +30,24 @@ OP9 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64
 s AS (SELECT q.vec_id query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+def op2(words: dict, classes: dict, class_rule: tuple, word_rule: tuple, least: int, parts: int) -> str:
+    """The quality rules; words and classes are the operator's tables, rules its limits."""
+    lists = " ".join(f"WHEN '{k}' THEN [{', '.join(map(repr, w))}]" for k, w in words.items())
+    counts = ", ".join(f"len(regexp_extract_all(t, '[{body.replace(chr(39), chr(39) * 2)}]'))" for body in classes.values())
+    term = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
+    x, y = "(b[i] / list_sum(b)::DOUBLE)", "(r[i] / list_sum(r)::DOUBLE)"
+    dist = f"sqrt(greatest(0, list_sum(list_transform(range(1, len(b) + 1), lambda i: {term.format(x, y)} + {term.format(y, x)})) / 2))"
+    return rf"""WITH d AS (SELECT row_number() OVER () id, doc_id, coalesce(text, '') t, CASE WHEN lang IN ({', '.join(map(repr, words))}) THEN lang ELSE 'other' END k FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls, CASE k {lists} ELSE [] END::VARCHAR[] own FROM d),
+g AS (SELECT id, i, list_slice(ws, i, i + 4) g FROM w, unnest(range(1, len(ws) - 3)) u(i)),
+r AS (SELECT id, count(DISTINCT i + j)::BIGINT n FROM (SELECT id, i, count(*) OVER (PARTITION BY id, g) c FROM g), unnest(range(0, 5)) u(j) WHERE c > 1 GROUP BY 1),
+f AS (SELECT w.id, doc_id, k, len(ws)::BIGINT n_words, length(array_to_string(ws, ''))::BIGINT word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines, coalesce(r.n, 0) n_repeat_words, length(t) chars, [{counts}] cs, list_transform(own, lambda o: len(list_filter(ws, lambda x: x = o))) bins FROM w LEFT JOIN r ON w.id = r.id),
+h AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words base_failed, list_concat(cs, [chars - word_chars, word_chars - list_sum(cs)])::BIGINT[] c, list_concat(bins, [n_words - coalesce(list_sum(bins), 0)])::BIGINT[] b FROM f),
+s AS (SELECT k, which, i, sum(floor(v[i] * {parts} / list_sum(v)::DOUBLE)::BIGINT)::BIGINT x FROM (SELECT k, 'c' which, c v FROM h WHERE NOT base_failed AND n_words >= {least} UNION ALL SELECT k, 'b', b FROM h WHERE NOT base_failed AND n_words >= {least}), unnest(range(1, len(v) + 1)) u(i) GROUP BY ALL),
+q AS (SELECT k, list(x ORDER BY i) FILTER (WHERE which = 'c') rc, list(x ORDER BY i) FILTER (WHERE which = 'b') rb FROM s GROUP BY 1),
+e AS (SELECT h.*, rc, rb FROM h LEFT JOIN q ON h.k = q.k),
+m AS (SELECT *, (SELECT CASE WHEN list_sum(b) > 0 THEN {dist} END FROM (SELECT e.c b, e.rc r)) class_distance, (SELECT CASE WHEN list_sum(b) > 0 THEN {dist} END FROM (SELECT e.b b, e.rb r)) word_distance FROM e)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT base_failed AND NOT coalesce(n_words >= {class_rule[0]} AND class_distance > {class_rule[1]}, false) AND NOT coalesce(n_words >= {word_rule[0]} AND word_distance > {word_rule[1]} + {word_rule[2]} / sqrt(n_words), false) kept FROM m"""
