@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import confidence, rules
 from .functions import text as t
-from .operators import linkage, models, parse, quality, runs
+from .operators import enrich, linkage, models, parse, quality, runs
 from .plans import adapters as a
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,6 +493,96 @@ def calibrated_scores(spark, sf_dir):
     return models.calibrate(found).select("idx", F.round("calibrated", 6).alias("calibrated"))
 
 
+RATE = "CASE currency WHEN 'USD' THEN 5.2 WHEN 'EUR' THEN 5.8 ELSE 5.2 END"
+
+
+@query(f"SELECT idx, round(CASE WHEN idx % 2 = 0 THEN least(greatest({RATE}, CASE currency WHEN 'USD' THEN 4.5 WHEN 'EUR' THEN 5 ELSE 1 END), CASE currency WHEN 'USD' THEN 6.5 WHEN 'EUR' THEN 7 ELSE 20 END) ELSE 6 END::DOUBLE, 3) rate FROM rows")
+def fx_fallback(spark, sf_dir):
+    m = F.col("amount_brl")
+    orig = F.when(F.col("idx") % 2 == 1, m / 6)
+    return a.rows(spark, sf_dir).select("idx", F.round(enrich.rate(m, orig, F.col("currency")), 3).alias("rate"))
+
+
+@query("SELECT idx, round(ln(1 + abs(amount_brl)::DOUBLE), 6) log_brl, (currency = 'USD')::INT is_usd, year(date)::INT AS year, quarter(date)::INT AS quarter, length(description)::INT text_length, 0::INT has_paypal FROM rows")
+def fx_features(spark, sf_dir):
+    found = enrich.rate_features(a.rows(spark, sf_dir).withColumn("amount_orig", F.col("amount_brl") / 5))
+    return found.select("idx", F.round("log_brl", 6).alias("log_brl"), "is_usd", "year", "quarter", "text_length", "has_paypal")
+
+
+@query("SELECT idx, length(description)::INT description_length, regexp_matches(description, '[0-9]') has_numbers, contains(lower(description), 'cart') has_card, regexp_matches(lower(description), 'parc|x|/') has_installment, amount_brl < 0 is_negative FROM rows")
+def ml_features(spark, sf_dir):
+    return enrich.text_features(a.rows(spark, sf_dir)).select("idx", "description_length", "has_numbers", "has_card", "has_installment", "is_negative")
+
+
+@query("SELECT idx, CASE WHEN idx % 5 = 2 THEN 'ONLINE' ELSE upper(n_name) END city FROM rows JOIN nation ON n_nationkey = idx % 25")
+def learned_cities(spark, sf_dir):
+    nations = a.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("merchant_city"))
+    found = a.rows(spark, sf_dir).withColumn("k", F.col("idx") % 25).join(nations, "k")
+    found = found.withColumn("description", F.concat_ws(" ", F.when(F.col("idx") % 5 == 2, "netflix"), F.lit("loja"), F.lower("merchant_city"), F.lit("x")))
+    return enrich.cities(found, enrich.known_cities(nations)).select("idx", F.col("found_city").alias("city"))
+
+
+@query("SELECT idx, 1::INT seq, CASE WHEN idx % 3 = 0 THEN 'BRL' ELSE currency END currency, substr(md5(strftime(date, '%Y-%m-%d') || '_' || description || '_' || amount_brl::VARCHAR), 1, 8) hash FROM rows")
+def metadata_fill(spark, sf_dir):
+    none = lambda kind: F.lit(None).cast(kind)
+    found = a.rows(spark, sf_dir).withColumn("currency", F.when(F.col("idx") % 3 != 0, F.col("currency")))
+    found = found.withColumns({"installment_seq": none("int"), "installment_tot": none("int"), "interest_amount": none("decimal(18,2)"), "ledger_hash": F.lit(""), "amount_usd": none("decimal(18,2)"), "fx_rate": F.lit(5)})
+    return enrich.filled(found).select("idx", F.col("installment_seq").alias("seq"), "currency", F.col("ledger_hash").alias("hash"))
+
+
+@query("SELECT doc_id, idx line_no, lpad((idx % 10000)::VARCHAR, 4, '0') code, -round(amount_brl::DOUBLE, 2) amount FROM rows WHERE idx % 4 = 0")
+def payment_lines(spark, sf_dir):
+    line = F.concat(F.date_format("date", "dd/MM"), F.lit(" Pagamento efetuado "), F.lpad((F.col("idx") % 10000).cast("string"), 4, "0"), F.lit(" -"), t.money(F.col("amount_brl")))
+    found = enrich.payments(a.rows(spark, sf_dir).filter("idx % 4 = 0").select("doc_id", F.col("idx").alias("line_no"), line.alias("line")))
+    return found.select("doc_id", "line_no", "code", F.col("amount_brl").cast("double").alias("amount"))
+
+
+@query("SELECT doc_id, idx line_no, (idx % 9 + 1)::INT seq, 10::INT tot, round(amount_brl::DOUBLE, 2) amount FROM rows WHERE idx % 4 = 1")
+def installment_lines(spark, sf_dir):
+    line = F.concat(F.date_format("date", "dd/MM"), F.lit(" "), "description", F.lit(" 0"), (F.col("idx") % 9 + 1).cast("string"), F.lit("/10 "), t.money(F.col("amount_brl")))
+    found = enrich.installment_lines(a.rows(spark, sf_dir).filter("idx % 4 = 1").select("doc_id", F.col("idx").alias("line_no"), line.alias("line")))
+    return found.select("doc_id", "line_no", "seq", "tot", F.col("amount_brl").cast("double").alias("amount"))
+
+
+@query("SELECT doc_id, NOT coalesce(bool_or(length(text) > 100), false) scanned FROM documents GROUP BY 1", rows=False)
+def scanned_probe(spark, sf_dir):
+    return enrich.scanned(a.table(spark, sf_dir, "documents"))
+
+
+@query("SELECT name FROM (SELECT name, row_number() OVER (PARTITION BY day ORDER BY name) n FROM (SELECT 's' || run_id AS name, CAST(ts AS DATE) AS day FROM runs WHERE run_id % 3 <> 0)) WHERE n <= 5")
+def golden_candidates(spark, sf_dir):
+    found = a.runs(spark, sf_dir).select(F.concat(F.lit("s"), F.col("run_id").cast("string")).alias("name"), F.to_date("ts").alias("day"), "run_id")
+    return enrich.candidates(found, found.filter("run_id % 3 = 0"), 5).select("name")
+
+
+@query()
+def worst_fields(spark, sf_dir):
+    found = a.rows(spark, sf_dir)
+    return enrich.worst(quality.cells(found, a.golden(found), "idx"), 2).select("doc_id", "field", "rank")
+
+
+@query("SELECT doc_id, count(*) pairs FROM rows GROUP BY 1")
+def positional_zip(spark, sf_dir):
+    found = a.rows(spark, sf_dir)
+    return enrich.zipped_pairs(found, a.second(found), "idx").groupBy("doc_id").agg(F.count("*").alias("pairs"))
+
+
+@query("SELECT 'category' AS column, count(*) predicted, 1.0::DOUBLE AS rate FROM rows UNION ALL SELECT 'currency', count(*) FILTER (WHERE currency <> 'BRL'), round(avg((currency <> 'BRL')::INT), 6) FROM rows")
+def prediction_coverage(spark, sf_dir):
+    found = a.rows(spark, sf_dir).withColumn("currency", F.when(F.col("currency") != "BRL", F.col("currency")))
+    return enrich.coverage(found, ["category", "currency"])
+
+
+@query("SELECT currency, round(avg(5 + (idx % 10) / 10.0::DOUBLE), 6) rate FROM rows GROUP BY 1")
+def currency_rates(spark, sf_dir):
+    return a.rows(spark, sf_dir).groupBy("currency").agg(F.round(F.avg(5 + (F.col("idx") % 10) / 10), 6).alias("rate"))
+
+
+@query("SELECT method, round(avg(time_ms), 4) mean_ms, min(time_ms) least_ms, max(time_ms) most_ms, count(*) FILTER (WHERE confidence >= 0.7) sure FROM runs GROUP BY 1")
+def run_benchmark(spark, sf_dir):
+    return a.runs(spark, sf_dir).groupBy("method").agg(F.round(F.avg("time_ms"), 4).alias("mean_ms"), F.min("time_ms").alias("least_ms"), F.max("time_ms").alias("most_ms"), F.count_if(F.col("confidence") >= 0.7).alias("sure"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
