@@ -153,7 +153,8 @@ def distance(bins: Column, ref: Column) -> Column:
 
     n, m = F.nullif(_total(bins), F.lit(0)), F.nullif(_total(ref), F.lit(0))
     parts = F.zip_with(bins, ref, lambda b, r: term(b / n, r / m) + term(r / m, b / n))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2))
+    total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+    return F.when(total.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), total / 2)))
 
 
 def judged(found: DataFrame, refs: DataFrame) -> DataFrame:
