@@ -39,17 +39,18 @@ def scratch(spark: SparkSession) -> str:
 def stored(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
     """Write df as a table and read it back: cuts lineage, survives lost executors.
 
-    Shuffle files of the write go with it, where the session can do that, so that
-    operators of several rounds need the disk of one.
+    The write's shuffle files go when it ends, so operators of several rounds need the
+    disk of one; what it wrote is in the shared folder.
     """
     spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
-    if before is not None:
-        spark.conf.set(key, "true")
+    spark.conf.set(key, "true")
     try:
         df.write.mode(mode).parquet(path)
     finally:
-        if before is not None:
+        if before is None:
+            spark.conf.unset(key)
+        else:
             spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
