@@ -249,10 +249,19 @@ def labelled(net: BiLstm, pages: list) -> list[tuple[list, np.ndarray]]:
     return out
 
 
+def sample_pages(pages: DataFrame, limit: int) -> list[str]:
+    """The distinct pages (h) of the `limit` least hashes; only hashes are ordered, so tasks send no pages that aren't used."""
+    hashed = pages.withColumn("k", F.xxhash64("h"))
+    last = hashed.select("k").distinct().orderBy("k").limit(limit).agg(F.max("k").alias("k")).first().k
+    if last is None:
+        return []
+    return [r.h for r in hashed.filter(F.col("k") <= last).groupBy("k").agg(F.min("h").alias("h")).orderBy("k").collect()]
+
+
 def extract(df: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
     """df without the html, with `text` (main blocks joined by a line feed) and `n_chars`."""
     source = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
-    params = train([r[0] for r in df.select(source.alias("h")).orderBy(F.xxhash64("h"), "h").limit(sample).collect()])
+    params = train(sample_pages(df.select(source.alias("h")), sample))
     shared = df.sparkSession.sparkContext.broadcast(params)  # of fixed size: the network's parameters
     keep = [c for c in df.columns if c not in (html_col, "text", "n_chars")]
     kinds = dict(df.dtypes)
