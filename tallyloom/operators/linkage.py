@@ -142,29 +142,62 @@ def aligned(found: DataFrame, golden: DataFrame, order: str) -> DataFrame:
 
 
 def greedy_match(a: DataFrame, b: DataFrame, order: str, least: float = 0.8, blocked: bool = True) -> DataFrame:
-    """One-to-one matches in a's order: the best b left with .3 date + .4 amount + .3 words at or above `least`.
+    """One-to-one matches: first the equal rows, then in a's order the best b left at or above `least`.
 
-    From .7 + on, amounts must agree or date and all words must; pairs are made per (document,
-    amount) or (document, date, words) and only their scores go to the grouped greedy step.
+    Scores are .3 date (1 - days / 7) + .4 amount (1 - relative difference) + .3 shared words,
+    rounded to 9 places; the first b wins ties. Rows equal in document, date, cents and words
+    count once, at the place of the first and with the id of the last. Equal rows meet in a
+    join; the rest of a document is scored against buckets of a day, sorted by amount, cut to
+    what can still reach `least` (all of them unless `blocked`). No pairs are stored.
     """
-    side = lambda d, n: d.select("doc_id", F.col(order).alias(f"{n}_id"), F.col("date").alias(f"{n}_date"), cents(F.col("amount_brl")).alias(f"{n}_cents"), t.comparable(F.col("description")).alias(f"{n}_text"))
-    left, right = side(a, "a"), side(b, "b")
-    pairs = left.join(right, (left.doc_id == right.doc_id) & (left.a_cents == right.b_cents)).drop(right.doc_id)
-    score = 0.3 * (F.col("a_date") == F.col("b_date")).cast("double") + 0.4 + 0.3 * t.jaccard(F.col("a_text"), F.col("b_text"))
-    pairs = pairs.withColumn("score", F.round(score, 9)).filter(F.col("score") >= least).select("doc_id", "a_id", "b_id", "a_cents", "score")
+    on = ["doc_id", "day", "cents", "words"]
+
+    def side(d: DataFrame, n: str) -> DataFrame:
+        d = d.select("doc_id", F.unix_date("date").alias("day"), cents(F.col("amount_brl")).alias("cents"), F.coalesce(t.comparable(F.col("description")), F.lit("")).alias("words"), F.col(order).cast("long").alias("id"))
+        return d.dropna(subset=["doc_id", "day", "cents"]).groupBy(*on).agg(F.min("id").alias(f"{n}_at"), F.max("id").alias(f"{n}_id"))
+
+    both = side(a, "a").join(side(b, "b"), on, "full_outer")
+    loss = 1 - least + 1e-9
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(set=[frozenset(w.split()) for w in pdf["words"]])
+        buckets = []
+        for day, rows in pdf[~pdf["first"]].sort_values(["cents", "at"]).groupby("day"):
+            buckets.append((day, rows["cents"].to_numpy("float64"), list(zip(rows["at"], rows["id"], rows["set"], strict=True))))
         used, out = set(), []
-        for a_id, rows in pdf.sort_values(["a_id", "score", "b_id"], ascending=[True, False, True]).groupby("a_id", sort=True):
-            for row in rows.itertuples(index=False):
-                if row.b_id not in used:
-                    used.add(row.b_id)
-                    out.append((row.doc_id, a_id, row.b_id, row.score))
+        for row in pdf[pdf["first"]].sort_values("at").itertuples(index=False):
+            able = []
+            for day, amounts, rows in buckets:
+                dated = max(0.0, 1 - abs(row.day - day) / 7)
+                room = (loss - 0.3 * (1 - dated)) / 0.4  # of the amount's score
+                low, high = 0, len(rows)
+                if blocked and room < 0:
+                    continue
+                if blocked and room < 1:  # of one sign and near, or both 0
+                    ends = sorted((row.cents * (1 - room), row.cents / (1 - room)))
+                    low, high = amounts.searchsorted(ends[0] - 0.5), amounts.searchsorted(ends[1] + 0.5, "right")
+                for k in range(low, high):
+                    if rows[k][1] not in used:
+                        most = max(abs(row.cents), abs(amounts[k]))
+                        near = max(0.0, 1 - abs(row.cents - amounts[k]) / most) if most else 1.0
+                        able.append((0.3 * dated + 0.4 * near, rows[k]))
+            best = None
+            for partial, (at, b_id, words) in sorted(able, key=lambda x: -x[0]):
+                if round(partial + 0.3, 9) < (best[0] if best else least):
                     break
+                alike = len(row.set & words) / len(row.set | words) if row.set or words else 1.0
+                score = round(float(partial + 0.3 * alike), 9)
+                if score >= least and (best is None or (score, -at) > (best[0], -best[1])):
+                    best = score, at, b_id
+            if best:
+                used.add(best[2])
+                out.append((row.doc_id, row.id, best[2], best[0]))
         return pd.DataFrame(out, columns=["doc_id", "a_id", "b_id", "score"])
 
-    doc = dict(a.dtypes)["doc_id"]
-    return pairs.groupBy("doc_id", F.pmod(F.xxhash64("a_cents"), F.lit(PARTS))).applyInPandas(pick, f"doc_id {doc}, a_id long, b_id long, score double")
+    schema = f"doc_id {dict(a.dtypes)['doc_id']}, a_id long, b_id long, score double"
+    equal = both.filter("a_id is not null and b_id is not null").select("doc_id", "a_id", "b_id", F.lit(1.0).alias("score"))
+    rest = both.filter("a_id is null or b_id is null").select(*on, F.col("a_id").isNotNull().alias("first"), F.coalesce("a_at", "b_at").alias("at"), F.coalesce("a_id", "b_id").alias("id"))
+    return equal.union(rest.groupBy("doc_id").applyInPandas(pick, schema))
 
 
 def fx_match(rows: DataFrame, fx: DataFrame, order: str) -> DataFrame:

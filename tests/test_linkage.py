@@ -51,3 +51,44 @@ def test_resolve_ties_take_the_first(spark):
     groups = spark.createDataFrame([("d", 1, i, 0.9, 0.9, e) for i, e in enumerate(["azure", "textract", "textract"])], "doc_id string, leader long, idx long, confidence double, pipeline_confidence double, extractor string")
     row = linkage.resolved(groups).first()
     assert (row.idx, row.conflicts) == (1, 2)
+
+
+def greedy_by_force(a, b, least):
+    """The reference's rule: equal rows first, then each row of a in order takes the best row of b left."""
+    key = lambda x: (x[0], x[2], frozenset(x[3].lower().split()), x[4])
+    first, second = {}, {}
+    for rows_of, into in ((a, first), (b, second)):
+        for x in sorted(rows_of, key=lambda r: r[1]):
+            into[key(x)] = x[1]
+    out = {(first[k], second[k], 1.0) for k in first if k in second}
+    left = {k: i for k, i in second.items() if k not in first}
+    for k in [k for k in first if k not in second]:
+        best, most = None, 0
+        for other in left:
+            if other[0] == k[0]:
+                amount = 1 - float(abs(k[3] - other[3])) / float(max(abs(k[3]), abs(other[3])))
+                score = round(0.3 * max(0, 1 - abs((k[1] - other[1]).days) / 7) + 0.4 * max(0, amount) + 0.3 * len(k[2] & other[2]) / len(k[2] | other[2]), 9)
+                if score >= least and score > most:
+                    best, most = other, score
+        if best:
+            out.add((first[k], left.pop(best), most))
+    return out
+
+
+def test_greedy_match_equals_brute_force(spark):
+    r = random.Random(7)
+    a = [(d, i, day, " ".join(sorted(words.split())), amount * r.choice([1, 1, 1, 30, -1]), c, m) for d, i, day, words, amount, c, m in rows(120, 5)]
+    off = lambda i: (timedelta(i % 3 == 0), Decimal("0.01") * (i % 5 == 0))  # noqa: E731  a day later, a cent off
+    b = [(d, i + 1000, day + off(i)[0], words, amount + off(i)[1], c, m) for d, i, day, words, amount, c, m in a if i % 7] + [(d, i + 2000, day, " ".join(sorted(words.split())), amount, c, m) for d, i, day, words, amount, c, m in rows(30, 6)]
+    for least in (0.8, 0.7, 0.55, 0.95):
+        for blocked in (True, False):
+            found = linkage.greedy_match(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), "idx", least, blocked).collect()
+            assert {(x.a_id, x.b_id, x.score) for x in found} == greedy_by_force(a, b, least), (least, blocked)
+            assert len(found) == len({x.a_id for x in found}) == len({x.b_id for x in found})
+
+
+def test_greedy_match_grades_date_and_amount(spark):
+    one = [("d", 1, date(2024, 1, 1), "PADARIA SUL", Decimal("10.00"), "A", "BRL"), ("d", 2, date(2024, 1, 1), "UBER", Decimal("50.00"), "A", "BRL")]
+    two = [("d", 1, date(2024, 1, 2), "PADARIA SUL", Decimal("10.00"), "A", "BRL"), ("d", 2, date(2024, 1, 1), "UBER", Decimal("50.01"), "A", "BRL")]
+    found = linkage.greedy_match(spark.createDataFrame(one, SCHEMA), spark.createDataFrame(two, SCHEMA), "idx").collect()
+    assert {(r.a_id, r.b_id, round(r.score, 3)) for r in found} == {(1, 1, 0.957), (2, 2, 1.0)}
