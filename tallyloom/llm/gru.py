@@ -19,16 +19,34 @@ SIZES = (3, 4, 5)
 MARKS = ".,;:!?\"'()[]"
 
 
+#: Bytes from which on a token is cut into pieces; characters of a piece, and those it shares with the next.
+LONG, PIECE, LAP = 120, 30, max(SIZES) - 1
+
+
 def tokens_of(text: str | None) -> list[str]:
-    """Lower-case runs without white space; the marks at their ends are stripped with their features."""
-    return (text or "").lower().split()
+    """Lower-case runs without white space, the long ones in pieces; the marks at their ends are stripped with their features."""
+    words = (text or "").lower().split()
+    if max(map(len, words), default=0) <= LONG // 4:
+        return words
+    return [p for w in words for p in pieces(w)]
+
+
+def pieces(word: str) -> list[str]:
+    """The word, or overlapping pieces that hold every n-gram of one over LONG bytes.
+
+    A piece has a space where it was cut: no word has one, so its features are no word's end.
+    """
+    bare = word.strip(MARKS) or word
+    if len(bare) <= LONG // 4 or len(bare.encode()) <= LONG:
+        return [word]
+    return [" " * (at > 0) + bare[at : at + PIECE] + " " * (at + PIECE < len(bare)) for at in range(0, len(bare) - LAP, PIECE - LAP)]
 
 
 def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word buckets, and the n-gram buckets of all words with each word's first position among them."""
     bare = [w.strip(MARKS) or w for w in words]
-    own = np.array([zlib.crc32(w.encode()) % WORDS for w in bare], dtype=np.int64)
-    coded = [b"\x02" + w.encode()[:120] + b"\x03" for w in bare]
+    own = np.array([zlib.crc32(b" " if " " in w else w.encode()) % WORDS for w in bare], dtype=np.int64)  # pieces are one word: no other text has theirs
+    coded = [b"\x02" + w.encode() + b"\x03" for w in bare]
     data = np.frombuffer(b"".join(coded), dtype=np.uint8).astype(np.uint32)
     sizes = np.array([len(c) for c in coded])
     word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)

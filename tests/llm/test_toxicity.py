@@ -72,3 +72,23 @@ def test_awkward_texts_and_no_labels(spark):
     assert toxicity.train(toxicity.training_rows(docs, labels, "doc_id", "text", "toxic")) is None
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), params).count() == 0
+
+
+def test_pieces_hold_every_ngram():
+    rnd = random.Random(3)
+    assert gru.tokens_of("A.b  " + "x" * 120) == ["a.b", "x" * 120]
+    for n in (121, 146, 147, 500, 5000):
+        for letters in ("abc.,-", "毒有害的內容.", "é\u200b_x"):
+            word = "".join(rnd.choice(letters) for _ in range(n - 1)) + "z"
+            cut = gru.tokens_of(word)
+            assert len(cut) > 1 and max(len(p.encode()) for p in cut) <= gru.LONG + 2
+            whole = gru.hashed([word])[1]
+            assert set(whole) <= set(gru.hashed(cut)[1])
+
+
+def test_long_tokens_are_scored_whole():
+    rnd, plain = random.Random(4), [chr(c) for c in range(0x4E00, 0x4E20)]
+    run = lambda n: "".join(rnd.choice(plain) for _ in range(n))
+    rows = [(run(200) + ("毒藥害人" if i % 2 else "") + run(200), i % 2) for i in range(240)]
+    score = toxicity.Scorer(toxicity.train(rows[:200])).scores([text for text, _ in rows[200:]])
+    assert np.mean((score >= 0.5) == np.array([y for _, y in rows[200:]])) > 0.9
