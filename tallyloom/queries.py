@@ -222,8 +222,13 @@ def section_ffill(spark, sf_dir):
 
 @query("SELECT doc_id, line_no, round(amount_brl::DOUBLE, 2) amount, description FROM rows JOIN (SELECT line_no, doc_id d FROM lines) ON line_no = idx AND d = doc_id WHERE line_no % 2 = 1")
 def parse_fallback(spark, sf_dir):
-    found = a.rows(spark, sf_dir).filter("idx % 2 = 1").select("doc_id", F.col("idx").alias("line_no"), F.concat(F.date_format("date", "dd/MM/yyyy"), F.lit(" "), "description", F.lit("  R$ "), t.money(F.col("amount_brl"))).alias("line"))
-    out = found.withColumn("r", parse.once(parse.fallback(F.col("line"))))
+    """Every row is a line; the even ones lack an amount, a date, a day that exists or a description, and the operator rejects them."""
+    k, day, money = F.col("idx"), F.date_format("date", "dd/MM/yyyy"), F.concat(F.lit("R$ "), t.money(F.col("amount_brl")))
+    bad = F.when(k % 8 == 0, F.concat_ws(" ", day, "description")).when(k % 8 == 2, F.concat_ws(" ", "description", money))
+    bad = bad.when(k % 8 == 4, F.concat_ws(" ", F.lit("31/02/2024"), "description", money)).otherwise(F.concat_ws(" ", day, money))
+    line = F.when(k % 2 == 1, F.concat(day, F.lit(" "), "description", F.lit("  "), money)).otherwise(bad)
+    found = a.rows(spark, sf_dir).select("doc_id", k.alias("line_no"), line.alias("line"))
+    out = found.withColumn("r", parse.once(parse.fallback(F.col("line")))).filter("r is not null")
     return out.select("doc_id", "line_no", F.col("r.amount_brl").cast("double").alias("amount"), "r.description")
 
 
@@ -530,17 +535,24 @@ def metadata_fill(spark, sf_dir):
     return enrich.filled(found).select("idx", F.col("installment_seq").alias("seq"), "currency", F.col("ledger_hash").alias("hash"))
 
 
+def _mixed_lines(found: DataFrame) -> DataFrame:
+    """A line of every row: a payment, an installment, a purchase, or a purchase with a second amount."""
+    k, day, money = F.col("idx"), F.date_format("date", "dd/MM"), t.money(F.col("amount_brl"))
+    payment = F.concat(day, F.lit(" Pagamento efetuado "), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit(" -"), money)
+    installment = F.concat(day, F.lit(" "), "description", F.lit(" 0"), (k % 9 + 1).cast("string"), F.lit("/10 "), money)
+    bought = F.when(k % 4 == 2, F.concat_ws(" ", day, "description", money)).otherwise(F.concat_ws(" ", day, "description", F.lit("10,00"), money))
+    return found.select("doc_id", k.alias("line_no"), F.when(k % 4 == 0, payment).when(k % 4 == 1, installment).otherwise(bought).alias("line"))
+
+
 @query("SELECT doc_id, idx line_no, lpad((idx % 10000)::VARCHAR, 4, '0') code, -round(amount_brl::DOUBLE, 2) amount FROM rows WHERE idx % 4 = 0")
 def payment_lines(spark, sf_dir):
-    line = F.concat(F.date_format("date", "dd/MM"), F.lit(" Pagamento efetuado "), F.lpad((F.col("idx") % 10000).cast("string"), 4, "0"), F.lit(" -"), t.money(F.col("amount_brl")))
-    found = enrich.payments(a.rows(spark, sf_dir).filter("idx % 4 = 0").select("doc_id", F.col("idx").alias("line_no"), line.alias("line")))
+    found = enrich.payments(_mixed_lines(a.rows(spark, sf_dir)))
     return found.select("doc_id", "line_no", "code", F.col("amount_brl").cast("double").alias("amount"))
 
 
 @query("SELECT doc_id, idx line_no, (idx % 9 + 1)::INT seq, 10::INT tot, round(amount_brl::DOUBLE, 2) amount FROM rows WHERE idx % 4 = 1")
 def installment_lines(spark, sf_dir):
-    line = F.concat(F.date_format("date", "dd/MM"), F.lit(" "), "description", F.lit(" 0"), (F.col("idx") % 9 + 1).cast("string"), F.lit("/10 "), t.money(F.col("amount_brl")))
-    found = enrich.installment_lines(a.rows(spark, sf_dir).filter("idx % 4 = 1").select("doc_id", F.col("idx").alias("line_no"), line.alias("line")))
+    found = enrich.installment_lines(_mixed_lines(a.rows(spark, sf_dir)))
     return found.select("doc_id", "line_no", "seq", "tot", F.col("amount_brl").cast("double").alias("amount"))
 
 
