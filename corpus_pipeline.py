@@ -31,16 +31,17 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a doc_id stay; of rows that repeat one, one stays."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    heads = stored(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), f"{scratch(spark)}/heads")
-    gone = found.filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Rows without a doc_id stay; of each component one row. A row is told by its doc_id and its text's hash."""
+    docs = docs.select(*COLUMNS, F.xxhash64("text").alias("key"))
+    found = simhash.near_duplicates(docs.select(F.expr("if(doc_id is null, null, struct(doc_id, key))").alias("id"), "text"), "id")
+    heads = stored(found.filter("id = component_id").groupBy("id").agg(F.count("*").alias("n")), f"{scratch(spark)}/heads")
+    gone = found.filter("id is not null and id <> component_id").select("id.*").distinct()
+    kept = docs.join(gone, ["doc_id", "key"], "left_anti")
     if heads.filter("n > 1").isEmpty():
-        return kept
-    again = heads.filter("n > 1").select("doc_id")
-    once = kept.join(again, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(COLUMNS).union(once)
+        return kept.select(COLUMNS)
+    again = heads.filter("n > 1").select("id.*")
+    once = kept.join(again, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+    return kept.join(again, ["doc_id", "key"], "left_anti").select(COLUMNS).union(once.select(COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,12 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         found = stage(spark, docs, f"file://{tmp_path}")
         assert found.columns == docs.columns and found.count() == 0
+
+
+def test_a_repeated_id_costs_no_group_its_document(spark, tmp_path):
+    texts = [" ".join(f"{word}{i}" for i in range(80)) for word in ("alpha", "beta", "gamma")]
+    rows = [(5, texts[0]), (3, texts[1]), (5, texts[1]), (7, texts[0]), (3, texts[2]), (3, texts[2]), (None, texts[2])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    found = corpus_pipeline.dedup_stage(spark, docs, "")
+    got = sorted((r.doc_id or 0, texts.index(r.text)) for r in found.collect())
+    assert found.columns == docs.columns and got == [(0, 2), (3, 1), (3, 2), (5, 0)]
