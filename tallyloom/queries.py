@@ -488,7 +488,7 @@ ORACLES["account_info"] = SQL_ROWS + "SELECT idx doc_id, '12345-' || (idx % 10)
 @query()
 def category_model(spark, sf_dir):
     found = a.rows(spark, sf_dir).select("idx", "description", "category")
-    model = models.train_categories(found, trees=10, words=200)
+    model = models.train_categories(found)
     return models.predict_categories(model, found).groupBy("category", "predicted").agg(F.count("*").alias("n"))
 
 
