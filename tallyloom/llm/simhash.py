@@ -33,7 +33,7 @@ by_value(__name__)
 
 RADIUS = 4
 MIX, UNMIX = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
-#: Bits that hold the number of a mask (2,081 of them at radius 2), and least bits of a bucket.
+#: Least bits that hold the number of a mask (enough for the 2,081 of radius 2), and least bits of a bucket.
 MASK_BITS = 12
 #: Variants a bucket should hold at most, rounds (the number of syndromes), fingerprints expanded
 #: at once by a worker, and links held by one before they are passed on.
@@ -77,6 +77,11 @@ def masks(radius: int) -> np.ndarray:
     return np.array(found, dtype=np.uint64)
 
 
+def mask_bits(ball: np.ndarray) -> int:
+    """Bits that hold the number of any mask of the ball."""
+    return max(MASK_BITS, (len(ball) - 1).bit_length())
+
+
 def syndromes(fps: np.ndarray) -> np.ndarray:
     """3-bit XOR of the numbers (mod 8) of the bits that are set: linear, so equal variants agree."""
     out = np.zeros(len(fps), dtype=np.uint8)
@@ -92,18 +97,19 @@ def _emit(bits: int, number: int, half: int):
     def work(batches):
         with np.errstate(over="ignore"):
             ball = masks(half)
-            kinds = syndromes(ball)
+            kinds, low = syndromes(ball), np.uint64((1 << mask_bits(ball)) - 1)
+            chunk = max(1, (CHUNK << MASK_BITS) // max(1 << MASK_BITS, len(ball)))
             for batch in batches:
                 fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                for at in range(0, len(fps), CHUNK):
-                    part, packed = fps[at : at + CHUNK], []
+                for at in range(0, len(fps), chunk):
+                    part, packed = fps[at : at + chunk], []
                     own = syndromes(part)
                     for s in range(ROUNDS):
                         numbers = np.flatnonzero(kinds == s ^ number).astype(np.uint64)
                         mixed = (part[own == s, None] ^ ball[numbers][None, :]) * np.uint64(MIX)
                         buckets = (mixed >> np.uint64(64 - bits)).astype(np.uint32)
                         mixed <<= np.uint64(bits)
-                        mixed &= ~np.uint64((1 << MASK_BITS) - 1)
+                        mixed &= ~low
                         mixed |= numbers[None, :]
                         packed.append((buckets.ravel(), mixed.ravel()))
                     buckets, keys = (np.concatenate(x) for x in zip(*packed, strict=True))
@@ -118,10 +124,10 @@ def _emit(bits: int, number: int, half: int):
 
 def _collisions(bucket: int, blobs: list, bits: int, ball: np.ndarray, radius: int) -> np.ndarray:
     """Links of one bucket: fingerprints of equal variants, each to the least, repeats dropped."""
-    low = np.uint64((1 << MASK_BITS) - 1)
+    low = np.uint64((1 << mask_bits(ball)) - 1)
     keys = np.frombuffer(b"".join(blobs), dtype=np.uint64).copy()
     keys.sort()
-    variants = keys >> np.uint64(MASK_BITS)
+    variants = keys >> np.uint64(mask_bits(ball))
     same = variants[1:] == variants[:-1]
     held = np.flatnonzero(np.append(same, False) | np.append(False, same))
     keys, variants = keys[held], variants[held]
@@ -167,12 +173,15 @@ def _collide(bits: int, half: int, radius: int):
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between the distinct fingerprints `fp` that keep every component of distance <= radius.
 
-    A round takes the variants of one syndrome, an eighth of all.
+    A round takes the variants of one syndrome, an eighth of all. The radius is even: at odd
+    ones fingerprints of one variant can be further apart, and a link by the least could be lost.
     """
-    spark, half = distinct.sparkSession, (radius + 1) // 2
-    path = scratch(spark)
-    total = max(1, distinct.count() * len(masks(half)) // ROUNDS)
-    bits = max(MASK_BITS, (total // BUCKET).bit_length())
+    if radius < 0 or radius % 2:
+        raise ValueError(f"radius {radius} is not an even number")
+    spark, half = distinct.sparkSession, radius // 2
+    path, ball = scratch(spark), masks(half)
+    total = max(1, distinct.count() * len(ball) // ROUNDS)
+    bits = max(mask_bits(ball), (total // BUCKET).bit_length())
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for n in range(ROUNDS):
         sent = distinct.select("fp").mapInArrow(_emit(bits, n, half), "bucket bigint, `keys` binary")

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 
 from tallyloom.llm import graph, simhash
@@ -80,3 +83,22 @@ def test_long_chain_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(5, 5), (400, 399)], "a long, b long")
     got = {r.node: r.component for r in graph.components(links).collect()}
     assert got == {i: 0 for i in range(301)} | {399: 399, 400: 399}
+
+
+def test_radius_six_keeps_its_links():
+    rnd, ball, found = random.Random(9), simhash.masks(3), set()
+    one = rnd.getrandbits(64)
+    fps = np.array([one, one ^ sum(1 << b for b in rnd.sample(range(64), 6)), rnd.getrandbits(64)], dtype=np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64))], names=["fp"])
+    with np.errstate(over="ignore"):
+        for n in range(simhash.ROUNDS):
+            for out in simhash._emit(16, n, 3)([batch]):
+                for bucket, blob in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                    if len(blob) > 8:
+                        found |= {tuple(x) for x in simhash._collisions(bucket, [blob], 16, ball, 6).tolist()}
+    assert found == {tuple(sorted(fps[:2].tolist()))}
+
+
+def test_odd_radii_are_refused():
+    with pytest.raises(ValueError, match="radius 5"):
+        simhash.fingerprint_links(None, 5)
