@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Sequence
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word definition `[^\x20\x09-\x0D]+`, besides the space.
 BLANKS = "\t\n\x0b\x0c\r"
@@ -23,9 +25,13 @@ by_value(__name__)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share. A local session without one gets a temporary folder; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
         found = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -71,3 +77,27 @@ def words_of(text: Column) -> Column:
 def n_words_of(text: Column) -> Column:
     """Number of words of a text; null gives 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def arrow_map(df: DataFrame, keep: Sequence[str], given: Sequence[Column], fields: Sequence[tuple[str, str]], work: Callable[[Iterable], Iterable]) -> DataFrame:
+    """df's columns `keep` and result `fields` (name, type) that work makes from the columns `given`.
+
+    work takes batches and yields (rows, arrays): a slice of a batch, whose last columns are
+    the given ones, and the fields' values for it. Inside, columns have plain names, so those
+    of df may clash with anything or hold dots.
+    """
+    n, kinds = len(keep), {f.name: f.dataType for f in df.schema}
+    names = [*[f"c{i}" for i in range(n)], *[f"r{i}" for i in range(len(fields))]]
+    schema = T.StructType([T.StructField(x, k) for x, k in zip(names, [*[kinds[c] for c in keep], *[T._parse_datatype_string(t) for _, t in fields]], strict=True)])
+    source = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)], *[g.alias(f"x{i}") for i, g in enumerate(given)])
+
+    def run(batches):
+        for rows, arrays in work(batches):
+            yield pa.RecordBatch.from_arrays([*rows.columns[:n], *arrays], names=names)
+
+    return source.mapInArrow(run, schema).toDF(*keep, *[f for f, _ in fields])

@@ -1,7 +1,9 @@
 """A bidirectional gated recurrent network with attention pooling, in numpy.
 
-Tokens come as vectors made of a hashed word and its hashed character n-grams. The network
-reads windows of tokens in both directions; attention weighs its states; one logit comes out.
+Tokens come as vectors of a hashed word and its hashed character n-grams: the word's row plus
+the mean of its n-grams' first DIM values, and the most of each of their other PEAKS values, so
+that one telling n-gram of a long word shows. The network reads windows of tokens in both
+directions; attention weighs its states; one logit comes out. All rows are learned.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from .common import by_value
 
 by_value(__name__)
 
-WORDS, GRAMS, DIM, HIDDEN, ATTEND = 1 << 14, 1 << 15, 16, 8, 8
-SIZES = (3, 4, 5)
+WORDS, GRAM_BITS, DIM, PEAKS, HIDDEN, ATTEND = 1 << 16, 17, 8, 4, 8, 8
+SIZES = (3, 4, 5, 6)
 MARKS = ".,;:!?\"'()[]"
 
 
@@ -59,7 +61,7 @@ def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for k in range(n):
             h = h * np.uint32(16777619) ^ data[k : k + count]
         inside = word[:count] == word[n - 1 :]
-        grams.append((h[inside] * np.uint32(2654435761) >> np.uint32(17)).astype(np.int32))
+        grams.append((h[inside] * np.uint32(2654435761) >> np.uint32(32 - GRAM_BITS)).astype(np.int32))
         owner.append(word[:count][inside])
     grams, owner = np.concatenate(grams), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
@@ -93,25 +95,20 @@ class Net:
         r = np.random.default_rng(seed)
         draw = lambda *shape, s: (r.standard_normal(shape) * s).astype(dtype)
         h = HIDDEN
+        wide = DIM + PEAKS
         self.p = {
-            "word": draw(WORDS, DIM, s=0.1), "gram": draw(GRAMS, DIM, s=0.1),
-            "word_z": np.zeros(WORDS, dtype), "gram_z": np.zeros(GRAMS, dtype),
-            "w": draw(DIM + 3, 6 * h, s=0.4), "b": np.zeros(6 * h, dtype), "uf": draw(h, 3 * h, s=0.3), "ub": draw(h, 3 * h, s=0.3),
+            "word": draw(WORDS, DIM, s=0.1), "gram": draw(1 << GRAM_BITS, wide, s=0.1),
+            "w": draw(wide, 6 * h, s=0.4), "b": np.zeros(6 * h, dtype), "uf": draw(h, 3 * h, s=0.3), "ub": draw(h, 3 * h, s=0.3),
             "a": draw(2 * h, ATTEND, s=0.4), "v": draw(ATTEND, s=0.4), "o": draw(2 * h, s=0.4), "c": np.zeros(1, dtype),
         }
         self.sums = {k: np.full(x.shape, 1e-6, dtype) for k, x in self.p.items()}
 
-    def vectors(self, own, grams, starts):
-        """Token vectors: the word's row plus the mean of its n-grams' rows, then their evidence.
-
-        The evidence (`word_z`, `gram_z`) is no parameter but an input: the word's, the most
-        and the mean of its n-grams'.
-        """
+    def vectors(self, own, grams, starts, keep=None):
+        """Token vectors; keep, where given, is 0 for words whose own row is left out (in training)."""
         counts = np.maximum(1, np.diff([*starts, len(grams)]))[:, None].astype(self.p["w"].dtype)
-        rows = self.p["word"][own] + np.add.reduceat(self.p["gram"][grams], starts) / counts
-        z = self.p["gram_z"][grams]
-        seen = [self.p["word_z"][own][:, None], np.maximum.reduceat(z, starts)[:, None], np.add.reduceat(z, starts)[:, None] / counts]
-        return np.concatenate([rows, *seen], axis=1)
+        rows, word = self.p["gram"][grams], self.p["word"][own]
+        mean = np.add.reduceat(rows[:, :DIM], starts) / counts
+        return np.concatenate([(word if keep is None else word * keep[:, None]) + mean, np.maximum.reduceat(rows[:, DIM:], starts)], axis=1)
 
     def projected(self, own, grams, starts):
         return self.vectors(own, grams, starts) @ self.p["w"] + self.p["b"]
@@ -162,9 +159,10 @@ class Net:
         logit = pooled @ self.p["o"] + self.p["c"][0]
         return (logit, (cf, cb, s, q, alpha, pooled)) if keep else logit
 
-    def gradients(self, own, grams, starts, ids, target, weight):
-        """Loss and gradients over windows `ids` (B, T) into words 1.. (0 pads)."""
-        vec = np.concatenate([np.zeros((1, DIM + 3), self.p["w"].dtype), self.vectors(own, grams, starts)])
+    def gradients(self, own, grams, starts, ids, target, weight, keep=None):
+        """Loss and gradients over windows `ids` (B, T) into words 1.. (0 pads); keep as in vectors."""
+        wide = DIM + PEAKS
+        vec = np.concatenate([np.zeros((1, wide), self.p["w"].dtype), self.vectors(own, grams, starts, keep)])
         x, mask = vec[ids.T], (ids.T > 0).astype(vec.dtype)
         logit, (cf, cb, s, q, alpha, pooled) = self.forward(x @ self.p["w"] + self.p["b"], mask, True)
         y = _sigmoid(logit)
@@ -184,11 +182,16 @@ class Net:
         dxb, grad["ub"] = self._back(ds[::-1, :, HIDDEN:], self.p["ub"], cb)
         dxp = np.concatenate([dxf, dxb[::-1]], axis=2)
         flat = dxp.reshape(-1, dxp.shape[2])
-        grad["w"], grad["b"] = x.reshape(-1, DIM + 3).T @ flat, flat.sum(axis=0)
-        dvec = np.zeros((len(vec), DIM), vec.dtype)
-        add_rows(dvec, ids.T.reshape(-1), flat @ self.p["w"][:DIM].T)
-        dvec, counts = dvec[1:], np.maximum(1, np.diff([*starts, len(grams)]))
-        rows = {"word": (own, dvec), "gram": (grams, np.repeat(dvec / counts[:, None].astype(vec.dtype), np.diff([*starts, len(grams)]), axis=0))}
+        grad["w"], grad["b"] = x.reshape(-1, wide).T @ flat, flat.sum(axis=0)
+        dvec = np.zeros((len(vec), wide), vec.dtype)
+        add_rows(dvec, ids.T.reshape(-1), flat @ self.p["w"].T)
+        dvec, counts = dvec[1:], np.diff([*starts, len(grams)])
+        of = np.repeat(np.arange(len(counts)), counts)
+        dgram = dvec[of]
+        dgram[:, :DIM] /= np.maximum(1, counts)[of, None].astype(vec.dtype)
+        dgram[:, DIM:] *= self.p["gram"][grams, DIM:] == vec[1:][of, DIM:]
+        dword = dvec[:, :DIM] if keep is None else dvec[:, :DIM] * keep[:, None]
+        rows = {"word": (own, dword), "gram": (grams, dgram)}
         return loss, grad, rows
 
     def step(self, grad, rows, rate):

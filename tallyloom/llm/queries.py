@@ -36,7 +36,7 @@ def held_out(id_col: str):
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id"))
-    params = toxicity.train(toxicity.training_rows(docs, labels, "doc_id", "text", "toxic"))
+    params = toxicity.learned(toxicity.training_rows(docs, labels, "doc_id", "text", "toxic"))
     return toxicity.score(docs, params).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 

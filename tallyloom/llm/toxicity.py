@@ -1,16 +1,20 @@
 """Toxicity by a bidirectional GRU with attention pooling over word and character inputs.
 
-Trained in numpy on the driver from a bounded sample of labelled rows (SAMPLE of each label,
-the least by a hash of the id), by multiple-instance learning: a document is as toxic as its
-most toxic window. Every document is scored over all its overlapping windows.
+Trained in numpy, in one executor task, from a bounded sample of labelled rows (SAMPLE of each
+label, the least by a hash of the id), by multiple-instance learning: a document is as toxic as
+its most toxic window. First rounds take a window of each toxic document at random, later ones
+the most toxic; every window of a text may be taken. The task holds word numbers, not texts, and
+reads them batch by batch. Every document is scored over all its overlapping windows.
 
 Null and empty texts are one empty window, with a score like any other. Scores depend on the
 text alone, so repeated rows score alike. Without labelled rows of both kinds the scores are
-all 0. Empty tables give none; further columns pass through unless named as a result column.
+all 0. Empty tables give none; further columns pass through unless named as a result column,
+and their names may hold any character.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import islice
 
 import numpy as np
@@ -18,30 +22,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value
-from .gru import DIM, GRAMS, HIDDEN, WORDS, Net, hashed, tokens_of, windows
+from .common import arrow_map, by_value, quoted
+from .gru import HIDDEN, Net, hashed, tokens_of, windows
 
 by_value(__name__)
 
-#: Labelled documents of each label that are learned from, and windows of a document in training.
-SAMPLE, BAG = 1500, 48
+#: Labelled documents of each label that are learned from.
+SAMPLE = 1500
 SIZE, STEP = 40, 32
-ROUNDS, RATE, BATCH = 5, 0.08, 256
-#: Documents that a word or n-gram needs to be evidence.
-LEAST = 3
-#: Windows scored at once, and words a worker remembers before it starts anew.
-BLOCK, CACHE = 1024, 300_000
+#: Rounds over random and over the most toxic windows; step size and windows of a step.
+WARM, ROUNDS, RATE, BATCH = 20, 5, 0.1, 256
+#: Share of the words whose own row takes part in a step, and of the tokens that are left out.
+KEEP, LEFT_OUT = 0.3, 0.1
+#: Windows scored at once, words whose vectors are made at once, and words a worker remembers before it starts anew.
+BLOCK, PART, CACHE = 1024, 20_000, 300_000
 
 
-def training_rows(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int = SAMPLE) -> list:
-    """(text, label) of at most `limit` documents of each label, the least by a hash of the id."""
-    ids = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
+def training_rows(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int = SAMPLE) -> DataFrame:
+    """(id, text, label) of at most `limit` documents of each label, the least by a hash of the id."""
+    ids = labels.select(quoted(id_col).alias("id"), quoted(label_col).cast("int").alias("label"))
     ids = ids.filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     least = lambda k: ids.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(limit)
     chosen = least(0).union(least(1))  # at most 2 * limit rows
-    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    joined = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
-    return [(r.text, r.label) for r in joined.orderBy("id").collect()]
+    texts = df.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
+
+
+def learned(rows: DataFrame, seed: int = 1) -> dict | None:
+    """Parameters learned from the (id, text, label) rows of training_rows in one task, from where they come to the driver."""
+
+    def work(batches):
+        pairs = ((str(t), y.as_py()) for b in batches for t, y in zip(b.column(1), b.column(2), strict=True))
+        params = train(pairs, seed)
+        for name, values in (params or {}).items():
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(values.shape)], pa.list_(pa.int32())), pa.array([values.tobytes()], pa.binary())], names=["name", "shape", "data"])
+
+    one = rows.repartition(1).sortWithinPartitions("id").mapInArrow(work, "name string, shape array<int>, data binary")
+    return {r.name: np.frombuffer(r.data, np.float32).reshape(r.shape) for r in one.collect()} or None
 
 
 def _spans(starts: np.ndarray, ends: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -51,36 +68,22 @@ def _spans(starts: np.ndarray, ends: np.ndarray, chosen: np.ndarray) -> np.ndarr
     return np.arange(sizes.sum()) + np.repeat(starts[chosen] - heads, sizes)
 
 
-def evidence(sets: list, labels: np.ndarray, size: int) -> np.ndarray:
-    """How far each bucket's share of toxic documents is from its share of clean ones, in standard errors.
-
-    Buckets of fewer than LEAST documents have none; values are bounded and scaled for the network.
-    """
-    seen = np.concatenate(sets)
-    of = np.repeat(labels, [len(s) for s in sets])
-    toxic, both = np.bincount(seen, weights=of, minlength=size), np.bincount(seen, minlength=size)
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
-    p = (both + 1) / (n1 + n0 + 2)
-    z = (toxic / n1 - (both - toxic) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    return (np.where(both >= LEAST, np.clip(z, -3, 12), 0) / 4).astype(np.float32)
-
-
-def train(rows: list, seed: int = 1) -> dict | None:
+def train(rows: Iterable, seed: int = 1) -> dict | None:
     """Parameters learned from (text, label) rows; None unless both labels are there."""
-    if len({y for _, y in rows}) < 2:
-        return None
     rnd, net = np.random.default_rng(seed), Net(seed)
     index: dict[str, int] = {}
-    bags, labels = [], np.array([y for _, y in rows], dtype=np.float32)
-    for text, _ in rows:
-        ids = np.array([index.setdefault(w, len(index) + 1) for w in tokens_of(text)], dtype=np.int32)
-        cut = windows(ids, SIZE, STEP)
-        if len(cut) > BAG:
-            cut = cut[np.sort(rnd.choice(len(cut), BAG, replace=False))]
-        bags.append(cut)
-    own, grams, starts = hashed([*index] or ["?"])
+    bags, labels = [], []
+    for text, y in rows:
+        bags.append(windows(np.array([index.setdefault(w, len(index) + 1) for w in tokens_of(text)], dtype=np.int32), SIZE, STEP))
+        labels.append(y)
+    if len(set(labels)) < 2:
+        return None
+    labels, sizes = np.array(labels, dtype=np.float32), np.array([len(b) for b in bags])
+    own, grams, starts = word_parts([*index] or ["?"])
     ends = np.append(starts[1:], len(grams))
-    every, bag = np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    every, bag, heads = np.concatenate(bags), np.repeat(np.arange(len(bags)), sizes), np.cumsum(sizes) - sizes
+    del bags, index
+    scorer = Scorer(net.p)
 
     def fit(chosen, rate):
         rnd.shuffle(chosen)
@@ -92,34 +95,32 @@ def train(rows: list, seed: int = 1) -> dict | None:
                 continue
             local = np.zeros_like(ids)
             local[ids > 0] = where + 1
+            local[rnd.random(local.shape) < LEFT_OUT] = 0
             part = np.append(0, np.cumsum(ends[used - 1] - starts[used - 1])[:-1])
             y = labels[bag[rows_at]]
             share = y.mean()
             weight = np.where(y > 0, 0.5 / max(share, 0.05), 0.5 / max(1 - share, 0.05)).astype(np.float32)
-            _, grad, sparse = net.gradients(own[used - 1], grams[_spans(starts, ends, used - 1)], part, local, y, weight)
+            keep = (rnd.random(len(used)) < KEEP).astype(np.float32)
+            _, grad, sparse = net.gradients(own[used - 1], grams[_spans(starts, ends, used - 1)], part, local, y, weight, keep)
             net.step(grad, sparse, rate)
 
-    other = np.flatnonzero(labels[bag] == 0)
-    used = [np.unique(b[b > 0]) - 1 for b in bags]
-    net.p["word_z"] = evidence([np.unique(own[u]) for u in used], labels, WORDS)
-    net.p["gram_z"] = evidence([np.unique(grams[_spans(starts, ends, u)]) for u in used], labels, GRAMS)
-    scorer = Scorer(net.p)
-    by_word = np.append(0, net.vectors(own, grams, starts)[:, DIM : DIM + 2].sum(axis=1))
-    logits = by_word[every].max(axis=1)
-    for n in range(ROUNDS):
-        if n:
-            logits = scorer.logits(scorer.table(own, grams, starts), every)
+    clean = np.flatnonzero(labels[bag] == 0)
+    for _ in range(WARM):  # a window of each toxic document, short texts' are the surest
+        some = (heads + rnd.random(len(heads)) * sizes).astype(np.int64)[labels > 0]
+        fit(np.concatenate([some, rnd.choice(clean, len(some))]), RATE)
+    logits = np.empty(len(every), np.float32)
+    for n in range(ROUNDS + 1):
+        logits[:] = scorer.logits(scorer.table(own, grams, starts), every)
+        if n == ROUNDS:
+            break
         order = np.lexsort((-logits, bag))
         rank = np.empty(len(order), dtype=np.int64)
-        heads = np.searchsorted(bag, np.arange(len(bags)))
         rank[order] = np.arange(len(order)) - heads[bag[order]]
         # The most toxic window of each document, more of the clean ones', and a few others.
         hard = np.flatnonzero(np.where(labels[bag] > 0, rank < 1, rank < 3))
-        extra = rnd.permutation(other)[:1500]
-        fit(np.concatenate([hard, extra]), RATE * (1 - n / (ROUNDS + 2)))
+        fit(np.concatenate([hard, rnd.choice(clean, len(labels) // 2)]), RATE * (1 - n / (ROUNDS + 2)))
     # The threshold that parts the training documents best becomes 0.5.
-    logits = scorer.logits(scorer.table(own, grams, starts), every)
-    most = np.maximum.reduceat(logits, np.searchsorted(bag, np.arange(len(bags))))
+    most = np.maximum.reduceat(logits, heads)
     order = np.argsort(most)
     wrong = (labels == 0).sum() + np.concatenate([[0], np.cumsum(np.where(labels[order] > 0, 1, -1))])
     cuts = np.concatenate([[most[order[0]] - 1], (most[order[1:]] + most[order[:-1]]) / 2, [most[order[-1]] + 1]])
@@ -128,6 +129,13 @@ def train(rows: list, seed: int = 1) -> dict | None:
     return {k: v.astype(np.float32) for k, v in net.p.items()}
 
 
+def word_parts(words: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hashed() of many words, PART at a time."""
+    parts = [hashed(words[at : at + PART]) for at in range(0, len(words), PART)]
+    before = np.cumsum([0, *[len(g) for _, g, _ in parts[:-1]]])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] + b for p, b in zip(parts, before, strict=True)])
+
+
 class Numbers(dict):
     """Numbers words from 1 on, in the order they come."""
 
@@ -146,7 +154,14 @@ class Scorer:
         self.rows[0] = params["b"]
 
     def table(self, own, grams, starts) -> np.ndarray:
-        return np.concatenate([self.net.p["b"][None, :], self.net.projected(own, grams, starts)]).astype(np.float32)
+        """Projected vectors of all words, the empty place's first."""
+        out, ends = np.empty((len(own) + 1, 6 * HIDDEN), np.float32), np.append(starts[1:], len(grams))
+        out[0] = self.net.p["b"]
+        for at in range(0, len(own), PART):
+            part = slice(at, at + PART)
+            first, last = starts[at], ends[part][-1]
+            out[at + 1 : at + 1 + PART] = self.net.projected(own[part], grams[first:last], starts[part] - first)
+        return out
 
     def logits(self, table: np.ndarray, ids: np.ndarray) -> np.ndarray:
         out = np.empty(len(ids), np.float32)
@@ -167,8 +182,8 @@ class Scorer:
         new = list(islice(known, before, None))
         if len(known) >= len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((len(known) + len(self.rows), self.rows.shape[1]), np.float32)])
-        for at in range(0, len(new), 20_000):
-            part = self.net.projected(*hashed(new[at : at + 20_000]))
+        for at in range(0, len(new), PART):
+            part = self.net.projected(*hashed(new[at : at + PART]))
             self.rows[before + at + 1 : before + at + 1 + len(part)] = part
         heads = np.concatenate([[0], np.cumsum([len(c) for c in cut])[:-1]])
         most = np.maximum.reduceat(self.logits(self.rows, np.concatenate(cut)), heads)
@@ -178,10 +193,8 @@ class Scorer:
 def score(df: DataFrame, params: dict | None, text_col: str = "text") -> DataFrame:
     """df with `score` (double) and `predicted` (1 from score 0.5 on)."""
     keep = [c for c in df.columns if c not in ("score", "predicted")]
-    columns = [F.col(f"`{c}`") for c in keep]
     if params is None:
-        return df.select(*columns, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    kinds, at = dict(df.dtypes), keep.index(text_col)
+        return df.select(*map(quoted, keep), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     shared = df.sparkSession.sparkContext.broadcast(params)  # of fixed size: the network's parameters
 
     def work(batches):
@@ -189,10 +202,7 @@ def score(df: DataFrame, params: dict | None, text_col: str = "text") -> DataFra
         for batch in batches:
             for part in range(0, batch.num_rows, 512):
                 rows = batch.slice(part, 512)
-                s = scorer.scores(rows.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"]
-                )
+                s = scorer.scores(rows.column(rows.num_columns - 1).to_pylist())
+                yield rows, [pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
 
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "score double", "predicted int"])
-    return df.select(*columns).mapInArrow(work, schema)
+    return arrow_map(df, keep, [quoted(text_col)], [("score", "double"), ("predicted", "int")], work)

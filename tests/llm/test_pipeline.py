@@ -23,7 +23,7 @@ def test_run_equals_brute_force(spark, tmp_path):
     docs = [r for r in rows if kept[r[0]][-1]]
     table = spark.createDataFrame(docs, DOCS)
     known = spark.read.parquet(f"{tmp_path}/labels.parquet").filter(~corpus_pipeline.held_out("doc_id"))
-    params = toxicity.train(toxicity.training_rows(table, known, "doc_id", "text", "toxic"))
+    params = toxicity.learned(toxicity.training_rows(table, known, "doc_id", "text", "toxic"))
     toxic = {r.doc_id for r in toxicity.score(table, params).collect() if r.predicted}
     docs = [r for r in docs if r[0] not in toxic]
     fps = {r[0]: slow_fingerprint(r[1]) for r in docs}

@@ -9,10 +9,9 @@ from .cases import DOCS, documents
 
 def test_gradients_are_those_of_the_loss():
     net, rnd = gru.Net(2, np.float64), np.random.default_rng(0)
-    net.p["word_z"], net.p["gram_z"] = rnd.standard_normal(gru.WORDS), rnd.standard_normal(gru.GRAMS)
     own, grams, starts = gru.hashed(["ab", "cde", "fghij", "é"])
     ids = np.array([[1, 2, 3, 4, 0], [4, 4, 1, 0, 0], [2, 3, 2, 3, 1]])
-    args = own, grams, starts, ids, np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    args = own, grams, starts, ids, np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5]), np.array([1.0, 0.0, 1.0, 1.0])
     _, grad, rows = net.gradients(*args)
     for k, (at, g) in rows.items():
         grad[k] = np.zeros_like(net.p[k])
@@ -53,7 +52,7 @@ def test_held_out_accuracy_and_whole_texts(spark):
     rows = corpus(500, 1)
     df = spark.createDataFrame([r for r in rows], "doc_id long, text string, toxic int")
     known = df.filter("doc_id < 400")
-    params = toxicity.train(toxicity.training_rows(df, known, "doc_id", "text", "toxic"))
+    params = toxicity.learned(toxicity.training_rows(df, known, "doc_id", "text", "toxic"))
     far = [(1000, "w " * 3000 + "knave", 1), (1001, "w " * 3000, 0)]
     more = spark.createDataFrame([r for r in rows if r[0] >= 400] + far, df.schema)
     out = toxicity.score(more, params).collect()
@@ -69,7 +68,7 @@ def test_awkward_texts_and_no_labels(spark):
     out = toxicity.score(docs, params).collect()
     assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
     labels = spark.createDataFrame([(1, None), (2, 1)], "doc_id long, toxic int")
-    assert toxicity.train(toxicity.training_rows(docs, labels, "doc_id", "text", "toxic")) is None
+    assert toxicity.learned(toxicity.training_rows(docs, labels, "doc_id", "text", "toxic")) is None
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), params).count() == 0
 
@@ -92,3 +91,28 @@ def test_long_tokens_are_scored_whole():
     rows = [(run(200) + ("毒藥害人" if i % 2 else "") + run(200), i % 2) for i in range(240)]
     score = toxicity.Scorer(toxicity.train(rows[:200])).scores([text for text, _ in rows[200:]])
     assert np.mean((score >= 0.5) == np.array([y for _, y in rows[200:]])) > 0.9
+
+
+def test_order_of_words_matters(monkeypatch):
+    """"not knave" is clean and "knave not" toxic: only the recurrence can tell."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(50)]
+    rows = []
+    for i in range(900):
+        said = ["knave", "not"] if i % 2 else ["not", "knave"]
+        head = [rnd.choice(words) for _ in range(rnd.randint(2, 12))]
+        rows.append((" ".join([*head, *said, *[rnd.choice(words) for _ in range(rnd.randint(2, 12))]]), i % 2))
+    params = toxicity.train(rows[:700])
+    right = lambda p: np.mean((toxicity.Scorer(p).scores([t for t, _ in rows[700:]]) >= 0.5) == np.array([y for _, y in rows[700:]]))
+    assert right(params) > 0.95
+    run = gru.Net._run
+    monkeypatch.setattr(gru.Net, "_run", staticmethod(lambda xp, u, keep: (np.concatenate([run(x[None], u, False)[0] for x in xp]), [])))
+    assert right(params) < 0.75  # every token read alone
+
+
+def test_clashing_and_odd_column_names(spark):
+    docs = spark.createDataFrame([("knave knave", 1, 2.0, None), (None, 2, 3.0, "x")], "score string, `a.b` int, predicted double, c0 string")
+    params = toxicity.train([(t, y) for _, t, y in corpus(60, 3)])
+    out = toxicity.score(docs, params, "score")
+    assert out.columns == ["a.b", "c0", "score", "predicted"] and dict(out.dtypes)["score"] == "double"
+    assert sorted((r["a.b"], r["c0"]) for r in out.collect()) == [(1, None), (2, "x")]
