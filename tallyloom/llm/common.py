@@ -5,7 +5,10 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Callable, Iterable, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,9 +40,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_MADE: ContextVar[list | None] = ContextVar("made", default=None)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder for one operator call's tables, under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def cleaned(spark: SparkSession):
+    """Deletes the scratch folders that are made inside when it ends: for work whose result is stored by then."""
+    token = _MADE.set([])
+    try:
+        yield
+    finally:
+        made = _MADE.get()
+        _MADE.reset(token)
+        for path in made:
+            drop_path(spark, path)
 
 
 def stored(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
@@ -101,3 +123,19 @@ def arrow_map(df: DataFrame, keep: Sequence[str], given: Sequence[Column], field
             yield pa.RecordBatch.from_arrays([*rows.columns[:n], *arrays], names=names)
 
     return source.mapInArrow(run, schema).toDF(*keep, *[f for f, _ in fields])
+
+
+def learned_in_task(rows: DataFrame, order: str, columns: Sequence[str], train: Callable[[Iterable[tuple]], dict | None]) -> dict | None:
+    """Float32 parameters that train learns from the columns of the rows, in the order of a column, in one executor task.
+
+    For a bounded sample: its rows go to one task, which reads them batch by batch; the
+    parameters, of fixed size, come to the driver.
+    """
+
+    def work(batches):
+        tuples = (tuple(v.as_py() for v in row) for b in batches for row in zip(*b.columns, strict=True))
+        for name, values in (train(tuples) or {}).items():
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(values.shape)], pa.list_(pa.int32())), pa.array([values.tobytes()], pa.binary())], names=["name", "shape", "data"])
+
+    one = rows.repartition(1).sortWithinPartitions(order).select(*columns).mapInArrow(work, "name string, shape array<int>, data binary")
+    return {r["name"]: np.frombuffer(r["data"], np.float32).reshape(r["shape"]) for r in one.collect()} or None

@@ -1,18 +1,23 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into leaf blocks: runs of text between block tags, each with the path of its
-open tags (with class, id and role) and its words. A bidirectional LSTM in numpy reads the
-blocks' vectors in page order (hashed tag path, hashed words, shape) and labels each block as
-main text or not, with the whole document as context.
+open tags (with class, id and role; the PATH innermost), its words and its shape. A
+bidirectional LSTM in numpy reads the blocks' vectors in page order (hashed tag path, hashed
+words, shape) and labels each block as main text or not, with the whole document as context.
 
-The network is trained on a bounded sample of the pages (SAMPLE, the least by a hash of the
-html). Its teacher are the blocks whose open tags say what they are: inside `article`
-or `main`, or inside navigation, headers, footers, asides, forms, and class names of adverts,
-notices and comments. On a page without such tags the network's labels stand alone.
+The network is trained in one executor task on a bounded sample of the pages (SAMPLE, the least
+by a hash of the html; all their blocks, in windows of WINDOW). Its teacher are the blocks whose
+open tags say what they are: inside `article` or `main`, or inside navigation, footers, asides,
+forms, headers outside an article, and class names of adverts, notices and comments. What the
+teacher reads is no input as such: in half of the readings all telling names are hidden, so the
+labels must also be learned from words, shape and neighbours. The network alone labels blocks.
 
 Null and empty pages have no blocks and an empty text; so have pages whose blocks are all
-other. Markup may be broken: tags left open end with their parent. Repeated rows get equal
-texts, empty tables give none, and columns pass through unless named as a result column.
+other. Without taught blocks of both kinds all blocks are main text. Markup may be broken: tags
+left open end with their parent; from a tag on that never ends, quotes don't hold tags together,
+and an unclosed script or style takes the rest. Time is linear in the page, and memory for a page
+is that of its blocks. Repeated rows get equal texts, empty tables give none; columns pass
+through unless named as a result column, and their names may hold any character.
 """
 
 from __future__ import annotations
@@ -20,56 +25,110 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections.abc import Iterable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value
+from .common import arrow_map, by_value, learned_in_task, quoted
 from .gru import add_rows
 
 by_value(__name__)
 
-SAMPLE, BUCKETS, DIM, HIDDEN, EPOCHS, RATE = 400, 4096, 12, 12, 6, 0.08
-LONGEST_SAMPLE = 60  # blocks of a page that one training step reads
-BATCH = 32
-# HTML's elements that show no text, that end their like, that never stay open, and
-# that are set inside a line.
+SAMPLE, BUCKETS, DIM, HIDDEN, EPOCHS, RATE = 400, 4096, 12, 12, 8, 0.08
+#: Values of a block's shape, open tags of its path, blocks of a training window, pages of a training step.
+SHAPE, PATH, WINDOW, BATCH = 6, 8, 256, 32
+#: Pages' characters that are parsed at once, blocks that are read at once, and steps whose inputs are made at once.
+CHARS, CELLS, STEPS = 4_000_000, 32_768, 512
+# HTML's elements that show no text, whose text is raw, that end their like, that
+# never stay open, and that are set inside a line.
 SILENT = {"script", "style", "noscript", "template", "title", "svg", "iframe", "select", "textarea", "button"}
+RAW = {"script", "style"}
 SILENT_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in SILENT}
 SIBLINGS = {"li", "dt", "dd", "tr", "td", "th"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-# Words of tags, classes, ids and roles that say what a block is.
-OTHER = re.compile(r"^(?:nav|header|footer|aside|form|menu)$|\b(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|menu|navbar|navigation|sidebar|side|footer|masthead|header|comments?|replies|disqus|related|share|social|breadcrumbs?|newsletter|subscribe|popup|modal|login|search|widget|pagination)\b", re.I)
-MAIN = re.compile(r"^(?:article|main)$", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# Tags, and words of classes, ids and roles, that say what a block is.
+OTHER_TAGS, MAIN_TAGS = {"nav", "footer", "aside", "form", "menu"}, {"article", "main"}
+OTHER_WORDS = set("ad ads advert advertisement advertising banner sponsor sponsored promo cookie cookies consent notice notices menu navbar navigation sidebar footer masthead comment comments replies disqus related share social breadcrumb breadcrumbs newsletter subscribe popup modal login search widget pagination".split())
+UNSAID = {"has", "with", "no", "without"}
+MARKUP = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
+#: A tag whose quotes hold it together, ending in > unless it never ends; and one that any > ends.
+TAG = re.compile(MARKUP + r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(>?)""", re.S)
+LOOSE = re.compile(MARKUP + r"([^>]*)(>?)", re.S)
+ATTRIBUTE = re.compile(r"\b(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 SPLIT = re.compile(r"[^a-zA-Z]+")
 
 
-def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str]]:
-    """(path, text) of each leaf block with text, in page order; a path has a name for each open tag."""
-    page, blocks, stack, names, run, at = page or "", [], [], [], [], 0
+class Block(NamedTuple):
+    """A run of text: the names of its innermost open tags, its text, its share of linked characters, and what its tags say it is."""
+
+    path: tuple[str, ...]
+    text: str
+    linked: float
+    said: int | None
+
+
+def said_by(tag: str, marks: str, outer: int | None) -> int | None:
+    """What an open tag says of its blocks: 0 other, 1 main, None nothing; outer is its parent's word."""
+    if outer == 0 or tag in ("html", "body"):
+        return outer
+    if tag in OTHER_TAGS or (tag == "header" and outer is None):
+        return 0
+    for mark in marks.lower().split():
+        words = [w for w in SPLIT.split(mark) if w]
+        if not UNSAID.intersection(words) and OTHER_WORDS.intersection(words):
+            return 0
+    return 1 if tag in MAIN_TAGS or "main" in marks.lower().split() else outer
+
+
+def leaf_blocks(page: str | None) -> list[Block]:
+    """The blocks with text, in page order; a path has a name for each open tag, a telling one's ends in `!`."""
+    page, blocks, names, run, at, links, pattern = page or "", [], [], [], 0, 0, TAG
+    stack: list[tuple[str, int | None]] = []
+    open_now: dict[str, int] = {}
+    endless: set[str] = set()
+    linked = False
+    known: dict[tuple, tuple] = {}
 
     def flush():
+        nonlocal links
         text = " ".join(entities.unescape("".join(run)).split())
         run.clear()
         if text:
-            blocks.append((tuple(names), text))
+            path = tuple(names[-PATH:])
+            blocks.append(Block(known.setdefault(path, path), text, min(1.0, links / len(text)), stack[-1][1] if stack else None))
+        links = 0
+
+    def shut():
+        open_now[stack.pop()[0]] -= 1
+        names.pop()
 
-    while m := TAG.search(page, at):
+    while m := pattern.search(page, at):
+        if m[2] is not None and not m[4] and pattern is TAG:  # the tag, or a quote in it, never ends
+            pattern = LOOSE
+            continue
         run.append(page[at : m.start()])
+        links += linked * (m.start() - at)
         at = m.end()
         if m[2] is None:  # a comment or declaration
             continue
         tag, closes = m[2].lower(), bool(m[1])
         if tag in SILENT:
-            if not closes and (end := SILENT_END[tag].search(page, at)):
-                at = end.end()
+            if not closes and tag not in endless:
+                if end := SILENT_END[tag].search(page, at):
+                    at = end.end()
+                elif tag in RAW:
+                    at = len(page)
+                else:
+                    endless.add(tag)
             continue
         if tag in INLINE:
+            if tag == "a":
+                linked = not closes
             if tag == "br":
                 run.append(" ")
             continue
@@ -77,46 +136,46 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str]]:
         if tag in VOID:
             continue
         if closes:
-            if tag in stack:
-                depth = len(stack) - 1 - stack[::-1].index(tag)
-                del stack[depth:], names[depth:]
+            if open_now.get(tag):
+                while stack[-1][0] != tag:
+                    shut()
+                shut()
             continue
-        if stack and (stack[-1] == "p" or (tag == stack[-1] and tag in SIBLINGS)):
-            stack.pop()
-            names.pop()
+        if stack and (stack[-1][0] == "p" or (tag == stack[-1][0] and tag in SIBLINGS)):
+            shut()
         if not m[3].endswith("/"):
-            stack.append(tag)
-            names.append(" ".join([tag, *["".join(x[1:]) for x in ATTRIBUTE.findall(m[3])]]))
+            marks = " ".join(["".join(x[1:]) for x in ATTRIBUTE.findall(m[3])])
+            outer = stack[-1][1] if stack else None
+            said = said_by(tag, marks, outer)
+            stack.append((tag, said))
+            open_now[tag] = open_now.get(tag, 0) + 1
+            names.append(f"{tag} {marks}".strip() + "!" * (said != outer or tag in OTHER_TAGS | MAIN_TAGS))
     run.append(page[at:])
     flush()
     return blocks
 
 
-def taught(path: tuple[str, ...]) -> int | None:
-    """The teacher's label: 0 other, 1 main, None unknown. Other wins inside main."""
-    said = None
-    for name in path:
-        tag, *marks = name.split(" ", 1)
-        if OTHER.search(tag) or (marks and OTHER.search(SPLIT.sub(" ", marks[0]))):
-            return 0
-        if MAIN.search(tag):
-            said = 1
-    return said
+def hidden(blocks: list[Block]) -> list[Block]:
+    """The blocks with each telling name of their paths made a plain div."""
+    return [b._replace(path=tuple("div" if name[-1] == "!" else name for name in b.path)) for b in blocks]
+
 
+def block_features(blocks: list[Block], first: int = 0, total: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash buckets of path and words (one bag a block) with each block's first, and shape values.
 
-def block_features(blocks: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash buckets of path and words (one bag a block) with each block's first, and shape values."""
-    ids, heads, shape = [], [], np.zeros((len(blocks), 6), np.float32)
+    first and total: the place of the blocks in their page.
+    """
+    ids, heads, shape = [], [], np.zeros((len(blocks), SHAPE), np.float32)
     known: dict[str, int] = {}
-    for i, (path, text) in enumerate(blocks):
+    for i, (path, text, linked, _) in enumerate(blocks):
         heads.append(len(ids))
-        bag = [w for name in path for w in (f"<{name}", *(f"<.{x.lower()}" for x in SPLIT.split(name)))]
+        bag = [w for k, name in enumerate(path) for w in (f"<{name}", f"<{len(path) - k}{name.split(' ')[0].rstrip('!')}", *(f"<.{x.lower()}" for x in SPLIT.split(name)))]
         words = text.split()
-        for w in dict.fromkeys([*bag, *words]):
+        for w in dict.fromkeys([*bag, *words, "<>"]):
             if w not in known:
                 known[w] = zlib.crc32(w.encode()) % BUCKETS
             ids.append(known[w])
-        shape[i] = (np.log1p(len(words)) / 5, np.log1p(len(text)) / 8, text[-1] in ".!?", i / len(blocks), len(path) / 10, bool(OTHER.search(" ".join(path))))
+        shape[i] = (np.log1p(len(words)) / 5, np.log1p(len(text)) / 8, text[-1] in ".!?", (first + i) / (total or len(blocks)), len(path) / 10, linked)
     return np.array(ids, dtype=np.int64), np.array(heads, dtype=np.int64), shape
 
 
@@ -130,7 +189,7 @@ class BiLstm:
     def __init__(self, seed: int = 1):
         r = np.random.default_rng(seed)
         draw = lambda *s, k=0.3: (r.standard_normal(s) * k).astype(np.float32)
-        h, d = HIDDEN, DIM + 6
+        h, d = HIDDEN, DIM + SHAPE
         bias = np.zeros(4 * h, np.float32)
         bias[h : 2 * h] = 1
         self.p = {"e": draw(BUCKETS, DIM), "wf": draw(d, 4 * h), "uf": draw(h, 4 * h), "bf": bias.copy(), "wb": draw(d, 4 * h), "ub": draw(h, 4 * h), "bb": bias.copy(), "o": draw(2 * h + d), "c": np.zeros(1, np.float32)}
@@ -182,10 +241,28 @@ class BiLstm:
         z = s @ p["o"] + p["c"][0]
         return (z, s, cf, cb) if keep else z
 
+    def scan(self, x, mask) -> np.ndarray:
+        """Logits (T, B) like logits(), holding the states of STEPS steps at most."""
+        p, h, n = self.p, HIDDEN, len(x)
+        z = x @ p["o"][2 * h :] + p["c"][0]
+        for w, u, b, o, order in ((p["wf"], p["uf"], p["bf"], p["o"][:h], range(n)), (p["wb"], p["ub"], p["bb"], p["o"][h : 2 * h], range(n - 1, -1, -1))):
+            s, c = np.zeros((x.shape[1], h), np.float32), np.zeros((x.shape[1], h), np.float32)
+            for at in range(0, n, STEPS):
+                some = order[at : at + STEPS]
+                xw = x[some.start : some.stop if some.stop >= 0 else None : some.step] @ w + b
+                for k, t in enumerate(some):
+                    g = xw[k] + s @ u
+                    i, f, q, a = _sigmoid(g[:, :h]), _sigmoid(g[:, h : 2 * h]), _sigmoid(g[:, 2 * h : 3 * h]), np.tanh(g[:, 3 * h :])
+                    m = mask[t][:, None]
+                    nc = f * c + i * a
+                    s, c = m * (q * np.tanh(nc)) + (1 - m) * s, m * nc + (1 - m) * c
+                    z[t] += s @ o
+        return z
+
     def fit(self, pages: list, rate: float) -> float:
         """One Adagrad step on pages of (ids, heads, shape, labels); label -1 isn't taught."""
         p, n = self.p, max(len(g[1]) for g in pages)
-        x, mask, y = np.zeros((n, len(pages), DIM + 6), np.float32), np.zeros((n, len(pages)), np.float32), np.full((n, len(pages)), -1.0, np.float32)
+        x, mask, y = np.zeros((n, len(pages), DIM + SHAPE), np.float32), np.zeros((n, len(pages)), np.float32), np.full((n, len(pages)), -1.0, np.float32)
         for k, (ids, heads, shape, labels) in enumerate(pages):
             x[: len(heads), k], mask[: len(heads), k], y[: len(heads), k] = self.inputs(ids, heads, shape), 1, labels
         z, s, cf, cb = self.logits(x, mask, True)
@@ -207,24 +284,21 @@ class BiLstm:
         return float(loss)
 
 
-def train(pages: list[str], seed: int = 1) -> dict:
-    """Parameters learned from pages by the teacher's labels.
+def train(pages: Iterable, seed: int = 1) -> dict | None:
+    """Parameters learned from (html,) rows by the teacher's labels; None unless it names blocks of both kinds.
 
-    Each page is also read with its telling names removed from one block in four, so that words,
-    shape and neighbours are learned as well.
+    Each page is read as it is and with all telling names hidden.
     """
-    net, rnd, read = BiLstm(seed), np.random.default_rng(seed), []
-    for page in pages:
+    net, rnd, read, kinds = BiLstm(seed), np.random.default_rng(seed), [], set()
+    for (page,) in pages:
         blocks = leaf_blocks(page)
-        if not blocks:
-            continue
-        if len(blocks) > LONGEST_SAMPLE:  # a window of whole blocks
-            at = int(rnd.integers(0, len(blocks) - LONGEST_SAMPLE + 1))
-            blocks = blocks[at : at + LONGEST_SAMPLE]
-        labels = np.array([-1 if (y := taught(p)) is None else y for p, _ in blocks], np.float32)
-        read.append((*block_features(blocks), labels))
-        bare = [(("div",) if rnd.random() < 0.25 else p, t) for p, t in blocks]
-        read.append((*block_features(bare), labels))
+        for at in range(0, len(blocks), WINDOW):
+            part = blocks[at : at + WINDOW]
+            labels = np.array([-1 if b.said is None else b.said for b in part], np.float32)
+            kinds.update(labels.tolist())
+            read += [(*block_features(x, at, len(blocks)), labels) for x in (part, hidden(part))]
+    if not {0.0, 1.0} <= kinds:
+        return None
     for epoch in range(EPOCHS):
         order = rnd.permutation(len(read))
         for at in range(0, len(order), BATCH):
@@ -232,48 +306,61 @@ def train(pages: list[str], seed: int = 1) -> dict:
     return net.p
 
 
-def labelled(net: BiLstm, pages: list) -> list[tuple[list, np.ndarray]]:
-    """(blocks, whether each is main text) of each page; pages of like length are read together."""
-    blocks = [leaf_blocks(p) for p in pages]
-    out: list = [(b, np.zeros(len(b), bool)) for b in blocks]
-    order = sorted((i for i in range(len(blocks)) if blocks[i]), key=lambda i: len(blocks[i]))
-    for at in range(0, len(order), 128):
-        part = order[at : at + 128]
-        n = len(blocks[part[-1]])
-        x, mask = np.zeros((n, len(part), DIM + 6), np.float32), np.zeros((n, len(part)), np.float32)
+def judged(net: BiLstm, pages: list[list[Block]]) -> list[np.ndarray]:
+    """Whether each block is main text, for each page's blocks; pages of like length are read together."""
+    out = [np.zeros(len(b), bool) for b in pages]
+    order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: -len(pages[i]))
+    while order:
+        n = len(pages[order[0]])
+        part, order = order[: max(1, CELLS // n)], order[max(1, CELLS // n) :]
+        x, mask = np.zeros((n, len(part), DIM + SHAPE), np.float32), np.zeros((n, len(part)), np.float32)
         for k, i in enumerate(part):
-            x[: len(blocks[i]), k], mask[: len(blocks[i]), k] = net.inputs(*block_features(blocks[i])), 1
-        z = net.logits(x, mask)
+            own = pages[i]
+            for at in range(0, len(own), STEPS):
+                some = own[at : at + STEPS]
+                x[at : at + len(some), k], mask[at : at + len(some), k] = net.inputs(*block_features(some, at, len(own))), 1
+        z = net.scan(x, mask)
         for k, i in enumerate(part):
-            out[i] = blocks[i], z[: len(blocks[i]), k] > 0
+            out[i] = z[: len(pages[i]), k] > 0
     return out
 
 
-def sample_pages(pages: DataFrame, limit: int) -> list[str]:
+def main_texts(net: BiLstm | None, pages: list[str]) -> list[str]:
+    """The main blocks' texts of each page, joined by a line feed."""
+    blocks = [leaf_blocks(p) for p in pages]
+    kept = judged(net, blocks) if net else [np.ones(len(b), bool) for b in blocks]
+    return ["\n".join(b.text for b, main in zip(own, y, strict=True) if main) for own, y in zip(blocks, kept, strict=True)]
+
+
+def sample_pages(pages: DataFrame, limit: int) -> DataFrame:
     """The distinct pages (h) of the `limit` least hashes; only hashes are ordered, so tasks send no pages that aren't used."""
     hashed = pages.withColumn("k", F.xxhash64("h"))
     last = hashed.select("k").distinct().orderBy("k").limit(limit).agg(F.max("k").alias("k")).first().k
-    if last is None:
-        return []
-    return [r.h for r in hashed.filter(F.col("k") <= last).groupBy("k").agg(F.min("h").alias("h")).orderBy("k").collect()]
+    return hashed.filter(F.col("k") <= last).groupBy("k").agg(F.min("h").alias("h")) if last is not None else hashed.limit(0)
 
 
 def extract(df: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
     """df without the html, with `text` (main blocks joined by a line feed) and `n_chars`."""
-    source = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
-    params = train(sample_pages(df.select(source.alias("h")), sample))
+    source = F.coalesce(quoted(html_col), F.lit(""))
+    params = learned_in_task(sample_pages(df.select(source.alias("h")), sample), "k", ["h"], train)
     shared = df.sparkSession.sparkContext.broadcast(params)  # of fixed size: the network's parameters
-    keep = [c for c in df.columns if c not in (html_col, "text", "n_chars")]
-    kinds = dict(df.dtypes)
 
     def work(batches):
-        net = BiLstm.__new__(BiLstm)
-        net.p = shared.value
+        net = None
+        if shared.value:
+            net = BiLstm.__new__(BiLstm)
+            net.p = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                texts = ["\n".join(t for (_, t), main in zip(b, y, strict=True) if main) for b, y in labelled(net, rows.column(len(keep)).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
+            pages, first, held = [], 0, 0
+            for at, page in enumerate(batch.column(batch.num_columns - 1)):
+                if held > CHARS or len(pages) == 256:
+                    texts = main_texts(net, pages)
+                    yield batch.slice(first, at - first), [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+                    pages, first, held = [], at, 0
+                pages.append(page.as_py())
+                held += len(pages[-1])
+            texts = main_texts(net, pages)
+            yield batch.slice(first), [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
 
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "text string, n_chars bigint"])
-    return df.select(*[F.col(f"`{c}`") for c in keep], source.alias("\0html")).mapInArrow(work, schema)
+    keep = [c for c in df.columns if c not in (html_col, "text", "n_chars")]
+    return arrow_map(df, keep, [source], [("text", "string"), ("n_chars", "bigint")], work)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_value, quoted
+from .common import arrow_map, by_value, learned_in_task, quoted
 from .gru import HIDDEN, Net, hashed, tokens_of, windows
 
 by_value(__name__)
@@ -51,14 +51,7 @@ def training_rows(df: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 def learned(rows: DataFrame, seed: int = 1) -> dict | None:
     """Parameters learned from the (id, text, label) rows of training_rows in one task, from where they come to the driver."""
 
-    def work(batches):
-        pairs = ((str(t), y.as_py()) for b in batches for t, y in zip(b.column(1), b.column(2), strict=True))
-        params = train(pairs, seed)
-        for name, values in (params or {}).items():
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(values.shape)], pa.list_(pa.int32())), pa.array([values.tobytes()], pa.binary())], names=["name", "shape", "data"])
-
-    one = rows.repartition(1).sortWithinPartitions("id").mapInArrow(work, "name string, shape array<int>, data binary")
-    return {r.name: np.frombuffer(r.data, np.float32).reshape(r.shape) for r in one.collect()} or None
+    return learned_in_task(rows, "id", ["text", "label"], lambda pairs: train(pairs, seed))
 
 
 def _spans(starts: np.ndarray, ends: np.ndarray, chosen: np.ndarray) -> np.ndarray:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -21,7 +22,7 @@ def page(rnd, marked=True):
     }
     body = "\n".join(f"<p><b>{p[:5]}</b>{p[5:]}" + rnd.choice(["</p>", ""]) for p in paras)
     main = f"<article><h1>{say(4)}</h1>{body}</article>" if marked else f"<div><h1>{say(4)}</h1>{body}</div>"
-    title = H.leaf_blocks(main)[0][1]
+    title = H.leaf_blocks(main)[0].text
     html = f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a='</p>';</script></head><body>{junk['nav']}<!-- x -->{junk['ad']}{junk['cookie']}{main}{junk['side']}{junk['form']}{junk['comments']}{junk['foot']}</body></html>"
     return html, "\n".join([title, *[" ".join(p.replace("&amp;", "&").split()) for p in paras]])
 
@@ -36,19 +37,63 @@ def test_extracts_held_out_pages(spark):
     assert all(r.n_chars == len(r.text) for r in out)
 
 
+def shown(page):
+    return [(" ".join(b.path), b.text) for b in H.leaf_blocks(page)]
+
+
 def test_leaf_blocks_of_broken_markup():
-    assert H.leaf_blocks("a <b>b</b>&lt;c&gt;<p>d<p>e<br>f</div>g") == [((), "a b<c>"), (("p",), "d"), (("p",), "e f"), (("p",), "g")]
-    texts = [t for _, t in H.leaf_blocks("x<script>if (a<b) '</p>'</script>y<style>p{}</style><p>q &nbsp; r\n s</p>")]
-    assert texts == ["xy", "q r s"]
+    assert shown("a <b>b</b>&lt;c&gt;<p>d<p>e<br>f</div>g") == [("", "a b<c>"), ("p", "d"), ("p", "e f"), ("p", "g")]
+    assert [t for _, t in shown("x<script>if (a<b) '</p>'</script>y<style>p{}</style><p>q &nbsp; r\n s</p>")] == ["xy", "q r s"]
     assert H.leaf_blocks(None) == H.leaf_blocks("") == H.leaf_blocks("<p> \n</p><!-- c -->") == []
-    assert [t for _, t in H.leaf_blocks("<div>one<div>two</div>three</div>")] == ["one", "two", "three"]
-    assert [t for _, t in H.leaf_blocks("1 < 2 and <p>ok")] == ["1 < 2 and", "ok"]
+    assert [t for _, t in shown("<div>one<div>two</div>three</div>")] == ["one", "two", "three"]
+    assert [t for _, t in shown("1 < 2 and <p>ok")] == ["1 < 2 and", "ok"]
+    assert [t for _, t in shown("a<p title='x>y'>b<p title='c>d")] == ["a", "b", "d"]
+    assert [t for _, t in shown("a<p title='x'>b<p title=c")] == ["a", "b"]
+    assert [t for _, t in shown("a<script>b<p>c")] == ["a"] and [t for _, t in shown("a<svg>b<p>c")] == ["ab", "c"]
+
+
+def test_what_tags_say():
+    said = lambda page: [b.said for b in H.leaf_blocks(page)]
+    assert said("<body class='search'>a<article><header>t</header><p>b<aside>c</aside></article><header>d</header><div class='comment-list'><article>e") == [None, 1, 1, 0, 0, 0]
+    assert said("<div class='has-sidebar'>a<div role=main>b</div><div class='x ad'>c") == [None, 1, 0]
+
+
+def test_time_is_linear_in_the_page():
+    for part, n in (("<p class='x ", 170_000), ("<div><p>a</p>", 100_000), ("<svg>a", 100_000), ("<p a", 500_000), ("<p a='<p>\">'", 100_000)):
+        began = time.process_time()
+        H.leaf_blocks(part * n)
+        assert time.process_time() - began < 4, part
+
+
+def test_labels_without_telling_names(spark):
+    """Where the tags that the teacher reads are hidden it says nothing, and the network still finds the text."""
+    rnd = random.Random(7)
+    made = [page(rnd)[0] for _ in range(200)]
+    net = H.BiLstm.__new__(H.BiLstm)
+    net.p = H.train([(h,) for h in made[:150]])
+    blocks = [H.leaf_blocks(h) for h in made[150:]]
+    said = [b.said == 1 for own in blocks for b in own]
+    bare = [[b._replace(path=tuple("div" if x[-1] == "!" else x for x in b.path)) for b in own] for own in blocks]
+    assert not any(x[-1] == "!" for own in bare for b in own for x in b.path)
+    assert np.mean(np.concatenate(H.judged(net, bare)) == said) > 0.97
+    still = net.p | {k: np.zeros_like(net.p[k]) for k in ("wf", "wb", "uf", "ub")}
+    net.p = still
+    assert np.mean(np.concatenate(H.judged(net, bare)) == said) < 0.97  # without its recurrent part
+
+
+def test_long_pages_are_read_in_parts():
+    rnd, net = random.Random(8), H.BiLstm(5)
+    blocks = [H.leaf_blocks("".join(page(rnd)[0] for _ in range(n))) for n in (70, 1, 3)]
+    got = H.judged(net, blocks)
+    for own, y in zip(blocks, got, strict=True):
+        x = net.inputs(*H.block_features(own))[:, None]
+        assert ((net.logits(x, np.ones((len(own), 1), np.float32))[:, 0] > 0) == y).all()
 
 
 def test_gradients_are_those_of_the_loss():
     net, rnd = H.BiLstm(3), np.random.default_rng(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    blocks = [(("div ad",), "a b c"), (("p",), "d e."), (("p",), "f")]
+    blocks = [H.Block(("div ad",), "a b c", 0.5, None), H.Block(("p",), "d e.", 0.0, None), H.Block(("p",), "f", 0.0, None)]
     pages = [(*H.block_features(blocks), np.array([0, 1, -1.0])), (*H.block_features(blocks[1:]), np.array([1, 1.0]))]
     start = {k: v.copy() for k, v in net.p.items()}
 
@@ -74,3 +119,16 @@ def test_empty_and_null_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<nav><a>x</a></nav>")]
     assert {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, SCHEMA)).collect()}[1] == ""
     assert H.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeats_clashing_names_and_pages_that_tell_nothing(spark):
+    rnd = random.Random(9)
+    htmls = [page(rnd)[0] for _ in range(30)] * 2
+    df = spark.createDataFrame([(i, "old", h, 2.0) for i, h in enumerate(htmls)], "`page.id` int, text string, html string, c0 double")
+    out = H.extract(df)
+    got = {r["page.id"]: r.text for r in out.collect()}
+    assert out.columns == ["page.id", "c0", "text", "n_chars"] and all(got[i] == got[i + 30] != "old" for i in range(30))
+    named = H.extract(df.select("c0", df.html.alias("text")), "text")
+    assert named.columns == ["c0", "text", "n_chars"] and sorted(r.text for r in named.collect()) == sorted(got.values())
+    plain = spark.createDataFrame([("<p>a<p>b",)], "html string")
+    assert H.extract(plain).first().text == "a\nb"
