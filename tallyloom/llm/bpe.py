@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value
+from .common import arrow_map, by_value, quoted
 
 by_value(__name__)
 
@@ -74,7 +74,7 @@ class Codec:
         if ids is None:
             mapped = piece.encode().decode("latin-1").translate(self.to_char)
             ids = tuple(t.id for t in self.model.tokenize(mapped))
-            if len(self.pieces) < CACHE:
+            if len(self.pieces) < CACHE and len(piece) < 100:
                 self.pieces[piece] = ids
         return ids
 
@@ -132,22 +132,15 @@ def codec(path: str, pattern: str) -> Codec:
 
 def _mapped(df: DataFrame, text_col: str, fields: list[tuple[str, str, pa.DataType]], row) -> DataFrame:
     """df with columns computed from each text by row(text), in Arrow batches."""
-    names = [f[0] for f in fields]
-    keep = [c for c in df.columns if c not in names]
-    kinds = dict(df.dtypes)
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("\0text"))
+    keep = [c for c in df.columns if c not in [f[0] for f in fields]]
 
     def work(batches):
         for batch in batches:
             done = [row(t) for t in batch.column(len(keep)).to_pylist()]
             columns = list(zip(*done, strict=True)) if done else [[] for _ in fields]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], *[pa.array(c, f[2]) for c, f in zip(columns, fields, strict=True)]],
-                names=[*keep, *names],
-            )
+            yield batch, [pa.array(c, f[2]) for c, f in zip(columns, fields, strict=True)]
 
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], *[f"`{n}` {t}" for n, t, _ in fields]])
-    return source.mapInArrow(work, schema)
+    return arrow_map(df, keep, [F.coalesce(quoted(text_col), F.lit(""))], [f[:2] for f in fields], work)
 
 
 def bpe_encode(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -165,16 +158,12 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text_col: str = "text") -
 def bpe_decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """Adds `decoded` (binary): the bytes of the ids; null ids give empty bytes, an unknown id fails."""
     keep = [c for c in df.columns if c != "decoded"]
-    at = keep.index(ids_col)
 
     def work(batches):
         for batch in batches:
-            done = [codec(path, pattern).decode(ids or ()) for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.binary())], names=[*keep, "decoded"])
+            yield batch, [pa.array([codec(path, pattern).decode(ids or ()) for ids in batch.column(len(keep)).to_pylist()], pa.binary())]
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "decoded binary"])
-    return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(work, schema)
+    return arrow_map(df, keep, [quoted(ids_col)], [("decoded", "binary")], work)
 
 
 def bpe_digest(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b): component is the least node reachable.
 
     Links may repeat and point either way; self-links and nulls are dropped (a null link is
@@ -37,7 +39,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     links = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = stored(links, f"{path}/0")
     state = None
-    for n in range(1, rounds + 1):
+    for n in count(1):  # the square of the logarithm of a component's size, at most
         links = stored(_stars(_stars(links, True), False), f"{path}/{n}")
         drop_path(spark, f"{path}/{n - 1}")
         # A round that changes no link has every node at the least one it can reach.
@@ -45,8 +47,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
-    else:
-        raise RuntimeError(f"no fixed point in {rounds} rounds")
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

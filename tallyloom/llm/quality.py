@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
 
 # Frequent function words of four languages, from general knowledge.
 COMMON_WORDS = {
@@ -72,7 +73,7 @@ def features(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
     none = F.array().cast("array<string>")
     count = lambda body: F.regexp_count(text, F.lit(f"[{body}]"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in RESULT]
+    kept = [quoted(c) for c in df.columns if c not in RESULT]
 
     one = df.select(
         *kept,
@@ -102,7 +103,7 @@ def features(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
     window = lambda i: F.struct(F.xxhash64(*[at(i, k) for k in range(WINDOW)]).alias("h"), i.alias("i"))
     last = F.greatest(F.lit(0), F.size("`\0hashes`") - WINDOW)
     three = two.select(
-        *[c for c in two.columns if c[0] != "\0"],
+        *[quoted(c) for c in two.columns if c[0] != "\0"],
         F.sort_array(F.transform(F.sequence(F.lit(0), last), window)).alias("\0windows"),
         F.transform("`\0list`", lambda b: F.size(F.filter(F.col("`\0found`"), lambda w: w == b)).cast("long")).alias("\0bins"),
         F.size("`\0found`").cast("long").alias("\0n_found"),
@@ -114,7 +115,7 @@ def features(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
     repeated = F.filter("`\0windows`", lambda x, k: near(k - 1).eqNullSafe(x["h"]) | near(k + 1).eqNullSafe(x["h"]))
     classes = F.array(*[F.col(f"`\0{c}`") for c in (*CLASSES, "blank", "lower")])
     four = three.select(
-        *[c for c in three.columns if c[0] != "\0"],
+        *[quoted(c) for c in three.columns if c[0] != "\0"],
         F.sort_array(F.transform(repeated, lambda x: x["i"])).alias("\0starts"),
         classes.alias("\0classes"),
         F.concat("`\0bins`", F.array(F.col("n_words") - F.col("`\0n_found`"))).alias("\0common"),
@@ -174,6 +175,9 @@ def judged(found: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """df with the base counts, distances and `kept`. Two passes: references, then verdicts."""
+    """df with the base counts, distances and `kept`. Two passes: references, then verdicts.
+
+    The features are made twice: storing them with the texts costs as much and a copy of the table.
+    """
     found = features(df, text_col, lang_col)
     return judged(found, references(found.select("lang_key", "n_words", "base_failed", "`\0classes`", "`\0common`")))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, drop_path, scratch, stored
+from .common import arrow_map, by_value, drop_path, quoted, scratch, stored
 from .graph import components
 
 by_value(__name__)
@@ -38,6 +38,8 @@ MASK_BITS = 12
 #: Variants a bucket should hold at most, rounds (the number of syndromes), fingerprints expanded
 #: at once by a worker, and links held by one before they are passed on.
 BUCKET, ROUNDS, CHUNK, LINKS = 1 << 18, 8, 8192, 500_000
+#: Full buckets in a partition, at most: 64 MB.
+PARTITION = 32
 
 
 def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
@@ -60,15 +62,13 @@ def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
 def fingerprints(df: DataFrame, text_col: str = "text", size: int = 4, seed: int = 42) -> DataFrame:
     """df, without the text, with `fp`: the fingerprint as a signed long."""
     keep = [c for c in df.columns if c not in (text_col, "fp")]
-    kinds = dict(df.dtypes)
 
     def work(batches):
         for batch in batches:
             done = np.array([fingerprint(t, size, seed) for t in batch.column(len(keep)).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(done.view(np.int64))], names=[*keep, "fp"])
+            yield batch, [pa.array(done.view(np.int64))]
 
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "fp bigint"])
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("\0text")).mapInArrow(work, schema)
+    return arrow_map(df, keep, [quoted(text_col)], [("fp", "bigint")], work)
 
 
 def masks(radius: int) -> np.ndarray:
@@ -182,7 +182,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     path, ball = scratch(spark), masks(half)
     total = max(1, distinct.count() * len(ball) // ROUNDS)
     bits = max(mask_bits(ball), (total // BUCKET).bit_length())
-    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shuffled = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (PARTITION * BUCKET))
     for n in range(ROUNDS):
         sent = distinct.select("fp").mapInArrow(_emit(bits, n, half), "bucket bigint, `keys` binary")
         dealt = sent.repartition(shuffled, "bucket").sortWithinPartitions("bucket")
@@ -193,8 +193,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, size: int = 4) -> DataFrame:
     """One row a document: id, `fp` and `component_id`, the least id reachable over links of <= radius bits."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
-    ids = F.col(f"`{id_col}`")
-    docs = stored(fingerprints(df.select(ids, F.col(f"`{text_col}`")), text_col, size), f"{path}/fps")
+    ids = quoted(id_col)
+    docs = stored(fingerprints(df.select(ids, quoted(text_col)), text_col, size), f"{path}/fps")
     distinct = stored(docs.groupBy("fp").agg(F.min(ids).alias("least")), f"{path}/distinct")
     groups = components(fingerprint_links(distinct, radius))
     named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))

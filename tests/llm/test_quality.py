@@ -67,3 +67,10 @@ def test_empty_clashing_and_no_reference(spark):
     rows = [(1, " ".join(f"w{i}" for i in range(30)), None, "x")]
     row = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string")).first()
     assert row.kept is True and row.class_distance is None
+
+
+def test_odd_column_names(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(30)), None, 2.0)]
+    out = quality.quality_rules(spark.createDataFrame(rows, "`a.b` long, text string, lang string, n_words double"))
+    row = out.first()
+    assert "a.b" in out.columns and row["a.b"] == 1 and row.n_words == 30
