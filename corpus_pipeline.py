@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, mixing, quality, simhash, toxicity
-from tallyloom.llm.common import scratch, stored
+from tallyloom.llm.common import cleaned, drop_path, scratch, stored
 from tallyloom.llm.queries import held_out, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -72,5 +72,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     path, docs = scratch(spark), table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES[:-1]):
-        docs = stored(stage(spark, docs, sf_dir), f"{path}/{n}")
+        with cleaned(spark):  # a stage's own tables go once its rows are stored, and then its input
+            docs = stored(stage(spark, docs, sf_dir), f"{path}/{n}")
+        if n:
+            drop_path(spark, f"{path}/{n - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
