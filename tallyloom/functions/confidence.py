@@ -75,3 +75,12 @@ def grade(score: Column) -> Column:
 
 def speed(seconds: Column) -> Column:
     return F.when(seconds < 1, "A+").when(seconds < 3, "A").when(seconds < 10, "B").when(seconds < 30, "C").otherwise("D")
+
+
+#: The confidence of a result by the way it was made, where it has none of its own.
+ENVELOPES = {"simple": 0.5, "pipeline": 0.7, "docai": 0.8, "error": 0.0}
+
+
+def envelope(method: str, own: Column) -> Column:
+    """Confidence of a result by its method; a pipeline's own wins."""
+    return F.coalesce(own, F.lit(ENVELOPES[method])) if method == "pipeline" else F.lit(ENVELOPES[method])

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import confidence
 from .text import MONEY
 
 # Category patterns on upper-case text, in the order they are tried.
@@ -32,9 +33,10 @@ CATEGORIES = [
     ("PETS", "PET|VETERINARIO|ANIMAL|RACAO"),
 ]
 CATCH_ALL = "OUTROS"
-# Words of payments and credits, of foreign purchases, and of summary rows.
+# Words and patterns of payments and credits (a payment has its date, code and amount), of foreign purchases, and of summary rows.
 CREDIT = r"PAGAMENTO\s+EFETUADO|ESTORNO|CASHBACK|DEVOLUÇÃO|REEMBOLSO|CREDITO|CREDENCIAMENTO|VOUCHER|BONUS|DESCONTO|CANCELAMENTO|REVERSAO|ANULACAO"
 PAYMENT = r"^\d{1,3}/\d{1,2}\s+PAGAMENTO.*?\d{4}\s*[-\t ]+-\s*[\d.,]+\s*$"
+PAYMENT_PARTS = r"(?iu)^(\d{2}/\d{2})\s+PAGAMENTO.*?(\d{4})\s*[-\t ]+(-\s*[\d.,]+)\s*$"
 FOREIGN = ["USD", "EUR", "GBP", "PAYPAL", "AMAZON", "NETFLIX", "SPOTIFY", "INTERNACIONAL", "FOREIGN"]
 SUMMARY = ["total", "saldo", "encargos", "iof", "juros", "lançamentos atuais"]
 FX_ROW = rf"^\d{{2}}/\d{{2}}\s+.+?\s+{MONEY}\s+{MONEY}$"
@@ -89,3 +91,28 @@ def iof(value: Column, money: Column) -> Column:
     """Tax on the amount: 6.38 % of foreign currencies, else 0.38 %."""
     foreign = ~F.coalesce(money, F.lit("")).isin("", "BRL")
     return F.abs(value) * F.when(foreign, F.lit("0.0638").cast("decimal(6,4)")).otherwise(F.lit("0.0038").cast("decimal(6,4)"))
+
+
+def classified(text: Column, value: Column) -> Column:
+    """Struct of category, kind and the rule's confidence."""
+    return F.struct(category(text).alias("category"), kind(text, value).alias("type"), confidence.row(value, text, F.lit(0)).alias("confidence"))
+
+
+def clamped(score: Column) -> Column:
+    """A score held between 0 and 1; null is 0."""
+    return F.least(F.greatest(F.coalesce(score, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+
+
+def needs_ocr(score: Column) -> Column:
+    """Whether a score is so low that the text should be read again by OCR."""
+    return score < 0.6
+
+
+def in_ensemble(score: Column) -> Column:
+    """Whether a score is high enough for an extraction to take part in an ensemble."""
+    return score >= 0.8
+
+
+def highlighted(score: Column, least: float = 0.85) -> Column:
+    """Whether a row is shown as unsure to who edits it."""
+    return F.coalesce(score < least, F.lit(False))

@@ -15,6 +15,15 @@ LEADING = ">@§$Z)_•*®«» "
 STOP_WORDS = "de da do em na no a o e para com".split()
 #: Words that are no city (fixed values).
 NO_CITY = ["FINAL", "CARD", "CARTAO", "DEBITO", "CREDITO"]
+# Patterns of cards, installments, rates, foreign lines, periods, accounts and balances.
+CARD, CARD_HEADER = r"final (\d{4})", r"(?iu)CARTÃO.*?FINAL (\d{4})"
+INSTALLMENT = r"(\d{1,2})/(\d{1,2})"
+FX_RATE = r"^D[óo]lar de Convers[ãa]o.*?(\d+,\d{4})"
+FX_LINE = r"^(.+?)\s+([\d.,]+)\s+([A-Z]{3})\s+([\d.,]+)$"
+PERIOD = r"(?iu)PERÍODO:\s*(\d{2}/\d{2}/\d{4})\s*A\s*(\d{2}/\d{2}/\d{4})"
+DUE = r"(?iu)VENCIMENTO:\s*(\d{2}/\d{2}/\d{4})"
+ACCOUNTS = [(r"(?iu)Conta[:\s]+(\d{4,}-?\d?)", 1), (r"(?iu)Account[:\s]+(\d{4,}-?\d?)", 1), (r"(?iu)Ag[êe]ncia[:\s]+(\d{4})[^\d]*Conta[:\s]+(\d{4,}-?\d?)", 2)]
+BALANCES = [r"(?iu)Saldo[:\s]+R\$\s*([-]?\d{1,3}(?:\.\d{3})*,\d{2})", r"(?iu)Balance[:\s]+R\$\s*([-]?\d{1,3}(?:\.\d{3})*,\d{2})"]
 
 
 def _decimal(text: Column) -> Column:
@@ -97,17 +106,60 @@ def model_text(text: Column) -> Column:
 
 
 def card_last4(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"final (\d{4})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, CARD, 1), F.lit(""))
+
+
+def card_of_header(text: Column) -> Column:
+    """Last 4 digits of the card a statement's header names."""
+    return F.nullif(F.regexp_extract(text, CARD_HEADER, 1), F.lit(""))
+
+
+def card_of(text: Column, holder: str) -> Column:
+    """Last 4 digits of a named holder's card, as in `NAME (final 1234)`; empty without."""
+    return F.when(text.isNotNull(), F.regexp_extract(text, rf"{_escaped(holder)} \(final (\d{{4}})\)", 1))
+
+
+def _escaped(word: str) -> str:
+    return "".join(c if c.isalnum() or c == " " else f"\\{c}" for c in word)
+
+
+def period(text: Column) -> Column:
+    """Struct (start, end, due) of the dates a statement names; nulls without."""
+    get = lambda p, k: date(F.nullif(F.regexp_extract(text, p, k), F.lit("")))
+    return F.struct(get(PERIOD, 1).alias("start"), get(PERIOD, 2).alias("end"), get(DUE, 1).alias("due"))
+
+
+def account(text: Column) -> Column:
+    """Account number by the first pattern that fits."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, k), F.lit("")) for p, k in ACCOUNTS])
+
+
+def balance(text: Column) -> Column:
+    """Balance by the first pattern that fits."""
+    return F.coalesce(*[amount(F.nullif(F.regexp_extract(text, p, 1), F.lit("")), "C") for p in BALANCES]).cast("decimal(18,2)")
+
+
+def date_text(text: Column, year: int = 2024, checked: bool = False) -> Column:
+    """D/M or D/M/YYYY at the start as yyyy-MM-dd text; else the text unchanged.
+
+    Days to 31 and months to 12 pass, whether the day exists or not; unchecked, every number does.
+    """
+    part = lambda k: F.regexp_extract(text, r"^(\d{1,2})/(\d{1,2})(?:/(\d{4}))?", k)
+    iso = F.concat_ws("-", F.when(part(3) != "", part(3)).otherwise(F.lit(str(year))), F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0"))
+    ok = part(1) != ""
+    if checked:
+        ok = ok & part(1).try_cast("int").between(1, 31) & part(2).try_cast("int").between(1, 12)
+    return F.when(ok, iso).otherwise(text)
 
 
 def installment(text: Column) -> tuple[Column, Column]:
     """(number, of how many) of the first n/m; nulls without."""
-    return tuple(F.regexp_extract(text, r"(\d{1,2})/(\d{1,2})", k).try_cast("int") for k in (1, 2))
+    return tuple(F.regexp_extract(text, INSTALLMENT, k).try_cast("int") for k in (1, 2))
 
 
 def fx_rate(text: Column) -> Column:
     """The rate of a conversion line, decimal(18,4)."""
-    found = F.regexp_extract(text, r"^D[óo]lar de Convers[ãa]o.*?(\d+,\d{4})", 1)
+    found = F.regexp_extract(text, FX_RATE, 1)
     return F.replace(found, F.lit(","), F.lit(".")).try_cast("decimal(18,4)")
 
 
@@ -120,9 +172,8 @@ def city(text: Column) -> Column:
 
 def fx_line(text: Column) -> Column:
     """Struct (city, currency, amount) of a line like `CITY 10,00 USD 10,00`; null if it isn't one."""
-    pattern = r"^(.+?)\s+([\d.,]+)\s+([A-Z]{3})\s+([\d.,]+)$"
-    get = lambda k: F.regexp_extract(text, pattern, k)
-    return F.when(text.rlike(pattern), F.struct(get(1).alias("city"), get(3).alias("currency"), amount(get(2)).alias("amount")))
+    get = lambda k: F.regexp_extract(text, FX_LINE, k)
+    return F.when(text.rlike(FX_LINE), F.struct(get(1).alias("city"), get(3).alias("currency"), amount(get(2)).alias("amount")))
 
 
 def ledger_hash(day: Column, description: Column, value: Column, card: Column | None = None) -> Column:

@@ -8,14 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import text as t
 from ..functions.text import MONEY
 
-#: Plausible rates by currency, rates used without any other, and words of online shops.
+# Plausible rates by currency, rates used without any other, words of online shops, and patterns of cities and merchants.
 RATES = {"USD": (4.5, 6.5), "EUR": (5.0, 7.0), "GBP": (6.0, 8.0)}
 USUAL = {"USD": 5.2, "EUR": 5.8, "GBP": 6.5}
-ONLINE = ["ONLINE", "INTERNET", "WEB", "NETFLIX", "SPOTIFY", "AMAZON", "PAYPAL"]
-PAYMENT = r"(?iu)^(\d{2}/\d{2})\s+PAGAMENTO.*?(\d{4})\s*[-\t ]+(-\s*[\d.,]+)\s*$"
+ONLINE = ["PAYPAL", "AMAZON", "NETFLIX", "SPOTIFY", "UBER", "IFOOD", "INTERNET", "ONLINE", "WEB"]
+STATES = "SP|RJ|MG|RS|PR|SC|BA|PE|CE|GO|AM|PA|MT|MS|ES|PB|RN|AL|SE|AC|RO|RR|AP|TO|DF"
+CITIES = "SAO PAULO|RIO DE JANEIRO|BELO HORIZONTE|SALVADOR|BRASILIA|FORTALEZA|MANAUS|CURITIBA|RECIFE|PORTO ALEGRE"
+CITY_PATTERNS = [
+    rf"(?i)\b([A-Z][a-z]+(?: [A-Z][a-z]+)*)\s+(?:{STATES})\b", r"(?i)\b([A-Z][a-z]+(?: [A-Z][a-z]+)*)\s+BR\b", r"(?i)\b([A-Z][A-Z\s]+)\s+BR\b",
+    rf"(?i)\b({CITIES})\b", r"(?i)\s+([A-Z]{2,}(?:\s+[A-Z]{2,})*)\s*$",
+]
+CARD_WORDS = ["CARTAO", "FINAL", "CARD"]
+MERCHANT_PATTERNS = [r"^([A-Z][A-Za-z\s&\.]+?)(?:\s+\d|\s+[A-Z]{2,}\s|$)", r"^([A-Z][A-Za-z\s&\.]{3,20})"]
+TEMPLATE_INSTALLMENT = rf"(.+?)\s+(\d{{1,2}})/(\d{{1,2}})\s+({MONEY})"
+TEMPLATE_CITY, TEMPLATE_ONLINE = r"(.+?)\s+([A-Z\s]+)(?:\s+BR)?$", r"(?iu)(.+?)\s+(?:INTERNET|ONLINE|WEB)\s*([A-Z\s]*)"
+TEMPLATE_SECTIONS = {"nacional": "LANÇAMENTOS NACIONAIS", "internacional": "LANÇAMENTOS INTERNACIONAIS", "pagamentos": "PAGAMENTOS EFETUADOS"}
+PAYMENT = rules.PAYMENT_PARTS
 
 
 def bounds(currency: Column) -> tuple[Column, Column]:
@@ -75,37 +87,166 @@ def known_merchants(golden: DataFrame) -> DataFrame:
     return golden.select(F.trim(F.substr(d, F.lit(1), at - 1)).alias("merchant")).filter("length(merchant) > 3").distinct()
 
 
-def cities(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """rows with `found_city`: ONLINE for online shops, else the longest known city in the words, else the pattern's.
+def _contained(descriptions: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """(description, found): the longest known name inside each upper-case description, the first of equals.
 
-    Known cities meet the descriptions by their words (one to `most` words long), so the join is
-    an equi-join on names; ties of length go to the first name.
+    Names meet the places of a description by their first characters, so the join is an equi-join.
     """
-    d = F.upper(F.coalesce("description", F.lit("")))
-    words = F.split(F.trim(F.regexp_replace(d, r"[^\p{L}\p{N}_]+", " ")), " ")
-    most = known.agg(F.max(F.size(F.split("city", " "))).alias("n")).first().n or 1
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(words, lambda w, i: F.array_join(F.slice(words, i + 1, n), " "))))
-    keyed = rows.withColumn("\0id", F.monotonically_increasing_id()).withColumn("\0names", F.array_distinct(runs))
-    hits = keyed.select("\0id", F.explode("\0names").alias("city")).join(known, "city").groupBy("\0id").agg(F.max_by("city", F.struct(F.length("city"), F.reverse("city"))).alias("\0city"))
-    online = d.rlike("|".join(ONLINE))
-    out = keyed.join(hits, "\0id", "left").withColumn("found_city", F.when(online, "ONLINE").otherwise(F.coalesce("\0city", t.city(F.col("description")))))
-    return out.select(*rows.columns, "found_city")
+    sizes = [r.n for r in known.select(F.least(F.length(name), F.lit(3)).alias("n")).distinct().collect()]  # 1, 2 and 3 at most
+    up = F.upper("description")
+    index = known.select(F.col(name).alias("name"), F.substring(name, 1, 3).alias("key"))
+    if not sizes:
+        return descriptions.select("description", F.lit(None).cast("string").alias("found")).limit(0)
+    places = descriptions.select("description", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("description")))).alias("at"))
+    keyed = places.select("description", "at", F.explode(F.array_distinct(F.array(*[F.substr(up, F.col("at"), F.lit(n)) for n in sizes]))).alias("key"))
+    hits = keyed.join(index, "key").filter(F.substr(up, F.col("at"), F.length("name")) == F.col("name"))
+    return hits.groupBy("description").agg(F.min(F.struct(-F.length("name"), "name"))["name"].alias("found"))
+
+
+def city_by_pattern(text: Column) -> Column:
+    """Upper-case city by the first pattern that names one of over 2 letters without a card word."""
+    out = []
+    for pattern in CITY_PATTERNS:
+        city = F.upper(F.trim(F.regexp_extract(text, pattern, 1)))
+        out.append(F.when((F.length(city) > 2) & ~city.rlike("|".join(CARD_WORDS)), city))
+    return F.coalesce(*out)
+
+
+def merchant_by_pattern(text: Column) -> Column:
+    """Merchant at the start of a description, in title case, if longer than 3."""
+    out = []
+    for pattern in MERCHANT_PATTERNS:
+        name = F.regexp_replace(F.trim(F.regexp_extract(text, pattern, 1)), r"\s+", " ")
+        out.append(F.when(F.length(name) > 3, F.initcap(name)))
+    return F.coalesce(*out)
+
+
+def cities(rows: DataFrame, known: DataFrame, merchants: DataFrame | None = None) -> DataFrame:
+    """rows with `found_city` and `found_merchant`.
+
+    City: ONLINE for online shops, else the longest known city in the description, else the
+    patterns'. Merchant: the text before the city if longer than 3, else the longest known
+    merchant in the description, else the patterns'. Descriptions are looked up once each and
+    joined back by their text, so reruns agree.
+    """
+    distinct = rows.select(F.trim(F.coalesce("description", F.lit(""))).alias("description")).distinct()
+    d = F.col("description")
+    online = F.upper(d).rlike("|".join(ONLINE))
+    found = distinct.join(_contained(distinct, known, "city").withColumnRenamed("found", "\0city"), "description", "left")
+    if merchants is not None:
+        found = found.join(_contained(distinct, merchants, "merchant").withColumnRenamed("found", "\0known"), "description", "left")
+    else:
+        found = found.withColumn("\0known", F.lit(None).cast("string"))
+    found = found.withColumn("found_city", F.when(online, "ONLINE").otherwise(F.coalesce("\0city", city_by_pattern(d))))
+    at = F.instr(F.upper(d), F.col("found_city"))
+    before = F.trim(F.substr(d, F.lit(1), at - 1))
+    named = F.when((F.col("found_city") != "ONLINE") & (at > 1) & (F.length(before) > 3), F.initcap(before))
+    found = found.withColumn("found_merchant", F.coalesce(named, "\0known", merchant_by_pattern(d)))
+    keyed = rows.withColumn("\0key", F.trim(F.coalesce("description", F.lit(""))))
+    joined = keyed.join(found.select(d.alias("\0key"), "found_city", "found_merchant"), "\0key", "left")
+    return joined.select(*[c for c in rows.columns if c not in ("found_city", "found_merchant")], "found_city", "found_merchant")
 
 
 def filled(rows: DataFrame) -> DataFrame:
-    """Missing (null or empty) fields by their defaults: 1 of 1 installments, zero interest, currency, hash, dollar amount."""
+    """Missing fields by their defaults: hash of date, description, amount and card; currency inferred
+    from the amounts; dollars by the rate (any row with one); 1 of 1 installments; zero interest and bill.
+
+    Null and empty text is missing; so is a dollar amount or a rate of zero.
+    """
     none = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
-    usd = F.when(F.col("currency") == "USD", F.round(F.try_divide(F.col("amount_brl"), F.col("fx_rate")), 2).cast("decimal(18,2)"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("decimal(18,2)"))
+    usd = F.round(F.try_divide(F.col("amount_brl"), F.nullif(F.col("fx_rate"), F.lit(0).cast("decimal(12,6)"))), 2).cast("decimal(18,2)")
     return rows.withColumns(
         {
+            "ledger_hash": F.when(none("ledger_hash"), t.ledger_hash(F.col("date"), F.col("description"), F.col("amount_brl"), F.col("card_last4"))).otherwise(F.col("ledger_hash")),
+            "currency": F.when(none("currency"), rules.currency(F.col("amount_brl"), F.col("amount_orig"))).otherwise(F.col("currency")),
+            "amount_usd": F.when(zero("amount_usd") == 0, usd).otherwise(F.col("amount_usd")),
             "installment_seq": F.coalesce("installment_seq", F.lit(1)), "installment_tot": F.coalesce("installment_tot", F.lit(1)),
-            "currency": F.when(none("currency"), "BRL").otherwise(F.col("currency")), "interest_amount": F.coalesce("interest_amount", F.lit(0).cast("decimal(18,2)")),
-            "ledger_hash": F.when(none("ledger_hash"), t.ledger_hash(F.col("date"), F.col("description"), F.col("amount_brl"))).otherwise(F.col("ledger_hash")),
-            "amount_usd": F.coalesce("amount_usd", usd),
+            "interest_amount": zero("interest_amount"), "prev_bill_amount": zero("prev_bill_amount"),
         }
     )
 
 
+#: Fields that count as filled when not null, and when not empty; three core fields always count.
+COUNTED_SET = ["installment_seq", "installment_tot", "fx_rate", "iof_brl", "prev_bill_amount", "interest_amount", "amount_orig", "amount_usd"]
+COUNTED_TEXT = ["card_last4", "category", "merchant_city", "ledger_hash", "currency"]
+MODEL_TEXT, MODEL_NUMBERS = ["category", "merchant_city", "card_last4", "currency"], ["fx_rate", "amount_usd", "installment_seq", "installment_tot"]
+
+
+def filled_fields(rows: DataFrame) -> Column:
+    """Filled fields of a row, of 16; columns that rows lack count as missing."""
+    has = [F.col(c).isNotNull() for c in COUNTED_SET if c in rows.columns] + [F.coalesce(F.trim(F.col(c)), F.lit("")) != "" for c in COUNTED_TEXT if c in rows.columns]
+    return sum((c.cast("int") for c in has), F.lit(3))
+
+
+def model_fields(rows: DataFrame) -> Column:
+    """Filled fields of a row as the models' benchmark counts them, of 11: numbers count above 0."""
+    has = [F.coalesce(F.trim(F.col(c)), F.lit("")) != "" for c in MODEL_TEXT] + [F.coalesce(F.col(c) > 0, F.lit(False)) for c in MODEL_NUMBERS]
+    return sum((c.cast("int") for c in has), F.lit(3))
+
+
+def template_lines(lines: DataFrame, year: int = 2024) -> DataFrame:
+    """Rows of lines by the section they are in: national, international (USD, ONLINE) or payments.
+
+    lines: (doc_id, line_no, line); a heading opens its section; lines before any heading give none.
+    """
+    head = F.lit(None).cast("string")
+    for name, phrase in reversed(TEMPLATE_SECTIONS.items()):
+        head = F.when(F.col("line").rlike(f"(?iu){phrase}"), name).otherwise(head)
+    w = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    placed = lines.withColumn("section", F.last(head, ignorenulls=True).over(w))
+    get = lambda p, k: F.nullif(F.regexp_extract("line", p, k), F.lit(""))
+    national = rf"^(\d{{2}}/\d{{2}})\s+(.+?)\s+({MONEY})$"
+    paid = F.col("section") == "pagamentos"
+    abroad = F.col("section") == "internacional"
+    fits = F.when(paid, F.col("line").rlike(PAYMENT)).otherwise(F.col("line").rlike(national))
+    rows = placed.filter(F.col("section").isNotNull() & fits)
+    described = F.when(paid, "PAGAMENTO").otherwise(get(national, 2))
+    rows = rows.select("doc_id", "line_no", "section", t.date(F.substring("line", 1, 5), year).alias("date"), described.alias("description"), t.amount(F.when(paid, get(PAYMENT, 3)).otherwise(get(national, 3))).cast("decimal(18,2)").alias("amount_brl"), F.when(paid, get(PAYMENT, 2)).alias("payment_code"))
+    d = F.col("description")
+    part = lambda p, k: F.regexp_extract(d, p, k)
+    seq = lambda k: F.when(~paid & ~abroad, part(TEMPLATE_INSTALLMENT, k).try_cast("int"))
+    home = F.nullif(F.trim(part(TEMPLATE_CITY, 2)), F.lit(""))
+    shop = F.when(d.rlike(TEMPLATE_ONLINE), F.coalesce(F.nullif(F.trim(part(TEMPLATE_ONLINE, 2)), F.lit("")), F.lit("ONLINE")))
+    merchant = F.when(abroad, part(TEMPLATE_ONLINE, 1)).when(~paid, part(TEMPLATE_CITY, 1))
+    return rows.select(
+        "*", F.when(abroad, "USD").otherwise("BRL").alias("currency"), seq(2).alias("installment_seq"), seq(3).alias("installment_tot"),
+        F.nullif(F.trim(merchant), F.lit("")).alias("merchant"), F.when(abroad, shop).when(~paid, home).alias("merchant_city"),
+    )
+
+
+def with_template(rows: DataFrame, template: DataFrame, on: list[str]) -> DataFrame:
+    """rows with what their template row (section, installments, city) says: category FX abroad and
+    PAGAMENTO for payments, the section's currency where none is, installments and city where the template has them."""
+    said = template.select(*on, F.struct("section", "installment_seq", "installment_tot", "merchant_city").alias("\0t"))
+    s = F.col("`\0t`.section")
+    none = F.coalesce(F.trim("currency"), F.lit("")) == ""
+    own = lambda c: F.coalesce(F.col(f"`\0t`.{c}"), F.col(c))
+    return rows.join(said, on, "left").withColumns(
+        {
+            "category": F.when(s == "internacional", "FX").when(s == "pagamentos", "PAGAMENTO").otherwise(F.col("category")),
+            "currency": F.when(none & (s == "internacional"), "USD").when(none & s.isNotNull(), "BRL").otherwise(F.col("currency")),
+            **{c: own(c) for c in ("installment_seq", "installment_tot", "merchant_city")},
+        }
+    ).drop("\0t")
+
+
+def with_fx(rows: DataFrame, fx: DataFrame, on: list[str]) -> DataFrame:
+    """rows with the rate, tax and original amount of their fx row; its currency is USD where none is, dollars follow the rate."""
+    said = fx.select(*on, F.struct("fx_rate", "iof_brl", "amount_orig").alias("\0f"))
+    has, rate = F.col("`\0f`").isNotNull(), F.col("`\0f`.fx_rate")
+    usd = F.round(F.try_divide(F.col("amount_brl"), rate), 2).cast("decimal(18,2)")
+    pick = lambda c, default: F.when(has, F.coalesce(F.col(f"`\0f`.{c}"), default)).otherwise(F.col(c))
+    zero = F.lit(0).cast("decimal(18,2)")
+    return rows.join(said, on, "left").withColumns(
+        {
+            "amount_usd": F.when(has & (F.coalesce("amount_usd", zero) == 0) & (rate > 0), usd).otherwise(F.col("amount_usd")),
+            "currency": F.when(has & (F.coalesce(F.trim("currency"), F.lit("")) == ""), "USD").otherwise(F.col("currency")),
+            "fx_rate": pick("fx_rate", F.lit(None)), "iof_brl": pick("iof_brl", zero), "amount_orig": pick("amount_orig", F.lit(None)),
+        }
+    ).drop("\0f")
+
+
 def payments(lines: DataFrame, year: int = 2024) -> DataFrame:
     """Payment lines: date, code and amount (negative)."""
     get = lambda k: F.regexp_extract("line", PAYMENT, k)
@@ -132,9 +273,14 @@ def candidates(incoming: DataFrame, golden: DataFrame, limit: int) -> DataFrame:
     return fresh.withColumn("\0n", F.row_number().over(W.partitionBy("day").orderBy("name"))).filter(F.col("`\0n`") <= limit).drop("\0n")
 
 
-def looked_up(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """rows with the columns of a lookup table (one row a key)."""
-    return rows.join(known, key, "left")
+def looked_up(rows: DataFrame, known: DataFrame, key: str, most: int = 5) -> DataFrame:
+    """rows with `results`: up to `most` entries that a lookup table (key, rank, result) has of the key, best rank first.
+
+    Stands for searches on the web: each distinct key is looked up once.
+    """
+    ranked = known.join(rows.select(key).distinct(), key, "left_semi").withColumn("\0n", F.row_number().over(W.partitionBy(key).orderBy("rank", "result")))
+    found = ranked.filter(F.col("`\0n`") <= most).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("\0n", "result"))), lambda x: x["result"]).alias("results"))
+    return rows.join(found, key, "left")
 
 
 def worst(accuracies: DataFrame, k: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ the plans are equi-joins. Order-dependent rules carry an explicit order column.
 from __future__ import annotations
 
 import sys
+from collections import Counter, deque
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -21,16 +22,25 @@ from ..functions import text as t
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 
-#: Groups that a document's blocks are dealt to for the order-dependent steps.
-PARTS = 16
-
-
 def cents(value: Column) -> Column:
     return F.round(value * 100, 0).cast("long")
 
 
-def token_set_ratio(a: str, b: str) -> float:
-    """Similarity 0 to 100 of two texts' word sets: 100 if one holds the other, else by longest common subsequences."""
+def _common(p: str, q: str) -> int:
+    """Length of the longest common subsequence."""
+    row = [0] * (len(q) + 1)
+    for c in p:
+        diagonal = 0
+        for j, d in enumerate(q):
+            diagonal, row[j + 1] = row[j + 1], diagonal + 1 if c == d else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def token_set_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """Similarity 0 to 100 of two texts' word sets: 100 if one holds the other, else by longest common subsequences.
+
+    Below `least` any value below it may come back: subsequences are only measured where shared letters allow more.
+    """
     x, y = set((a or "").split()), set((b or "").split())
     if not x or not y:
         return 0.0
@@ -41,39 +51,32 @@ def token_set_ratio(a: str, b: str) -> float:
     one, two = (" ".join(filter(None, [base, " ".join(sorted(s - both))])) for s in (x, y))
 
     def ratio(p: str, q: str) -> float:
-        row = [0] * (len(q) + 1)
-        for c in p:
-            diagonal = 0
-            for j, d in enumerate(q):
-                diagonal, row[j + 1] = row[j + 1], diagonal + 1 if c == d else max(row[j + 1], row[j])
-        return 200 * row[-1] / (len(p) + len(q)) if p or q else 100.0
+        size = len(p) + len(q)
+        if not size:
+            return 100.0
+        shared = sum((Counter(p) & Counter(q)).values())
+        if 200 * shared < least * size:
+            return 0.0
+        return 200 * _common(p, q) / size
 
     pairs = [(one, two)] + ([(base, one), (base, two)] if base else [])
     return max(ratio(p, q) for p, q in pairs)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """token_set_ratio of two text columns, in Arrow batches."""
-
-    def ratios(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([token_set_ratio(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
-
-    ratios.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
-    return F.pandas_udf(ratios, "double")(a, b)
+def near_classes(a: DataFrame, b: DataFrame, days: int = 1, within: float = 0.01) -> DataFrame:
+    """Pairs of classes of rows of one document whose dates and amounts are near, with their numbers of rows.
 
-
-def near_pairs(a: DataFrame, b: DataFrame, days: int = 1, within: float = 0.01) -> DataFrame:
-    """Pairs of rows of one document whose dates and amounts are near.
-
-    b's rows are put into all day buckets within `days`; amounts meet in cent buckets that
-    are as wide as the tolerance, so both sides stay linear in their rows.
+    A class is the rows of one (document, date, cents), so a repeated amount costs one row. b's
+    classes are put into all day buckets within `days`; amounts meet in cent buckets as wide as
+    the tolerance, so both sides stay linear. Rows belong to pairs by their class.
     """
-    wide = max(1, round(within * 100)) + 1
-    bucket = lambda c: F.floor(cents(F.col(c)) / wide)
-    left = a.select(F.col("doc_id"), F.struct(*a.columns).alias("l"), F.unix_date("date").alias("day"), bucket("amount_brl").alias("bucket"))
-    right = b.select(F.col("doc_id"), F.struct(*b.columns).alias("r"), F.explode(F.sequence(F.unix_date("date") - days, F.unix_date("date") + days)).alias("day"), bucket("amount_brl").alias("mid"))
-    right = right.select("doc_id", "r", "day", F.explode(F.array(F.col("mid") - 1, F.col("mid"), F.col("mid") + 1)).alias("bucket"))
-    return left.join(right, ["doc_id", "day", "bucket"]).filter(F.abs(cents(F.col("l.amount_brl")) - cents(F.col("r.amount_brl"))) <= round(within * 100)).select("doc_id", "l", "r")
+    limit = round(within * 100)
+    wide = max(1, limit) + 1
+    kinds = lambda d: d.groupBy("doc_id", "date", cents(F.col("amount_brl")).alias("cents")).agg(F.count("*").alias("n"))
+    left = kinds(a).select("doc_id", F.unix_date("date").alias("day"), F.floor(F.col("cents") / wide).alias("bucket"), F.struct("date", "cents", "n").alias("l"))
+    right = kinds(b).select("doc_id", F.explode(F.sequence(F.unix_date("date") - days, F.unix_date("date") + days)).alias("day"), F.floor(F.col("cents") / wide).alias("mid"), F.struct("date", "cents", "n").alias("r"))
+    right = right.select("doc_id", "day", F.explode(F.array(F.col("mid") - 1, F.col("mid"), F.col("mid") + 1)).alias("bucket"), "r")
+    return left.join(right, ["doc_id", "day", "bucket"]).filter(F.abs(F.col("l.cents") - F.col("r.cents")) <= limit).select("doc_id", "l", "r")
 
 
 def blocks(rows: DataFrame, days: int = 1, within: int = 1) -> DataFrame:
@@ -88,32 +91,49 @@ def blocks(rows: DataFrame, days: int = 1, within: int = 1) -> DataFrame:
     return out.withColumn("block", F.concat_ws("/", "`\0run`", "`\0days`")).drop("\0cents", "\0run", "\0days")
 
 
+def _in_blocks(rows: DataFrame, order: list, schema, start, step, finish) -> DataFrame:
+    """Rows of blocks (doc_id, block) one after another in `order`: step(state, row) for each, the state new for each block.
+
+    Blocks are dealt by their names and streamed in batches, so a task holds one block's state
+    and one batch, and many small blocks cost no more than their rows. finish(batch, results)
+    makes a batch's output.
+    """
+
+    def run(batches):
+        key, state = None, None
+        for pdf in batches:
+            out = []
+            for k, row in zip(zip(pdf["doc_id"], pdf["block"], strict=True), pdf.itertuples(index=False), strict=True):
+                if k != key:
+                    key, state = k, start()
+                out.append(step(state, row))
+            yield finish(pdf, out)
+
+    return rows.repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", *order).mapInPandas(run, schema)
+
+
 def leader_clusters(rows: DataFrame, order: str, days: int = 1, within: float = 0.01, least: float = 70.0) -> DataFrame:
     """rows with `leader`: the order value of the first earlier row of their document that is near and alike, else their own.
 
-    Only leaders are compared, in order; the work is done block by block.
+    Only leaders within the days and cents are compared, in order; blocks keep together whatever
+    is near. Rows without a date or amount are near nothing.
     """
-    schema = rows.withColumn("leader", F.col(order).cast("long")).schema
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        by_block: dict = {}
-        found = []
-        for row in pdf.itertuples(index=False):
-            leaders = by_block.setdefault(row.block, [])
-            for lead in leaders:
-                near = abs((row.date - lead.date).days) <= days and abs(float(row.amount_brl - lead.amount_brl)) <= within + 1e-9
-                if near and token_set_ratio(row.description, lead.description) >= least:
-                    found.append(getattr(lead, order))
-                    break
-            else:
-                leaders.append(row)
-                found.append(getattr(row, order))
-        return pdf.drop(columns=["block"]).assign(leader=found)[schema.names]
+    schema, limit = rows.withColumn("leader", F.col(order).cast("long")).schema, round(within * 100)
+
+    def step(leaders: dict, row):
+        own = getattr(row, order)
+        if pd.isna(row.date) or pd.isna(row.amount_brl):
+            return own
+        day, money = row.date.toordinal(), round(row.amount_brl * 100)
+        near = [x for d in range(day - days, day + days + 1) for c in range(money - limit, money + limit + 1) for x in leaders.get((d, c), ())]
+        for lead, description in sorted(near):
+            if token_set_ratio(row.description, description, least) >= least:
+                return lead
+        leaders.setdefault((day, money), []).append((own, row.description or ""))
+        return own
 
-    # Small blocks share a call; a hot document's blocks are dealt to PARTS groups.
-    dealt = blocks(rows, days, round(within * 100))
-    return dealt.groupBy("doc_id", F.pmod(F.xxhash64("block"), F.lit(PARTS))).applyInPandas(cluster, schema)
+    finish = lambda pdf, found: pdf.drop(columns=["block"]).assign(leader=found)[schema.names]
+    return _in_blocks(blocks(rows, days, limit), [order], schema, dict, step, finish)
 
 
 def strict_dedup(rows: DataFrame, order: str) -> DataFrame:
@@ -122,6 +142,13 @@ def strict_dedup(rows: DataFrame, order: str) -> DataFrame:
     return rows.withColumn("\0n", F.row_number().over(w)).filter("`\0n` = 1").drop("\0n")
 
 
+def fuzzy_merge(rows: DataFrame, order: str, least: float = 90.0) -> DataFrame:
+    """Of rows equal in document, date and cents whose descriptions are alike to the first of their group, the most confident, the first on ties."""
+    grouped = leader_clusters(rows, order, days=0, within=0.0, least=least)
+    w = W.partitionBy("doc_id", "leader").orderBy(F.desc("confidence"), order)
+    return grouped.withColumn("\0n", F.row_number().over(w)).filter("`\0n` = 1").drop("\0n")
+
+
 def union_antidup(first: DataFrame, second: DataFrame) -> DataFrame:
     """All of first, and what second has besides (by document, date, description and cents)."""
     key = lambda d: d.withColumn("\0cents", cents(F.col("amount_brl")))
@@ -200,6 +227,61 @@ def greedy_match(a: DataFrame, b: DataFrame, order: str, least: float = 0.8, blo
     return equal.union(rest.groupBy("doc_id").applyInPandas(pick, schema))
 
 
+def first_fit(golden: DataFrame, found: DataFrame, order: str, within: float = 0.05) -> DataFrame:
+    """One-to-one pairs (doc_id, g, f) of order values: each golden row, in order, takes the first free row of its date and about its amount."""
+    limit = round(within * 100)
+    side = lambda d, golden: d.select("doc_id", "date", "amount_brl", F.col(order).cast("long").alias("id"), F.lit(golden).alias("golden"))
+    both = blocks(side(golden, True).unionByName(side(found, False)).dropna(subset=["doc_id", "date", "amount_brl"]), 0, limit)
+    both = both.select("doc_id", "block", F.unix_date("date").alias("day"), cents(F.col("amount_brl")).alias("cents"), "id", "golden")
+
+    def step(free: dict, row):  # found rows come first
+        if not row.golden:
+            free.setdefault((row.day, row.cents), deque()).append(row.id)
+            return None
+        able = [(free[row.day, c][0], c) for c in range(row.cents - limit, row.cents + limit + 1) if free.get((row.day, c))]
+        if not able:
+            return None
+        took, c = min(able)
+        free[row.day, c].popleft()
+        return row.doc_id, row.id, took
+
+    schema = f"doc_id {dict(golden.dtypes)['doc_id']}, g long, f long"
+    return _in_blocks(both, ["golden", "id"], schema, dict, step, lambda _, out: pd.DataFrame([x for x in out if x], columns=["doc_id", "g", "f"]))
+
+
+def _cuts(whole: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc_id, whole, text): each distinct text of whole cut at each place into the lengths that the document's parts have.
+
+    So "holds" becomes an equi-join: no pairs of texts are made.
+    """
+    lengths = parts.groupBy("doc_id").agg(F.collect_set(F.length("text")).alias("sizes"))
+    cut = whole.select("doc_id", F.col("text").alias("whole")).distinct().join(lengths, "doc_id").select("doc_id", "whole", F.explode("sizes").alias("n")).filter(F.length("whole") >= F.col("n"))
+    places = F.transform(F.sequence(F.lit(1), F.length("whole") - F.col("n") + 1), lambda at: F.substr("whole", at, F.col("n")))
+    return cut.select("doc_id", "whole", F.explode(F.array_distinct(places)).alias("text"))
+
+
+def description_matches(golden: DataFrame, found: DataFrame) -> DataFrame:
+    """Per document how many golden descriptions are extracted exactly, or in part (either holds the other), with rates in percent.
+
+    Case and blanks at the ends don't count. Precision is exact hits by extracted rows, recall by golden ones.
+    """
+    text = lambda d: d.select("doc_id", F.lower(F.trim(F.coalesce("description", F.lit("")))).alias("text"))
+    on = ["doc_id", "text"]
+    g, f = text(golden).groupBy(*on).agg(F.count("*").alias("n")), text(found)
+    names = f.distinct()
+    exact, rest = g.join(names, on, "left_semi"), g.join(names, on, "left_anti")
+    inside = rest.join(_cuts(names, rest), on, "left_semi").select(*on)
+    holds = _cuts(rest, names).join(names, on, "left_semi").select("doc_id", F.col("whole").alias("text"))
+    partly = rest.join(inside.unionByName(holds).distinct(), on, "left_semi")
+    count = lambda d, name: d.groupBy("doc_id").agg(F.sum("n").alias(name))
+    out = count(g, "golden").join(f.groupBy("doc_id").agg(F.count("*").alias("found")), "doc_id", "full_outer").join(count(exact, "exact"), "doc_id", "left").join(count(partly, "partial"), "doc_id", "left")
+    out = out.fillna(0, ["golden", "found", "exact", "partial"])
+    share = lambda x, y: F.coalesce(F.try_divide(x, F.col(y)), F.lit(0.0))
+    p, r = share(F.col("exact"), "found"), share(F.col("exact"), "golden")
+    rate = {"coverage": share(F.col("exact") + F.col("partial"), "golden"), "precision": p, "recall": r, "f1": F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))}
+    return out.select("doc_id", "golden", "found", "exact", "partial", *[F.round(100 * c, 6).alias(n) for n, c in rate.items()])
+
+
 def fx_match(rows: DataFrame, fx: DataFrame, order: str) -> DataFrame:
     """Foreign rows with the first fx item of the document whose amount is within a cent."""
     items = fx.select("doc_id", F.explode(F.array(*[cents(F.col("amount_brl")) + k for k in (-1, 0, 1)])).alias("\0cents"), F.struct(order, "fx_rate").alias("item"))

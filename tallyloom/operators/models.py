@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, IndexToString, NGram, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import enrich
+
 
 def train_categories(rows: DataFrame, text: str = "description", label: str = "category", trees: int = 100, words: int = 1000, depth: int = 10, seed: int = 42) -> PipelineModel:
     """TF-IDF of words and word pairs, and a forest with balanced class weights."""
@@ -33,12 +38,112 @@ def predict_categories(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select(*rows.columns, "predicted")
 
 
+def split(rows: DataFrame, key: str, held: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(training, held-out) rows by a hash of their key: equal keys stay together and reruns agree."""
+    part = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) < int(held * 10_000)
+    return rows.filter(~part), rows.filter(part)
+
+
+def held_out_accuracy(rows: DataFrame, key: str, text: str = "description", label: str = "category", **how) -> float:
+    """Share of held-out rows that a model of the others gets right; null without such rows."""
+    train, test = split(rows, key)
+    found = predict_categories(train_categories(train, text, label, **how), test)
+    return found.agg(F.avg((F.col("predicted") == F.col(label)).cast("int"))).first()[0]
+
+
+def cross_validated(rows: DataFrame, key: str, folds: int = 5, text: str = "description", label: str = "category", **how) -> list[float]:
+    """Accuracy on each of `folds` parts by a hash of the key, learned from the others."""
+    part = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(folds))
+    out = []
+    for k in range(folds):
+        model = train_categories(rows.filter(part != k), text, label, **how)
+        out.append(predict_categories(model, rows.filter(part == k)).agg(F.avg((F.col("predicted") == F.col(label)).cast("int"))).first()[0])
+    return out
+
+
+def train_outputs(rows: DataFrame, labels: Sequence[str], text: str = "description", missing: str = "UNKNOWN", **how) -> dict[str, PipelineModel]:
+    """A model for each label; a missing label is a class of its own."""
+    known = rows.fillna(missing, list(labels))
+    return {label: train_categories(known, text, label, **how) for label in labels}
+
+
+def predict_outputs(found: dict[str, PipelineModel], rows: DataFrame) -> DataFrame:
+    """rows with `predicted_<label>` of each model."""
+    for label, model in found.items():
+        rows = predict_categories(model, rows).withColumnRenamed("predicted", f"predicted_{label}")
+    return rows
+
+
+def importances(model: PipelineModel, k: int = 10) -> list[tuple[str, float]]:
+    """The k terms that weigh most in a category model, with their importance; equals in order of their names."""
+    terms = next(s for s in model.stages if isinstance(s, CountVectorizerModel)).vocabulary
+    weights = next(s for s in model.stages if isinstance(s, RandomForestClassificationModel)).featureImportances
+    return sorted(((t, float(w)) for t, w in zip(terms, weights.toArray(), strict=True) if w > 0), key=lambda x: (-x[1], x[0]))[:k]
+
+
+def saved(model: PipelineModel, path: str) -> PipelineModel:
+    """Writes a model and reads it back."""
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
+def enriched(rows: DataFrame, categories: PipelineModel | None = None, cities: DataFrame | None = None, sure: float = 0.1) -> DataFrame:
+    """rows with what models fill in: category where empty (and the row's confidence up by `sure` of the
+    model's probability, 1 at most), city where empty, and the rate and dollars of foreign rows without a rate."""
+    none = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    out = rows
+    if categories is not None:
+        found = categories.transform(out.withColumn("\0none", none("category"))).withColumn("\0p", F.array_max(vector_to_array("probability")))
+        out = found.select(
+            *[c for c in rows.columns if c not in ("category", "confidence")], F.when(F.col("`\0none`"), F.col("predicted")).otherwise(F.col("category")).alias("category"),
+            F.when(F.col("`\0none`"), F.least(F.col("confidence") + sure * F.col("`\0p`"), F.lit(1.0))).otherwise(F.col("confidence")).alias("confidence"),
+        )
+    if cities is not None:
+        found = enrich.cities(out, cities)
+        out = found.withColumn("merchant_city", F.when(none("merchant_city"), F.col("found_city")).otherwise(F.col("merchant_city"))).drop("found_city", "found_merchant")
+    foreign = ~F.coalesce("currency", F.lit("")).isin("", "BRL") & (F.coalesce("fx_rate", F.lit(0)) == 0)
+    rate = F.when(foreign, enrich.rate(F.col("amount_brl"), F.col("amount_orig"), F.col("currency"))).otherwise(F.col("fx_rate").cast("double"))
+    usd = F.when(foreign & (F.coalesce("amount_usd", F.lit(0)) == 0), F.round(F.try_divide(F.col("amount_brl").cast("double"), rate), 2)).otherwise(F.col("amount_usd").cast("double"))
+    return out.withColumns({"amount_usd": usd, "fx_rate": rate}).select(*rows.columns)
+
+
+def train_all(golden: DataFrame, path: str, key: str = "idx", **how) -> DataFrame:
+    """Trains and stores the category model and the vocabularies of cities and merchants; one row of what was learned."""
+    model = train_categories(golden, **how)
+    model.write().overwrite().save(f"{path}/categories")
+    enrich.known_cities(golden).write.mode("overwrite").parquet(f"{path}/cities")
+    enrich.known_merchants(golden).write.mode("overwrite").parquet(f"{path}/merchants")
+    spark = golden.sparkSession
+    count = lambda n: spark.read.parquet(f"{path}/{n}").count()
+    return spark.createDataFrame([(golden.count(), count("cities"), count("merchants"))], "rows long, cities long, merchants long")
+
+
 def train_rates(rows: DataFrame, features: list[str], label: str = "fx_rate", rounds: int = 20, seed: int = 42) -> PipelineModel:
     """Scaled features to a rate by boosted trees."""
     steps = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), GBTRegressor(labelCol=label, maxIter=rounds, maxDepth=5, stepSize=0.1, seed=seed)]
     return Pipeline(stages=steps).fit(rows)
 
 
+def predict_rates(model: PipelineModel | None, rows: DataFrame) -> DataFrame:
+    """rows with `predicted_rate` and `sure`: the rate the amounts imply where plausible (.95), else the model's (.7), else the usual one (.5), within the currency's bounds."""
+    low, high = enrich.bounds(F.col("currency"))
+    implied = F.try_divide(F.abs("amount_brl"), F.abs("amount_orig")).cast("double")
+    plain = F.when(implied.between(low, high), implied)
+    found = model.transform(rows) if model else rows.withColumn("prediction", F.lit(None).cast("double"))
+    guess = F.coalesce("prediction", enrich.rate(F.col("amount_brl"), F.col("amount_orig"), F.col("currency")))
+    sure = F.when(plain.isNotNull(), 0.95).when(F.col("prediction").isNotNull(), 0.7).otherwise(0.5)
+    return found.select(*rows.columns, F.coalesce(plain, F.least(F.greatest(guess, low), high)).alias("predicted_rate"), sure.alias("sure"))
+
+
+def platt(rows: DataFrame, features: Sequence[str], hit: str = "hit", default: float = 0.8) -> DataFrame:
+    """rows with `score`, the logistic probability of a hit; the default where there aren't hits and misses."""
+    if rows.select(hit).distinct().limit(2).count() < 2:
+        return rows.withColumn("score", F.lit(default))
+    made = VectorAssembler(inputCols=list(features), outputCol="\0f").transform(rows.withColumn("\0y", F.col(hit).cast("double")))
+    model = LogisticRegression(featuresCol="\0f", labelCol="\0y", probabilityCol="\0p", rawPredictionCol="\0r", predictionCol="\0c").fit(made)
+    return model.transform(made).select(*rows.columns, F.get(vector_to_array("\0p"), F.lit(1)).alias("score"))
+
+
 def calibrate(rows: DataFrame, score: str = "confidence", hit: str = "hit") -> DataFrame:
     """rows with `calibrated`, the isotonic share of hits at their score; the score itself below five rows."""
     if rows.limit(5).count() < 5:

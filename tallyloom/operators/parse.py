@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.text import MONEY
+from . import layout
 
+# Patterns of purchases, of a second line, of taxes and rates.
 NATIONAL = rf"^(\d{{2}}/\d{{2}})\s+(.+?)\s+({MONEY})$"
 FOREIGN = rf"^(\d{{2}}/\d{{2}})\s+(.+?)\s+({MONEY})\s+({MONEY})$"
 SECOND = r"^([A-ZÇÉÂÊÕ ]+)\.\s+([A-ZÂÁÉÍÓÚÊÔÛ .-]+)$"
@@ -58,11 +62,30 @@ def fallback(line: Column, year: int = 2024) -> Column:
     )
 
 
-def parse_lines(lines: DataFrame, year: int = 2024) -> DataFrame:
-    """Typed rows of lines by the first shape that fits: foreign, national, then fallback."""
+def last_amount(line: Column, year: int = 2024, default: str = "2024-01-01") -> Column:
+    """Struct of the last amount in a line, the first date anywhere (or the default) and the rest; null without an amount."""
+    money = F.try_element_at(F.regexp_extract_all(line, F.lit(f"({MONEY})"), F.lit(1)), F.lit(-1))
+    day = F.regexp_extract(line, r"\d{1,2}/\d{1,2}", 0)
+    rest = F.trim(F.replace(line, money, F.lit("")))
+    rest = F.when(day != "", F.trim(F.replace(rest, day, F.lit("")))).otherwise(rest)
+    return F.when(
+        money.isNotNull(),
+        F.struct(
+            F.coalesce(t.date(day, year), F.lit(default).cast("date")).alias("date"), F.when(rest == "", layout.UNKNOWN).otherwise(rest).alias("description"), t.amount(money).cast("decimal(18,2)").alias("amount_brl"),
+            F.lit(None).cast("decimal(18,2)").alias("amount_orig"), F.lit("fallback").alias("shape"), F.lit(0.7).alias("share"),
+        ),
+    )
+
+
+def parse_lines(lines: DataFrame, year: int = 2024, order: Sequence[str] = ("fx", "national", "fallback"), default: str = "2024-01-01") -> DataFrame:
+    """Typed rows of lines by the first shape that fits; headers, footers and blank lines give none.
+
+    A line with two amounts also fits the national shape, so foreign comes first unless the order says otherwise.
+    """
     line = F.trim("line")
-    first = F.coalesce(_row(line, FOREIGN, 4, 3, "fx", 1.0, year), _row(line, NATIONAL, 3, None, "national", 1.0, year), fallback(line, year))
-    return lines.withColumn("\0row", once(first)).filter("`\0row` is not null").select("doc_id", "line_no", "`\0row`.*")
+    shapes = {"fx": _row(line, FOREIGN, 4, 3, "fx", 1.0, year), "national": _row(line, NATIONAL, 3, None, "national", 1.0, year), "fallback": last_amount(line, year, default)}
+    kept = lines.filter((line != "") & ~layout.is_header(line))
+    return kept.withColumn("\0row", once(F.coalesce(*[shapes[s] for s in order]))).filter("`\0row` is not null").select("doc_id", "line_no", "`\0row`.*")
 
 
 def _per_doc(*more: str):
@@ -86,15 +109,22 @@ def sections(lines: DataFrame) -> DataFrame:
 
 
 def fx_chunks(lines: DataFrame) -> DataFrame:
-    """Foreign purchases: a two-amount line whose rate (needed) and tax are in the two lines after it."""
+    """Foreign purchases: a two-amount line whose rate (needed) and tax (0 without) are in the two lines after it.
+
+    A line up to the last that a purchase uses belongs to no other; purchases equal in date,
+    description, both amounts and rate count once.
+    """
     w = _per_doc()
-    a, b = F.lead("line", 1).over(w), F.lead("line", 2).over(w)
-    rate = lambda c: F.nullif(F.regexp_extract(c, RATE, 1), F.lit(""))
+    rate = lambda c: F.when(~F.col(c).rlike(IOF), F.nullif(F.regexp_extract(c, RATE, 1), F.lit("")))
     tax = lambda c: F.when(F.col(c).rlike(IOF), F.nullif(F.regexp_extract(c, MONEY, 0), F.lit("")))
-    out = lines.withColumns({"a": a, "b": b}).withColumn("\0row", once(_row(F.col("line"), FOREIGN, 4, 3, "fx", 1.0, 2024)))
-    out = out.withColumns({"rate": t.amount(F.coalesce(rate("a"), rate("b")), "C"), "iof": t.amount(F.coalesce(tax("a"), tax("b")), "C")})
-    out = out.filter("`\0row` is not null and rate is not null")
-    return out.select("doc_id", "line_no", "`\0row`.date", "`\0row`.description", "`\0row`.amount_orig", "`\0row`.amount_brl", F.col("rate").cast("decimal(18,4)").alias("fx_rate"), F.col("iof").cast("decimal(18,2)").alias("iof_brl"))
+    out = lines.withColumns({"start": F.row_number().over(w), "a": F.lead("line", 1).over(w), "b": F.lead("line", 2).over(w)}).filter(F.col("line").rlike(FOREIGN))
+    out = out.withColumns({"ra": rate("a"), "rb": rate("b"), "ta": tax("a"), "tb": tax("b")}).filter("ra is not null or rb is not null")
+    out = out.withColumn("end", F.col("start") + F.when(F.col("rb").isNotNull() | F.col("tb").isNotNull(), 2).otherwise(1))
+    found = layout.non_overlapping(out).withColumn("\0row", once(_row(F.col("line"), FOREIGN, 4, 3, "fx", 1.0, 2024)))
+    found = found.withColumns({"fx_rate": t.amount(F.coalesce("rb", "ra"), "C").cast("decimal(18,4)"), "iof_brl": F.coalesce(t.amount(F.coalesce("tb", "ta"), "C"), F.lit(0)).cast("decimal(18,2)")})
+    found = found.select("doc_id", "line_no", "`\0row`.date", "`\0row`.description", "`\0row`.amount_orig", "`\0row`.amount_brl", "fx_rate", "iof_brl")
+    same = W.partitionBy("doc_id", "date", "description", "amount_brl", "amount_orig", "fx_rate").orderBy("line_no")
+    return found.withColumn("\0n", F.row_number().over(same)).filter("`\0n` = 1").drop("\0n")
 
 
 def infer_columns(cells: DataFrame) -> DataFrame:
@@ -116,18 +146,6 @@ def infer_columns(cells: DataFrame) -> DataFrame:
     return found.join(text, key, "left").select(*key, "date_col", "amount_col", "description_col")
 
 
-def table_rows(cells: DataFrame) -> DataFrame:
-    """One typed row for each table row: first date, last amount, first text longer than 3."""
-    row = cells.groupBy("doc_id", "table_idx", "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "content"))).alias("cells"))
-    texts = F.transform("cells", lambda c: F.trim(c["content"]))
-    row = row.withColumn("texts", texts)
-    day = F.get(F.filter("texts", lambda x: x.rlike(r"^\d{1,2}/\d{1,2}")), F.lit(0))
-    money = F.try_element_at(F.filter("texts", lambda x: x.rlike(f"^{MONEY}$")), F.lit(-1))
-    text = F.get(F.filter("texts", lambda x: (F.length(x) > 3) & ~x.rlike(r"^\d{1,2}/\d{1,2}") & ~x.rlike(f"^{MONEY}$")), F.lit(0))
-    out = row.select("doc_id", "table_idx", "row_idx", t.date(day).alias("date"), text.alias("description"), t.amount(money).cast("decimal(18,2)").alias("amount_brl"))
-    return out.filter("date is not null and amount_brl is not null")
-
-
 def word_rows(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """Words (doc_id, page, text, x0, x1, top, bottom) to lines by rounded top, with their box."""
     by = words.groupBy("doc_id", "page", F.bround(F.col("top") / tolerance, 0).cast("long").alias("bucket"))
@@ -136,18 +154,23 @@ def word_rows(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
 
 
 def anchored_rows(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """Words to lines by anchor: a word starts a line when it is further than tolerance from the line's first."""
-    by = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))).alias("ws"))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("n"), F.array().cast("array<struct<n:int,x0:double,text:string>>").alias("out"))
-
-    def add(a, w):
-        new = a["anchor"].isNull() | (F.abs(w["top"] - a["anchor"]) > tolerance)
-        n = F.when(new, a["n"] + 1).otherwise(a["n"])
-        item = F.struct(n.alias("n"), w["x0"].alias("x0"), w["text"].alias("text"))
-        return F.struct(F.when(new, w["top"]).otherwise(a["anchor"]).alias("anchor"), n.alias("n"), F.array_append(a["out"], item).alias("out"))
-
-    flat = by.select("doc_id", "page", F.explode(F.aggregate("ws", start, add)["out"]).alias("w"))
-    rows = flat.groupBy("doc_id", "page", F.col("w.n").alias("row")).agg(F.array_sort(F.collect_list(F.struct("w.x0", "w.text"))).alias("ws"))
+    """Words to lines by anchor: a word starts a line when it is further than tolerance from the line's first.
+
+    The fold goes over a page's distinct heights and keeps the line's anchor for each, so it
+    grows with the lines of a page; words find their line by their height.
+    """
+    heights = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_set("top")).alias("tops"))
+    none = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<double>").alias("starts"))
+
+    def add(a, top):
+        new = a["anchor"].isNull() | (F.abs(top - a["anchor"]) > tolerance)
+        return F.when(new, F.struct(top.alias("anchor"), F.array_append(a["starts"], top).alias("starts"))).otherwise(a)
+
+    starts = heights.select("doc_id", "page", F.posexplode(F.aggregate("tops", none, add)["starts"]).alias("row", "top"))
+    marked = words.select("doc_id", "page", "top", "x0", "text", F.lit(None).cast("int").alias("row")).unionByName(starts.select("doc_id", "page", "top", F.lit(None).cast("double").alias("x0"), F.lit(None).cast("string").alias("text"), "row"))
+    by_top = W.partitionBy("doc_id", "page").orderBy("top").rangeBetween(W.unboundedPreceding, 0)
+    placed = marked.withColumn("row", F.max("row").over(by_top)).filter("text is not null")
+    rows = placed.groupBy("doc_id", "page", "row").agg(F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("ws"))
     return rows.select("doc_id", "page", "row", F.array_join(F.transform("ws", lambda w: w["text"]), " ").alias("line"))
 
 
@@ -168,7 +191,6 @@ def totals(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def account(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Account number and balance a statement names."""
-    number = F.nullif(F.regexp_extract(text_col, r"(?iu)conta:?\s*(\d+-?\d*)", 1), F.lit(""))
-    balance = F.nullif(F.regexp_extract(text_col, r"(?iu)saldo(?:\s+final)?:?\s*R\$\s*([\d.,]+)", 1), F.lit(""))
-    return docs.select("doc_id", number.alias("account"), t.amount(balance, "C").cast("decimal(18,2)").alias("balance"))
+    """Account, balance, period and due date that a statement names."""
+    text = F.col(text_col)
+    return docs.select("doc_id", t.account(text).alias("account"), t.balance(text).alias("balance"), t.period(text).alias("\0p")).select("doc_id", "account", "balance", "`\0p`.*")

@@ -5,13 +5,44 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import confidence
 from ..functions import text as t
 from .linkage import aligned, cents
 
-FIELDS = ("description", "category", "currency")
+#: The fields whose cells are compared; the critical ones count twice and decide the grade.
+CRITICAL = ("date", "amount_brl", "description", "category")
+FIELDS = (*CRITICAL, "currency", "merchant_city", "fx_rate", "card_last4")
+
+
+def _alike(a: Column, b: Column, least: int) -> Column:
+    """Equal without case and outer blanks, or one inside the other where both are longer than `least`."""
+    x, y = F.trim(F.upper(a)), F.trim(F.upper(b))
+    return (x == y) | ((F.length(x) > least) & (F.length(y) > least) & (x.contains(y) | y.contains(x)))
+
+
+#: How a field's cells are compared, by name; others must be equal.
+COMPARATORS = {
+    "date": lambda a, b: a == b,
+    "amount_brl": lambda a, b: F.abs(a - b) < 0.01,
+    "fx_rate": lambda a, b: F.abs(a - b) < 0.01,
+    "description": lambda a, b: _alike(a, b, 10),
+    "category": lambda a, b: F.upper(a) == F.upper(b),
+    "merchant_city": lambda a, b: _alike(a, b, 5),
+}
+
+
+def same(field: str, a: Column, b: Column) -> Column:
+    """Whether two cells of a field agree; two missing ones do, a missing and another don't."""
+    compare = COMPARATORS.get(field, lambda x, y: x == y)
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(compare(a, b))
+
+
+def rounded(x: Column) -> Column:
+    """Six places, halves up whatever the order of the sums that x was made of."""
+    return F.floor(x * 1_000_000 + F.lit(0.500001)) / 1_000_000
 
 
 def f1(p: Column, r: Column) -> Column:
@@ -36,30 +67,55 @@ def prf(found: DataFrame, golden: DataFrame, multiset: bool = True) -> DataFrame
     return sums.select("doc_id", "tp", "found", "golden", *rates(F.col("tp"), F.col("found"), F.col("golden")))
 
 
-def cells(found: DataFrame, golden: DataFrame, order: str, fields: Sequence[str] = FIELDS) -> DataFrame:
-    """Per document and field: correct, incorrect, missing and extra cells with their rates."""
+def cells(found: DataFrame, golden: DataFrame, order: str, fields: Sequence[str] | None = None, examples: int = 5) -> DataFrame:
+    """Per document and field: golden cells, correct, incorrect, missing and extra ones, their rates and the first examples of errors.
+
+    Fields are those of FIELDS that both tables have, unless named.
+    """
+    fields = fields or [f for f in FIELDS if f in found.columns and f in golden.columns]
     pairs = aligned(found, golden, order)
-    long = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.trim(F.lower(F.col(f"f.{f}"))).alias("a"), F.trim(F.lower(F.col(f"g.{f}"))).alias("b")) for f in fields]))
-    rows = pairs.select("doc_id", F.col("f").isNotNull().alias("has_f"), F.col("g").isNotNull().alias("has_g"), long.alias("c"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    got = lambda f: (F.col(f"f.{f}"), F.col(f"g.{f}"))
+    items = [F.struct(F.lit(f).alias("field"), same(f, *got(f)).alias("same"), text(got(f)[0]).alias("got"), text(got(f)[1]).alias("want")) for f in fields]
+    rows = pairs.select("doc_id", F.col("f").isNotNull().alias("has_f"), F.col("g").isNotNull().alias("has_g"), F.coalesce(f"g.{order}", f"f.{order}").alias("at"), F.explode(F.array(*items)).alias("c"))
     both = F.col("has_f") & F.col("has_g")
-    same = F.col("c.a").eqNullSafe(F.col("c.b"))
     out = rows.groupBy("doc_id", "c.field").agg(
-        F.count("*").alias("total"), F.count_if(both & same).alias("correct"), F.count_if(both & ~same).alias("incorrect"),
+        F.count_if("has_g").alias("total"), F.count_if(both & F.col("c.same")).alias("correct"), F.count_if(both & ~F.col("c.same")).alias("incorrect"),
         F.count_if(~F.col("has_f")).alias("missing"), F.count_if(~F.col("has_g")).alias("extra"),
     )
     ratio = lambda *d: F.round(F.coalesce(F.try_divide(F.col("correct"), sum(map(F.col, d[1:]), F.col(d[0]))), F.lit(0.0)), 6)
     out = out.withColumns({"accuracy": ratio("total"), "precision": ratio("correct", "incorrect", "extra"), "recall": ratio("correct", "missing")})
-    return out
+    out = out.withColumn("f1", F.round(f1(F.col("precision"), F.col("recall")), 6))
+    if not examples:
+        return out
+    wrong = rows.filter(F.col("has_g") & ~(both & F.col("c.same"))).select("doc_id", "c.field", "at", F.when(both, F.concat(F.lit("Expected: "), "c.want", F.lit(", Got: "), "c.got")).otherwise(F.concat(F.lit("Missing: "), "c.want")).alias("error"))
+    return out.join(first_of(wrong, ["doc_id", "field"], ["at", "error"], "error", examples, "examples"), ["doc_id", "field"], "left")
+
 
+def first_of(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str, k: int, name: str) -> DataFrame:
+    """The first k values of each key, as an array."""
+    ranked = rows.withColumn("\0n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).filter(F.col("`\0n`") <= k)
+    return ranked.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("\0n", value))), lambda x: x[value]).alias(name))
 
-def health(accuracies: DataFrame, critical: Sequence[str] = ("description",)) -> DataFrame:
-    """Per document the overall accuracy (critical fields count twice), the critical one and the grade."""
+
+def health(accuracies: DataFrame, critical: Sequence[str] = CRITICAL) -> DataFrame:
+    """Per document the overall accuracy (critical fields count twice), the critical one, the grade and advice."""
     is_critical = F.col("field").isin(*critical)
     w = F.when(is_critical, 2.0).otherwise(1.0)
     out = accuracies.groupBy("doc_id").agg(
-        F.round(F.sum(w * F.col("accuracy")) / F.sum(w), 6).alias("overall"), F.round(F.avg(F.when(is_critical, F.col("accuracy"))), 6).alias("critical")
-    )
-    return out.withColumn("grade", confidence.grade(F.round(0.4 * F.col("overall") + 0.6 * F.col("critical"), 6)))
+        rounded(F.sum(w * F.col("accuracy")) / F.sum(w)).alias("overall"), rounded(F.coalesce(F.avg(F.when(is_critical, F.col("accuracy"))), F.lit(0.0))).alias("critical"),
+        F.slice(F.array_sort(F.collect_list(F.struct("accuracy", "field"))), 1, 3).alias("\0worst"),
+    )
+    out = out.withColumn("grade", confidence.grade(rounded(0.4 * F.col("overall") + 0.6 * F.col("critical"))))
+    return out.withColumn("advice", advice(F.col("grade"), F.col("`\0worst`"))).drop("\0worst")
+
+
+def advice(grade: Column, worst: Column) -> Column:
+    """What a grade means for the use of an extractor; the poor ones name their worst fields."""
+    issues = F.array_join(F.transform(worst, lambda x: F.concat(x["field"], F.lit(" ("), F.format_number(100 * x["accuracy"], 1), F.lit("%)"))), ", ")
+    poor = F.concat(F.lit("Poor performance. Major issues with: "), issues, F.lit(". Consider alternative methods."))
+    said = F.when(grade.isin("A+", "A"), "Excellent performance. Use as primary extractor.").when(grade.isin("B+", "B"), "Good performance. Suitable for production with light review.")
+    return said.when(grade.isin("C+", "C"), "Fair performance. Use with careful review or as secondary method.").otherwise(poor)
 
 
 def field_compare(pairs: DataFrame, days: int = 1, within: float = 0.01, least: float = 0.7) -> DataFrame:
@@ -74,29 +130,54 @@ def field_compare(pairs: DataFrame, days: int = 1, within: float = 0.01, least:
     return pairs.select("pair_id", F.explode(items).alias("i")).select("pair_id", "i.*")
 
 
-def expectations(rows: DataFrame, mostly: float = 0.95, categories: Sequence[str] = ()) -> DataFrame:
-    """Rules of a statement's rows: rule, pass ratio and success, by document in one pass."""
-    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
+#: The columns a statement's rows should have, in order.
+COLUMNS = ("date", "description", "amount_brl", "category", "confidence")
+
+
+def expectations(rows: DataFrame, mostly: float = 0.95, categories: Sequence[str] = (), columns: Sequence[str] = COLUMNS) -> DataFrame:
+    """The 14 rules of a statement's rows: rule, pass ratio and success, by document in one pass.
+
+    Dates and amounts are judged as the text they are exported as; ratios are of the rows with a value.
+    """
+    share = lambda c: F.coalesce(F.avg(c.cast("int")), F.lit(1.0))
+    filled = lambda c: F.avg(F.col(c).isNotNull().cast("int"))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int").cast("double")
+    kinds = dict(rows.dtypes)
+    money = F.replace(F.col("amount_brl").cast("string"), F.lit("."), F.lit(","))
+    known = F.coalesce("category", F.lit("")) == ""
     rules = {
-        "row_count": (F.count("*").between(1, 200).cast("int").cast("double"), 1.0),
-        "date_not_null": (share(F.col("date").isNotNull()), 1.0),
-        "description_not_null": (share(F.col("description").isNotNull()), 1.0),
-        "amount_not_null": (share(F.col("amount_brl").isNotNull()), 1.0),
+        "row_count": (flag(F.count("*").between(1, 200)), 1.0),
+        "columns": (F.lit(float([c for c in rows.columns if c in columns] == list(columns))), 1.0),
+        "date_not_null": (filled("date"), 1.0),
+        "date_format": (share(F.col("date").cast("string").rlike(r"^\d{4}-\d{2}-\d{2}$")), mostly),
+        "date_type": (F.lit(float(kinds["date"] == "date")), 1.0),
+        "description_not_null": (filled("description"), 1.0),
         "description_length": (share(F.length("description").between(1, 200)), mostly),
-        "description_not_blank": (share(F.trim("description") != ""), 1.0),
-        "category_in_set": (share(F.col("category").isin(*categories)), 0.8),
+        "description_not_blank": (share(~F.col("description").rlike(r"^\s*$")), 1.0),
+        "amount_not_null": (filled("amount_brl"), 1.0),
+        "amount_type": (F.lit(float(kinds["amount_brl"].startswith("decimal"))), 1.0),
+        "amount_format": (share(money.rlike(r"^-?\d+[,.]?\d*$")), mostly),
+        "category_in_set": (share(known | F.col("category").isin(*categories)), 0.8),
         "confidence_between": (share(F.col("confidence").between(0, 1)), mostly),
-        "total_between": (F.coalesce(F.sum("amount_brl").between(-50000, 50000), F.lit(False)).cast("int").cast("double"), 1.0),
+        "total_between": (flag(F.sum("amount_brl").between(-50000, 50000)), 1.0),
     }
     wide = rows.groupBy("doc_id").agg(*[F.round(c, 6).alias(n) for n, (c, _) in rules.items()])
-    items = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("ratio"), (F.col(n) >= least).alias("success")) for n, (_, least) in rules.items()])
+    items = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("rule"), F.col(n).alias("ratio"), (F.col(n) >= least).alias("success")) for i, (n, (_, least)) in enumerate(rules.items())])
     return wide.select("doc_id", F.explode(items).alias("i")).select("doc_id", "i.*")
 
 
-def suite(results: DataFrame) -> DataFrame:
-    """Per document the share of rules that hold and the names of those that fail."""
-    failed = F.array_join(F.sort_array(F.collect_list(F.when(~F.col("success"), F.col("rule")))), ",")
-    return results.groupBy("doc_id").agg(F.round(100 * F.avg(F.col("success").cast("int")), 6).alias("success_percent"), failed.alias("failures"))
+def suite(results: DataFrame, most: int = 5) -> DataFrame:
+    """Per document: success, share of rules that hold, numbers of rules, and the first failures in the rules' order."""
+    failed = F.array_sort(F.collect_list(F.when(~F.col("success"), F.struct("place", "rule"))))
+    return results.groupBy("doc_id").agg(
+        F.bool_and("success").alias("success"), F.round(100 * F.avg(F.col("success").cast("int")), 6).alias("success_percent"), F.count("*").alias("evaluated"), F.count_if("success").alias("successful"),
+        F.count_if(~F.col("success")).alias("failed"), F.array_join(F.transform(F.slice(failed, 1, most), lambda x: x["rule"]), ",").alias("failures"),
+    )
+
+
+def gate(rows: DataFrame, **rules) -> DataFrame:
+    """(doc_id, ok): whether all rules hold; a document that can't be judged doesn't."""
+    return suite(expectations(rows, **rules)).select("doc_id", F.coalesce("success", F.lit(False)).alias("ok"))
 
 
 def quality_score(rows: DataFrame, runs: DataFrame) -> DataFrame:

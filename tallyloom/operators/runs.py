@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import confidence
+from .quality import rounded
 
 
 def run_metrics(runs: DataFrame) -> DataFrame:
@@ -51,14 +52,26 @@ def ensemble_confidence(rows: DataFrame) -> DataFrame:
     """.5 mean pipeline + .4 mean row + .1 min(.1 sources, .3), boosted by .2 of the filled share, at most 1."""
     by = rows.groupBy("doc_id").agg(F.avg("pipeline_confidence").alias("p"), F.avg("confidence").alias("c"), F.count_distinct("extractor").alias("k"), F.avg("filled").alias("f"))
     base = 0.5 * F.col("p") + 0.4 * F.col("c") + 0.1 * F.least(0.1 * F.col("k"), F.lit(0.3))
-    return by.select("doc_id", F.round(base, 6).alias("ensemble"), F.round(F.least(base + 0.2 * F.col("f"), F.lit(1.0)), 6).alias("boosted"))
+    return by.select("doc_id", rounded(base).alias("ensemble"), rounded(F.least(base + 0.2 * F.col("f"), F.lit(1.0))).alias("boosted"))
 
 
 def totals_check(rows: DataFrame, totals: DataFrame, within: float = 0.05) -> DataFrame:
-    """Sums of national and foreign rows against a statement's totals, relative; a zero total must be met exactly."""
+    """Sums of national, foreign and all rows against a statement's totals, relative.
+
+    A total that isn't stated gives null; a zero one must be met exactly. No currency counts as national.
+    """
     home = F.coalesce("currency", F.lit("")).isin("", "BRL")
     sums = rows.groupBy("doc_id").agg(F.sum(F.when(home, F.abs("amount_brl")).otherwise(0)).alias("a"), F.sum(F.when(home, 0).otherwise(F.abs("amount_brl"))).alias("b"))
-    near = lambda x, y: F.when(F.col(y) == 0, F.col(x) == 0).otherwise(F.abs(F.col(x) - F.col(y)) <= within * F.abs(F.col(y)))
+    near = lambda x, y: F.when(F.col(y) == 0, x == 0).when(F.col(y).isNotNull(), F.abs(x - F.col(y)) <= within * F.abs(F.col(y)))
+    a, b = F.col("a"), F.col("b")
+    return sums.join(totals, "doc_id").select("doc_id", near(a, "national").alias("national_ok"), near(b, "international").alias("international_ok"), near(a + b, "overall").alias("overall_ok"))
+
+
+def template_totals(rows: DataFrame, totals: DataFrame, within: float = 0.05) -> DataFrame:
+    """Sums of BRL and of all other rows against a statement's totals, by an absolute difference; no currency counts as foreign."""
+    home = F.coalesce("currency", F.lit("")) == "BRL"
+    sums = rows.groupBy("doc_id").agg(F.sum(F.when(home, F.abs("amount_brl")).otherwise(0)).alias("a"), F.sum(F.when(home, 0).otherwise(F.abs("amount_brl"))).alias("b"))
+    near = lambda x, y: F.abs(F.col(x) - F.col(y)) < within
     return sums.join(totals, "doc_id").select("doc_id", near("a", "national").alias("national_ok"), near("b", "international").alias("international_ok"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -14,12 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statement rows from orders and customers; a document is a month."""
+    """Statement rows from orders and customers; a document is a month of a hundred customers."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     k = F.col("o_orderkey")
     description = F.concat_ws(" ", "c_mktsegment", F.when(k % 5 == 0, "UBER").when(k % 5 == 1, "PADARIA").when(k % 5 == 2, "NETFLIX"), "c_name")
     return o.select(
-        F.date_format("o_orderdate", "yyyy-MM").alias("doc_id"), k.alias("idx"), F.to_date("o_orderdate").alias("date"), description.alias("description"),
+        F.concat_ws("/", F.date_format("o_orderdate", "yyyy-MM"), F.floor(F.col("o_custkey") / 100).cast("string")).alias("doc_id"), k.alias("idx"), F.to_date("o_orderdate").alias("date"), description.alias("description"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("amount_brl"), rules.category(description).alias("category"),
         F.when(k % 4 == 0, "USD").when(k % 4 == 1, "EUR").otherwise("BRL").alias("currency"),
         (F.lit(0.5) + (k % 50) / 100).alias("confidence"), (F.lit(0.6) + (k % 3) / 10).alias("pipeline_confidence"),
@@ -49,12 +50,37 @@ def lines(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("idx").alias("line_no"), text.alias("line"))
 
 
+def full_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rows with city, rate and card, each missing on some."""
+    k, found = F.col("idx"), rows(spark, sf_dir)
+    rate = F.when(F.col("currency") != "BRL", (5 + (k % 10) / 10).cast("decimal(12,6)"))
+    return found.withColumns({"merchant_city": F.when(k % 3 == 0, "SAO PAULO").when(k % 3 == 1, "RIO"), "fx_rate": rate, "card_last4": F.lpad((k % 10000).cast("string"), 4, "0")})
+
+
+def labelled(full: DataFrame) -> DataFrame:
+    """Labels of full_rows: golden's gaps and repeats, and cells that differ a little or wholly."""
+    k, d, rate = F.col("idx"), F.col("description"), F.col("fx_rate")
+    out = golden(full)
+    return out.withColumns(
+        {
+            "description": F.when(k % 19 == 0, F.substring("description", 1, F.length("description") - 3)).when(k % 23 == 0, F.concat(F.lit("X"), F.substr(d, F.lit(2)))).otherwise(d),
+            "category": F.when(k % 29 == 0, F.lower("category")).otherwise(F.col("category")),
+            "merchant_city": F.when(k % 31 == 0, "SAO PAULO SP").otherwise(F.col("merchant_city")),
+            "fx_rate": F.when(k % 37 == 0, rate + F.lit("0.005").cast("decimal(12,6)")).when(k % 41 == 0, rate + F.lit("0.02").cast("decimal(12,6)")).otherwise(rate).cast("decimal(12,6)"),
+            "card_last4": F.when(k % 43 != 0, F.col("card_last4")),
+        }
+    )
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Table cells of line items: date, text, amount."""
+    """Table cells of line items: a header row 1, then date, text and amount; every line item is a row."""
     li = table(spark, sf_dir, "lineitem")
-    content = F.array(F.date_format("l_shipdate", "dd/MM"), F.concat(F.lit("ITEM "), F.col("l_partkey").cast("string"), F.lit(" "), "l_returnflag"), t.money(F.col("l_extendedprice").cast("decimal(18,2)")))
-    out = li.select(F.col("l_suppkey").alias("doc_id"), F.col("l_orderkey").alias("table_idx"), F.col("l_linenumber").alias("row_idx"), F.posexplode(content).alias("col_idx", "content"))
-    return out
+    w = W.partitionBy("l_suppkey", "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_returnflag", "l_quantity", "l_discount", "l_tax")
+    li = li.withColumn("at", F.row_number().over(w))
+    content = F.array(F.date_format("l_shipdate", "dd/MM"), F.concat(F.lit("ITEM "), F.translate(F.col("l_partkey").cast("string"), "0123456789", "abcdefghij"), F.lit(" "), "l_returnflag"), t.money(F.col("l_extendedprice").cast("decimal(18,2)")))
+    body = li.select(F.col("l_suppkey").alias("doc_id"), F.col("l_orderkey").alias("table_idx"), (F.col("at") + 1).alias("row_idx"), F.posexplode(content).alias("col_idx", "content"))
+    head = li.select("l_suppkey", "l_orderkey").distinct().select(F.col("l_suppkey").alias("doc_id"), F.col("l_orderkey").alias("table_idx"), F.lit(1).alias("row_idx"), F.posexplode(F.array(*map(F.lit, ("DATA", "HISTÓRICO", "VALOR R$ 1")))).alias("col_idx", "content"))
+    return body.unionByName(head)
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,43 +11,9 @@ from .functions import confidence, rules
 from .functions import text as t
 from .operators import enrich, linkage, models, parse, quality, runs
 from .plans import adapters as a
+from .registry import ORACLES, QUERIES, SQL_ROWS, num, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-CASES = "\n".join(f"WHEN regexp_matches(upper(description), '{p}') THEN '{n}'" for n, p in rules.CATEGORIES)
 MONEY, NATIONAL, FOREIGN = parse.MONEY, parse.NATIONAL, parse.FOREIGN
-SQL_ROWS = f"""WITH base AS (
- SELECT strftime(o_orderdate, '%Y-%m') doc_id, o_orderkey idx, CAST(o_orderdate AS DATE) date,
-  concat_ws(' ', c_mktsegment, CASE o_orderkey % 5 WHEN 0 THEN 'UBER' WHEN 1 THEN 'PADARIA' WHEN 2 THEN 'NETFLIX' END, c_name) description,
-  CAST(o_totalprice AS DECIMAL(18,2)) amount_brl, CASE o_orderkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'BRL' END currency,
-  0.5::DOUBLE + (o_orderkey % 50) / 100.0::DOUBLE confidence, 0.6::DOUBLE + (o_orderkey % 3) / 10.0::DOUBLE pipeline_confidence,
-  ['textract', 'azure', 'pdfplumber', 'camelot'][o_orderkey % 4 + 1] extractor
- FROM orders JOIN customer ON o_custkey = c_custkey),
-rows AS (SELECT *, CASE {CASES} ELSE 'OUTROS' END category FROM base),
-second AS (SELECT * REPLACE (CASE WHEN idx % 13 = 0 THEN date + 1 ELSE date END AS date, CAST(amount_brl + CASE WHEN idx % 11 = 0 THEN 0.01 ELSE 0 END AS DECIMAL(18,2)) AS amount_brl) FROM rows WHERE idx % 7 <> 0),
-golden1 AS (SELECT * REPLACE (CASE WHEN idx % 17 = 0 THEN 'OUTROS' ELSE category END AS category) FROM rows WHERE idx % 6 <> 0),
-golden AS (SELECT * FROM golden1 UNION ALL SELECT * FROM golden1 WHERE idx % 97 = 0),
-lines AS (SELECT doc_id, idx line_no, strftime(date, '%d/%m') || ' ' || description || CASE WHEN idx % 9 = 0 THEN ' 10,00 ' ELSE ' ' END || translate(format('{{:,.2f}}', amount_brl::DOUBLE), ',.', '.,') line FROM rows),
-runs AS (SELECT event_id run_id, ts, user_id doc_id, event_type AS method, event_id % 10 <> 0 success, (event_id % 100) / 100.0::DOUBLE confidence, round(value, 4) time_ms, event_id % 7 + 1 pages, CASE WHEN event_id % 10 = 0 THEN 'E' || (event_id % 30) END error FROM events)
-"""
-
-
-def query(sql: str | None = None, rows: bool = True):
-    """Registers a query under its function's name, with its SQL if it has any."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = (SQL_ROWS if rows else "") + sql
-        return f
-
-    return register
-
-
-def num(sql: str) -> str:
-    """SQL for decimal text with a comma and thousands points as a number."""
-    return f"TRY_CAST(replace(replace({sql}, '.', ''), ',', '.') AS DECIMAL(38,6))"
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +22,12 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("description").agg(F.count("*").alias("n"), F.sum("amount_brl").cast("double").alias("total"))
 
 
-TEXTS = "['1.234,56', '156,78', 'R$ 1.234,56', '-156,78', '', '1234.56', '1,234.56', '1.234.567', 'abc', '12 345,00']"
+TEXTS = ["1.234,56", "156,78", "R$ 1.234,56", "-156,78", "", "1234.56", "1,234.56", "1.234.567", "abc", "12 345,00"]
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    fixed = F.array(*[F.lit(x) for x in eval(TEXTS)])  # noqa: S307  a list of fixed values above
+    fixed = F.array(*map(F.lit, TEXTS))
     return a.table(spark, sf_dir, "orders").select(k.alias("idx"), F.concat(F.element_at(fixed, (k % 10 + 1).cast("int")), F.when(k % 3 == 0, (k % 97).cast("string")).otherwise("")).alias("text"))
 
 
@@ -124,12 +90,6 @@ def fx_lines(spark, sf_dir):
     return a.rows(spark, sf_dir).select("idx", F.round(t.fx_rate(rate).cast("double"), 4).alias("rate"), x["city"].alias("city"), x["currency"].alias("currency"), F.round(x["amount"].cast("double"), 2).alias("amount"))
 
 
-@query("""SELECT idx, CASE idx % 4 WHEN 0 THEN 'SAO PAULO' WHEN 1 THEN 'RIO' WHEN 2 THEN 'BELEM' END city FROM rows""")
-def merchant_city(spark, sf_dir):
-    k = F.col("idx")
-    x = F.when(k % 4 == 0, "loja 1 SAO PAULO BR").when(k % 4 == 1, "posto x RIO").when(k % 4 == 2, "mercado BELEM 22 y").otherwise("pix FINAL")
-    return a.rows(spark, sf_dir).select("idx", t.city(x).alias("city"))
-
 
 @query("""SELECT idx, substr(md5(strftime(date, '%Y-%m-%d') || '_' || description || '_' || amount_brl::VARCHAR), 1, 8) hash, substr(md5(strftime(date, '%Y-%m-%d') || '_' || description || '_' || amount_brl::VARCHAR || '_' || currency), 1, 8) hash4 FROM rows""")
 def ledger_hash(spark, sf_dir):
@@ -142,12 +102,6 @@ def category_rules(spark, sf_dir):
     return a.rows(spark, sf_dir).select("idx", "category")
 
 
-@query(f"""SELECT idx, CASE WHEN regexp_matches(line, '{rules.FX_ROW}') THEN 'FX' WHEN amount < 0 THEN 'COMPRA' ELSE 'CREDITO' END kind, regexp_matches(upper(line), '{"|".join(rules.FOREIGN)}') international, 'transaction' class
- FROM (SELECT line_no idx, line, CASE WHEN line_no % 2 = 0 THEN 1 ELSE -1 END amount FROM lines)""")
-def classify_txn(spark, sf_dir):
-    line, value = F.col("line"), F.when(F.col("line_no") % 2 == 0, 1).otherwise(-1)
-    return a.lines(a.rows(spark, sf_dir)).select(F.col("line_no").alias("idx"), rules.kind(line, value).alias("kind"), rules.is_foreign(line).alias("international"), rules.row_class(line).alias("class"))
-
 
 @query(f"""SELECT class, count(*) n FROM (SELECT CASE WHEN regexp_matches(lower(l), '{"|".join(rules.SUMMARY)}') THEN 'summary' WHEN regexp_matches(l, '^\\d{{2}}/\\d{{2}}') THEN 'transaction' ELSE 'noise' END class FROM (SELECT unnest(string_split(text, chr(10))) l FROM documents)) GROUP BY class""", rows=False)
 def row_class(spark, sf_dir):
@@ -155,12 +109,6 @@ def row_class(spark, sf_dir):
     return lines.groupBy(rules.row_class(F.col("line")).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT line_no idx, CASE WHEN line_no % 3 = 0 THEN 'form' WHEN line_no % 3 = 1 THEN 'invoice' ELSE 'ocr' END route FROM lines")
-def route_docs(spark, sf_dir):
-    k = F.col("line_no")
-    name = F.concat(F.when(k % 3 == 0, "itau_").when(k % 3 == 1, "fatura-").otherwise("scan"), k.cast("string"), F.lit(".pdf"))
-    return a.lines(a.rows(spark, sf_dir)).select(k.alias("idx"), rules.routed(name, [("form", r"itau_.*\.pdf"), ("invoice", r"fatura.*\.pdf")], "ocr").alias("route"))
-
 
 @query("""SELECT idx, round(least(0.5 + 0.2 + CASE WHEN length(description) > 5 THEN 0.2 ELSE 0 END + least((idx % 8) * 0.02, 0.1) + CASE WHEN idx % 2 = 0 THEN 0.05 ELSE 0 END, 1.0)::DOUBLE, 6) row_c,
  round((0.25 + 0.35 + 0.2 * confidence + 0.1 * pipeline_confidence)::DOUBLE, 6) txn_c, round(least(0.6 * least((idx % 20) / greatest(idx % 10, 1)::DOUBLE, 1.0) + 0.4 * CASE WHEN idx % 20 > 0 THEN 0.5 ELSE 0 END, 1.0)::DOUBLE, 6) ext_c,
@@ -190,26 +138,8 @@ def iof_and_currency(spark, sf_dir):
     return a.rows(spark, sf_dir).select("idx", F.round(rules.iof(m, F.col("currency")).cast("double"), 2).alias("iof"), rules.currency(m, orig).alias("currency"))
 
 
-PARSED = f"""parsed AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '{FOREIGN}') THEN 'fx' ELSE 'national' END shape, line FROM lines WHERE regexp_matches(line, '{NATIONAL}')),
-typed AS (SELECT doc_id, line_no, shape, TRY_CAST('2024-' || substr(line, 4, 2) || '-' || substr(line, 1, 2) AS DATE) date,
- CASE WHEN shape = 'fx' THEN regexp_extract(line, '{FOREIGN}', 2) ELSE regexp_extract(line, '{NATIONAL}', 2) END description,
- round({num(f"CASE WHEN shape = 'fx' THEN regexp_extract(line, '{FOREIGN}', 4) ELSE regexp_extract(line, '{NATIONAL}', 3) END")}::DOUBLE, 2) amount,
- CASE WHEN shape = 'fx' THEN round({num(f"regexp_extract(line, '{FOREIGN}', 3)")}::DOUBLE, 2) END orig FROM parsed)"""
-
-
-@query(f", {PARSED} SELECT * FROM typed")
-def parse_lines(spark, sf_dir):
-    found = parse.parse_lines(a.lines(a.rows(spark, sf_dir)))
-    return found.select("doc_id", "line_no", "shape", "date", "description", F.col("amount_brl").cast("double").alias("amount"), F.col("amount_orig").cast("double").alias("orig"))
 
 
-@query("""SELECT doc_id, line_no, CASE idx % 2 WHEN 0 THEN 'ALIMENTOS' END category, CASE idx % 2 WHEN 0 THEN 'CIDADE A' END city FROM (SELECT doc_id, line_no * 2 line_no, line_no idx FROM lines)""")
-def parse_two_line(spark, sf_dir):
-    one = a.lines(a.rows(spark, sf_dir)).withColumn("k", F.col("line_no"))
-    nxt = one.filter("k % 2 = 0").select("doc_id", (F.col("k") * 2 + 1).alias("line_no"), F.lit("ALIMENTOS. CIDADE A").alias("line"))
-    both = one.select("doc_id", (F.col("k") * 2).alias("line_no"), "line").union(nxt)
-    return parse.two_line(both).select("doc_id", "line_no", "category", "city")
-
 
 @query(""", headed AS (SELECT doc_id, line_no, CASE line_no % 10 WHEN 0 THEN 'domestic' WHEN 5 THEN 'international' END head FROM lines)
  SELECT section, count(*) n FROM (SELECT last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) section FROM headed) GROUP BY section""")
@@ -232,30 +162,6 @@ def parse_fallback(spark, sf_dir):
     return out.select("doc_id", "line_no", F.col("r.amount_brl").cast("double").alias("amount"), "r.description")
 
 
-@query("""SELECT doc_id, line_no * 3 line_no, round(amount::DOUBLE, 2) amount, 5.5::DOUBLE rate, CASE WHEN line_no % 2 = 0 THEN 3.51::DOUBLE END iof FROM (SELECT r.doc_id, idx line_no, amount_brl amount FROM rows r) WHERE line_no % 9 = 0""")
-def fx_chunks(spark, sf_dir):
-    one = a.lines(a.rows(spark, sf_dir))
-    k = F.col("line_no")
-    more = one.filter("line_no % 9 = 0")
-    tax = more.filter("line_no % 2 = 0").select("doc_id", (k * 3 + 1).alias("line_no"), F.lit("Repasse de IOF em R$ 3,51").alias("line"))
-    rate = more.select("doc_id", (k * 3 + 2).alias("line_no"), F.lit("Dólar de Conversão R$ 5,5000").alias("line"))
-    found = parse.fx_chunks(one.select("doc_id", (k * 3).alias("line_no"), "line").union(tax).union(rate))
-    return found.select("doc_id", "line_no", F.col("amount_brl").cast("double").alias("amount"), F.col("fx_rate").cast("double").alias("rate"), F.col("iof_brl").cast("double").alias("iof"))
-
-
-@query("SELECT l_suppkey doc_id, l_orderkey table_idx, 0::INT date_col, 2::INT amount_col, 1::INT description_col FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_linenumber) >= 2", rows=False)
-def infer_columns(spark, sf_dir):
-    found = parse.infer_columns(a.cells(spark, sf_dir).withColumn("content", F.when(F.col("col_idx") == 1, F.regexp_replace("content", r"\d", "x")).otherwise(F.col("content"))))
-    return found.select("doc_id", "table_idx", "date_col", "amount_col", "description_col")
-
-
-@query("SELECT l_suppkey doc_id, l_orderkey table_idx, count(*) n, round(sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE, 2) total FROM (SELECT l_suppkey, l_orderkey, l_linenumber, min(l_extendedprice) l_extendedprice FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) = 1) GROUP BY 1, 2", rows=False)
-def cell_roles(spark, sf_dir):
-    cells = a.cells(spark, sf_dir)
-    once = cells.groupBy("doc_id", "table_idx", "row_idx").agg(F.count("*").alias("n")).filter("n = 3").drop("n")
-    found = parse.table_rows(cells.join(once, ["doc_id", "table_idx", "row_idx"]))
-    return found.groupBy("doc_id", "table_idx").agg(F.count("*").alias("n"), F.sum("amount_brl").cast("double").alias("total"))
-
 
 @query("SELECT l_orderkey doc_id, CAST(round_even(l_linenumber * 2 / 3.0, 0) AS BIGINT) bucket, count(*) n, min((l_linenumber * 2)::DOUBLE) top FROM lineitem GROUP BY 1, 2", rows=False)
 def cluster_words(spark, sf_dir):
@@ -263,10 +169,6 @@ def cluster_words(spark, sf_dir):
     return found.select("doc_id", "bucket", F.size(F.split("line", " ")).cast("long").alias("n"), "top")
 
 
-@query()
-def anchored_words(spark, sf_dir):
-    return parse.anchored_rows(a.words(spark, sf_dir))
-
 
 @query("SELECT doc_id, min(idx % 4) rank, count(*) FILTER (WHERE k = m) n FROM (SELECT *, idx % 4 k, min(idx % 4) OVER (PARTITION BY doc_id) m FROM rows) GROUP BY doc_id")
 def strategy_cascade(spark, sf_dir):
@@ -284,7 +186,7 @@ def entity_zip(spark, sf_dir):
 @query("SELECT a.doc_id, count(*) pairs FROM rows a JOIN second b ON a.doc_id = b.doc_id AND abs(datediff('day', a.date, b.date)) <= 1 AND abs(a.amount_brl - b.amount_brl) <= 0.01 GROUP BY 1")
 def ensemble_pairs(spark, sf_dir):
     found = a.rows(spark, sf_dir)
-    return linkage.near_pairs(found, a.second(found)).groupBy("doc_id").agg(F.count("*").alias("pairs"))
+    return linkage.near_classes(found, a.second(found)).groupBy("doc_id").agg(F.sum(F.col("l.n") * F.col("r.n")).alias("pairs"))
 
 
 @query()
@@ -317,17 +219,6 @@ def align_golden(spark, sf_dir):
     return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("f").isNull()).alias("missing"), F.count_if(F.col("g").isNull()).alias("extra"))
 
 
-@query(f"""{ALIGNED} SELECT doc_id, count(*) total, count(*) FILTER (WHERE fi IS NOT NULL AND gi IS NOT NULL AND lower(fc) = lower(gc)) correct, round(count(*) FILTER (WHERE fi IS NOT NULL AND gi IS NOT NULL AND lower(fc) = lower(gc)) / count(*)::DOUBLE, 6) accuracy FROM al GROUP BY 1""")
-def cell_accuracy(spark, sf_dir):
-    found = a.rows(spark, sf_dir)
-    return quality.cells(found, a.golden(found), "idx").filter("field = 'category'").select("doc_id", "total", "correct", "accuracy")
-
-
-@query()
-def health_grade(spark, sf_dir):
-    found = a.rows(spark, sf_dir)
-    return quality.health(quality.cells(found, a.golden(found), "idx"))
-
 
 RATES = "round(CASE WHEN f = 0 THEN 0 ELSE tp / f::DOUBLE END, 6) AS precision, round(CASE WHEN g = 0 THEN 0 ELSE tp / g::DOUBLE END, 6) recall, round(CASE WHEN tp = 0 THEN 0 ELSE 2.0 * (tp / f::DOUBLE) * (tp / g::DOUBLE) / (tp / f::DOUBLE + tp / g::DOUBLE) END, 6) f1"
 COUNTS = "x AS (SELECT doc_id, date, amount_brl, count(*) a FROM rows GROUP BY ALL), y AS (SELECT doc_id, date, amount_brl, count(*) b FROM golden GROUP BY ALL), z AS (SELECT doc_id, coalesce(a, 0) a, coalesce(b, 0) b FROM x FULL OUTER JOIN y USING (doc_id, date, amount_brl))"
@@ -345,15 +236,6 @@ def prf_set(spark, sf_dir):
     return quality.prf(found, a.golden(found), multiset=False)
 
 
-@query("SELECT doc_id, idx, round(CASE WHEN currency <> 'BRL' AND idx % 7 <> 0 AND idx % 11 <> 1000 THEN 5 + (idx % 10) / 10.0::DOUBLE END, 4) rate FROM rows")
-def fx_match(spark, sf_dir):
-    found = a.rows(spark, sf_dir)
-    fx = a.second(found).select("doc_id", "idx", "amount_brl", (F.lit(5) + (F.col("idx") % 10) / 10).alias("fx_rate"))
-    return linkage.fx_match(found, fx, "idx").select("doc_id", "idx", F.round("fx_rate", 4).alias("rate"))
-
-
-del ORACLES["fx_match"]  # amounts of other rows of the month may be as near: the first item wins, see the tests
-
 
 @query("SELECT 'missing' kind, doc_id, count(*) n FROM golden g WHERE NOT EXISTS (SELECT 1 FROM rows r WHERE r.doc_id = g.doc_id AND r.date = g.date AND r.amount_brl = g.amount_brl) GROUP BY ALL UNION ALL SELECT 'extra', doc_id, count(*) FROM rows r WHERE NOT EXISTS (SELECT 1 FROM golden g WHERE r.doc_id = g.doc_id AND r.date = g.date AND r.amount_brl = g.amount_brl) GROUP BY ALL")
 def missing_extra(spark, sf_dir):
@@ -363,12 +245,6 @@ def missing_extra(spark, sf_dir):
     return side("missing", gold, found).union(side("extra", found, gold))
 
 
-@query("SELECT doc_id, count(*) n FROM rows a WHERE EXISTS (SELECT 1 FROM golden g WHERE g.doc_id = a.doc_id AND lower(trim(g.description)) = lower(trim(a.description))) GROUP BY 1")
-def desc_coverage(spark, sf_dir):
-    found = a.rows(spark, sf_dir)
-    key = lambda d: d.withColumn("d", F.lower(F.trim("description")))
-    return key(found).join(key(a.golden(found)), ["doc_id", "d"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
-
 
 @query()
 def semantic_match(spark, sf_dir):
@@ -376,12 +252,6 @@ def semantic_match(spark, sf_dir):
     return linkage.greedy_match(found, a.second(found), "idx")
 
 
-@query("""SELECT idx pair_id, field, CASE field WHEN 'date' THEN TRUE WHEN 'amount' THEN TRUE WHEN 'category' THEN TRUE ELSE TRUE END matches, 1.0::DOUBLE similarity FROM second, unnest(['date', 'amount', 'category', 'description']) u(field)""")
-def field_compare(spark, sf_dir):
-    found = a.rows(spark, sf_dir)
-    pairs = found.alias("x").join(a.second(found).alias("y"), "idx").select(F.col("idx").alias("pair_id"), F.struct("x.date", "x.description", "x.amount_brl", "x.category").alias("l"), F.struct("y.date", "y.description", "y.amount_brl", "y.category").alias("r"))
-    return quality.field_compare(pairs)
-
 
 @query("""SELECT idx, round(len(list_intersect(a, b)) / len(list_distinct(a || b))::DOUBLE, 6) jaccard FROM (SELECT idx, list_distinct(string_split(lower(description), ' ')) a, ['household', 'uber', 'netflix'] b FROM (SELECT idx, replace(description, '#', ' ') description FROM rows))""")
 def jaccard(spark, sf_dir):
@@ -424,28 +294,12 @@ def field_completeness(spark, sf_dir):
     return quality.completeness(found, ["category", "description", "currency"])
 
 
-@query("SELECT doc_id, round(0.5 * avg(pipeline_confidence) + 0.4 * avg(confidence) + 0.1 * least(0.1 * count(DISTINCT extractor), 0.3), 6) ensemble, round(least(0.5 * avg(pipeline_confidence) + 0.4 * avg(confidence) + 0.1 * least(0.1 * count(DISTINCT extractor), 0.3) + 0.2 * 0.5, 1.0), 6) boosted FROM rows GROUP BY 1")
-def ensemble_confidence(spark, sf_dir):
-    return runs.ensemble_confidence(a.rows(spark, sf_dir).withColumn("filled", F.lit(0.5)))
-
 
 @query("""SELECT idx FROM (SELECT idx, row_number() OVER (PARTITION BY doc_id, idx // 3 ORDER BY round((c*c*c + p*p*p) / (c*c + p*p) * CASE extractor WHEN 'textract' THEN 1.0 WHEN 'azure' THEN 0.95 WHEN 'pdfplumber' THEN 0.9 ELSE 0.85 END, 9) DESC, idx) n FROM (SELECT *, confidence c, pipeline_confidence p FROM rows)) WHERE n = 1""")
 def resolve_groups(spark, sf_dir):
     return linkage.resolved(a.rows(spark, sf_dir).withColumn("leader", F.floor(F.col("idx") / 3))).select("idx")
 
 
-@query("SELECT doc_id, round(100 * avg(ok::INT), 6) success_percent FROM (SELECT doc_id, unnest([count(*) BETWEEN 1 AND 200, true, true, true, true, true, true, true, sum(amount_brl) BETWEEN -50000 AND 50000]) ok FROM rows GROUP BY doc_id) GROUP BY 1")
-def expectations(spark, sf_dir):
-    found = quality.expectations(a.rows(spark, sf_dir), categories=[n for n, _ in rules.CATEGORIES] + [rules.CATCH_ALL])
-    return quality.suite(found).select("doc_id", "success_percent")
-
-
-@query("SELECT doc_id, round(0.4 * avg(confidence) + 0.3 + 0.2 * (avg((year(date) BETWEEN 2020 AND 2030)::INT) + 1) / 2 + 0.1, 6) quality, 'A' speed FROM rows GROUP BY doc_id HAVING count(*) > 1")
-def quality_score(spark, sf_dir):
-    found = a.rows(spark, sf_dir)
-    many = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    return quality.quality_score(found, many.withColumn("seconds", F.lit(2.0)))
-
 
 @query("SELECT class, sum(s)::BIGINT support, sum(p)::BIGINT guesses, sum(h)::BIGINT hits FROM (SELECT category class, 1 s, 0 p, 0 h FROM rows UNION ALL SELECT CASE WHEN idx % 17 = 0 THEN 'OUTROS' ELSE category END, 0, 1, (idx % 17 <> 0 OR category = 'OUTROS')::INT FROM rows) GROUP BY 1")
 def confusion(spark, sf_dir):
@@ -460,13 +314,6 @@ def auto_golden(spark, sf_dir):
     return runs.auto_golden(found, found.filter("run_id % 3 = 0")).select("name", F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT doc_id, TRUE national_ok, abs(b) <= 0 international_ok FROM (SELECT doc_id, sum(CASE WHEN currency <> 'BRL' THEN amount_brl ELSE 0 END) b FROM rows GROUP BY 1)")
-def totals_check(spark, sf_dir):
-    found = a.rows(spark, sf_dir)
-    home = found.groupBy("doc_id").agg(F.sum(F.when(F.col("currency") == "BRL", F.col("amount_brl")).otherwise(0)).alias("s"))
-    text = home.select("doc_id", F.concat(F.lit("Total nacional R$ "), t.money(F.col("s")), F.lit("\nTOTAL INTERNACIONAL R$ 0,00")).alias("text"))
-    return runs.totals_check(found, parse.totals(text))
-
 
 @query("SELECT doc_id, CASE WHEN NOT max(success) FILTER (WHERE side = 0) AND max(success) FILTER (WHERE side = 1) THEN 'fallback' ELSE 'primary' END choice FROM (SELECT idx doc_id, 0 side, idx % 3 <> 0 success FROM rows UNION ALL SELECT idx, 1, idx % 2 = 0 FROM rows) GROUP BY 1")
 def fallback_merge(spark, sf_dir):
@@ -476,14 +323,6 @@ def fallback_merge(spark, sf_dir):
     return linkage.chosen(side(k % 3 != 0), side(k % 2 == 0))
 
 
-@query()
-def account_info(spark, sf_dir):
-    docs = a.rows(spark, sf_dir).select(F.col("idx").alias("doc_id"), F.concat(F.lit("Conta: 12345-"), (F.col("idx") % 10).cast("string"), F.lit("\nSaldo final: R$ "), t.money(F.col("amount_brl"))).alias("text"))
-    return parse.account(docs).select("doc_id", "account", F.col("balance").cast("double").alias("balance"))
-
-
-ORACLES["account_info"] = SQL_ROWS + "SELECT idx doc_id, '12345-' || (idx % 10) account, round(amount_brl::DOUBLE, 2) balance FROM rows"
-
 
 @query()
 def category_model(spark, sf_dir):
@@ -519,21 +358,6 @@ def ml_features(spark, sf_dir):
     return enrich.text_features(a.rows(spark, sf_dir)).select("idx", "description_length", "has_numbers", "has_card", "has_installment", "is_negative")
 
 
-@query("SELECT idx, CASE WHEN idx % 5 = 2 THEN 'ONLINE' ELSE upper(n_name) END city FROM rows JOIN nation ON n_nationkey = idx % 25")
-def learned_cities(spark, sf_dir):
-    nations = a.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("merchant_city"))
-    found = a.rows(spark, sf_dir).withColumn("k", F.col("idx") % 25).join(nations, "k")
-    found = found.withColumn("description", F.concat_ws(" ", F.when(F.col("idx") % 5 == 2, "netflix"), F.lit("loja"), F.lower("merchant_city"), F.lit("x")))
-    return enrich.cities(found, enrich.known_cities(nations)).select("idx", F.col("found_city").alias("city"))
-
-
-@query("SELECT idx, 1::INT seq, CASE WHEN idx % 3 = 0 THEN 'BRL' ELSE currency END currency, substr(md5(strftime(date, '%Y-%m-%d') || '_' || description || '_' || amount_brl::VARCHAR), 1, 8) hash FROM rows")
-def metadata_fill(spark, sf_dir):
-    none = lambda kind: F.lit(None).cast(kind)
-    found = a.rows(spark, sf_dir).withColumn("currency", F.when(F.col("idx") % 3 != 0, F.col("currency")))
-    found = found.withColumns({"installment_seq": none("int"), "installment_tot": none("int"), "interest_amount": none("decimal(18,2)"), "ledger_hash": F.lit(""), "amount_usd": none("decimal(18,2)"), "fx_rate": F.lit(5)})
-    return enrich.filled(found).select("idx", F.col("installment_seq").alias("seq"), "currency", F.col("ledger_hash").alias("hash"))
-
 
 def _mixed_lines(found: DataFrame) -> DataFrame:
     """A line of every row: a payment, an installment, a purchase, or a purchase with a second amount."""
@@ -567,11 +391,6 @@ def golden_candidates(spark, sf_dir):
     return enrich.candidates(found, found.filter("run_id % 3 = 0"), 5).select("name")
 
 
-@query()
-def worst_fields(spark, sf_dir):
-    found = a.rows(spark, sf_dir)
-    return enrich.worst(quality.cells(found, a.golden(found), "idx"), 2).select("doc_id", "field", "rank")
-
 
 @query("SELECT doc_id, count(*) pairs FROM rows GROUP BY 1")
 def positional_zip(spark, sf_dir):
@@ -595,6 +414,9 @@ def run_benchmark(spark, sf_dir):
     return a.runs(spark, sf_dir).groupBy("method").agg(F.round(F.avg("time_ms"), 4).alias("mean_ms"), F.min("time_ms").alias("least_ms"), F.max("time_ms").alias("most_ms"), F.count_if(F.col("confidence") >= 0.7).alias("sure"))
 
 
+from . import queries_match, queries_parse  # noqa: E402, F401  they register their queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -16,20 +20,131 @@ ALIASES = {"data": "date", "post_date": "date", "desc_raw": "description", "desc
 BLOCKS = "id string, block_type string, text string, row_index int, column_index int, child_ids array<string>"
 
 
+def named(rows: DataFrame, required: Sequence[str] = ("date", "description", "amount_brl")) -> DataFrame:
+    """rows with trimmed lower-case names and aliases resolved; raises without the required columns."""
+    rows = rows.toDF(*[c.strip().lower() for c in rows.columns])
+    rows = rows.withColumnsRenamed({k: v for k, v in ALIASES.items() if v not in rows.columns})
+    if lost := [c for c in required if c not in rows.columns]:
+        raise ValueError(f"required columns are missing: {', '.join(lost)}")
+    return rows
+
+
+def golden_doc(name: Column) -> Column:
+    """Document of a golden file's name: its stem without `golden_`."""
+    return F.regexp_extract(name, r"^(?:golden_)?(.*?)\.csv$", 1)
+
+
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """Golden tables by `doc`, the file's stem without `golden_`; rows without a date are left out."""
     rows = spark.read.csv(path, sep=";", header=True, schema=GOLDEN, dateFormat="yyyy-MM-dd", mode="PERMISSIVE")
-    doc = F.regexp_extract(F.col("_metadata.file_name"), r"^(?:golden_)?(.*?)\.csv$", 1)
-    return rows.select("*", doc.alias("doc")).withColumnsRenamed({"post_date": "date", "desc_raw": "description"}).filter("date is not null")
+    return rows.select("*", golden_doc(F.col("_metadata.file_name")).alias("doc")).withColumnsRenamed({"post_date": "date", "desc_raw": "description"}).filter("date is not null")
+
+
+def read_any_golden(spark: SparkSession, path: str, year: int = 2024) -> DataFrame:
+    """(doc, date, description, amount_brl, category) of golden tables of any naming; rows without a date that exists are left out.
+
+    Dates are ISO or D/M[/Y], amounts Brazilian or with a point; an empty category is null.
+    """
+    rows = spark.read.csv(path, sep=";", header=True)
+    rows = named(rows.withColumn("doc", golden_doc(F.col("_metadata.file_name"))))
+    day = F.trim("date")
+    kind = F.nullif(F.trim(F.coalesce("category", F.lit(""))), F.lit("")) if "category" in rows.columns else F.lit(None).cast("string")
+    out = rows.select("doc", F.coalesce(t.iso_date(day), t.date(day, year)).alias("date"), F.trim("description").alias("description"), t.amount(F.trim("amount_brl")).cast("decimal(18,2)").alias("amount_brl"), kind.alias("category"))
+    return out.filter("date is not null").withColumns({"confidence": F.lit(1.0), "key": F.concat("doc", F.lit(".pdf"))})
+
+
+def read_training(spark: SparkSession, path: str) -> DataFrame:
+    """Golden tables as the models read them: installments 0 or none are 1, no currency is BRL, no number is 0."""
+    rows = read_golden(spark, path)
+    one = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) == 0, 1).otherwise(F.col(c))
+    numbers = ("amount_brl", "amount_orig", "amount_usd", "fx_rate", "iof_brl", "prev_bill_amount")
+    zero = {c: F.coalesce(F.col(c), F.lit(0).cast(rows.schema[c].dataType)) for c in numbers}
+    text = {c: F.coalesce(c, F.lit("")) for c in ("card_last4", "category", "merchant_city", "ledger_hash")}
+    return rows.withColumns(zero | text | {"installment_seq": one("installment_seq"), "installment_tot": one("installment_tot"), "currency_orig": F.when(F.coalesce("currency_orig", F.lit("")) == "", "BRL").otherwise(F.col("currency_orig"))})
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """All `*_error_report.csv` and `*_enriched.csv` under path/<extractor>/csv, with extractor, pdf and is_enriched; columns that one kind lacks are null."""
+
+    def kind(suffix: str, sep: str, enriched: bool) -> DataFrame:
+        read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*_{suffix}.csv")
+        rows = read.csv(path, sep=sep, header=True, enforceSchema=False)
+        file = F.col("_metadata.file_path")
+        tags = F.regexp_extract(file, r"([^/]+)/csv/[^/]+$", 1).alias("extractor"), F.regexp_extract(file, rf"([^/]+)_{suffix}\.csv$", 1).alias("pdf"), F.lit(enriched).alias("is_enriched")
+        return rows.select("*", *tags)
+
+    found = []
+    for suffix, sep, enriched in (("error_report", ",", False), ("enriched", ";", True)):
+        try:
+            found.append(kind(suffix, sep, enriched))
+        except AnalysisException as e:
+            if "UNABLE_TO_INFER_SCHEMA" not in str(e):  # no files of this kind
+                raise
+    if not found:
+        return spark.createDataFrame([], "extractor string, pdf string, is_enriched boolean")
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True)
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """(doc_id, text): the texts of a document's pages (doc_id, page, text) by line feeds, empty ones left out.
+
+    For one document of bounded length; lines of long ones are better made from the pages.
+    """
+    some = pages.filter(F.coalesce("text", F.lit("")) != "").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
+    return some.select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
+
+
+# Rows of a mock reader, and how many and how sure they are by processor.
+MOCK = [("2024-10-05", "UBER DO BRASIL TECNO", "25.30", "TRANSPORTE"), ("2024-10-07", "FARMACIA SAO JOAO", "87.64", "SAÚDE"), ("2024-10-10", "AMAZON WEB SERVICES", "156.78", "TECNOLOGIA")]
+MOCK_SHARES = {"ocr": (0.6, 0.75), "form_parser": (0.8, 0.82), "layout_parser": (0.9, 0.88), "invoice_parser": (1.0, 0.91), "custom_extractor": (1.2, 0.95)}
+
+
+def mock_rows(docs: DataFrame, processor: str) -> DataFrame:
+    """Fixed rows for each document: max(1, 3 times the processor's share), each .02 surer than the one before."""
+    share, base = MOCK_SHARES.get(processor, (0.8, 0.8))
+    n = max(1, int(3 * share + 1e-9))
+    made = [MOCK[i % 3] for i in range(n)]
+    items = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(d).cast("date").alias("date"), F.lit(x).alias("description"), F.lit(m).cast("decimal(18,2)").alias("amount_brl"), F.lit(c).alias("category"), F.lit(round(base + 0.02 * i, 2)).alias("confidence")) for i, (d, x, m, c) in enumerate(made)])
+    return docs.select("doc_id", F.explode(items).alias("r")).select("doc_id", "r.*")
+
+
+# Merchants of made statements, with the least and most of their amounts.
+MERCHANTS = [
+    ("UBER DO BRASIL", 15, 80), ("99 TAXI", 15, 80), ("NETFLIX", 39.9, 39.9), ("AMAZON", 25, 200), ("RESTAURANTE CENTRAL", 45, 150), ("RESTAURANTE DO PORTO", 45, 150), ("SUPERMERCADO LIMA", 80, 300), ("CARREFOUR", 80, 300),
+    ("FARMACIA BOA", 20, 250), ("POSTO NORTE", 20, 250), ("LOJA DA PRACA", 20, 250), ("PADARIA SOL", 20, 250), ("LIVRARIA LUZ", 20, 250), ("CINEMA REAL", 20, 250), ("CLINICA VIDA", 20, 250),
+]
+
+
+def synthetic(spark: SparkSession, statements: int, rows: int, first: str = "2024-01-01", international: bool = True, seed: int = 42) -> DataFrame:
+    """Made statements: doc_id 0.., one a month from `first`, each with `rows` rows of the month before, in order of date.
+
+    Every value follows from the seed and the row's numbers, so reruns and lost executors agree.
+    About a tenth are foreign, at a rate of 5.0 to 6.5.
+    """
+    base = spark.range(statements).select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("idx"))
+    draw = lambda salt: F.pmod(F.xxhash64("doc_id", "idx", F.lit(seed), F.lit(salt)), F.lit(1_000_000)) / 1_000_000
+    shops = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for n, a, b in MERCHANTS])
+    start = F.add_months(F.lit(first).cast("date"), F.col("doc_id").cast("int") - 1)
+    out = base.withColumn("m", F.get(shops, F.floor(draw("m") * len(MERCHANTS)).cast("int"))).withColumn("abroad", F.lit(international) & (draw("f") < 0.1))
+    out = out.withColumn("amount_brl", F.round(F.col("m.low") + draw("a") * (F.col("m.high") - F.col("m.low")), 2).cast("decimal(18,2)")).withColumn("rate", F.when(F.col("abroad"), F.round(5 + 1.5 * draw("r"), 2).cast("decimal(12,6)")))
+    out = out.select(
+        "doc_id", "idx", F.date_add(start, F.floor(draw("d") * F.datediff(F.add_months(start, 1), start)).cast("int")).alias("date"), F.concat("m.name", F.when(F.col("abroad"), " USA").otherwise("")).alias("description"),
+        "amount_brl", F.col("rate").alias("fx_rate"), F.round(F.try_divide("amount_brl", "rate"), 2).cast("decimal(18,2)").alias("amount_usd"), F.when(F.col("abroad"), "USD").otherwise("BRL").alias("currency"),
+    )
+    return out.withColumn("line_no", F.row_number().over(W.partitionBy("doc_id").orderBy("date", "idx")))
+
+
+def as_lines(rows: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line): rows as a statement prints them."""
+    money = lambda c: F.translate(F.format_number(F.col(c), 2), ",.", ".,")
+    return rows.select("doc_id", "line_no", F.concat_ws(" ", F.date_format("date", "dd/MM"), "description", F.when(F.col("currency") != "BRL", money("amount_usd")), money("amount_brl")).alias("line"))
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """A CSV whose separator is seen in its first line, with trimmed lower-case names and aliases resolved."""
     head = spark.read.text(path).limit(1).collect()
     sep = max(";,\t|", key=head[0][0].count) if head else ","
-    rows = spark.read.csv(path, sep=sep, header=True)
-    rows = rows.toDF(*[c.strip().lower() for c in rows.columns])
-    return rows.withColumnsRenamed({k: v for k, v in ALIASES.items() if v not in rows.columns})
+    return named(spark.read.csv(path, sep=sep, header=True), ())
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -66,6 +181,80 @@ def write_golden(rows: DataFrame, path: str, partition: str | None = None) -> No
     (w.partitionBy(partition) if partition else w).csv(path)
 
 
+# Columns of the exported golden table.
+EXPORT = "date description amount_brl card_last4 installment_seq installment_tot fx_rate iof_brl category merchant_city ledger_hash prev_bill_amount interest_amount amount_orig currency_orig amount_usd".split()
+
+
+def exported(rows: DataFrame) -> DataFrame:
+    """The 16 columns as text: DD/MM/YYYY, decimal commas, 4 places of a rate; missing numbers are 0, missing text is empty."""
+    rows = rows.withColumnRenamed("currency", "currency_orig") if "currency_orig" not in rows.columns else rows
+    has = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    number = lambda c, places: F.translate(F.coalesce(has(c), F.lit(0)).cast(f"decimal(18,{places})").cast("string"), ".", ",")
+    whole = lambda c: F.coalesce(has(c), F.lit(0)).cast("int").cast("string")
+    text = lambda c: F.coalesce(has(c).cast("string"), F.lit(""))
+    made = {"date": F.date_format("date", "dd/MM/yyyy"), "fx_rate": number("fx_rate", 4), "installment_seq": whole("installment_seq"), "installment_tot": whole("installment_tot")}
+    made |= {c: number(c, 2) for c in ("amount_brl", "iof_brl", "prev_bill_amount", "interest_amount", "amount_orig", "amount_usd")}
+    return rows.select(*[made.get(c, text(c)).alias(c) for c in EXPORT])
+
+
+def placeholder(spark: SparkSession, day: str = "2024-01-01") -> DataFrame:
+    """The row that stands for an empty table."""
+    return exported(spark.createDataFrame([(day,)], "day string").select(F.col("day").cast("date").alias("date")))
+
+
+def write_export(rows: DataFrame, path: str, day: str = "2024-01-01") -> None:
+    """The exported golden table with a header; an empty one has its placeholder row, so it always has one."""
+    out = exported(rows)
+    out = out if not rows.isEmpty() else placeholder(rows.sparkSession, day)
+    out.write.mode("overwrite").csv(path, sep=";", header=True, emptyValue="")
+
+
+def result_rows(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_id, date, description, amount_brl, category, confidence, source): rows of the runs that succeeded, and an error row of each that failed.
+
+    runs: (doc_id, extractor, success, error, confidence), one a document. A row's own confidence and extractor win.
+    """
+    has = lambda c, other: F.coalesce(F.col(f"t.{c}"), other) if c in rows.columns else other
+    good = rows.alias("t").join(runs.filter("success").alias("r"), "doc_id").select(
+        "doc_id", F.col("t.date").cast("string").alias("date"), "t.description", F.col("t.amount_brl").cast("string").alias("amount_brl"), has("category", F.lit("OUTROS")).alias("category"),
+        has("confidence", F.col("r.confidence")).cast("string").alias("confidence"), F.coalesce("r.extractor", F.lit("Unknown")).alias("source"),
+    )
+    bad = runs.filter("not success").select("doc_id", F.lit("ERROR").alias("date"), F.coalesce("error", F.lit("Unknown error")).alias("description"), F.lit("0.00").alias("amount_brl"), F.lit("ERROR").alias("category"), F.lit("0.0").alias("confidence"), F.coalesce("extractor", F.lit("Unknown")).alias("source"))
+    return good.unionByName(bad)
+
+
+def write_results(rows: DataFrame, runs: DataFrame, path: str) -> None:
+    """A six-column table with a header for each document, under its name."""
+    result_rows(rows, runs).write.mode("overwrite").partitionBy("doc_id").csv(path, sep=";", header=True)
+
+
+def write_golden_draft(rows: DataFrame, path: str) -> None:
+    """date;description;amount_brl;category with DD/MM/YYYY and decimal comma: a new golden table."""
+    rows.select(F.date_format("date", "dd/MM/yyyy").alias("date"), "description", F.translate(F.col("amount_brl").cast("decimal(18,2)").cast("string"), ".", ",").alias("amount_brl"), F.coalesce("category", F.lit("")).alias("category")).write.mode("overwrite").csv(path, sep=";", header=True)
+
+
+def write_golden_copy(rows: DataFrame, path: str) -> None:
+    """date,description,amount_brl,category,transaction_type with ISO dates and points: a golden table for others."""
+    kind = F.coalesce("transaction_type", F.lit("")) if "transaction_type" in rows.columns else F.lit("domestic")
+    rows.select(F.col("date").cast("string").alias("date"), "description", F.col("amount_brl").cast("string").alias("amount_brl"), F.coalesce("category", F.lit("")).alias("category"), kind.alias("transaction_type")).write.mode("overwrite").csv(path, header=True)
+
+
+def appended(golden: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+    """Golden rows with those of one document replaced by `rows`."""
+    return golden.filter(F.col("key") != key).unionByName(rows.withColumn("key", F.lit(key)), allowMissingColumns=True)
+
+
+def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table as CSV with a header under its name."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").csv(f"{path}/{name}", header=True)
+
+
+def write_features(features: DataFrame, path: str) -> None:
+    """Training features with a header, in their columns' order."""
+    features.write.mode("overwrite").csv(path, header=True)
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(path)
 
@@ -73,8 +262,3 @@ def write_json(rows: DataFrame, path: str) -> None:
 def write_report(lines: DataFrame, path: str) -> None:
     """Human-readable text, one file line a row of `line`."""
     lines.select("line").write.mode("overwrite").text(path)
-
-
-def parse_amounts(rows: DataFrame, column: str) -> DataFrame:
-    """A text amount column read the Brazilian way, in place."""
-    return rows.withColumn(column, t.amount(F.col(column)).cast("decimal(18,2)"))

@@ -13,10 +13,58 @@ def rows(n, seed):
     return [(f"d{r.randint(0, 2)}", i, date(2024, 1, 1) + timedelta(r.randint(0, 6)), " ".join(r.sample(words, 2)), Decimal(r.randint(100, 106)) / 100, r.choice(["A", "B"]), "BRL") for i in range(n)]
 
 
-def test_near_pairs_equal_all_pairs(spark):
+def test_near_classes_equal_all_pairs(spark):
     a, b = rows(60, 1), rows(50, 2)
-    got = {(r.l.idx, r.r.idx) for r in linkage.near_pairs(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA)).collect()}
-    assert got == {(x[1], y[1]) for x in a for y in b if x[0] == y[0] and abs((x[2] - y[2]).days) <= 1 and abs(x[4] - y[4]) <= Decimal("0.01")}
+    got = linkage.near_classes(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA)).collect()
+    near = [(x, y) for x in a for y in b if x[0] == y[0] and abs((x[2] - y[2]).days) <= 1 and abs(x[4] - y[4]) <= Decimal("0.01")]
+    assert sum(r.l.n * r.r.n for r in got) == len(near)
+    assert {(r.doc_id, r.l.date, r.l.cents, r.r.date, r.r.cents) for r in got} == {(x[0], x[2], int(x[4] * 100), y[2], int(y[4] * 100)) for x, y in near} and len(got) < len(near)
+
+
+def test_rows_without_date_or_amount_are_their_own_leaders(spark):
+    found = [("d", 1, None, "A", Decimal("1.00"), "A", "BRL"), ("d", 2, None, "A", Decimal("1.00"), "A", "BRL"), ("d", 3, date(2024, 1, 1), "A", None, "A", "BRL")]
+    assert {r.idx: r.leader for r in linkage.leader_clusters(spark.createDataFrame(found, SCHEMA), "idx").collect()} == {1: 1, 2: 2, 3: 3}
+
+
+def test_fuzzy_merge_keeps_the_surest_of_each_cluster(spark):
+    r = random.Random(9)
+    found = [(*x, r.choice([0.5, 0.7, 0.9])) for x in rows(200, 8)]
+    got = {x.idx for x in linkage.fuzzy_merge(spark.createDataFrame(found, SCHEMA + ", confidence double"), "idx").collect()}
+    clusters: list = []
+    for x in found:
+        for c in clusters:
+            y = c[0]
+            if (x[0], x[2], x[4]) == (y[0], y[2], y[4]) and linkage.token_set_ratio(x[3], y[3]) >= 90:
+                c.append(x)
+                break
+        else:
+            clusters.append([x])
+    assert got == {max(c, key=lambda x: x[-1])[1] for c in clusters} and len(got) < 190
+
+
+def fitted(golden, found, within):
+    used, out = set(), set()
+    for g in sorted(golden, key=lambda x: x[1]):
+        for f in sorted(found, key=lambda x: x[1]):
+            if f[1] not in used and (g[0], g[2]) == (f[0], f[2]) and abs(g[4] - f[4]) <= within:
+                used.add(f[1])
+                out.add((g[0], g[1], f[1]))
+                break
+    return out
+
+
+def test_first_fit_equals_the_sequential_rule(spark):
+    golden, found = rows(120, 11), [(x[0], x[1] + 500, *x[2:]) for x in rows(140, 12)]
+    df = lambda x: spark.createDataFrame(x, SCHEMA)
+    assert {tuple(r) for r in linkage.first_fit(df(golden), df(found), "idx").collect()} == fitted(golden, found, Decimal("0.05"))
+    assert linkage.first_fit(df(golden).limit(0), df(found), "idx").count() == 0
+
+
+def test_similarity_floor_never_hides_a_match():
+    r = random.Random(4)
+    for _ in range(400):
+        a, b = (" ".join("".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(r.randint(0, 4))) for _ in range(2))
+        assert (linkage.token_set_ratio(a, b, 70) >= 70) == (linkage.token_set_ratio(a, b) >= 70)
 
 
 def test_leader_clusters_equal_the_sequential_rule(spark):

@@ -1,9 +1,10 @@
 from datetime import date
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import parse
+from tallyloom.operators import enrich, parse
 from tallyloom.sources import statements as s
 from tallyloom.streaming import ingest
 
@@ -47,3 +48,76 @@ def test_stream_drops_repeats(spark, tmp_path):
         assert spark.table("seen").count() == 2
     finally:
         q.stop()
+
+
+def test_golden_of_any_naming(spark, tmp_path):
+    (tmp_path / "golden_A_1.csv").write_text("Data;Descricao;Valor;Categoria\n03/10/2024;X;1.234,56;\n31/02/2024;Y;1,00;A\n2024-10-05;Z;7.50;B\n")
+    out = [(r.key, str(r.date), r.description, str(r.amount_brl), r.category) for r in s.read_any_golden(spark, str(tmp_path)).orderBy("date").collect()]
+    assert out == [("A_1.pdf", "2024-10-03", "X", "1234.56", None), ("A_1.pdf", "2024-10-05", "Z", "7.50", "B")]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "b.csv").write_text("data;x\n1;2\n")
+    with pytest.raises(ValueError, match="description"):
+        s.read_any_golden(spark, str(tmp_path / "bad"))
+
+
+def test_training_dialect_and_features(spark, tmp_path):
+    (tmp_path / "golden_x.csv").write_text(f"{HEAD}\n;2024-10-03;A;31.90;0;;;;;;;;;;;\n")
+    row = s.read_training(spark, str(tmp_path / "golden_x.csv")).first()
+    assert (row.installment_seq, row.installment_tot, row.currency_orig, row.category, row.fx_rate) == (1, 1, "BRL", "", 0)
+    s.write_features(enrich.text_features(s.read_training(spark, str(tmp_path / "golden_x.csv"))).select("description", "magnitude", "is_negative"), str(tmp_path / "f"))
+    assert spark.read.csv(str(tmp_path / "f"), header=True).first().magnitude == "31.9"
+
+
+def test_reports_union(spark, tmp_path):
+    (tmp_path / "one" / "csv").mkdir(parents=True)
+    assert s.read_reports(spark, str(tmp_path)).count() == 0
+    (tmp_path / "one" / "csv" / "s1_error_report.csv").write_text("field,accuracy\ndate,1.0\n")
+    (tmp_path / "two" / "csv").mkdir(parents=True)
+    (tmp_path / "two" / "csv" / "s2_enriched.csv").write_text("date;category\n2024-01-01;A\n")
+    out = sorted((r.extractor, r.pdf, r.is_enriched, r.field, r.category) for r in s.read_reports(spark, str(tmp_path)).collect())
+    assert out == [("one", "s1", False, "date", None), ("two", "s2", True, None, "A")]
+
+
+def test_exports(spark, tmp_path):
+    rows = spark.createDataFrame([("d", date(2024, 1, 2), "X", Decimal("-1.50"), "A", Decimal("5.5"))], "doc_id string, date date, description string, amount_brl decimal(18,2), category string, fx_rate decimal(12,6)")
+    s.write_export(rows, str(tmp_path / "e"))
+    row = spark.read.csv(str(tmp_path / "e"), sep=";", header=True).first()
+    assert (row.date, row.amount_brl, row.fx_rate, row.installment_seq, len(row)) == ("02/01/2024", "-1,50", "5,5000", "0", 16)
+    s.write_export(rows.limit(0), str(tmp_path / "n"))
+    empty = spark.read.csv(str(tmp_path / "n"), sep=";", header=True).collect()
+    assert len(empty) == 1 and empty[0].date == "01/01/2024" and empty[0].amount_brl == "0,00"
+    runs = spark.createDataFrame([("d", "azure", True, None, 0.7), ("e", None, False, "broken", 0.0)], "doc_id string, extractor string, success boolean, error string, confidence double")
+    s.write_results(rows, runs, str(tmp_path / "r"))
+    out = {r.doc_id: tuple(r)[:6] for r in spark.read.csv(str(tmp_path / "r"), sep=";", header=True).collect()}
+    assert out == {"d": ("2024-01-02", "X", "-1.50", "A", "0.7", "azure"), "e": ("ERROR", "broken", "0.00", "ERROR", "0.0", "Unknown")}
+    s.write_golden_draft(rows, str(tmp_path / "g"))
+    s.write_golden_copy(rows, str(tmp_path / "c"))
+    assert [(tmp_path / d).exists() for d in "gc"] == [True, True]
+    assert s.read_any_golden(spark, str(tmp_path / "g")).first().amount_brl == Decimal("-1.50")
+    assert spark.read.csv(str(tmp_path / "c"), header=True).first().date == "2024-01-02"
+    s.write_tables({"a": rows.select("description"), "b": rows.select("category")}, str(tmp_path / "t"))
+    assert spark.read.csv(str(tmp_path / "t" / "b"), header=True).first().category == "A"
+    s.write_json(rows, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).first().amount_brl == -1.5
+    s.write_report(rows.select(F.col("description").alias("line")), str(tmp_path / "x"))
+    assert spark.read.text(str(tmp_path / "x")).first().value == "X"
+    more = s.appended(rows.withColumn("key", F.lit("k1")), "k1", rows.withColumn("description", F.lit("new")))
+    assert [(r.key, r.description) for r in more.collect()] == [("k1", "new")]
+
+
+def test_page_texts_and_mock(spark):
+    pages = spark.createDataFrame([("d", 2, "b"), ("d", 1, "a"), ("d", 3, ""), ("e", 1, None)], "doc_id string, page int, text string")
+    assert [tuple(r) for r in s.page_texts(pages).collect()] == [("d", "a\nb")]
+    docs = spark.createDataFrame([("d",)], "doc_id string")
+    assert [s.mock_rows(docs, p).count() for p in ("ocr", "form_parser", "layout_parser", "invoice_parser", "custom_extractor", "x")] == [1, 2, 2, 3, 3, 2]
+
+
+def test_run_rates_stream(spark, tmp_path):
+    runs = spark.createDataFrame([("2024-01-01 00:00:00", "a", True), ("2024-01-01 00:04:00", "a", False)], "t string, method string, success boolean").select(F.col("t").cast("timestamp").alias("ts"), "method", "success")
+    runs.write.parquet(f"{tmp_path}/runs")
+    q = ingest.run_rates(spark.readStream.schema(runs.schema).parquet(f"{tmp_path}/runs")).writeStream.format("memory").outputMode("complete").queryName("rates").start()
+    try:
+        q.processAllAvailable()
+        assert [(r.runs, r.success_rate) for r in spark.table("rates").collect()] == [(2, 0.5)]
+    finally:
+        q.stop()
