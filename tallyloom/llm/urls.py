@@ -18,9 +18,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import quoted, scratch, stored
 
 SUPPORT, CONFIDENCE, DEFAULT = 0.005, 0.9, "allow"
+#: A token set with over a HOT-th of the open rows is joined by a broadcast.
+HOT = 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RESULT = ("host", "path", "rule", "verdict")
 
@@ -62,42 +64,72 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     )
 
 
+def anchored(rules: DataFrame, counts: DataFrame) -> DataFrame:
+    """rules with `anchor`: the token of each that is rarest by counts (token, seen), the first of equals.
+
+    Whatever holds all of a rule's tokens holds its anchor, so an index by anchors meets few rules
+    even where some tokens are in most urls.
+    """
+    each = rules.select("rule_id", F.explode("antecedent").alias("token")).join(counts, "token", "left")
+    rarest = each.groupBy("rule_id").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "token"))["token"].alias("anchor"))
+    return rules.join(rarest, "rule_id")
+
+
+def _holds(tokens: str, part: str) -> Column:
+    return F.size(F.array_except(F.col(part), F.col(tokens))) == 0
+
+
 def pruned(rules: DataFrame) -> DataFrame:
     """Rules without those that add tokens to a rule of the same verdict and at least their confidence."""
     r = rules.withColumn("rule_id", F.xxhash64("antecedent", "verdict")).withColumn("n", F.size("antecedent"))
-    index = r.select(F.col("rule_id").alias("small"), F.col("verdict").alias("v"), F.col("confidence").alias("c"), "n", F.explode("antecedent").alias("token"))
-    parts = r.select(F.col("rule_id"), "verdict", "confidence", F.col("n").alias("size"), F.explode("antecedent").alias("token")).join(index, "token")
-    parts = parts.filter((F.col("v") == F.col("verdict")) & (F.col("c") >= F.col("confidence")) & (F.col("n") < F.col("size")))
-    worse = parts.groupBy("rule_id", "small", "n").agg(F.count("*").alias("hits")).filter("hits = n").select("rule_id").distinct()
-    return r.join(worse, "rule_id", "left_anti")
+    seen = r.select(F.explode("antecedent").alias("token")).groupBy("token").agg(F.count("*").alias("seen"))
+    index = anchored(r, seen).select(F.col("anchor").alias("token"), F.col("antecedent").alias("part"), F.col("verdict").alias("v"), F.col("confidence").alias("c"), F.col("n").alias("m"))
+    pairs = r.select("rule_id", "antecedent", "verdict", "confidence", "n", F.explode("antecedent").alias("token")).join(index, "token")
+    worse = pairs.filter((F.col("v") == F.col("verdict")) & (F.col("c") >= F.col("confidence")) & (F.col("m") < F.col("n")) & _holds("antecedent", "part"))
+    return r.join(worse.select("rule_id").distinct(), "rule_id", "left_anti")
 
 
 def matched(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """The best rule's verdict for each distinct token set (key, tokens) that has all of its tokens.
+    """(key, seen, mined): the best rule's verdict for each distinct token set (key, tokens, seen) that has all of its tokens.
 
-    Best: confidence, then support, then more tokens, then the rule's hash. The index is one
-    row for a rule and token; its size is bounded by the tokens of a url and the support.
+    Best: confidence, then support, then more tokens, then the rule's hash. The index has a row
+    for each rule, under its rarest token among the sets; only sets with that token meet the rule.
     """
-    index = rules.select("rule_id", "n", "verdict", "confidence", "support", F.explode("antecedent").alias("token"))
-    hits = sets.select("key", F.explode("tokens").alias("token")).join(index, "token")
-    full = hits.groupBy("key", "rule_id", "n", "verdict", "confidence", "support").agg(F.count("*").alias("hits")).filter("hits = n")
+    tokens = sets.select("key", "seen", "tokens", F.explode("tokens").alias("token"))
+    counts = tokens.join(rules.select(F.explode("antecedent").alias("token")).distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("seen"))
+    index = anchored(rules, counts).select(F.col("anchor").alias("token"), "antecedent", "verdict", "confidence", "support", "n", "rule_id")
+    hits = tokens.join(index, "token").filter(_holds("tokens", "antecedent"))
     best = F.max_by("verdict", F.struct("confidence", "support", "n", "rule_id"))
-    return full.groupBy("key").agg(best.alias("mined"))
+    return hits.groupBy("key").agg(F.first("seen").alias("seen"), best.alias("mined"))
 
 
 def url_filter(df: DataFrame, rules: Sequence[tuple[str, str]], url_col: str = "url", support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """df with host, path, rule and verdict."""
+    """df with host, path, rule and verdict.
+
+    Rows that listed rules decide, and those without tokens, meet no join. The others take their
+    token set's verdict: sets with over a HOT-th of the rows (fewer than HOT of them) by a
+    broadcast, and their rows are spread over the join of the rest.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession)
-    host, way = parsed(F.col(f"`{url_col}`"))
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in RESULT]
+    host, way = parsed(quoted(url_col))
+    keep = [quoted(c) for c in df.columns if c not in RESULT]
     base = df.select(*keep, host.alias("host"), way.alias("path"))
     base = base.withColumns({"\0rule": listed(F.col("host"), F.col("path"), rules), "\0tokens": tokens(F.col("host"), F.col("path"))})
     labelled = base.filter("`\0rule` is not null").select(F.col("`\0tokens`").alias("tokens"), F.col("`\0rule`.verdict").alias("verdict"))
     found = stored(pruned(mined_rules(labelled, support, confidence)), f"{path}/rules")
-    open_sets = base.filter("`\0rule` is null and size(`\0tokens`) > 0").select(F.array_join("`\0tokens`", " ").alias("key"), F.col("`\0tokens`").alias("tokens"))
-    judged = matched(open_sets.groupBy("key").agg(F.first("tokens").alias("tokens")), found)
-    key = F.when(F.col("`\0rule`").isNull() & (F.size("`\0tokens`") > 0), F.array_join("`\0tokens`", " "))
-    joined = base.withColumn("\0key", key).join(judged.select(F.col("key").alias("\0key"), F.col("mined").alias("\0mined")), "\0key", "left")
-    return joined.select(
-        *keep, "host", "path", F.col("`\0rule`.rule").alias("rule"), F.coalesce("`\0rule`.verdict", "`\0mined`", F.lit(DEFAULT)).alias("verdict")
-    )
+    asks = F.col("`\0rule`").isNull() & (F.size("`\0tokens`") > 0)
+    rows = base.filter(asks).withColumn("\0key", F.array_join("`\0tokens`", " "))
+    sets = stored(rows.groupBy(F.col("`\0key`").alias("key")).agg(F.first("`\0tokens`").alias("tokens"), F.count("*").alias("seen")), f"{path}/sets")
+    judged = stored(matched(sets, found), f"{path}/judged")
+    total = sets.agg(F.sum("seen")).first()[0] or 0
+    hot = F.col("seen") * HOT > total
+    few = sets.filter(hot).join(judged.select("key", "mined"), "key", "left").select(F.col("key").alias("\0key"), F.col("mined").alias("\0near"), F.lit(True).alias("\0hot"))
+    salt = [quoted(c) for c, kind in df.dtypes if c not in RESULT and "map<" not in kind]  # of equal rows it is the same
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*salt), F.lit(1_000_000)).cast("string"))
+    near = rows.withColumn("\0salt", spread).join(F.broadcast(few), "\0key", "left")
+    far = near.withColumn("\0key", F.when(F.col("`\0hot`"), F.col("`\0salt`")).otherwise(F.col("`\0key`")))
+    rest = judged.filter(~hot).select(F.col("key").alias("\0key"), F.col("mined").alias("\0far"))
+    joined = far.join(rest, "\0key", "left")
+    mined = joined.select(*keep, "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("`\0near`", "`\0far`", F.lit(DEFAULT)).alias("verdict"))
+    known = base.filter(~asks).select(*keep, "host", "path", F.col("`\0rule`.rule").alias("rule"), F.coalesce("`\0rule`.verdict", F.lit(DEFAULT)).alias("verdict"))
+    return known.union(mined)

@@ -1,4 +1,9 @@
+import random
 import re
+from collections import Counter
+from itertools import combinations
+
+import pytest
 
 from tallyloom.llm import urls
 
@@ -47,9 +52,9 @@ def test_mined_rules_equal_brute_force(spark):
     assert got == want
     kept = {(tuple(r.antecedent), r.verdict) for r in urls.pruned(urls.mined_rules(labelled, 0.1, 0.9)).collect()}
     assert kept == {(("b",), "block")}
-    sets = spark.createDataFrame([("1", ["b", "x"]), ("2", ["a"]), ("3", ["b"])], "key string, tokens array<string>")
+    sets = spark.createDataFrame([("1", ["b", "x"], 1), ("2", ["a"], 1), ("3", ["b"], 9)], "key string, tokens array<string>, seen long")
     out = urls.matched(sets, urls.pruned(urls.mined_rules(labelled, 0.1, 0.9))).collect()
-    assert {(r.key, r.mined) for r in out} == {("1", "block"), ("3", "block")}
+    assert {(r.key, r.seen, r.mined) for r in out} == {("1", 1, "block"), ("3", 9, "block")}
 
 
 def test_method_decides_and_empty(spark):
@@ -57,3 +62,50 @@ def test_method_decides_and_empty(spark):
     out = {r.url: r.verdict for r in urls.url_filter(table(spark, found), RULES).collect()}
     assert (out["http://q.net/de/1"], out["http://q.net/fr/1"]) == ("block", "allow")
     assert urls.url_filter(table(spark, []), RULES).count() == 0
+
+
+def url_tokens(host, path):
+    if not host:
+        return frozenset()
+    labels = [f"l{min(i, 3)}={x}" for i, x in enumerate(host.split(".")[::-1])]
+    parts = [f"p{min(i, 3)}={re.sub('[0-9]+', '#', x)}" for i, x in enumerate([x for x in path.split("/") if x])]
+    return frozenset([f"h={host}", *labels, *parts])
+
+
+def verdicts(found, support, confidence):
+    """Every token combination of the labelled urls is tried as a rule."""
+    parsed = [brute(u) for u in found]
+    labelled = [(url_tokens(h, p), v) for h, p, rule, v in parsed if rule]
+    seen = Counter(c for t, _ in labelled for n in range(1, len(t) + 1) for c in combinations(sorted(t), n))
+    hits = Counter((c, v) for t, v in labelled for n in range(1, len(t) + 1) for c in combinations(sorted(t), n))
+    least = support * len(labelled)
+    rules = {(c, v): (n / seen[c], n / len(labelled)) for (c, v), n in hits.items() if n >= least and n / seen[c] >= confidence}
+    kept = {k: x for k, x in rules.items() if not any(set(c) < set(k[0]) and v == k[1] and y[0] >= x[0] for (c, v), y in rules.items())}
+    out = []
+    for host, path, rule, verdict in parsed:
+        mine = url_tokens(host, path)
+        fits = [(x, len(c), v) for (c, v), x in kept.items() if set(c) <= mine] if not rule else []
+        top = max((f[:2] for f in fits), default=None)
+        out.append({verdict} if rule else {f[2] for f in fits if f[:2] == top} or {urls.DEFAULT})
+    return out
+
+
+@pytest.mark.parametrize("hot", [200, 3])
+def test_whole_verdicts_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(urls, "HOT", hot)
+    rnd = random.Random(6)
+    hosts, ways = ["a.org", "b.example.org", "c.com", "shop.d.com", "e.net", "news.f.net"], ["es", "en", "fr", "de", "es/shop", "de/shop", "blog"]
+    found = [f"http://{rnd.choice(hosts)}/{rnd.choice(ways)}/{rnd.choice([1, 25, 'x'])}" for _ in range(220)] + ["http://e.net/de/shop/1"] * 90 + [None, "x", "http://"]
+    rnd.shuffle(found)
+    rows = spark.createDataFrame([(i, u, "old", {"k": 1}) for i, u in enumerate(found)], "`page.id` long, url string, verdict string, m map<string,int>")
+    out = urls.url_filter(rows, RULES, support=0.02, confidence=0.8).collect()
+    want = verdicts(found, 0.02, 0.8)
+    assert sorted(r["page.id"] for r in out) == list(range(len(found)))
+    assert all(r.verdict in want[r["page.id"]] for r in out)
+    assert sum(len(w) == 1 for w in want) > 250 and {"allow", "block"} == {r.verdict for r in out if r.rule is None}
+
+
+def test_very_long_urls_and_repeats(spark):
+    long = "http://e.net/" + "/".join(f"p{i}" for i in range(3000))
+    out = urls.url_filter(table(spark, [long, long, "http://a.org/" + "x" * 100_000]), RULES).collect()
+    assert len(out) == 3 and {r.verdict for r in out} == {"allow"}
