@@ -160,6 +160,29 @@ def tables_else_lines(tables: DataFrame, lines: DataFrame) -> DataFrame:
     return tables.select(*columns, F.lit("table").alias("strategy")).unionByName(rest.select(*columns, F.lit("line").alias("strategy")))
 
 
+def table_cascade(lattice: DataFrame, stream: DataFrame, aggressive: DataFrame, order: str = "row_idx") -> DataFrame:
+    """Rows of three ways to find tables: all of lattice, those of stream that aren't there yet, and aggressive's where both gave none.
+
+    Rows are the same if equal in document, date, description and cents; stream's own repeats count once.
+    """
+    on, columns = ["doc_id", "date", "description", "amount_brl"], ["doc_id", "date", "description", "amount_brl", "category", "confidence"]
+    first = stream.withColumn("\0n", F.row_number().over(W.partitionBy(*on).orderBy(order))).filter("`\0n` = 1")
+    fresh = first.join(lattice.select(*on).distinct(), on, "left_anti")
+    some = lattice.select("doc_id").union(stream.select("doc_id")).distinct()
+    tag = lambda d, n: d.select(*columns, F.lit(n).alias("method"))
+    return tag(lattice, "lattice").unionByName(tag(fresh, "stream")).unionByName(tag(aggressive.join(some, "doc_id", "left_anti"), "aggressive"))
+
+
+def layout_rows(cells: DataFrame, lines: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+    """Rows of an analysed layout: of its tables and, where these are few, its lines; documents that have rows
+    from structured fields (a bank statement model's) keep those alone."""
+    found = with_paragraphs(cell_rows(cells, "B", header=0), text_rows(lines, confidence=F.coalesce("confidence", F.lit(0.7)) if "confidence" in lines.columns else F.lit(0.7)))
+    if fields is None:
+        return found
+    columns = ["doc_id", "date", "description", "amount_brl", "category", "confidence"]
+    return found.join(fields.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(fields.select(*columns, F.lit("fields").alias("strategy")))
+
+
 def column_rows(cells: DataFrame, columns: DataFrame, method: str = "lattice", year: int = 2024, default: str = "2024-01-01") -> DataFrame:
     """Rows of tables whose columns are known (infer_columns); the amount's cell must hold a digit. Confidence .9 of the rule's."""
     key, place = ["doc_id", "table_idx"], F.col("col_idx")
@@ -254,6 +277,19 @@ def purchase_rows(rows: DataFrame, year: int = 2024) -> DataFrame:
     return kept.withColumns({"category": part(0, "DIVERSOS"), "merchant_city": part(1, "")}).drop("dotted", "cells")
 
 
+def entities_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, idx, type, value, confidence) of documents' entities, in their order."""
+    return docs.select("doc_id", F.posexplode("entities").alias("idx", "e")).select("doc_id", "idx", "e.type", "e.value", "e.confidence")
+
+
+def form_fields(docs: DataFrame) -> DataFrame:
+    """(doc_id, page, idx, name, value, confidence) of the form fields on documents' pages that have a name or a value; no confidence is 0."""
+    fields = docs.select("doc_id", F.posexplode("pages").alias("page", "p")).select("doc_id", "page", F.posexplode("p.form_fields").alias("idx", "f"))
+    text = lambda c: F.coalesce(f"f.{c}", F.lit(""))
+    out = fields.select("doc_id", "page", "idx", text("name").alias("name"), text("value").alias("value"), F.coalesce("f.confidence", F.lit(0.0)).alias("confidence"))
+    return out.filter("name <> '' or value <> ''")
+
+
 def entity_rows(entities: DataFrame, least: float = 0.5, year: int = 2024, default: str = "2024-01-01") -> DataFrame:
     """Rows of entities (doc_id, idx, type, value, confidence): the k-th date, amount and description of a document together.
 

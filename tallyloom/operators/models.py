@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 from . import enrich
 
 
-def train_categories(rows: DataFrame, text: str = "description", label: str = "category", trees: int = 100, words: int = 1000, depth: int = 10, seed: int = 42) -> PipelineModel:
+def train_categories(rows: DataFrame, text: str = "description", label: str = "category", trees: int = 100, words: int = 1000, depth: int = 10, seed: int = 42, pairs: bool = True, balanced: bool = True) -> PipelineModel:
     """TF-IDF of words and word pairs, and a forest with balanced class weights."""
-    sizes = rows.groupBy(label).agg(F.count("*").alias("\0n")).withColumn("weight", F.sum("\0n").over(W.partitionBy()) / (F.col("`\0n`") * F.count("*").over(W.partitionBy())))
+    sizes = rows.groupBy(label).agg(F.count("*").alias("\0n")).withColumn("weight", F.lit(1.0) if not balanced else F.sum("\0n").over(W.partitionBy()) / (F.col("`\0n`") * F.count("*").over(W.partitionBy())))
     weighted = rows.join(F.broadcast(sizes.select(label, "weight")), label)  # one row a class
     index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     steps = [
         RegexTokenizer(inputCol=text, outputCol="words", pattern=r"\s+"),
         NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, {'concat(words, pairs)' if pairs else 'words'} AS terms FROM __THIS__"),
         CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=words, minDF=2),
         IDF(inputCol="counts", outputCol="features"),
         RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, weightCol="weight", seed=seed),
@@ -38,6 +38,11 @@ def predict_categories(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select(*rows.columns, "predicted")
 
 
+def train_second(rows: DataFrame, **how) -> PipelineModel:
+    """The other category model: single words and 200 trees, classes by their own weight."""
+    return train_categories(rows, **({"trees": 200, "pairs": False, "balanced": False} | how))
+
+
 def split(rows: DataFrame, key: str, held: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(training, held-out) rows by a hash of their key: equal keys stay together and reruns agree."""
     part = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) < int(held * 10_000)

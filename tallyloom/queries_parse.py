@@ -397,3 +397,25 @@ def anchored_words(spark, sf_dir):
 def thresholds(spark, sf_dir):
     x = (F.col("idx") % 30 - 5) / 20
     return a.rows(spark, sf_dir).select("idx", rules.clamped(x).alias("clamped"), rules.needs_ocr(x).alias("ocr"), rules.in_ensemble(x).alias("ensemble"), rules.highlighted(x).alias("highlighted"))
+
+
+@query("""SELECT doc_id, method, count(*) n, round(sum(amount)::DOUBLE, 2) total FROM (SELECT doc_id, 'lattice' AS method, amount_brl amount FROM rows WHERE d = 0 AND idx % 2 = 0 UNION ALL SELECT DISTINCT doc_id, 'stream', amount_brl FROM (SELECT DISTINCT doc_id, date, description, amount_brl FROM rows WHERE d < 2 AND NOT (d = 0 AND (doc_id, date, description, amount_brl) IN (SELECT (doc_id, date, description, amount_brl) FROM rows WHERE idx % 2 = 0)))
+ UNION ALL SELECT doc_id, 'aggressive', amount_brl FROM rows WHERE d = 2) GROUP BY 1, 2""".replace("FROM (SELECT doc_id, 'lattice'", "FROM (WITH rows AS (SELECT *, ascii(right(doc_id, 1)) % 3 d FROM main_rows) SELECT doc_id, 'lattice'").replace("main_rows", "rows"))
+def table_cascade(spark, sf_dir):
+    """By the document's name: some have lattice rows and stream repeats all, some have only stream's (twice), some neither."""
+    found = a.rows(spark, sf_dir)
+    kind = F.ascii(F.right("doc_id", F.lit(1))) % 3
+    rows = found.withColumns({"row_idx": F.col("idx"), "d": kind})
+    stream = rows.filter("d < 2")
+    out = layout.table_cascade(rows.filter("d = 0 and idx % 2 = 0"), stream.unionByName(stream.withColumn("row_idx", -F.col("idx"))), rows)
+    return out.groupBy("doc_id", "method").agg(F.count("*").alias("n"), F.round(F.sum("amount_brl").cast("double"), 2).alias("total"))
+
+
+@query("""SELECT idx doc_id, unnest([0, 1])::INT page, unnest(['total', '']) AS name, unnest([description, 'x' || idx]) AS value, unnest([CASE WHEN idx % 2 = 0 THEN 0.5 ELSE 0 END, 0.9])::DOUBLE confidence FROM rows""")
+def form_fields(spark, sf_dir):
+    """Named fields, nameless ones, and empty ones, which don't count."""
+    k = F.col("idx")
+    field = lambda n, v, c: F.struct(n.alias("name"), v.alias("value"), c.cast("double").alias("confidence"))
+    none = F.lit(None).cast("string")
+    pages = F.array(F.struct(F.array(field(F.lit("total"), F.col("description"), F.when(k % 2 == 0, 0.5)), field(none, F.lit(""), F.lit(1))).alias("form_fields")), F.struct(F.array(field(none, F.concat(F.lit("x"), k.cast("string")), F.lit(0.9))).alias("form_fields")))
+    return layout.form_fields(a.rows(spark, sf_dir).select(k.alias("doc_id"), pages.alias("pages"))).select("doc_id", "page", "name", "value", "confidence")

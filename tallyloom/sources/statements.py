@@ -147,6 +147,31 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return named(spark.read.csv(path, sep=sep, header=True), ())
 
 
+#: Schemas of an analysed layout and of an analysed document, as JSON lines.
+LAYOUT = (
+    "doc_id string, model_id string, tables array<struct<cells: array<struct<row_index: int, column_index: int, content: string, confidence: double>>>>, "
+    "pages array<struct<lines: array<struct<content: string, confidence: double>>>>"
+)
+DOCUMENT = (
+    "doc_id string, text string, entities array<struct<type: string, value: string, confidence: double>>, "
+    "pages array<struct<tables: array<struct<rows: array<struct<cells: array<struct<segments: array<struct<start: int, `end`: int>>>>>>>>, form_fields: array<struct<name: string, value: string, confidence: double>>>>"
+)
+
+
+def read_layout(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(cells, lines) of analysed layouts: cells (doc_id, table_idx, row_idx, col_idx, content, confidence), lines (doc_id, line_no, line, confidence) through all pages."""
+    docs = spark.read.schema(LAYOUT).json(path)
+    cells = docs.select("doc_id", F.posexplode("tables").alias("table_idx", "t")).select("doc_id", "table_idx", F.explode("t.cells").alias("c"))
+    cells = cells.select("doc_id", "table_idx", F.col("c.row_index").alias("row_idx"), F.col("c.column_index").alias("col_idx"), "c.content", F.coalesce("c.confidence", F.lit(0.8)).alias("confidence"))
+    lines = docs.select("doc_id", F.posexplode("pages").alias("page", "p")).select("doc_id", "page", F.posexplode("p.lines").alias("n", "l"))
+    return cells, lines.select("doc_id", (F.col("page").cast("long") * 1_000_000 + F.col("n")).alias("line_no"), F.col("l.content").alias("line"), F.coalesce("l.confidence", F.lit(0.7)).alias("confidence"))
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Analysed documents with text, entities, tables anchored in the text and form fields; see layout.entities_of, document_tables and form_fields."""
+    return spark.read.schema(DOCUMENT).json(path)
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text): one row a text file."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))

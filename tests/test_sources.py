@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import enrich, parse
+from tallyloom.operators import enrich, layout, parse
 from tallyloom.sources import statements as s
 from tallyloom.streaming import ingest
 
@@ -121,3 +121,25 @@ def test_run_rates_stream(spark, tmp_path):
         assert [(r.runs, r.success_rate) for r in spark.table("rates").collect()] == [(2, 0.5)]
     finally:
         q.stop()
+
+
+def test_layout_json(spark, tmp_path):
+    cell = lambda r, c, x: f'{{"row_index":{r},"column_index":{c},"content":"{x}","confidence":0.5}}'
+    line = '{"content":"04/10 LOJA B 9,00","confidence":0.8}'
+    (tmp_path / "l.json").write_text(f'{{"doc_id":"d","tables":[{{"cells":[{cell(0, 0, "Data")},{cell(1, 0, "03/10")},{cell(1, 1, "LOJA GRANDE")},{cell(1, 2, "7,00")}]}}],"pages":[{{"lines":[{line},{{"content":"03/10 LOJA GRANDE 7,00"}}]}}]}}\n')
+    cells, lines = s.read_layout(spark, str(tmp_path / "l.json"))
+    out = sorted((r.strategy, r.description, str(r.amount_brl), r.confidence) for r in layout.layout_rows(cells, lines).collect())
+    assert out == [("paragraph", "LOJA B", "9.00", 0.72), ("table", "LOJA GRANDE", "7.00", 0.85)]
+    fields = layout.layout_rows(cells, lines).filter("strategy = 'table'").drop("strategy").withColumn("confidence", F.lit(1.0))
+    assert [r.strategy for r in layout.layout_rows(cells, lines, fields).collect()] == ["fields"]
+
+
+def test_documents_json(spark, tmp_path):
+    text = "03/10MERCADO LIVRE 5,00"
+    segment = lambda a, b: f'{{"segments":[{{"start":{a},"end":{b}}}]}}'
+    page = f'{{"tables":[{{"rows":[{{"cells":[{segment(0, 5)},{segment(5, 18)},{segment(18, "null")}]}}]}}],"form_fields":[{{"name":"a"}}]}}'
+    (tmp_path / "d.json").write_text(f'{{"doc_id":"d","text":"{text}","entities":[{{"type":"date","value":"04/10","confidence":0.9}}],"pages":[{page}]}}\n')
+    docs = s.read_documents(spark, str(tmp_path / "d.json"))
+    row = layout.purchase_rows(layout.document_tables(docs)).first()
+    assert (str(row.date), row.description, str(row.amount_brl)) == ("2024-10-03", "MERCADO LIVRE", "5.00")
+    assert str(layout.entity_rows(layout.entities_of(docs)).first().date) == "2024-10-04" and layout.form_fields(docs).first().name == "a"
