@@ -12,7 +12,8 @@ within one), so a source may hold most rows. Reruns agree: nothing is drawn at r
 
 Nulls: a null source is a source, the last; a null text has no words. Documents without words
 take none and have no position. The order of rows that repeat id and size doesn't matter.
-Empty tables give none. Result columns win over columns of their name.
+Empty tables give none. An id or source whose column has a result column's name comes out as
+`id` or `source`.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_words_of, scratch, stored
+from .common import n_words_of, quoted, scratch, stored
 
 #: Weights by the source's rank, repeating; each has a schedule: its factor at times, linear between.
 WEIGHTS = (3.0, 1.0, 2.0)
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0)), ((0.0, 1.0), (1.0, 1.0)))
 SHARE, CAP = 1.5, 2
+RESULT = ("size", "source_size", "target", "taken", "copies", "positions", "position", "carried")
 #: Hex digits of a document's hash that name its bucket.
 DIGITS = 3
 
@@ -72,9 +74,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     of df to take along, as a struct `carried`.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession)
-    ids = F.col(f"`{id_col}`")
+    ids = quoted(id_col)
     key = F.md5(F.coalesce(ids.cast("string"), F.lit("")).cast("binary"))
-    docs = df.select(ids.alias("id"), F.col(f"`{source_col}`").alias("source"), n_words_of(F.col(f"`{text_col}`")).alias("size"), key.alias("key"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []))
+    docs = df.select(ids.alias("id"), quoted(source_col).alias("source"), n_words_of(quoted(text_col)).alias("size"), key.alias("key"), *([F.struct(*map(quoted, carry)).alias("carried")] if carry else []))
     docs = docs.withColumn("bucket", F.substring("key", 1, DIGITS))
     if not carry:
         docs = stored(docs, f"{path}/sizes")
@@ -104,7 +106,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     places = F.filter(F.array(*[F.when(g > 0, position(s)) for g, s in zip(gets, starts, strict=True)]), lambda x: x.isNotNull())
     out = joined.withColumns({"taken": sum(gets[1:], gets[0]).cast("long"), "copies": sum(halves[1:], halves[0]), "positions": places})
     out = out.withColumn("position", F.get("positions", F.lit(0)))
-    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "taken", "copies", "positions", "position", *also)
+    name = lambda c, other: other if c in RESULT else c
+    return out.select(F.col("id").alias(name(id_col, "id")), "size", F.col("source").alias(name(source_col, "source")), "source_size", "target", "taken", "copies", "positions", "position", *also)
 
 
 def in_order(mixed: DataFrame, *ties: str) -> DataFrame:

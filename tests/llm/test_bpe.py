@@ -58,3 +58,8 @@ def test_empty_table_and_clashing_columns(spark):
     clash = spark.createDataFrame([(1, "a b", "old", "keep")], "doc_id long, text string, n_tokens string, more string")
     row = bpe.bpe_digest(clash, PATH, P.PATTERN).first()
     assert (row.n_tokens, row.more) == (2, "keep")
+
+
+def test_odd_column_names(spark):
+    row = bpe.bpe_digest(spark.createDataFrame([(1, "a b", 2.0)], "`a.b` long, `te.xt` string, r0 double"), PATH, P.PATTERN, "te.xt").first()
+    assert (row["a.b"], row["te.xt"], row.r0, row.n_tokens) == (1, "a b", 2.0, 2)

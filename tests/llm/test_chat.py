@@ -39,3 +39,10 @@ def test_dialogues_and_empty(spark):
     for r in chat.dialogues(chat.rotated(df)).collect():
         assert [r.text[a:b] for a, b in r.spans] == [{"a": "x", "b": "yy"}[r.perspective]]
     assert chat.rotated(df.limit(0)).count() == 0
+
+
+def test_very_long_texts_and_repeated_turns(spark):
+    long = "word " * 200_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (2, None, None, None)]
+    out = chat.rotated(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    assert any(r.text and long in r.text for r in out if "text" in r.asDict()) or any(long in str(v) for r in out for v in r.asDict().values())

@@ -71,3 +71,13 @@ def test_order_and_empty(spark):
     places = [r.position for r in out if r.position is not None]
     assert places == sorted(places)
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_clashing_and_odd_columns_and_repeated_ids(spark):
+    rows = [(i // 2, f"{'w ' * (i % 9)}", ["a", "b"][i % 2], 7.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "size long, text string, `so.urce` string, target double")
+    out = mixing.mix(df, id_col="size", source_col="so.urce")
+    assert len(set(out.columns)) == len(out.columns) and out.count() == 40
+    plain = spark.createDataFrame([(r[0], r[1], r[2], 1.0) for r in rows], "doc_id long, text string, source string, taken double")
+    again = mixing.mix(plain)
+    assert sorted((r.taken, r.target) for r in out.collect()) == sorted((r.taken, r.target) for r in again.collect())

@@ -60,3 +60,18 @@ def test_a_repeated_id_costs_no_group_its_document(spark, tmp_path):
     found = corpus_pipeline.dedup_stage(spark, docs, "")
     got = sorted((r.doc_id or 0, texts.index(r.text)) for r in found.collect())
     assert found.columns == docs.columns and got == [(0, 2), (3, 1), (3, 2), (5, 0)]
+
+
+def test_nulls_in_labels_all_rejected_and_clashing_columns(spark, tmp_path):
+    rows = [r for r in documents(60) if r[0] is not None]
+    spark.createDataFrame([(None, None, None), (1, None, 1), (2, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(*r, 1.0, 2) for r in rows], DOCS + ", score double, `a.b` int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"file://{tmp_path}")
+        assert docs.columns == corpus_pipeline.COLUMNS and docs.count() > 0
+    bad = spark.createDataFrame([(i, "x", "en", "s", 1) for i in range(5)], DOCS)
+    kept = corpus_pipeline.quality_stage(spark, bad, f"file://{tmp_path}")
+    assert kept.count() == 0
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        kept = stage(spark, kept, f"file://{tmp_path}")
+    assert kept.count() == 0

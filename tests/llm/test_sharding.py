@@ -46,3 +46,60 @@ def test_target_bytes_and_equal_coordinates(spark):
     points = sharding.text_points(spark.createDataFrame(rows, DOCS))
     found = sharding.kd_shards(points, DIMS, target_bytes=2000).groupBy("shard").count().collect()
     assert len(found) == 10 and {r["count"] for r in found} == {100}
+
+
+def walk(cuts, done, row):
+    """The shard that a row comes to, from the root."""
+    node = 1
+    while node in cuts:
+        dim, value, at = cuts[node]
+        x = row[dim]
+        node = 2 * node + (x > value if at is None else (x, row["id"]) > (value, at))
+    return done[node]
+
+
+def test_every_cut_is_as_good_as_any(spark):
+    """Each cut lies along the widest dimension, and no other value (or value and id) parts the bytes better, but for the tolerance."""
+    rnd = random.Random(3)
+    rows = [(i, "x " * rnd.choice([1, 5, 5, 5, 40, rnd.randint(0, 300)]), "en", "s", 0) for i in range(900)]
+    points = sharding.text_points(spark.createDataFrame(rows, DOCS))
+    held = [r.asDict() for r in points.collect()]
+    for leaves in (9, 16):
+        cuts, done = sharding.kd_tree(points, DIMS, leaves)
+        assert sorted(done.values()) == list(range(leaves))
+        span = {d: max(1, max(r[d] for r in held) - min(r[d] for r in held)) for d in DIMS}
+
+        def check(node, rs, k):
+            if k == 1:
+                return
+            dim, value, at = cuts[node]
+            wide = {d: (max(r[d] for r in rs) - min(r[d] for r in rs)) / span[d] for d in DIMS}
+            assert wide[dim] == max(wide.values())
+            total = sum(r["size"] for r in rs)
+            goal, leaf = total * (k // 2) / k, total / k
+            under = lambda test: sum(r["size"] for r in rs if test(r))
+            off = lambda test: abs(under(test) - goal)
+            whole = min(off(lambda r, v=v: r[dim] <= v) for v in {r[dim] for r in rs})
+            if at is None:
+                mine = off(lambda r: r[dim] <= value)
+                assert mine <= max(whole, sharding.TOLERANCE * leaf) + 1e-6 and (mine <= sharding.KEEP * leaf + 1e-6 or len({r[dim] for r in rs}) == 1 or mine <= whole + 1e-6)
+                below = [r for r in rs if r[dim] <= value]
+            else:
+                assert whole > sharding.KEEP * leaf
+                mine = off(lambda r: (r[dim], r["id"]) <= (value, at))
+                parted = min(off(lambda r, i=i: (r[dim], r["id"]) <= (value, i)) for i in {r["id"] for r in rs})
+                assert mine <= max(parted, sharding.TOLERANCE * leaf) + 1e-6
+                below = [r for r in rs if (r[dim], r["id"]) <= (value, at)]
+            above = [r for r in rs if r not in below]
+            check(2 * node, below, k // 2)
+            check(2 * node + 1, above, k - k // 2)
+
+        check(1, held, leaves)
+        out = {r.id: r.shard for r in sharding.kd_shards(points, DIMS, leaves).collect()}
+        assert out == {r["id"]: walk(cuts, done, r) for r in held}
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(i, "a b " * (i % 7), 3, "x") for i in range(60)], "doc_id long, text string, shard int, slot string").withColumnRenamed("slot", "a.b")
+    out = sharding.kd_shards(sharding.text_points(df), DIMS, 4)
+    assert out.columns == ["id", "size", "text_crc32", "n_chars", "shard", "slot"] and out.count() == 60 and {r.shard for r in out.collect()} == {0, 1, 2, 3}

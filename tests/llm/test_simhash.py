@@ -102,3 +102,11 @@ def test_radius_six_keeps_its_links():
 def test_odd_radii_are_refused():
     with pytest.raises(ValueError, match="radius 5"):
         simhash.fingerprint_links(None, 5)
+
+
+def test_clashing_and_odd_column_names(spark):
+    rows = [(1, "a b c d e f", 0.5), (2, "a b c d e f", 0.25), (3, None, 0.0)]
+    out = simhash.near_duplicates(spark.createDataFrame(rows, "`d.id` long, text string, fp double"), "d.id")
+    assert sorted((r["d.id"], r.component_id) for r in out.collect()) == [(1, 1), (2, 1), (3, 3)]
+    found = simhash.fingerprints(spark.createDataFrame(rows, "`d.id` long, `te.xt` string, fp double"), "te.xt")
+    assert found.columns == ["d.id", "fp"] and dict(found.dtypes)["fp"] == "bigint"
