@@ -37,7 +37,7 @@ MIX, UNMIX = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 MASK_BITS = 12
 #: Variants a bucket should hold at most, rounds (the number of syndromes), fingerprints expanded
 #: at once by a worker, and links held by one before they are passed on.
-BUCKET, ROUNDS, CHUNK, LINKS = 1 << 18, 8, 8192, 500_000
+BUCKET, ROUNDS, CHUNK, LINKS = 1 << 18, 8, 4096, 500_000
 #: Full buckets in a partition, at most: 64 MB.
 PARTITION = 32
 

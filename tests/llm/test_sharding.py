@@ -2,6 +2,8 @@ import random
 import zlib
 from collections import defaultdict
 
+import pytest
+
 from tallyloom.llm import sharding
 
 from .cases import DOCS, documents
@@ -58,15 +60,20 @@ def walk(cuts, done, row):
     return done[node]
 
 
-def test_every_cut_is_as_good_as_any(spark):
+@pytest.mark.parametrize(("few", "bins"), [(1024, 1 << 18), (0, 64)])
+def test_every_cut_is_as_good_as_any(spark, monkeypatch, few, bins):
     """Each cut lies along the widest dimension, and no other value (or value and id) parts the bytes better, but for the tolerance."""
+    monkeypatch.setattr(sharding, "FEW", few)
+    monkeypatch.setattr(sharding, "BINS", bins)
+    monkeypatch.setattr(sharding, "LEAST_BINS", min(bins, 512))
     rnd = random.Random(3)
     rows = [(i, "x " * rnd.choice([1, 5, 5, 5, 40, rnd.randint(0, 300)]), "en", "s", 0) for i in range(900)]
     points = sharding.text_points(spark.createDataFrame(rows, DOCS))
     held = [r.asDict() for r in points.collect()]
-    for leaves in (9, 16):
-        cuts, done = sharding.kd_tree(points, DIMS, leaves)
-        assert sorted(done.values()) == list(range(leaves))
+    for leaves in (9,):
+        _, cuts, shard_of, n = sharding.kd_tree(points, DIMS, leaves)
+        cuts, done = {r.node: (DIMS[r.dim], r.cut, r["at"]) for r in cuts.collect()}, {r.node: r.shard for r in shard_of.collect()}
+        assert n == leaves and sorted(done.values()) == list(range(leaves))
         span = {d: max(1, max(r[d] for r in held) - min(r[d] for r in held)) for d in DIMS}
 
         def check(node, rs, k):
