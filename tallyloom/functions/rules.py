@@ -116,3 +116,9 @@ def in_ensemble(score: Column) -> Column:
 def highlighted(score: Column, least: float = 0.85) -> Column:
     """Whether a row is shown as unsure to who edits it."""
     return F.coalesce(score < least, F.lit(False))
+
+
+def document_kind(name: Column, form: str) -> Column:
+    """form for names that fit the pattern `form`, else invoice or custom (receipts) by a word in them, else ocr; case and folders don't count."""
+    file = F.lower(F.regexp_extract(name, r"([^/]*)$", 1))
+    return F.when(file.rlike(f"^(?:{form})$"), "form").when(file.contains("fatura"), "invoice").when(file.contains("receipt"), "custom").otherwise("ocr")

@@ -35,6 +35,14 @@ PURCHASE = r"^(\d{2}/\d{2})\s+(.+?)\s+([\d.,]+)$"
 CATEGORY = r"^([A-ZÇÉÂÕ ]+)\.\s+([A-ZÂÁÉÍÓÚÊÔÛ .-]+)$"
 ABROAD = r"^([A-ZÂÁÉÍÓÚÊÔÛ .-]+)\s+([\d.,]+)\s+([A-Z]{3})\s+([\d.,]+)$"
 CONVERSION = r"Dólar de Conversão R\$\s*([\d.,]+)"
+# The catalogue of line patterns, in the order they are tried.
+CATALOGUE = {
+    "rate": r"(?iu)^Dólar de Conversão R\$ ([\d.,]+)",
+    "international": r"(?iu)^(\d{2}/\d{2})\s+(.+?)\s+(-?[\d.,]+)\s+USD$",
+    "domestic": r"^(\d{2}/\d{2})\s+(.+?)\s+(-?[\d.,]+)$",
+    "abroad": r"(?iu)^([A-ZÂÁÉÍÓÚÊÔÛ .-]+)\s+(-?[\d.,]+)\s+BRL$",
+    "category": r"^([A-ZÇÉÂÊÕ ]+)\.\s+([A-ZÂÁÉÍÓÚÊÔÛ .-]+)$",
+}
 # Kinds of entities by their family.
 ENTITIES = {"date": ["date", "transaction_date"], "amount": ["amount", "money", "currency"], "description": ["description", "merchant", "transaction_description"]}
 UNKNOWN = "Unknown transaction"
@@ -42,14 +50,12 @@ UNKNOWN = "Unknown transaction"
 
 def is_header(line: Column) -> Column:
     """Whether a line holds a header's or footer's words."""
-    up = F.upper(line)
-    return F.exists(F.array(*map(F.lit, HEADERS)), lambda w: up.contains(w))
+    return F.upper(line).rlike("|".join(HEADERS).replace(".", r"\."))
 
 
 def is_skipped(line: Column) -> Column:
     """Whether a line holds a skip word and no date."""
-    up = F.upper(line)
-    return F.exists(F.array(*map(F.lit, SKIPPED)), lambda w: up.contains(w)) & ~up.rlike(DAY)
+    return F.upper(line).rlike("|".join(SKIPPED)) & ~line.rlike(DAY)
 
 
 def is_summary(line: Column) -> Column:
@@ -65,6 +71,14 @@ def is_category(line: Column) -> Column:
     return line.rlike(CATEGORY)
 
 
+def line_kind(line: Column) -> Column:
+    """Name of the catalogue's first pattern that the line fits, else null."""
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(CATALOGUE.items()):
+        out = F.when(line.rlike(pattern), name).otherwise(out)
+    return out
+
+
 def looks_like_date(text: Column) -> Column:
     return text.rlike(DAY)
 

@@ -7,6 +7,7 @@ the plans are equi-joins. Order-dependent rules carry an explicit order column.
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left, bisect_right
 from collections import Counter, deque
 
 import pandas as pd
@@ -186,45 +187,61 @@ def greedy_match(a: DataFrame, b: DataFrame, order: str, least: float = 0.8, blo
     both = side(a, "a").join(side(b, "b"), on, "full_outer")
     loss = 1 - least + 1e-9
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(set=[frozenset(w.split()) for w in pdf["words"]])
-        buckets = []
-        for day, rows in pdf[~pdf["first"]].sort_values(["cents", "at"]).groupby("day"):
-            buckets.append((day, rows["cents"].to_numpy("float64"), list(zip(rows["at"], rows["id"], rows["set"], strict=True))))
-        used, out = set(), []
-        for row in pdf[pdf["first"]].sort_values("at").itertuples(index=False):
-            able = []
-            for day, amounts, rows in buckets:
-                dated = max(0.0, 1 - abs(row.day - day) / 7)
+    def pick(rows: list):
+        """Matches of one document's rows (doc_id, day, cents, words, first, at, id)."""
+        days: dict = {}
+        for _, day, money, words, first, at, own in sorted(rows, key=lambda r: (r[2], r[5])):
+            if not first:
+                amounts, held = days.setdefault(day, ([], []))
+                amounts.append(money)
+                held.append((at, own, frozenset(words.split())))
+        used = set()
+        for doc, day, money, words, first, _, own in sorted(rows, key=lambda r: r[5]):
+            if not first:
+                continue
+            able, mine = [], frozenset(words.split())
+            for other, (amounts, held) in days.items():
+                dated = max(0.0, 1 - abs(day - other) / 7)
                 room = (loss - 0.3 * (1 - dated)) / 0.4  # of the amount's score
-                low, high = 0, len(rows)
+                low, high = 0, len(held)
                 if blocked and room < 0:
                     continue
                 if blocked and room < 1:  # of one sign and near, or both 0
-                    ends = sorted((row.cents * (1 - room), row.cents / (1 - room)))
-                    low, high = amounts.searchsorted(ends[0] - 0.5), amounts.searchsorted(ends[1] + 0.5, "right")
+                    ends = sorted((money * (1 - room), money / (1 - room)))
+                    low, high = bisect_left(amounts, ends[0] - 0.5), bisect_right(amounts, ends[1] + 0.5)
                 for k in range(low, high):
-                    if rows[k][1] not in used:
-                        most = max(abs(row.cents), abs(amounts[k]))
-                        near = max(0.0, 1 - abs(row.cents - amounts[k]) / most) if most else 1.0
-                        able.append((0.3 * dated + 0.4 * near, rows[k]))
+                    if held[k][1] not in used:
+                        most = max(abs(money), abs(amounts[k]))
+                        near = max(0.0, 1 - abs(money - amounts[k]) / most) if most else 1.0
+                        able.append((0.3 * dated + 0.4 * near, held[k]))
             best = None
-            for partial, (at, b_id, words) in sorted(able, key=lambda x: -x[0]):
+            for partial, (at, b_id, theirs) in sorted(able, key=lambda x: -x[0]):
                 if round(partial + 0.3, 9) < (best[0] if best else least):
                     break
-                alike = len(row.set & words) / len(row.set | words) if row.set or words else 1.0
+                alike = len(mine & theirs) / len(mine | theirs) if mine or theirs else 1.0
                 score = round(float(partial + 0.3 * alike), 9)
                 if score >= least and (best is None or (score, -at) > (best[0], -best[1])):
                     best = score, at, b_id
             if best:
                 used.add(best[2])
-                out.append((row.doc_id, row.id, best[2], best[0]))
-        return pd.DataFrame(out, columns=["doc_id", "a_id", "b_id", "score"])
+                yield doc, own, best[2], best[0]
+
+    def run(batches):
+        doc, rows = None, []
+        for pdf in batches:
+            out = []
+            for r in zip(*[pdf[c].tolist() for c in pdf.columns], strict=True):
+                if r[0] != doc:
+                    out += pick(rows)
+                    doc, rows = r[0], []
+                rows.append(r)
+            yield pd.DataFrame(out, columns=["doc_id", "a_id", "b_id", "score"])
+        yield pd.DataFrame(list(pick(rows)), columns=["doc_id", "a_id", "b_id", "score"])
 
     schema = f"doc_id {dict(a.dtypes)['doc_id']}, a_id long, b_id long, score double"
     equal = both.filter("a_id is not null and b_id is not null").select("doc_id", "a_id", "b_id", F.lit(1.0).alias("score"))
-    rest = both.filter("a_id is null or b_id is null").select(*on, F.col("a_id").isNotNull().alias("first"), F.coalesce("a_at", "b_at").alias("at"), F.coalesce("a_id", "b_id").alias("id"))
-    return equal.union(rest.groupBy("doc_id").applyInPandas(pick, schema))
+    rest = both.filter("a_id is null or b_id is null").select("doc_id", "day", "cents", "words", F.col("a_id").isNotNull().alias("first"), F.coalesce("a_at", "b_at").alias("at"), F.coalesce("a_id", "b_id").alias("id"))
+    return equal.union(rest.repartition("doc_id").sortWithinPartitions("doc_id").mapInPandas(run, schema))
 
 
 def first_fit(golden: DataFrame, found: DataFrame, order: str, within: float = 0.05) -> DataFrame:

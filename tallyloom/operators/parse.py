@@ -31,19 +31,22 @@ def once(struct: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, struct)
 
 
-def _row(line: Column, pattern: str, amount_at: int, orig_at: int | None, shape: str, share: float, year: int) -> Column:
-    get = lambda k: F.regexp_extract(line, pattern, k)
-    return F.when(
-        line.rlike(pattern),
-        F.struct(
-            t.date(get(1), year).alias("date"),
-            get(2).alias("description"),
-            t.amount(get(amount_at)).cast("decimal(18,2)").alias("amount_brl"),
-            (t.amount(get(orig_at)).cast("decimal(18,2)") if orig_at else F.lit(None).cast("decimal(18,2)")).alias("amount_orig"),
-            F.lit(shape).alias("shape"),
-            F.lit(share).alias("share"),
-        ),
-    )
+MARK = "\u0001"
+
+
+def parts(line: Column, pattern: str, groups: int) -> Column:
+    """The groups of a pattern that takes a whole line, as an array, by one run of the pattern; other lines stay one part."""
+    return F.split(F.regexp_replace(F.translate(line, MARK, " "), pattern, MARK.join(f"${k}" for k in range(1, groups + 1))), MARK)
+
+
+def _row(found: Column, groups: int, shape: str, year: int) -> Column:
+    """Struct of a purchase's parts (date, description, amounts); null where the pattern didn't fit."""
+    money = lambda k: t.amount(F.get(found, F.lit(k)), "C").cast("decimal(18,2)")
+    row = F.struct(
+        t.date(F.get(found, F.lit(0)), year).alias("date"), F.get(found, F.lit(1)).alias("description"), money(groups - 1).alias("amount_brl"),
+        (money(2) if groups == 4 else F.lit(None).cast("decimal(18,2)")).alias("amount_orig"), F.lit(shape).alias("shape"), F.lit(1.0).alias("share"),
+    )
+    return F.when(F.size(found) == groups, row)
 
 
 def fallback(line: Column, year: int = 2024) -> Column:
@@ -83,8 +86,8 @@ def parse_lines(lines: DataFrame, year: int = 2024, order: Sequence[str] = ("fx"
     A line with two amounts also fits the national shape, so foreign comes first unless the order says otherwise.
     """
     line = F.trim("line")
-    shapes = {"fx": _row(line, FOREIGN, 4, 3, "fx", 1.0, year), "national": _row(line, NATIONAL, 3, None, "national", 1.0, year), "fallback": last_amount(line, year, default)}
-    kept = lines.filter((line != "") & ~layout.is_header(line))
+    kept = lines.filter((line != "") & ~layout.is_header(line)).withColumns({"\0fx": once(parts(line, FOREIGN, 4)), "\0national": once(parts(line, NATIONAL, 3))})
+    shapes = {"fx": _row(F.col("`\0fx`"), 4, "fx", year), "national": _row(F.col("`\0national`"), 3, "national", year), "fallback": last_amount(line, year, default)}
     return kept.withColumn("\0row", once(F.coalesce(*[shapes[s] for s in order]))).filter("`\0row` is not null").select("doc_id", "line_no", "`\0row`.*")
 
 
@@ -96,7 +99,7 @@ def two_line(lines: DataFrame, year: int = 2024) -> DataFrame:
     """National rows with category and city of the next line, where it has them."""
     nxt = F.lead("line").over(_per_doc())
     part = lambda k: F.nullif(F.regexp_extract("next", SECOND, k), F.lit(""))
-    out = lines.withColumn("next", nxt).withColumn("\0row", once(_row(F.col("line"), NATIONAL, 3, None, "national", 1.0, year))).filter("`\0row` is not null")
+    out = lines.withColumns({"next": nxt, "\0p": once(parts(F.col("line"), NATIONAL, 3))}).filter("size(`\0p`) = 3").withColumn("\0row", _row(F.col("`\0p`"), 3, "national", year))
     return out.select("doc_id", "line_no", "`\0row`.date", "`\0row`.description", "`\0row`.amount_brl", F.trim(part(1)).alias("category"), F.trim(part(2)).alias("city"))
 
 
@@ -120,7 +123,7 @@ def fx_chunks(lines: DataFrame) -> DataFrame:
     out = lines.withColumns({"start": F.row_number().over(w), "a": F.lead("line", 1).over(w), "b": F.lead("line", 2).over(w)}).filter(F.col("line").rlike(FOREIGN))
     out = out.withColumns({"ra": rate("a"), "rb": rate("b"), "ta": tax("a"), "tb": tax("b")}).filter("ra is not null or rb is not null")
     out = out.withColumn("end", F.col("start") + F.when(F.col("rb").isNotNull() | F.col("tb").isNotNull(), 2).otherwise(1))
-    found = layout.non_overlapping(out).withColumn("\0row", once(_row(F.col("line"), FOREIGN, 4, 3, "fx", 1.0, 2024)))
+    found = layout.non_overlapping(out).withColumn("\0p", once(parts(F.col("line"), FOREIGN, 4))).withColumn("\0row", _row(F.col("`\0p`"), 4, "fx", 2024))
     found = found.withColumns({"fx_rate": t.amount(F.coalesce("rb", "ra"), "C").cast("decimal(18,4)"), "iof_brl": F.coalesce(t.amount(F.coalesce("tb", "ta"), "C"), F.lit(0)).cast("decimal(18,2)")})
     found = found.select("doc_id", "line_no", "`\0row`.date", "`\0row`.description", "`\0row`.amount_orig", "`\0row`.amount_brl", "fx_rate", "iof_brl")
     same = W.partitionBy("doc_id", "date", "description", "amount_brl", "amount_orig", "fx_rate").orderBy("line_no")
@@ -134,16 +137,15 @@ def infer_columns(cells: DataFrame) -> DataFrame:
     amount-like ones, and the longest of the others.
     """
     like = lambda p: F.avg(F.col("content").rlike(p).cast("int"))
-    by = cells.groupBy("doc_id", "table_idx", "col_idx").agg(like(r"\d{1,2}/\d{1,2}").alias("dates"), like(r"\d+[,.]?\d*").alias("amounts"), F.avg(F.length("content")).alias("length"), F.count_distinct("row_idx").alias("rows"))
     key = ["doc_id", "table_idx"]
-    found = by.groupBy(*key).agg(
-        F.min(F.when(F.col("dates") > 0.5, F.col("col_idx"))).alias("date_col"),
-        F.min(F.when((F.col("amounts") > 0.5) & (F.col("dates") <= 0.5), F.col("col_idx"))).alias("amount_col"),
-        F.max("rows").alias("rows"), F.count("*").alias("cols"),
-    ).filter("rows >= 2 and cols >= 3")
-    rest = by.join(found, key).filter("not (col_idx <=> date_col) and not (col_idx <=> amount_col)")
-    text = rest.groupBy(*key).agg(F.max_by("col_idx", F.struct("length", -F.col("col_idx"))).alias("description_col"))
-    return found.join(text, key, "left").select(*key, "date_col", "amount_col", "description_col")
+    by = cells.groupBy(*key, "col_idx").agg(like(r"\d{1,2}/\d{1,2}").alias("dates"), like(r"\d+[,.]?\d*").alias("amounts"), F.avg(F.length("content")).alias("length"), F.min("row_idx").alias("first"), F.max("row_idx").alias("last"))
+    table = by.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("col_idx", "dates", "amounts", "length"))).alias("c"), F.bool_or(F.col("first") != F.col("last")).alias("rows"))  # a row's columns
+    date_col = F.get(F.filter("c", lambda x: x["dates"] > 0.5), F.lit(0))["col_idx"]
+    amount_col = F.get(F.filter("c", lambda x: (x["amounts"] > 0.5) & (x["dates"] <= 0.5)), F.lit(0))["col_idx"]
+    found = table.filter(F.col("rows") & (F.size("c") >= 3)).withColumns({"date_col": date_col, "amount_col": amount_col})
+    rest = F.filter("c", lambda x: ~x["col_idx"].eqNullSafe(F.col("date_col")) & ~x["col_idx"].eqNullSafe(F.col("amount_col")))
+    text = F.array_max(F.transform(rest, lambda x: F.struct(x["length"].alias("length"), (-x["col_idx"]).alias("place"))))
+    return found.select(*key, "date_col", "amount_col", (-text["place"]).alias("description_col"))
 
 
 def word_rows(words: DataFrame, tolerance: float = 3.0) -> DataFrame:

@@ -118,6 +118,22 @@ def advice(grade: Column, worst: Column) -> Column:
     return said.when(grade.isin("C+", "C"), "Fair performance. Use with careful review or as secondary method.").otherwise(poor)
 
 
+def amounts_match(a: Column, b: Column, within: float = 0.01) -> Column:
+    """Whether two amounts written as text differ by `within` at most; a missing one matches nothing."""
+    return F.coalesce(F.abs(t.amount(a) - t.amount(b)) <= F.lit(str(within)).cast("decimal(38,6)"), F.lit(False))
+
+
+def dates_match(a: Column, b: Column, days: int = 1, year: int = 2024) -> Column:
+    """Whether two dates written as D/M, D/M/YYYY or ISO are real and `days` apart at most."""
+    day = lambda x: F.coalesce(t.iso_date(x), t.date(x, year))
+    return F.coalesce(F.abs(F.datediff(day(a), day(b))) <= days, F.lit(False))
+
+
+def descriptions_similar(a: Column, b: Column, least: float = 0.7) -> Column:
+    """Whether two descriptions share `least` of their words."""
+    return F.coalesce(t.jaccard(t.comparable(a), t.comparable(b)) >= least, F.lit(False))
+
+
 def field_compare(pairs: DataFrame, days: int = 1, within: float = 0.01, least: float = 0.7) -> DataFrame:
     """Pairs (pair_id, l, r) in long form: which of date, description, amount and category agree."""
     text = lambda s: t.comparable(F.col(f"{s}.description"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import rules
 from .functions import text as t
-from .operators import enrich, layout, parse
+from .operators import enrich, layout, parse, quality
 from .plans import adapters as a
 from .registry import CASES, SQL_ITEMS, num, query
 
@@ -419,3 +419,34 @@ def form_fields(spark, sf_dir):
     none = F.lit(None).cast("string")
     pages = F.array(F.struct(F.array(field(F.lit("total"), F.col("description"), F.when(k % 2 == 0, 0.5)), field(none, F.lit(""), F.lit(1))).alias("form_fields")), F.struct(F.array(field(none, F.concat(F.lit("x"), k.cast("string")), F.lit(0.9))).alias("form_fields")))
     return layout.form_fields(a.rows(spark, sf_dir).select(k.alias("doc_id"), pages.alias("pages"))).select("doc_id", "page", "name", "value", "confidence")
+
+
+KINDS = ["Dólar de Conversão R$ 5,43", "12/10 LOJA 10,00 usd", "NEW YORK 54,30 BRL", "LAZER. BELÉM", "nada"]
+
+
+@query(f"""SELECT idx, [NULL, 'rate', 'international', 'abroad', 'category', NULL, 'domestic'][CASE WHEN idx % 2 = 1 THEN CASE WHEN idx % 3 = 0 THEN 1 ELSE 7 END ELSE idx // 2 % 5 + 2 END] kind FROM rows""")
+def line_kinds(spark, sf_dir):
+    """Odd rows are purchases, a third of them broken; even ones go through the other patterns."""
+    k, (day, money) = F.col("idx"), _printed()
+    other = F.element_at(F.array(*map(F.lit, KINDS)), (F.floor(k / 2) % 5 + 1).cast("int"))
+    line = F.when(k % 2 == 0, other).when(k % 3 == 0, F.concat_ws(" ", day, "description", money, F.lit("x"))).otherwise(F.concat_ws(" ", day, "description", money))
+    return a.rows(spark, sf_dir).select("idx", layout.line_kind(line).alias("kind"))
+
+
+@query("""SELECT idx, ['form', 'invoice', 'custom', 'ocr', 'ocr'][idx % 5 + 1] kind FROM rows""")
+def document_kinds(spark, sf_dir):
+    k = F.col("idx")
+    name = F.element_at(F.array(*map(F.lit, ("in/Bank_2024-1", "a/Fatura_luz", "x/my_RECEIPT", "fatura/scan", "bank_2024-1x"))), (k % 5 + 1).cast("int"))
+    return a.rows(spark, sf_dir).select("idx", rules.document_kind(F.concat(name, F.when(k % 5 == 0, F.concat((k % 10).cast("string"), F.lit(".pdf"))).otherwise(".pdf")), r"bank_20\d\d-\d\d\.pdf").alias("kind"))
+
+
+@query("""SELECT idx, idx % 4 < 2 amounts, idx % 5 < 2 dates, idx % 3 <> 2 descriptions FROM rows""")
+def semantic_tests(spark, sf_dir):
+    """Amounts up to two cents off, one missing; dates up to two days off, one unreal; words in another order, case and company."""
+    k, m = F.col("idx"), F.col("amount_brl")
+    cents = F.when(k % 4 == 2, F.lit("0.02")).otherwise(((k % 4) / 100).cast("string")).cast("decimal(18,2)")
+    amount = F.when(k % 4 != 3, t.money(m + cents))
+    day = lambda d: F.date_format(d, "dd/MM/yyyy")
+    other = F.when(k % 5 < 3, day(F.date_add("date", (k % 5).cast("int")))).when(k % 5 == 3, "31/02/2024")
+    words = F.when(k % 3 == 0, F.lower(F.array_join(F.reverse(F.split("description", " ")), " de "))).when(k % 3 == 1, F.col("description")).otherwise(F.concat("description", F.lit(" a b c um dois tres quatro")))
+    return a.rows(spark, sf_dir).select("idx", quality.amounts_match(t.money(m), amount).alias("amounts"), quality.dates_match(F.col("date").cast("string"), other).alias("dates"), quality.descriptions_similar(F.col("description"), words).alias("descriptions"))
