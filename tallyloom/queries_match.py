@@ -41,32 +41,49 @@ def _both(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return found, a.labelled(found)
 
 
-@query(f"{CELLS} SELECT doc_id, field, total, correct, incorrect, missing, extra, accuracy, p AS precision, r recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) f1 FROM rated")
+@query(f"""{CELLS} SELECT doc_id, field, total, correct, incorrect, missing, extra, accuracy, p AS precision, r recall,
+ round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) f1
+ FROM rated""")
 def cell_accuracy(spark, sf_dir):
     """All eight fields with their comparators."""
     return quality.cells(*_both(spark, sf_dir), "idx", examples=0)
 
 
-@query(f"""{CELLS} SELECT doc_id, overall, critical, grade, CASE WHEN grade LIKE 'A%' THEN 'Excellent' WHEN grade LIKE 'B%' THEN 'Good' WHEN grade LIKE 'C%' THEN 'Fair' ELSE 'Poor' END advice FROM grades""")
+@query(f"""{CELLS} SELECT doc_id, overall, critical, grade,
+ CASE WHEN grade LIKE 'A%' THEN 'Excellent' WHEN grade LIKE 'B%' THEN 'Good' WHEN grade LIKE 'C%' THEN 'Fair' ELSE 'Poor' END advice
+ FROM grades""")
 def health_grade(spark, sf_dir):
     found = quality.health(quality.cells(*_both(spark, sf_dir), "idx", examples=0))
     return found.withColumn("advice", F.split_part("advice", F.lit(" "), F.lit(1)))
 
 
-@query(f"{CELLS} SELECT doc_id, field, rank FROM (SELECT doc_id, field, row_number() OVER (PARTITION BY doc_id ORDER BY accuracy, field)::INT AS rank FROM rated) WHERE rank <= 2")
+@query(f"""{CELLS} SELECT doc_id, field, rank FROM (SELECT doc_id, field, row_number() OVER (PARTITION BY doc_id
+ ORDER BY accuracy, field)::INT AS rank FROM rated) WHERE rank <= 2""")
 def worst_fields(spark, sf_dir):
     return enrich.worst(quality.cells(*_both(spark, sf_dir), "idx", examples=0), 2).select("doc_id", "field", "rank")
 
 
-@query(f"""{CELLS}, fk AS (SELECT DISTINCT doc_id, date, amount_brl FROM wide), gk AS (SELECT DISTINCT doc_id, date, amount_brl FROM labelled), sets AS (SELECT coalesce(fk.doc_id, gk.doc_id) doc_id, count(fk.date) f, count(gk.date) g, count(*) FILTER (WHERE fk.date IS NOT NULL AND gk.date IS NOT NULL) tp FROM fk FULL OUTER JOIN gk ON fk.doc_id = gk.doc_id AND fk.date = gk.date AND fk.amount_brl = gk.amount_brl GROUP BY 1)
- SELECT doc_id, grade, overall, critical, round(CASE WHEN f = 0 THEN 0 ELSE tp / f::DOUBLE END, 6) AS precision, round(CASE WHEN g = 0 THEN 0 ELSE tp / g::DOUBLE END, 6) recall, (SELECT accuracy FROM rated x WHERE x.doc_id = grades.doc_id AND field = 'description') description_accuracy FROM grades JOIN sets USING (doc_id)""")
+@query(f"""{CELLS}, fk AS (SELECT DISTINCT doc_id, date, amount_brl
+ FROM wide), gk AS (SELECT DISTINCT doc_id, date, amount_brl
+ FROM labelled), sets AS (SELECT coalesce(fk.doc_id, gk.doc_id) doc_id, count(fk.date) f, count(gk.date) g,
+ count(*) FILTER (WHERE fk.date IS NOT NULL AND gk.date IS NOT NULL) tp
+ FROM fk FULL OUTER JOIN gk ON fk.doc_id = gk.doc_id AND fk.date = gk.date AND fk.amount_brl = gk.amount_brl
+ GROUP BY 1)
+ SELECT doc_id, grade, overall, critical, round(CASE WHEN f = 0 THEN 0 ELSE tp / f::DOUBLE END, 6) AS precision,
+ round(CASE WHEN g = 0 THEN 0 ELSE tp / g::DOUBLE END, 6) recall, (SELECT accuracy
+ FROM rated x WHERE x.doc_id = grades.doc_id AND field = 'description') description_accuracy FROM grades
+ JOIN sets USING (doc_id)""")
 def health_report(spark, sf_dir):
     found = reports.health_report(*_both(spark, sf_dir))
     return found.select("doc_id", "grade", "overall", "critical", "precision", "recall", "description_accuracy")
 
 
-@query(f"""{CELLS}, named AS (SELECT split_part(doc_id, '/', 2) extractor, round(avg(overall), 6) overall, min(grade) grade FROM grades GROUP BY 1)
- SELECT count(*) extractors, count(*) FILTER (WHERE grade IN ('A+', 'A', 'B+', 'B')) healthy, count(*) FILTER (WHERE overall >= 0.7) productive, count(*) FILTER (WHERE overall < 0.5) poor, (SELECT extractor FROM named ORDER BY overall DESC, extractor DESC LIMIT 1) best, (SELECT extractor FROM named ORDER BY overall, extractor LIMIT 1) worst FROM named""")
+@query(f"""{CELLS}, named AS (SELECT split_part(doc_id, '/', 2) extractor, round(avg(overall), 6) overall, min(grade) grade
+ FROM grades GROUP BY 1)
+ SELECT count(*) extractors, count(*) FILTER (WHERE grade IN ('A+', 'A', 'B+', 'B')) healthy, count(*) FILTER (WHERE overall >= 0.7) productive,
+ count(*) FILTER (WHERE overall < 0.5) poor, (SELECT extractor
+ FROM named ORDER BY overall DESC, extractor DESC LIMIT 1) best, (SELECT extractor FROM named
+ ORDER BY overall, extractor LIMIT 1) worst FROM named""")
 def health_insights(spark, sf_dir):
     """A group of customers stands for an extractor."""
     graded = quality.health(quality.cells(*_both(spark, sf_dir), "idx", examples=0))
@@ -80,7 +97,8 @@ _FIELDS = " UNION ALL ".join(f"SELECT '{c}' field, {s.format('f')} = {s.format('
 FIT = f"""{SQL_FULL}, near AS (SELECT g.doc_id, g.idx g, f.idx f FROM labels1 g JOIN wide f ON f.doc_id = g.doc_id AND f.date = g.date AND abs(f.amount_brl - g.amount_brl) <= 0.05), matched AS (SELECT * FROM near WHERE g IN (SELECT g FROM near GROUP BY 1 HAVING count(*) = 1) AND f IN (SELECT f FROM near GROUP BY 1 HAVING count(*) = 1))"""
 
 
-@query(f"{FIT}, t AS ({_FIELDS}) SELECT field, count(*) total, count(*) FILTER (WHERE ok) correct, round(avg(ok::INT), 6) accuracy FROM t GROUP BY 1")
+@query(f"""{FIT}, t AS ({_FIELDS}) SELECT field, count(*) total, count(*) FILTER (WHERE ok) correct, round(avg(ok::INT), 6) accuracy
+ FROM t GROUP BY 1""")
 def field_accuracy(spark, sf_dir):
     """Only documents without two rows of one date about one amount, where first fit has no choice (see the tests for the others)."""
     found, gold = _both(spark, sf_dir)
@@ -107,14 +125,20 @@ def before_after(spark, sf_dir):
     return reports.before_after(gold.dropDuplicates(["doc_id", "idx"]), poor, poor.withColumn("category", rules.category(F.col("description"))), fields=["category", "merchant_city"])
 
 
-@query("""SELECT idx, round(coalesce(rate, 0)::DOUBLE, 4) rate FROM (SELECT r.idx, arg_min(5 + (s.idx % 10) / 10.0::DOUBLE, s.idx) rate FROM rows r LEFT JOIN second s ON s.doc_id = r.doc_id AND abs(s.amount_brl - r.amount_brl) <= 0.01 AND r.currency <> 'BRL' GROUP BY 1)""")
+@query("""SELECT idx, round(coalesce(rate, 0)::DOUBLE, 4) rate
+ FROM (SELECT r.idx, arg_min(5 + (s.idx % 10) / 10.0::DOUBLE, s.idx) rate FROM rows r LEFT
+ JOIN second s ON s.doc_id = r.doc_id AND abs(s.amount_brl - r.amount_brl) <= 0.01 AND r.currency <> 'BRL'
+ GROUP BY 1)""")
 def fx_match(spark, sf_dir):
     found = a.rows(spark, sf_dir)
     fx = a.second(found).select("doc_id", "idx", "amount_brl", (F.lit(5) + (F.col("idx") % 10) / 10).alias("fx_rate"))
     return linkage.fx_match(found, fx, "idx").select("idx", F.round(F.coalesce("fx_rate", F.lit(0)).cast("double"), 4).alias("rate"))
 
 
-@query("""SELECT idx FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, date, amount_brl, substr(c, 1, 8) ORDER BY conf DESC, o) n FROM (SELECT idx, doc_id, date, amount_brl, description c, confidence conf, idx o FROM rows UNION ALL SELECT idx, doc_id, date, amount_brl, description, confidence + 0.25, idx + 10000000000 FROM rows WHERE idx % 3 = 0)) WHERE n = 1 AND idx NOT IN (SELECT idx FROM twins)""".replace("SELECT idx FROM (SELECT *", ", twins AS (SELECT a.idx FROM rows a JOIN rows b ON a.doc_id = b.doc_id AND a.date = b.date AND a.amount_brl = b.amount_brl AND a.idx <> b.idx) SELECT idx FROM (SELECT *", 1))
+@query("""SELECT idx FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, date, amount_brl, substr(c, 1, 8)
+ ORDER BY conf DESC, o) n FROM (SELECT idx, doc_id, date, amount_brl, description c, confidence conf, idx o
+ FROM rows UNION ALL SELECT idx, doc_id, date, amount_brl, description, confidence + 0.25, idx + 10000000000
+ FROM rows WHERE idx % 3 = 0)) WHERE n = 1 AND idx NOT IN (SELECT idx FROM twins)""".replace("SELECT idx FROM (SELECT *", ", twins AS (SELECT a.idx FROM rows a JOIN rows b ON a.doc_id = b.doc_id AND a.date = b.date AND a.amount_brl = b.amount_brl AND a.idx <> b.idx) SELECT idx FROM (SELECT *", 1))
 def fuzzy_merge(spark, sf_dir):
     """Rows and surer ones whose words are the same in another order; rows with a twin of another text are left to the tests."""
     found = a.rows(spark, sf_dir)
@@ -129,9 +153,21 @@ def fuzzy_merge(spark, sf_dir):
 _G = "SELECT doc_id, lower(trim(CASE WHEN idx % 5 = 0 THEN 'LOJA ' || description WHEN idx % 5 = 1 THEN substr(description, 3, 9) WHEN idx % 5 = 2 THEN 'ZZ' || idx ELSE description END)) t FROM rows WHERE idx % 2 = 0"
 
 
-@query(f""", g AS ({_G}), f AS (SELECT doc_id, lower(trim(description)) t FROM rows WHERE idx % 3 <> 0), hit AS (SELECT doc_id, t, EXISTS (SELECT 1 FROM f WHERE f.doc_id = g.doc_id AND f.t = g.t) e, EXISTS (SELECT 1 FROM f WHERE f.doc_id = g.doc_id AND (contains(f.t, g.t) OR contains(g.t, f.t))) p FROM g),
- n AS (SELECT doc_id, count(*) golden, count(*) FILTER (WHERE e) exact, count(*) FILTER (WHERE p AND NOT e) partial FROM hit GROUP BY 1), m AS (SELECT doc_id, count(*) found FROM f GROUP BY 1), z AS (SELECT coalesce(n.doc_id, m.doc_id) doc_id, coalesce(golden, 0) golden, coalesce(found, 0) found, coalesce(exact, 0) exact, coalesce(partial, 0) partial FROM n FULL OUTER JOIN m ON n.doc_id = m.doc_id)
- SELECT doc_id, golden, found, exact, partial, round(CASE WHEN golden = 0 THEN 0 ELSE 100.0 * (exact + partial) / golden END::DOUBLE, 6) coverage, round(CASE WHEN found = 0 THEN 0 ELSE 100.0 * exact / found END::DOUBLE, 6) AS precision, round(CASE WHEN golden = 0 THEN 0 ELSE 100.0 * exact / golden END::DOUBLE, 6) recall, round(CASE WHEN exact = 0 THEN 0 ELSE 200.0 * exact / (golden + found) END::DOUBLE, 6) f1 FROM z""")
+@query(f""", g AS ({_G}), f AS (SELECT doc_id, lower(trim(description)) t FROM rows
+ WHERE idx % 3 <> 0), hit AS (SELECT doc_id, t, EXISTS (SELECT 1 FROM f
+ WHERE f.doc_id = g.doc_id AND f.t = g.t) e, EXISTS (SELECT 1 FROM f
+ WHERE f.doc_id = g.doc_id AND (contains(f.t, g.t) OR contains(g.t, f.t))) p FROM g),
+ n AS (SELECT doc_id, count(*) golden, count(*) FILTER (WHERE e) exact, count(*) FILTER (WHERE p AND NOT e) partial
+ FROM hit GROUP BY 1), m AS (SELECT doc_id, count(*) found FROM f
+ GROUP BY 1), z AS (SELECT coalesce(n.doc_id, m.doc_id) doc_id, coalesce(golden, 0) golden, coalesce(found, 0) found, coalesce(exact, 0) exact,
+ coalesce(partial, 0) partial
+ FROM n FULL OUTER JOIN m ON n.doc_id = m.doc_id)
+ SELECT doc_id, golden, found, exact, partial,
+ round(CASE WHEN golden = 0 THEN 0 ELSE 100.0 * (exact + partial) / golden END::DOUBLE, 6) coverage,
+ round(CASE WHEN found = 0 THEN 0 ELSE 100.0 * exact / found END::DOUBLE, 6) AS precision,
+ round(CASE WHEN golden = 0 THEN 0 ELSE 100.0 * exact / golden END::DOUBLE, 6) recall,
+ round(CASE WHEN exact = 0 THEN 0 ELSE 200.0 * exact / (golden + found) END::DOUBLE, 6) f1
+ FROM z""")
 def description_matches(spark, sf_dir):
     k, d, found = F.col("idx"), F.col("description"), a.rows(spark, sf_dir)
     text = F.when(k % 5 == 0, F.concat(F.lit("LOJA "), d)).when(k % 5 == 1, F.substring(d, 3, 9)).when(k % 5 == 2, F.concat(F.lit("ZZ"), k.cast("string"))).otherwise(F.concat(F.lit(" "), d))
@@ -142,7 +178,10 @@ _X, _Y = "list_distinct(string_split(lower(replace(a, '#', ' ')), ' '))", "list_
 
 
 @query(f"""SELECT idx pair_id, field, CASE field WHEN 'date' THEN d <= 1 WHEN 'amount' THEN idx % 5 <> 0 WHEN 'category' THEN idx % 7 <> 0 OR idx % 3 = 0 ELSE s >= 0.7 END matches, CASE field WHEN 'date' THEN (d <= 1)::INT::DOUBLE WHEN 'amount' THEN (idx % 5 <> 0)::INT::DOUBLE WHEN 'category' THEN (idx % 7 <> 0 OR idx % 3 = 0)::INT::DOUBLE ELSE s END similarity
- FROM (SELECT *, idx % 4 d, round(len(list_intersect({_X}, {_Y})) / len(list_distinct({_X} || {_Y}))::DOUBLE, 6) s FROM (SELECT idx, description a, CASE WHEN idx % 2 = 0 THEN description || ' EXTRA WORDS' ELSE description END b FROM rows)), unnest(['date', 'amount', 'category', 'description']) u(field)""")
+
+ FROM (SELECT *, idx % 4 d, round(len(list_intersect({_X}, {_Y})) / len(list_distinct({_X} || {_Y}))::DOUBLE, 6) s
+ FROM (SELECT idx, description a, CASE WHEN idx % 2 = 0 THEN description || ' EXTRA WORDS' ELSE description END b
+ FROM rows)), unnest(['date', 'amount', 'category', 'description']) u(field)""")
 def field_compare(spark, sf_dir):
     """Days, cents, categories and words that differ by the row's number, in and out of the tolerances."""
     k, found = F.col("idx"), a.rows(spark, sf_dir)
@@ -165,8 +204,13 @@ def validation_summary(spark, sf_dir):
     return reports.validation_summary(reports.semantic_report(found, a.second(found), "idx"))
 
 
-@query("""SELECT name, key FROM (SELECT n.name, g.key, row_number() OVER (PARTITION BY n.name ORDER BY n.place) r FROM (SELECT name, unnest([f, lower(f), replace(f, '_', '-'), replace(f, '-', '_')]) t, unnest([0, 1, 2, 3]) place FROM (SELECT name, CASE WHEN ends_with(name, '.pdf') THEN name ELSE name || '.pdf' END f
- FROM (SELECT ['Stmt_', 'stmt-', 'stmt_'][idx % 3 + 1] || idx || CASE WHEN idx % 2 = 0 THEN '.pdf' ELSE '' END AS name FROM rows))) n JOIN (SELECT ['stmt_', 'stmt_', 'stmt-', 'other'][idx % 4 + 1] || idx || '.pdf' AS key FROM rows) g ON g.key = n.t) WHERE r = 1""")
+@query("""SELECT name, key FROM (SELECT n.name, g.key, row_number() OVER (PARTITION BY n.name ORDER BY n.place) r
+ FROM (SELECT name, unnest([f, lower(f), replace(f, '_', '-'), replace(f, '-', '_')]) t, unnest([0, 1, 2, 3]) place
+ FROM (SELECT name, CASE WHEN ends_with(name, '.pdf') THEN name ELSE name || '.pdf' END f
+
+ FROM (SELECT ['Stmt_', 'stmt-', 'stmt_'][idx % 3 + 1] || idx || CASE WHEN idx % 2 = 0 THEN '.pdf' ELSE '' END AS name
+ FROM rows))) n JOIN (SELECT ['stmt_', 'stmt_', 'stmt-', 'other'][idx % 4 + 1] || idx || '.pdf' AS key
+ FROM rows) g ON g.key = n.t) WHERE r = 1""")
 def golden_keys(spark, sf_dir):
     k, found = F.col("idx"), a.rows(spark, sf_dir)
     pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (k % n + 1).cast("int"))
@@ -174,12 +218,16 @@ def golden_keys(spark, sf_dir):
     return reports.golden_keys(names, found.select(F.concat(pick(("stmt_", "stmt_", "stmt-", "other"), 4), k.cast("string"), F.lit(".pdf")).alias("key")))
 
 
-@query("""SELECT doc_id, count(*) AS rows, round(sum(amount_brl)::DOUBLE, 2) total, min(date) first_date, max(date) last_date, count(DISTINCT category) n_categories, array_to_string(list_sort(list(DISTINCT category)), ',') categories FROM golden GROUP BY 1""")
+@query("""SELECT doc_id, count(*) AS rows, round(sum(amount_brl)::DOUBLE, 2) total, min(date) first_date, max(date) last_date,
+ count(DISTINCT category) n_categories, array_to_string(list_sort(list(DISTINCT category)), ',') categories
+ FROM golden GROUP BY 1""")
 def golden_summary(spark, sf_dir):
     return api.list_golden(a.golden(a.rows(spark, sf_dir))).withColumn("total", F.round("total", 2))
 
 
-@query("""SELECT count(*) files, count(*) FILTER (WHERE success) successful, count(*) FILTER (WHERE NOT success) failed, sum(run_id % 9)::BIGINT AS rows, round(sum(pages * CASE m WHEN 'textract' THEN 0.0015 WHEN 'google' THEN 0.001 ELSE 0 END)::DOUBLE, 4) AS cost, round(sum(time_ms), 4) time_ms, 'camelot,google,textract' methods
+@query("""SELECT count(*) files, count(*) FILTER (WHERE success) successful, count(*) FILTER (WHERE NOT success) failed, sum(run_id % 9)::BIGINT AS rows,
+ round(sum(pages * CASE m WHEN 'textract' THEN 0.0015 WHEN 'google' THEN 0.001 ELSE 0 END)::DOUBLE, 4) AS cost, round(sum(time_ms), 4) time_ms,
+ 'camelot,google,textract' methods
  FROM (SELECT *, ['textract', 'google', 'camelot'][run_id % 3 + 1] m FROM runs)""")
 def batch_summary(spark, sf_dir):
     k = F.col("run_id")
@@ -187,8 +235,11 @@ def batch_summary(spark, sf_dir):
     return reports.batch_summary(a.runs(spark, sf_dir).withColumns({"method": names, "rows": k % 9}))
 
 
-@query("""SELECT doc_id, pipelines, CASE WHEN pipelines = 1 THEN n ELSE g END AS rows, CASE WHEN pipelines = 1 THEN 0 ELSE n - g END::BIGINT conflicts, CASE WHEN pipelines = 1 THEN 'single_pipeline' ELSE 'ensemble_merge_' || pipelines || '_pipelines' END strategy
- FROM (SELECT doc_id || '/' || (idx % 2) doc_id, count(*) n, count(DISTINCT idx // 3) g, count(DISTINCT CASE WHEN idx % 2 = 0 THEN 'one' ELSE extractor END) pipelines FROM rows GROUP BY 1)""")
+@query("""SELECT doc_id, pipelines, CASE WHEN pipelines = 1 THEN n ELSE g END AS rows, CASE WHEN pipelines = 1 THEN 0 ELSE n - g END::BIGINT conflicts,
+ CASE WHEN pipelines = 1 THEN 'single_pipeline' ELSE 'ensemble_merge_' || pipelines || '_pipelines' END strategy
+
+ FROM (SELECT doc_id || '/' || (idx % 2) doc_id, count(*) n, count(DISTINCT idx // 3) g, count(DISTINCT CASE WHEN idx % 2 = 0 THEN 'one' ELSE extractor END) pipelines
+ FROM rows GROUP BY 1)""")
 def merge_driver(spark, sf_dir):
     k, found = F.col("idx"), a.rows(spark, sf_dir)
     groups = found.select(F.concat_ws("/", "doc_id", (k % 2).cast("string")).alias("doc_id"), F.floor(k / 3).alias("leader"), F.when(k % 2 == 0, "one").otherwise(F.col("extractor")).alias("extractor"))
@@ -196,7 +247,8 @@ def merge_driver(spark, sf_dir):
 
 
 @query("""SELECT idx, round(CASE idx % 5 WHEN 0 THEN least(0.7 * CASE WHEN n > 0 THEN c ELSE 0 END + 0.3 * least(n / greatest(l, 1)::DOUBLE, 1), 1) WHEN 1 THEN CASE WHEN n > 0 THEN 0.8 * c + 0.2 * least(t / 5.0, 1) ELSE 0 END WHEN 2 THEN CASE WHEN n > 0 THEN 0.6 * c + 0.2 * least(t / 3.0, 1) + 0.2 * least(b / 100.0, 1) ELSE 0 END
- WHEN 3 THEN CASE WHEN n > 0 THEN 0.8 * c + 0.2 * least(t / 2.0, 1) ELSE 0 END ELSE CASE WHEN n = 0 THEN 0.6 ELSE least(c + CASE WHEN t > 0 THEN 0.1 ELSE 0 END, 1) END END::DOUBLE, 6) sure FROM (SELECT idx, confidence c, idx % 7 n, idx % 11 l, idx % 6 t, idx % 150 b FROM rows)""")
+ WHEN 3 THEN CASE WHEN n > 0 THEN 0.8 * c + 0.2 * least(t / 2.0, 1) ELSE 0 END ELSE CASE WHEN n = 0 THEN 0.6 ELSE least(c + CASE WHEN t > 0 THEN 0.1 ELSE 0 END, 1) END END::DOUBLE, 6) sure
+ FROM (SELECT idx, confidence c, idx % 7 n, idx % 11 l, idx % 6 t, idx % 150 b FROM rows)""")
 def extractor_confidence(spark, sf_dir):
     k = F.col("idx")
     name = F.element_at(F.array(*map(F.lit, ("pdfplumber", "camelot", "textract", "azure", "google"))), (k % 5 + 1).cast("int"))
@@ -204,7 +256,8 @@ def extractor_confidence(spark, sf_dir):
     return a.rows(spark, sf_dir).select("idx", F.round(reports.extractor_confidence(name, average, k % 7, k % 11, k % 6, k % 150), 6).alias("sure"))
 
 
-@query("""SELECT idx, CASE WHEN q >= 0.8 AND c >= 0.8 THEN 'Excellent' WHEN q >= 0.6 AND c >= 0.6 THEN 'Good' WHEN q >= 0.4 AND c >= 0.4 THEN 'Fair' WHEN q >= 0.2 THEN 'Poor' ELSE 'Failed' END reliability FROM (SELECT idx, (idx % 21) / 20.0::DOUBLE q, (idx % 17) / 16.0::DOUBLE c FROM rows)""")
+@query("""SELECT idx, CASE WHEN q >= 0.8 AND c >= 0.8 THEN 'Excellent' WHEN q >= 0.6 AND c >= 0.6 THEN 'Good' WHEN q >= 0.4 AND c >= 0.4 THEN 'Fair' WHEN q >= 0.2 THEN 'Poor' ELSE 'Failed' END reliability
+ FROM (SELECT idx, (idx % 21) / 20.0::DOUBLE q, (idx % 17) / 16.0::DOUBLE c FROM rows)""")
 def reliability(spark, sf_dir):
     k = F.col("idx")
     return a.rows(spark, sf_dir).select("idx", reports.reliability(k % 21 / 20, k % 17 / 16).alias("reliability"))
@@ -228,7 +281,8 @@ def _messy(spark, sf_dir) -> DataFrame:
 KNOWN = [n for n, _ in rules.CATEGORIES] + [rules.CATCH_ALL]
 
 
-@query(f"""{MESSY} SELECT doc_id, len(list_filter(ok, lambda x: x)) = 14 success, round(100.0 * len(list_filter(ok, lambda x: x)) / 14, 6) success_percent, 14::BIGINT evaluated, len(list_filter(ok, lambda x: x))::BIGINT successful, len(list_filter(ok, lambda x: NOT x))::BIGINT failed,
+@query(f"""{MESSY} SELECT doc_id, len(list_filter(ok, lambda x: x)) = 14 success, round(100.0 * len(list_filter(ok, lambda x: x)) / 14, 6) success_percent,
+ 14::BIGINT evaluated, len(list_filter(ok, lambda x: x))::BIGINT successful, len(list_filter(ok, lambda x: NOT x))::BIGINT failed,
  array_to_string(list_slice(list_filter({RULES}, lambda r, i: NOT ok[i]), 1, 5), ',') failures FROM judged""")
 def expectations(spark, sf_dir):
     """All 14 rules, each of which fails somewhere or by type everywhere it could."""
@@ -250,7 +304,9 @@ def suite_and_golden(spark, sf_dir):
 
 @query("""SELECT doc_id, round(0.4 * avg(c) + 0.3 * avg(((a <> 0)::INT + (trim(d) <> '')::INT + (date IS NOT NULL)::INT) / 3.0) + 0.2 * CASE WHEN count(*) < 2 THEN 1 ELSE (avg((coalesce(year(date), 0) BETWEEN 2020 AND 2030)::INT) FILTER (WHERE date IS NOT NULL) + coalesce(avg((a > 0 AND a < 1000000)::INT) FILTER (WHERE a <> 0), 1)) / 2 END + 0.1 * CASE WHEN any_value(s) < 10 THEN 1 ELSE 0.5 END, 6) quality,
  CASE WHEN any_value(s) < 1 THEN 'A+' WHEN any_value(s) < 3 THEN 'A' WHEN any_value(s) < 10 THEN 'B' WHEN any_value(s) < 30 THEN 'C' ELSE 'D' END speed
- FROM (SELECT doc_id, confidence c, CASE idx % 5 WHEN 0 THEN 0 WHEN 1 THEN -amount_brl ELSE amount_brl END a, CASE WHEN idx % 3 = 0 THEN ' ' ELSE description END d, date + INTERVAL (idx % 40) YEAR AS date, (ascii(substr(doc_id, 7, 1)) - 47) * (ascii(substr(doc_id, 4, 1)) - 47) / 2.0 s FROM rows) GROUP BY 1""")
+
+ FROM (SELECT doc_id, confidence c, CASE idx % 5 WHEN 0 THEN 0 WHEN 1 THEN -amount_brl ELSE amount_brl END a, CASE WHEN idx % 3 = 0 THEN ' ' ELSE description END d, date + INTERVAL (idx % 40) YEAR AS date, (ascii(substr(doc_id, 7, 1)) - 47) * (ascii(substr(doc_id, 4, 1)) - 47) / 2.0 s
+ FROM rows) GROUP BY 1""")
 def quality_score(spark, sf_dir):
     """Zero and negative amounts, blank texts, years in and out of range, and every speed."""
     k, found = F.col("idx"), a.rows(spark, sf_dir)
@@ -260,8 +316,12 @@ def quality_score(spark, sf_dir):
     return quality.quality_score(rows, found.select("doc_id").distinct().withColumn("seconds", place(7) * place(4) / 2))
 
 
-@query("""SELECT doc_id, CASE WHEN d % 3 = 0 THEN true WHEN d % 3 = 1 THEN a = 0 END national_ok, CASE WHEN d % 4 = 0 THEN abs(b - o) <= 0.05 * o WHEN d % 4 = 1 THEN b = 0 ELSE true END international_ok, CASE WHEN d % 2 = 0 THEN abs(a + b - round((a + b) * 1.04, 2)) <= 0.05 * round((a + b) * 1.04, 2) ELSE abs(a + b - round((a + b) * 1.06, 2)) <= 0.05 * round((a + b) * 1.06, 2) END overall_ok
- FROM (SELECT doc_id, any_value(ascii(right(doc_id, 1))) d, sum(CASE WHEN currency = 'BRL' THEN amount_brl ELSE 0 END) a, sum(CASE WHEN currency <> 'BRL' THEN amount_brl ELSE 0 END) b, round(sum(CASE WHEN currency <> 'BRL' THEN amount_brl ELSE 0 END) * 1.2, 2) o FROM rows GROUP BY 1)""")
+@query("""SELECT doc_id, CASE WHEN d % 3 = 0 THEN true WHEN d % 3 = 1 THEN a = 0 END national_ok,
+ CASE WHEN d % 4 = 0 THEN abs(b - o) <= 0.05 * o WHEN d % 4 = 1 THEN b = 0 ELSE true END international_ok,
+ CASE WHEN d % 2 = 0 THEN abs(a + b - round((a + b) * 1.04, 2)) <= 0.05 * round((a + b) * 1.04, 2) ELSE abs(a + b - round((a + b) * 1.06, 2)) <= 0.05 * round((a + b) * 1.06, 2) END overall_ok
+
+ FROM (SELECT doc_id, any_value(ascii(right(doc_id, 1))) d, sum(CASE WHEN currency = 'BRL' THEN amount_brl ELSE 0 END) a, sum(CASE WHEN currency <> 'BRL' THEN amount_brl ELSE 0 END) b, round(sum(CASE WHEN currency <> 'BRL' THEN amount_brl ELSE 0 END) * 1.2, 2) o
+ FROM rows GROUP BY 1)""")
 def totals_check(spark, sf_dir):
     """Totals that are met, missed, zero or not stated, by the document's name."""
     found = a.rows(spark, sf_dir)
@@ -276,7 +336,9 @@ def totals_check(spark, sf_dir):
     return runs.totals_check(found, parse.totals(sums.select("doc_id", F.concat_ws("\n", national, abroad, whole).alias("text"))))
 
 
-@query("""SELECT doc_id, d % 2 = 0 OR a = 0 national_ok, true international_ok FROM (SELECT doc_id, any_value(ascii(right(doc_id, 1))) d, sum(CASE WHEN idx % 6 <> 0 AND currency = 'BRL' THEN amount_brl ELSE 0 END) a FROM rows GROUP BY 1)""")
+@query("""SELECT doc_id, d % 2 = 0 OR a = 0 national_ok, true international_ok
+ FROM (SELECT doc_id, any_value(ascii(right(doc_id, 1))) d, sum(CASE WHEN idx % 6 <> 0 AND currency = 'BRL' THEN amount_brl ELSE 0 END) a
+ FROM rows GROUP BY 1)""")
 def template_totals(spark, sf_dir):
     """Absolute differences; rows without a currency count as foreign; every second document misses its national total by half."""
     found = a.rows(spark, sf_dir).withColumn("currency", F.when(F.col("idx") % 6 != 0, F.col("currency")))
@@ -286,28 +348,35 @@ def template_totals(spark, sf_dir):
     return runs.template_totals(found, totals)
 
 
-@query("""SELECT doc_id, floor((e) * 1e6 + 0.500001) / 1e6 ensemble, floor((least(e + 0.2 * f / 16, 1)) * 1e6 + 0.500001) / 1e6 boosted FROM (SELECT doc_id, 0.5 * avg(pipeline_confidence) + 0.4 * avg(confidence) + 0.1 * least(0.1 * count(DISTINCT extractor), 0.3) e, avg(3 + 2 + (idx % 3 <> 2)::INT + (currency <> 'BRL')::INT + 1) f FROM rows GROUP BY 1)""")
+@query("""SELECT doc_id, floor((e) * 1e6 + 0.500001) / 1e6 ensemble, floor((least(e + 0.2 * f / 16, 1)) * 1e6 + 0.500001) / 1e6 boosted
+ FROM (SELECT doc_id, 0.5 * avg(pipeline_confidence) + 0.4 * avg(confidence) + 0.1 * least(0.1 * count(DISTINCT extractor), 0.3) e, avg(3 + 2 + (idx % 3 <> 2)::INT + (currency <> 'BRL')::INT + 1) f
+ FROM rows GROUP BY 1)""")
 def ensemble_confidence(spark, sf_dir):
     """Boosted by the filled fields that the rows have."""
     found = a.full_rows(spark, sf_dir)
     return runs.ensemble_confidence(found.withColumn("filled", enrich.filled_fields(found) / 16))
 
 
-@query(f"""{SQL_FULL} SELECT count(*) AS rows, round(avg((w.category = l.category)::INT), 6) category, round(coalesce(avg((w.merchant_city IS NOT DISTINCT FROM l.merchant_city)::INT) FILTER (WHERE l.merchant_city IS NOT NULL), 0), 6) city FROM wide w JOIN labels1 l ON w.idx = l.idx""")
+@query(f"""{SQL_FULL} SELECT count(*) AS rows, round(avg((w.category = l.category)::INT), 6) category, round(coalesce(avg((w.merchant_city IS NOT DISTINCT
+ FROM l.merchant_city)::INT) FILTER (WHERE l.merchant_city IS NOT NULL), 0), 6) city FROM wide w
+ JOIN labels1 l ON w.idx = l.idx""")
 def prediction_accuracy(spark, sf_dir):
     found, gold = _both(spark, sf_dir)
     pairs = found.select("idx", F.col("category").alias("pc"), F.col("merchant_city").alias("pm")).join(gold.dropDuplicates(["idx"]).select("idx", "category", "merchant_city"), "idx")
     return reports.prediction_accuracy(pairs, {"category": ("category", "pc"), "city": ("merchant_city", "pm")})
 
 
-@query("""SELECT doc_id, idx, extractor, coalesce(note, '') note FROM (SELECT doc_id, idx, 'a' extractor, 'n' || (idx % 3) note FROM rows UNION ALL SELECT doc_id, idx, 'b', NULL FROM second)""")
+@query("""SELECT doc_id, idx, extractor, coalesce(note, '') note
+ FROM (SELECT doc_id, idx, 'a' extractor, 'n' || (idx % 3) note FROM rows
+ UNION ALL SELECT doc_id, idx, 'b', NULL FROM second)""")
 def tagged_union(spark, sf_dir):
     found = a.rows(spark, sf_dir).select("doc_id", "idx", "date", "amount_brl")
     out = reports.tagged_union({"a": found.withColumn("note", F.concat(F.lit("n"), (F.col("idx") % 3).cast("string"))), "b": a.second(found)})
     return out.select("doc_id", "idx", "extractor", F.coalesce("note", F.lit("")).alias("note"))
 
 
-@query("""SELECT doc_id, extractor, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, extractor)::INT AS rank FROM (SELECT doc_id, extractor, round(avg(confidence), 6) score FROM rows GROUP BY 1, 2)""")
+@query("""SELECT doc_id, extractor, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, extractor)::INT AS rank
+ FROM (SELECT doc_id, extractor, round(avg(confidence), 6) score FROM rows GROUP BY 1, 2)""")
 def ranked_extractors(spark, sf_dir):
     scores = a.rows(spark, sf_dir).groupBy("doc_id", "extractor").agg(F.round(F.avg("confidence"), 6).alias("score"))
     return reports.ranked(scores, "doc_id", "extractor", "score").select("doc_id", "extractor", "rank")
@@ -318,12 +387,18 @@ def distinct_files(spark, sf_dir):
     return reports.distinct_files(a.rows(spark, sf_dir).select(F.concat(F.lit("in/"), F.date_format("date", "yyyy-MM"), F.lit(".pdf")).alias("path")))
 
 
-@query("""SELECT strftime(date, '%d/%m/%Y') date, description, replace(amount_brl::VARCHAR, '.', ',') amount_brl, card_last4, '0' installment_seq, '0' installment_tot, replace(coalesce(round(fx_rate, 4), 0)::DECIMAL(18,4)::VARCHAR, '.', ',') fx_rate, '0,00' iof_brl, category, coalesce(merchant_city, '') merchant_city, '' ledger_hash, '0,00' prev_bill_amount, '0,00' interest_amount, '0,00' amount_orig, currency currency_orig, '0,00' amount_usd FROM wide""".replace("SELECT strftime", f"{SQL_FULL} SELECT strftime", 1))
+@query("""SELECT strftime(date, '%d/%m/%Y') date, description, replace(amount_brl::VARCHAR, '.', ',') amount_brl, card_last4, '0' installment_seq,
+ '0' installment_tot, replace(coalesce(round(fx_rate, 4), 0)::DECIMAL(18,4)::VARCHAR, '.', ',') fx_rate, '0,00' iof_brl, category,
+ coalesce(merchant_city, '') merchant_city, '' ledger_hash, '0,00' prev_bill_amount, '0,00' interest_amount, '0,00' amount_orig,
+ currency currency_orig, '0,00' amount_usd
+ FROM wide""".replace("SELECT strftime", f"{SQL_FULL} SELECT strftime", 1))
 def golden_export(spark, sf_dir):
     return statements.exported(a.full_rows(spark, sf_dir))
 
 
-@query("""SELECT doc_id, count(*) n, count(*) FILTER (WHERE date = 'ERROR') errors, min(source) source, min(category) category FROM (SELECT idx doc_id, CASE WHEN idx % 4 = 0 THEN 'ERROR' ELSE '' END date, CASE WHEN idx % 4 = 0 THEN 'ERROR' ELSE category END category, extractor source FROM rows) GROUP BY 1""")
+@query("""SELECT doc_id, count(*) n, count(*) FILTER (WHERE date = 'ERROR') errors, min(source) source, min(category) category
+ FROM (SELECT idx doc_id, CASE WHEN idx % 4 = 0 THEN 'ERROR' ELSE '' END date, CASE WHEN idx % 4 = 0 THEN 'ERROR' ELSE category END category, extractor source
+ FROM rows) GROUP BY 1""")
 def result_rows(spark, sf_dir):
     """A run of every row's own document; every fourth failed."""
     found = a.rows(spark, sf_dir).withColumn("doc_id", F.col("idx"))
@@ -332,7 +407,9 @@ def result_rows(spark, sf_dir):
     return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("date") == "ERROR").alias("errors"), F.min("source").alias("source"), F.min("category").alias("category"))
 
 
-@query("""SELECT idx doc_id, count(*) n, round(sum(m)::DOUBLE, 2) total, round(max(c)::DOUBLE, 2) sure FROM (SELECT idx, unnest([25.30, 87.64, 156.78, 25.30]) m, unnest([0.95, 0.97, 0.99, 1.01]) c, unnest([0, 1, 2, 3]) i FROM rows) WHERE i < 3 GROUP BY 1""")
+@query("""SELECT idx doc_id, count(*) n, round(sum(m)::DOUBLE, 2) total, round(max(c)::DOUBLE, 2) sure
+ FROM (SELECT idx, unnest([25.30, 87.64, 156.78, 25.30]) m, unnest([0.95, 0.97, 0.99, 1.01]) c, unnest([0, 1, 2, 3]) i
+ FROM rows) WHERE i < 3 GROUP BY 1""")
 def mock_source(spark, sf_dir):
     out = statements.mock_rows(a.rows(spark, sf_dir).select(F.col("idx").alias("doc_id")), "custom_extractor")
     return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("amount_brl").cast("double"), 2).alias("total"), F.round(F.max("confidence"), 2).alias("sure"))
@@ -346,7 +423,8 @@ def synthetic_round_trip(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("amount_brl").cast("double"), 2).alias("total"))
 
 
-@query("""SELECT doc_id, CASE WHEN k = 0 THEN 'pipeline' WHEN k = 1 THEN 'fallback' END AS method, round(amount_brl::DOUBLE, 2) amount FROM (SELECT idx doc_id, idx % 3 k, amount_brl FROM rows) WHERE k < 2""")
+@query("""SELECT doc_id, CASE WHEN k = 0 THEN 'pipeline' WHEN k = 1 THEN 'fallback' END AS method, round(amount_brl::DOUBLE, 2) amount
+ FROM (SELECT idx doc_id, idx % 3 k, amount_brl FROM rows) WHERE k < 2""")
 def robust_parse(spark, sf_dir):
     """A document of each row: one the cascade reads, one only the plain reader does (a header's word drops it from the cascade), one neither does."""
     k, day, money = F.col("idx"), F.date_format("date", "dd/MM"), F.translate(F.format_number("amount_brl", 2), ",.", ".,")
@@ -378,7 +456,8 @@ def enriched_rows(spark, sf_dir):
     return out.select("idx", F.round(F.col("fx_rate").cast("double"), 4).alias("rate"), F.col("merchant_city").alias("city"))
 
 
-@query("""SELECT idx, array_to_string(list_transform(generate_series(1, least(5, idx % 8)::INT), lambda i: 'r' || (idx % 50) || '.' || i), ',') results FROM (SELECT idx, idx AS k FROM rows)""")
+@query("""SELECT idx, array_to_string(list_transform(generate_series(1, least(5, idx % 8)::INT), lambda i: 'r' || (idx % 50) || '.' || i), ',') results
+ FROM (SELECT idx, idx AS k FROM rows)""")
 def merchant_lookup(spark, sf_dir):
     """Up to five of the results that a table has for a key."""
     found = a.rows(spark, sf_dir).select("idx", F.concat_ws("/", (F.col("idx") % 50).cast("string"), (F.col("idx") % 8).cast("string")).alias("name"))
@@ -387,7 +466,8 @@ def merchant_lookup(spark, sf_dir):
     return enrich.looked_up(found, known, "name").select("idx", F.coalesce(F.array_join("results", ","), F.lit("")).alias("results"))
 
 
-@query("""SELECT idx, 0.5::DOUBLE AS simple, CASE WHEN idx % 3 = 0 THEN 0.7 ELSE confidence END::DOUBLE AS pipeline, 0.8::DOUBLE AS docai, 0.0::DOUBLE AS error FROM rows""")
+@query("""SELECT idx, 0.5::DOUBLE AS simple, CASE WHEN idx % 3 = 0 THEN 0.7 ELSE confidence END::DOUBLE AS pipeline, 0.8::DOUBLE AS docai, 0.0::DOUBLE AS error
+ FROM rows""")
 def result_envelopes(spark, sf_dir):
     x = F.when(F.col("idx") % 3 != 0, F.col("confidence"))
     return a.rows(spark, sf_dir).select("idx", *[confidence.envelope(n, x).alias(n) for n in ("simple", "pipeline", "docai", "error")])

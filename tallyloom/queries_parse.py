@@ -67,7 +67,9 @@ _any = lambda words: " OR ".join(f"contains(upper(l), '{w}')" for w in words)  #
 
 
 @query(f"""SELECT idx, {_any(layout.HEADERS)} header, ({_any(layout.SKIPPED)}) AND NOT regexp_matches(l, '[0-9]{{1,2}}/[0-9]{{1,2}}') skipped,
- {" OR ".join(f"starts_with(lower(l), lower('{w}'))" for w in layout.DROPPED)} summary, regexp_matches(l, '^[0-9]{{2}}/[0-9]{{2}} ') purchase, regexp_matches(l, '^[A-ZÇÉÂÕ ]+[.] +[A-ZÂÁÉÍÓÚÊÔÛ .-]+$') category FROM {SQL_PIECES}""")
+ {" OR ".join(f"starts_with(lower(l), lower('{w}'))" for w in layout.DROPPED)} summary, regexp_matches(l, '^[0-9]{{2}}/[0-9]{{2}} ') purchase,
+ regexp_matches(l, '^[A-ZÇÉÂÕ ]+[.] +[A-ZÂÁÉÍÓÚÊÔÛ .-]+$') category
+ FROM {SQL_PIECES}""")
 def line_tests(spark, sf_dir):
     k, line = F.col("idx"), F.col("l")
     text = F.concat(F.element_at(F.array(*map(F.lit, PIECES)), (k % 10 + 1).cast("int")), F.when(k % 3 == 0, F.concat(F.lit(" "), "description")).otherwise(""))
@@ -75,8 +77,11 @@ def line_tests(spark, sf_dir):
     return found.select("idx", layout.is_header(line).alias("header"), layout.is_skipped(line).alias("skipped"), layout.is_summary(line).alias("summary"), layout.is_purchase(line).alias("purchase"), layout.is_category(line).alias("category"))
 
 
-@query("""SELECT idx, CASE WHEN k % 3 = 0 THEN 'form' WHEN k % 3 = 1 THEN 'invoice' ELSE 'ocr' END route FROM (SELECT idx, CASE WHEN regexp_full_match(n, 'stmt_.*[.]pdf') THEN 0 WHEN regexp_full_match(n, 'fatura.*[.]pdf') THEN 1 ELSE 2 END k
- FROM (SELECT idx, ['stmt_', 'fatura-', 'scan', 'my stmt_', 'fatura_stmt_'][idx % 5 + 1] || idx || CASE WHEN idx % 2 = 0 THEN '.pdf' ELSE '.PDF' END n FROM rows))""")
+@query("""SELECT idx, CASE WHEN k % 3 = 0 THEN 'form' WHEN k % 3 = 1 THEN 'invoice' ELSE 'ocr' END route
+ FROM (SELECT idx, CASE WHEN regexp_full_match(n, 'stmt_.*[.]pdf') THEN 0 WHEN regexp_full_match(n, 'fatura.*[.]pdf') THEN 1 ELSE 2 END k
+
+ FROM (SELECT idx, ['stmt_', 'fatura-', 'scan', 'my stmt_', 'fatura_stmt_'][idx % 5 + 1] || idx || CASE WHEN idx % 2 = 0 THEN '.pdf' ELSE '.PDF' END n
+ FROM rows))""")
 def route_docs(spark, sf_dir):
     k = F.col("idx")
     name = F.concat(F.element_at(F.array(*map(F.lit, ("stmt_", "fatura-", "scan", "my stmt_", "fatura_stmt_"))), (k % 5 + 1).cast("int")), k.cast("string"), F.when(k % 2 == 0, ".pdf").otherwise(".PDF"))
@@ -92,15 +97,20 @@ def bundle_lines(found: DataFrame) -> DataFrame:
     return found.select("doc_id", k, F.posexplode(F.array(first, second, third)).alias("n", "line")).select("doc_id", (k * 3 + F.col("n")).alias("line_no"), "line")
 
 
-@query("""SELECT doc_id, idx * 3 + CASE WHEN k = 4 THEN 1 ELSE 0 END line_no, CASE WHEN k = 2 THEN 'international' ELSE 'domestic' END kind, description, round(amount_brl::DOUBLE, 2) amount,
- CASE k WHEN 2 THEN 'INTERNACIONAL' WHEN 4 THEN 'CASA' ELSE 'ALIMENTOS' END category, CASE k WHEN 2 THEN 'NEW YORK' WHEN 4 THEN 'BELEM' ELSE 'CIDADE A' END city,
- CASE k WHEN 2 THEN 25.0::DOUBLE END orig, CASE k WHEN 2 THEN 'USD' END currency, CASE k WHEN 2 THEN 5.4321::DOUBLE END rate FROM (SELECT *, idx % 6 k FROM rows) WHERE k IN (0, 1, 2, 4)""")
+@query("""SELECT doc_id, idx * 3 + CASE WHEN k = 4 THEN 1 ELSE 0 END line_no, CASE WHEN k = 2 THEN 'international' ELSE 'domestic' END kind, description,
+ round(amount_brl::DOUBLE, 2) amount,
+ CASE k WHEN 2 THEN 'INTERNACIONAL' WHEN 4 THEN 'CASA' ELSE 'ALIMENTOS' END category,
+ CASE k WHEN 2 THEN 'NEW YORK' WHEN 4 THEN 'BELEM' ELSE 'CIDADE A' END city,
+ CASE k WHEN 2 THEN 25.0::DOUBLE END orig, CASE k WHEN 2 THEN 'USD' END currency, CASE k WHEN 2 THEN 5.4321::DOUBLE END rate
+ FROM (SELECT *, idx % 6 k FROM rows) WHERE k IN (0, 1, 2, 4)""")
 def line_bundles(spark, sf_dir):
     found = layout.bundles(bundle_lines(a.rows(spark, sf_dir)))
     return found.select("doc_id", "line_no", "kind", "description", _amount(), "category", "city", _amount("amount_orig", "orig"), "currency", _amount("fx_rate", "rate"))
 
 
-@query("""SELECT doc_id, idx * 2 line_no, CASE idx % 4 WHEN 0 THEN 'ALIMENTOS' WHEN 1 THEN 'CASA' END category, CASE idx % 4 WHEN 0 THEN 'CIDADE A' WHEN 1 THEN 'SÃO LUÍS'[1:0] || 'BELEM' END city FROM rows""")
+@query("""SELECT doc_id, idx * 2 line_no, CASE idx % 4 WHEN 0 THEN 'ALIMENTOS' WHEN 1 THEN 'CASA' END category,
+ CASE idx % 4 WHEN 0 THEN 'CIDADE A' WHEN 1 THEN 'SÃO LUÍS'[1:0] || 'BELEM' END city
+ FROM rows""")
 def parse_two_line(spark, sf_dir):
     k, (day, money) = F.col("idx"), _printed()
     nxt = F.when(k % 4 == 0, "ALIMENTOS. CIDADE A").when(k % 4 == 1, "CASA.  BELEM").when(k % 4 == 2, "Casa. Belem").otherwise("SEM PONTO")
@@ -119,13 +129,17 @@ def chunk_lines(found: DataFrame) -> DataFrame:
     return found.select("doc_id", k, F.posexplode(four).alias("n", "line")).select("doc_id", (k * 4 + F.col("n")).alias("line_no"), "line")
 
 
-@query("""SELECT doc_id, idx * 4 line_no, round(amount_brl::DOUBLE, 2) amount, CASE WHEN k = 6 THEN 6.1::DOUBLE ELSE 5.5::DOUBLE END rate, CASE WHEN k < 2 THEN 3.51::DOUBLE ELSE 0.0::DOUBLE END iof FROM (SELECT *, idx % 8 k FROM rows) WHERE k NOT IN (3, 7)""")
+@query("""SELECT doc_id, idx * 4 line_no, round(amount_brl::DOUBLE, 2) amount, CASE WHEN k = 6 THEN 6.1::DOUBLE ELSE 5.5::DOUBLE END rate,
+ CASE WHEN k < 2 THEN 3.51::DOUBLE ELSE 0.0::DOUBLE END iof
+ FROM (SELECT *, idx % 8 k FROM rows) WHERE k NOT IN (3, 7)""")
 def fx_chunks(spark, sf_dir):
     found = parse.fx_chunks(chunk_lines(a.rows(spark, sf_dir)))
     return found.select("doc_id", "line_no", _amount(), _amount("fx_rate", "rate"), _amount("iof_brl", "iof"))
 
 
-@query(f"WITH {SQL_ITEMS} SELECT doc_id, table_idx, CASE WHEN count(*) > 1 THEN 0 END::INT date_col, CASE WHEN count(*) > 1 THEN 2 ELSE 2 END::INT amount_col, CASE WHEN count(*) > 1 THEN 1 ELSE 1 END::INT description_col FROM items GROUP BY 1, 2", rows=False)
+@query(f"""WITH {SQL_ITEMS} SELECT doc_id, table_idx, CASE WHEN count(*) > 1 THEN 0 END::INT date_col,
+ CASE WHEN count(*) > 1 THEN 2 ELSE 2 END::INT amount_col, CASE WHEN count(*) > 1 THEN 1 ELSE 1 END::INT description_col
+ FROM items GROUP BY 1, 2""", rows=False)
 def infer_columns(spark, sf_dir):
     """A header makes a table of one item half date-like only: no date column."""
     return parse.infer_columns(a.cells(spark, sf_dir)).select("doc_id", "table_idx", "date_col", "amount_col", "description_col")
@@ -139,13 +153,18 @@ def _sums(found: DataFrame) -> DataFrame:
 YEAR = "make_date(2024, month(day), day(day))"
 
 
-@query(f"WITH {SQL_ITEMS} SELECT doc_id, table_idx, count(*) n, round(sum(amount)::DOUBLE, 2) total, min({YEAR}) AS first, sum(length(text))::BIGINT letters, round(avg(CASE WHEN length(text) > 10 THEN 1.0 ELSE 0.9 END), 6) confidence FROM items GROUP BY 1, 2", rows=False)
+@query(f"""WITH {SQL_ITEMS} SELECT doc_id, table_idx, count(*) n, round(sum(amount)::DOUBLE, 2) total, min({YEAR}) AS first,
+ sum(length(text))::BIGINT letters, round(avg(CASE WHEN length(text) > 10 THEN 1.0 ELSE 0.9 END), 6) confidence
+ FROM items GROUP BY 1, 2""", rows=False)
 def cell_roles(spark, sf_dir):
     """Parser A: the header row is skipped."""
     return _sums(layout.cell_rows(a.cells(spark, sf_dir), "A", header=1))
 
 
-@query(f"WITH {SQL_ITEMS}, r AS (SELECT doc_id, table_idx, amount, {YEAR} AS day, CASE WHEN row_idx % 2 = 0 THEN text ELSE 'Unknown transaction' END AS text, 0.7 + 0.3 * ((row_idx % 5) / 10.0 + 0.8 * 2) / 3 c FROM items) SELECT doc_id, table_idx, count(*) n, round(sum(amount)::DOUBLE, 2) total, min(day) AS first, sum(length(text))::BIGINT letters, round(avg(c)::DOUBLE, 6) confidence FROM r GROUP BY 1, 2", rows=False)
+@query(f"""WITH {SQL_ITEMS}, r AS (SELECT doc_id, table_idx, amount, {YEAR} AS day, CASE WHEN row_idx % 2 = 0 THEN text ELSE 'Unknown transaction' END AS text, 0.7 + 0.3 * ((row_idx % 5) / 10.0 + 0.8 * 2) / 3 c
+ FROM items) SELECT doc_id, table_idx, count(*) n, round(sum(amount)::DOUBLE, 2) total, min(day) AS first, sum(length(text))::BIGINT letters,
+ round(avg(c)::DOUBLE, 6) confidence
+ FROM r GROUP BY 1, 2""", rows=False)
 def cell_roles_b(spark, sf_dir):
     """Parser B: a short text is no description, and the cells' confidences count; the header's is missing on two of three."""
     cells = a.cells(spark, sf_dir).filter("row_idx > 1")
@@ -153,7 +172,9 @@ def cell_roles_b(spark, sf_dir):
     return _sums(layout.cell_rows(cells.withColumn("confidence", F.when(F.col("col_idx") == 0, (F.col("row_idx") % 5) / 10)), "B", header=0))
 
 
-@query(f"WITH {SQL_ITEMS} SELECT doc_id, table_idx, count(*) n, round(sum(amount)::DOUBLE, 2) total, min({YEAR}) AS first, sum(length(text))::BIGINT letters, round(avg(0.9 * (0.5 + CASE WHEN amount <> 0 THEN 0.2 ELSE 0 END + CASE WHEN length(text) > 5 THEN 0.2 ELSE 0 END + 0.05))::DOUBLE, 6) confidence FROM items WHERE row_idx % 7 <> 0 GROUP BY 1, 2", rows=False)
+@query(f"""WITH {SQL_ITEMS} SELECT doc_id, table_idx, count(*) n, round(sum(amount)::DOUBLE, 2) total, min({YEAR}) AS first,
+ sum(length(text))::BIGINT letters, round(avg(0.9 * (0.5 + CASE WHEN amount <> 0 THEN 0.2 ELSE 0 END + CASE WHEN length(text) > 5 THEN 0.2 ELSE 0 END + 0.05))::DOUBLE, 6) confidence
+ FROM items WHERE row_idx % 7 <> 0 GROUP BY 1, 2""", rows=False)
 def column_rows(spark, sf_dir):
     """Rows by their columns; every seventh row's amount has no digit."""
     cells = a.cells(spark, sf_dir).filter("row_idx > 1")
@@ -205,8 +226,10 @@ def block_strategy(spark, sf_dir):
     return out.groupBy("doc_id", "strategy").agg(F.count("*").alias("n"), F.round(F.sum("amount_brl").cast("double"), 2).alias("total"))
 
 
-@query(f"""SELECT idx, TRY_CAST('2024-' || strftime(date, '%m-%d') AS DATE) date, round(amount_brl::DOUBLE, 2) amount, CASE WHEN idx % 5 = 1 THEN 'LOJA.RIO ' || description ELSE description END description,
- CASE WHEN idx % 5 = 1 THEN 'LOJA' ELSE 'DIVERSOS' END category, CASE WHEN idx % 5 = 1 THEN 'RIO ' || description ELSE '' END city FROM rows WHERE idx % 5 < 3 AND amount_brl <= 100000""")
+@query(f"""SELECT idx, TRY_CAST('2024-' || strftime(date, '%m-%d') AS DATE) date, round(amount_brl::DOUBLE, 2) amount,
+ CASE WHEN idx % 5 = 1 THEN 'LOJA.RIO ' || description ELSE description END description,
+ CASE WHEN idx % 5 = 1 THEN 'LOJA' ELSE 'DIVERSOS' END category, CASE WHEN idx % 5 = 1 THEN 'RIO ' || description ELSE '' END city
+ FROM rows WHERE idx % 5 < 3 AND amount_brl <= 100000""")
 def document_rows(spark, sf_dir):
     """Documents of one table row, its cells anchored in the text; some hold a skip word, no date or a large amount."""
     k, (day, money), d = F.col("idx"), _printed(), F.col("description")
@@ -223,7 +246,9 @@ def document_rows(spark, sf_dir):
     return rows.select(F.col("doc_id").alias("idx"), "date", _amount(), "description", "category", F.col("merchant_city").alias("city"))
 
 
-@query("""SELECT doc_id, place, date, round(amount::DOUBLE, 2) amount, description FROM (SELECT idx doc_id, 0 place, CASE WHEN idx % 3 = 0 THEN DATE '2024-01-01' ELSE TRY_CAST('2024-' || strftime(date, '%m-%d') AS DATE) END date, amount_brl amount, CASE WHEN idx % 2 = 0 THEN trim(regexp_replace(description, '[A-Z]{10,}', '', 'g')) ELSE 'Transaction' END description FROM rows
+@query("""SELECT doc_id, place, date, round(amount::DOUBLE, 2) amount, description
+ FROM (SELECT idx doc_id, 0 place, CASE WHEN idx % 3 = 0 THEN DATE '2024-01-01' ELSE TRY_CAST('2024-' || strftime(date, '%m-%d') AS DATE) END date, amount_brl amount, CASE WHEN idx % 2 = 0 THEN trim(regexp_replace(description, '[A-Z]{10,}', '', 'g')) ELSE 'Transaction' END description
+ FROM rows
  UNION ALL SELECT idx, 1, DATE '2024-01-01', 7.5, 'Transaction' FROM rows WHERE idx % 7 = 0)""")
 def entity_rows(spark, sf_dir):
     """Dates, amounts and descriptions as entities of all names; weak ones, others and zero amounts don't count."""
@@ -260,8 +285,10 @@ def template_lines(spark, sf_dir):
     return found.select("doc_id", "line_no", "section", "description", _amount(), F.col("payment_code").alias("code"), "currency", F.col("installment_seq").alias("seq"), F.col("installment_tot").alias("tot"), "merchant", F.col("merchant_city").alias("city"))
 
 
-@query(f"""SELECT r.idx, CASE t.section WHEN 'internacional' THEN 'FX' WHEN 'pagamentos' THEN 'PAGAMENTO' ELSE r.category END category, CASE WHEN r.idx % 5 <> 0 THEN r.currency WHEN t.section = 'internacional' THEN 'USD' WHEN t.section IS NOT NULL THEN 'BRL' ELSE '' END currency,
- coalesce(t.seq, 9)::INT seq, coalesce(t.city, 'X') city FROM rows r LEFT JOIN (SELECT * FROM {TEMPLATE} WHERE idx % 7 <> 0) t ON t.idx = r.idx""")
+@query(f"""SELECT r.idx, CASE t.section WHEN 'internacional' THEN 'FX' WHEN 'pagamentos' THEN 'PAGAMENTO' ELSE r.category END category,
+ CASE WHEN r.idx % 5 <> 0 THEN r.currency WHEN t.section = 'internacional' THEN 'USD' WHEN t.section IS NOT NULL THEN 'BRL' ELSE '' END currency,
+ coalesce(t.seq, 9)::INT seq, coalesce(t.city, 'X') city FROM rows r LEFT JOIN (SELECT * FROM {TEMPLATE}
+ WHERE idx % 7 <> 0) t ON t.idx = r.idx""")
 def template_enhanced(spark, sf_dir):
     found = a.rows(spark, sf_dir)
     template = enrich.template_lines(template_statement(found)).withColumn("idx", ((F.col("line_no") - 1) / 2).cast("long")).filter("idx % 7 <> 0")
@@ -270,8 +297,11 @@ def template_enhanced(spark, sf_dir):
     return out.select("idx", "category", "currency", F.col("installment_seq").alias("seq"), F.col("merchant_city").alias("city"))
 
 
-@query("""SELECT idx, CASE WHEN idx % 3 = 0 THEN 5.5::DOUBLE ELSE 1.0::DOUBLE END rate, CASE WHEN idx % 3 <> 0 THEN 0.25::DOUBLE WHEN idx % 2 = 0 THEN 3.51::DOUBLE ELSE 0.0::DOUBLE END iof, CASE WHEN idx % 5 <> 0 THEN currency WHEN idx % 3 = 0 THEN 'USD' ELSE '' END currency,
- round(CASE WHEN idx % 7 = 0 THEN 1.0 WHEN idx % 3 = 0 THEN round(amount_brl / 5.5, 2) ELSE 0 END::DOUBLE, 2) usd FROM rows""")
+@query("""SELECT idx, CASE WHEN idx % 3 = 0 THEN 5.5::DOUBLE ELSE 1.0::DOUBLE END rate,
+ CASE WHEN idx % 3 <> 0 THEN 0.25::DOUBLE WHEN idx % 2 = 0 THEN 3.51::DOUBLE ELSE 0.0::DOUBLE END iof,
+ CASE WHEN idx % 5 <> 0 THEN currency WHEN idx % 3 = 0 THEN 'USD' ELSE '' END currency,
+ round(CASE WHEN idx % 7 = 0 THEN 1.0 WHEN idx % 3 = 0 THEN round(amount_brl / 5.5, 2) ELSE 0 END::DOUBLE, 2) usd
+ FROM rows""")
 def fx_enhanced(spark, sf_dir):
     k, found = F.col("idx"), a.rows(spark, sf_dir)
     fx = found.filter("idx % 3 = 0").select("doc_id", "idx", F.lit("5.5").cast("decimal(18,4)").alias("fx_rate"), F.when(k % 2 == 0, F.lit("3.51").cast("decimal(18,2)")).alias("iof_brl"), F.lit("10").cast("decimal(18,2)").alias("amount_orig"))
@@ -281,7 +311,8 @@ def fx_enhanced(spark, sf_dir):
 
 
 @query("""SELECT idx doc_id, CASE idx % 4 WHEN 0 THEN '1234' || (idx % 10) || '-' || (idx % 7) WHEN 1 THEN '777' || (idx % 10 + 10) WHEN 2 THEN '54321-9' END account, CASE WHEN idx % 3 <> 2 THEN CASE WHEN idx % 3 = 1 THEN -round(amount_brl::DOUBLE, 2) ELSE round(amount_brl::DOUBLE, 2) END END balance,
- CASE WHEN idx % 2 = 0 THEN date END AS start, CASE WHEN idx % 2 = 0 THEN date + 30 END AS end, CASE WHEN idx % 5 <> 0 THEN date + 40 END due FROM rows""")
+ CASE WHEN idx % 2 = 0 THEN date END AS start, CASE WHEN idx % 2 = 0 THEN date + 30 END AS end, CASE WHEN idx % 5 <> 0 THEN date + 40 END due
+ FROM rows""")
 def account_info(spark, sf_dir):
     """Three ways to name an account, two balances, period and due date; some statements lack each."""
     k, money = F.col("idx"), t.money(F.col("amount_brl"))
@@ -299,7 +330,8 @@ def account_info(spark, sf_dir):
 @query("""SELECT idx, CASE WHEN idx % 5 = 0 THEN (idx % 40) || '/' || (idx % 15) || 'x' ELSE '2024-' || lpad((idx % 15)::VARCHAR, 2, '0') || '-' || lpad((idx % 40)::VARCHAR, 2, '0') END plain,
  CASE WHEN idx % 5 = 0 OR idx % 40 NOT BETWEEN 1 AND 31 OR idx % 15 NOT BETWEEN 1 AND 12 THEN CASE WHEN idx % 5 = 0 THEN (idx % 40) || '/' || (idx % 15) || 'x' ELSE (idx % 40) || '/' || (idx % 15) END ELSE '2024-' || lpad((idx % 15)::VARCHAR, 2, '0') || '-' || lpad((idx % 40)::VARCHAR, 2, '0') END checked,
  TRY_CAST('2024-' || lpad((idx % 15)::VARCHAR, 2, '0') || '-' || lpad((idx % 40)::VARCHAR, 2, '0') AS DATE) anywhere,
- TRY_CAST('2024-' || lpad((idx % 15)::VARCHAR, 2, '0') || '-' || lpad((idx % 40)::VARCHAR, 2, '0') AS DATE) IS NOT NULL valid FROM rows""")
+ TRY_CAST('2024-' || lpad((idx % 15)::VARCHAR, 2, '0') || '-' || lpad((idx % 40)::VARCHAR, 2, '0') AS DATE) IS NOT NULL valid
+ FROM rows""")
 def date_variants(spark, sf_dir):
     """Dates as text, checked and not, anywhere in a text, and whether an ISO text is a real day."""
     k = F.col("idx")
@@ -312,7 +344,10 @@ def date_variants(spark, sf_dir):
     return a.rows(spark, sf_dir).select("idx", back(t.date_text(text)).alias("plain"), back(t.date_text(text, checked=True)).alias("checked"), t.date(F.concat(F.lit("em "), short, F.lit(" x")), anywhere=True).alias("anywhere"), t.iso_date(iso).isNotNull().alias("valid"))
 
 
-@query("""SELECT idx, CASE idx % 3 WHEN 0 THEN lpad((idx % 10000)::VARCHAR, 4, '0') END inline, CASE idx % 3 WHEN 1 THEN lpad((idx % 10000)::VARCHAR, 4, '0') END header, CASE idx % 3 WHEN 2 THEN lpad((idx % 10000)::VARCHAR, 4, '0') ELSE '' END holder FROM rows""")
+@query("""SELECT idx, CASE idx % 3 WHEN 0 THEN lpad((idx % 10000)::VARCHAR, 4, '0') END inline,
+ CASE idx % 3 WHEN 1 THEN lpad((idx % 10000)::VARCHAR, 4, '0') END header,
+ CASE idx % 3 WHEN 2 THEN lpad((idx % 10000)::VARCHAR, 4, '0') ELSE '' END holder
+ FROM rows""")
 def card_variants(spark, sf_dir):
     k = F.col("idx")
     four = F.lpad((k % 10000).cast("string"), 4, "0")
@@ -324,7 +359,9 @@ def card_variants(spark, sf_dir):
 _LINE = f"""CASE k WHEN 0 THEN {DAY} || ' estorno ' || {MONEY} WHEN 1 THEN {DAY} || ' ' || d || ' 10,00 ' || {MONEY} WHEN 2 THEN {DAY} || ' EUR ' || d || ' ' || {MONEY} WHEN 3 THEN {DAY} || ' ' || d || ' Saldo ' || {MONEY} ELSE d || ' ' || {MONEY} END"""
 
 
-@query(f"""SELECT idx, CASE WHEN k = 0 THEN 'PAGAMENTO' WHEN k = 1 THEN 'FX' WHEN idx % 2 = 1 THEN 'COMPRA' ELSE 'CREDITO' END kind, k = 2 OR (k > 0 AND contains(d, 'NETFLIX')) international, CASE k WHEN 3 THEN 'summary' WHEN 4 THEN 'noise' ELSE 'transaction' END AS class, CASE {CASES} ELSE 'OUTROS' END category, 0.9::DOUBLE confidence
+@query(f"""SELECT idx, CASE WHEN k = 0 THEN 'PAGAMENTO' WHEN k = 1 THEN 'FX' WHEN idx % 2 = 1 THEN 'COMPRA' ELSE 'CREDITO' END kind,
+ k = 2 OR (k > 0 AND contains(d, 'NETFLIX')) international, CASE k WHEN 3 THEN 'summary' WHEN 4 THEN 'noise' ELSE 'transaction' END AS class,
+ CASE {CASES} ELSE 'OUTROS' END category, 0.9::DOUBLE confidence
  FROM (SELECT idx, k, d, {_LINE} description FROM (SELECT *, idx % 5 k, description d FROM rows))""")
 def classify_txn(spark, sf_dir):
     """Payments, foreign rows, purchases, credits, summaries and noise, by lines that show each."""
@@ -337,7 +374,8 @@ def classify_txn(spark, sf_dir):
     return found.select("idx", x["type"].alias("kind"), rules.is_foreign(F.col("line")).alias("international"), rules.row_class(F.col("line")).alias("class"), x["category"].alias("category"), F.round(x["confidence"], 6).alias("confidence"))
 
 
-@query("""SELECT idx, CASE idx % 6 WHEN 0 THEN 'SAO PAULO' WHEN 1 THEN 'RIO' WHEN 2 THEN 'BELEM' WHEN 4 THEN 'PORTO ALEGRE' WHEN 5 THEN 'NATAL' END city FROM rows""")
+@query("""SELECT idx, CASE idx % 6 WHEN 0 THEN 'SAO PAULO' WHEN 1 THEN 'RIO' WHEN 2 THEN 'BELEM' WHEN 4 THEN 'PORTO ALEGRE' WHEN 5 THEN 'NATAL' END city
+ FROM rows""")
 def merchant_city(spark, sf_dir):
     k = F.col("idx")
     s = k.cast("string")
@@ -347,7 +385,8 @@ def merchant_city(spark, sf_dir):
 
 
 @query(f"""SELECT idx, CASE WHEN k = 2 THEN 'ONLINE' WHEN k = 4 THEN 'OSASCO' ELSE upper(n_name) END city,
- CASE k WHEN 0 THEN 'Loja' WHEN 1 THEN 'Loja Da Praca' WHEN 2 THEN 'Uber Trip Nation' WHEN 3 THEN 'Super' ELSE 'Padaria' END merchant FROM (SELECT *, idx % 5 k FROM rows) JOIN nation ON n_nationkey = idx % 25""")
+ CASE k WHEN 0 THEN 'Loja' WHEN 1 THEN 'Loja Da Praca' WHEN 2 THEN 'Uber Trip Nation' WHEN 3 THEN 'Super' ELSE 'Padaria' END merchant
+ FROM (SELECT *, idx % 5 k FROM rows) JOIN nation ON n_nationkey = idx % 25""")
 def learned_cities(spark, sf_dir):
     """Known cities as words and inside words, online shops first, then the patterns; merchants before the city."""
     k = F.col("idx")
@@ -360,8 +399,12 @@ def learned_cities(spark, sf_dir):
     return enrich.cities(found.withColumn("description", x), known).select("idx", F.col("found_city").alias("city"), F.col("found_merchant").alias("merchant"))
 
 
-@query("""SELECT idx, CASE WHEN idx % 4 = 0 THEN 1 ELSE 3 END::INT seq, CASE WHEN idx % 3 <> 0 THEN currency WHEN idx % 6 = 0 THEN 'USD' ELSE 'BRL' END currency, CASE WHEN idx % 5 = 0 THEN 'kept' ELSE substr(md5(strftime(date, '%Y-%m-%d') || '_' || description || '_' || amount_brl::VARCHAR || '_' || CASE WHEN idx % 2 = 0 THEN '0042' ELSE '' END), 1, 8) END hash,
- round(CASE WHEN idx % 7 = 0 THEN 1.25 WHEN idx % 8 = 0 THEN NULL ELSE round(amount_brl / 5, 2) END::DOUBLE, 2) usd, 0.0::DOUBLE bill, CASE WHEN idx % 9 = 0 THEN 2.5::DOUBLE ELSE 0.0::DOUBLE END interest FROM rows""")
+@query("""SELECT idx, CASE WHEN idx % 4 = 0 THEN 1 ELSE 3 END::INT seq,
+ CASE WHEN idx % 3 <> 0 THEN currency WHEN idx % 6 = 0 THEN 'USD' ELSE 'BRL' END currency,
+ CASE WHEN idx % 5 = 0 THEN 'kept' ELSE substr(md5(strftime(date, '%Y-%m-%d') || '_' || description || '_' || amount_brl::VARCHAR || '_' || CASE WHEN idx % 2 = 0 THEN '0042' ELSE '' END), 1, 8) END hash,
+ round(CASE WHEN idx % 7 = 0 THEN 1.25 WHEN idx % 8 = 0 THEN NULL ELSE round(amount_brl / 5, 2) END::DOUBLE, 2) usd, 0.0::DOUBLE bill,
+ CASE WHEN idx % 9 = 0 THEN 2.5::DOUBLE ELSE 0.0::DOUBLE END interest
+ FROM rows""")
 def metadata_fill(spark, sf_dir):
     """Each field missing on some rows: null, empty or zero."""
     k, m = F.col("idx"), F.col("amount_brl")
@@ -377,7 +420,9 @@ def metadata_fill(spark, sf_dir):
     return out.select("idx", F.col("installment_seq").alias("seq"), "currency", F.col("ledger_hash").alias("hash"), _amount("amount_usd", "usd"), _amount("prev_bill_amount", "bill"), _amount("interest_amount", "interest"))
 
 
-@query("""SELECT idx, (3 + (currency <> '')::INT + (category <> '')::INT + (idx % 2 = 0)::INT + 2 * (idx % 4 <> 0)::INT + (idx % 3 = 0)::INT)::INT filled, (3 + (currency <> '')::INT + (category <> '')::INT + (idx % 2 = 0)::INT + (idx % 4 NOT IN (0, 1))::INT + (idx % 3 = 0 AND idx % 2 = 0)::INT)::INT model FROM rows""")
+@query("""SELECT idx, (3 + (currency <> '')::INT + (category <> '')::INT + (idx % 2 = 0)::INT + 2 * (idx % 4 <> 0)::INT + (idx % 3 = 0)::INT)::INT filled,
+ (3 + (currency <> '')::INT + (category <> '')::INT + (idx % 2 = 0)::INT + (idx % 4 NOT IN (0, 1))::INT + (idx % 3 = 0 AND idx % 2 = 0)::INT)::INT model
+ FROM rows""")
 def completeness_counts(spark, sf_dir):
     k = F.col("idx")
     found = a.rows(spark, sf_dir).withColumns({"card_last4": F.when(k % 2 == 0, "0042").otherwise(" "), "installment_seq": F.when(k % 4 == 1, 0).when(k % 4 != 0, 2), "installment_tot": F.when(k % 4 != 0, 0), "fx_rate": F.when(k % 3 == 0, (1 - k % 2).cast("decimal(12,6)")), "merchant_city": F.lit(""), "amount_usd": F.lit(None).cast("decimal(18,2)")})
@@ -387,19 +432,31 @@ def completeness_counts(spark, sf_dir):
 WORDS = """words AS (SELECT l_orderkey doc_id, (l_linenumber * 2)::DOUBLE top, (l_partkey % 500) + l_linenumber / 10.0::DOUBLE x0, 'w' || l_linenumber text FROM lineitem)"""
 
 
-@query(f"""WITH RECURSIVE {WORDS}, tops AS (SELECT DISTINCT doc_id, top FROM words), anchors AS (SELECT doc_id, min(top) AS t, 0 AS n FROM tops GROUP BY 1 UNION ALL SELECT a.doc_id, min(b.top), a.n + 1 FROM anchors a JOIN tops b ON a.doc_id = b.doc_id AND b.top > a.t + 3 GROUP BY a.doc_id, a.n)
- SELECT doc_id, 1::INT page, n::INT AS row, string_agg(text, ' ' ORDER BY x0, text) line FROM (SELECT w.doc_id, w.text, w.x0, max(a.n) n FROM (SELECT *, row_number() OVER () r FROM words) w JOIN anchors a ON a.doc_id = w.doc_id AND a.t <= w.top GROUP BY w.r, w.doc_id, w.text, w.x0) GROUP BY doc_id, n""", rows=False)
+@query(f"""WITH RECURSIVE {WORDS}, tops AS (SELECT DISTINCT doc_id, top
+ FROM words), anchors AS (SELECT doc_id, min(top) AS t, 0 AS n FROM tops GROUP BY 1
+ UNION ALL SELECT a.doc_id, min(b.top), a.n + 1 FROM anchors a
+ JOIN tops b ON a.doc_id = b.doc_id AND b.top > a.t + 3 GROUP BY a.doc_id, a.n)
+ SELECT doc_id, 1::INT page, n::INT AS row, string_agg(text, ' ' ORDER BY x0, text) line
+ FROM (SELECT w.doc_id, w.text, w.x0, max(a.n) n FROM (SELECT *, row_number() OVER () r FROM words) w
+ JOIN anchors a ON a.doc_id = w.doc_id AND a.t <= w.top GROUP BY w.r, w.doc_id, w.text, w.x0)
+ GROUP BY doc_id, n""", rows=False)
 def anchored_words(spark, sf_dir):
     return parse.anchored_rows(a.words(spark, sf_dir))
 
 
-@query("""SELECT idx, least(greatest(x, 0), 1)::DOUBLE clamped, x < 0.6 ocr, x >= 0.8 ensemble, x < 0.85 highlighted FROM (SELECT idx, ((idx % 30) - 5) / 20.0::DOUBLE x FROM rows)""")
+@query("""SELECT idx, least(greatest(x, 0), 1)::DOUBLE clamped, x < 0.6 ocr, x >= 0.8 ensemble, x < 0.85 highlighted
+ FROM (SELECT idx, ((idx % 30) - 5) / 20.0::DOUBLE x FROM rows)""")
 def thresholds(spark, sf_dir):
     x = (F.col("idx") % 30 - 5) / 20
     return a.rows(spark, sf_dir).select("idx", rules.clamped(x).alias("clamped"), rules.needs_ocr(x).alias("ocr"), rules.in_ensemble(x).alias("ensemble"), rules.highlighted(x).alias("highlighted"))
 
 
-@query("""SELECT doc_id, method, count(*) n, round(sum(amount)::DOUBLE, 2) total FROM (SELECT doc_id, 'lattice' AS method, amount_brl amount FROM rows WHERE d = 0 AND idx % 2 = 0 UNION ALL SELECT DISTINCT doc_id, 'stream', amount_brl FROM (SELECT DISTINCT doc_id, date, description, amount_brl FROM rows WHERE d < 2 AND NOT (d = 0 AND (doc_id, date, description, amount_brl) IN (SELECT (doc_id, date, description, amount_brl) FROM rows WHERE idx % 2 = 0)))
+@query("""SELECT doc_id, method, count(*) n, round(sum(amount)::DOUBLE, 2) total
+ FROM (SELECT doc_id, 'lattice' AS method, amount_brl amount FROM rows WHERE d = 0 AND idx % 2 = 0
+ UNION ALL SELECT DISTINCT doc_id, 'stream', amount_brl
+ FROM (SELECT DISTINCT doc_id, date, description, amount_brl FROM rows
+ WHERE d < 2 AND NOT (d = 0 AND (doc_id, date, description, amount_brl) IN (SELECT (doc_id, date, description, amount_brl)
+ FROM rows WHERE idx % 2 = 0)))
  UNION ALL SELECT doc_id, 'aggressive', amount_brl FROM rows WHERE d = 2) GROUP BY 1, 2""".replace("FROM (SELECT doc_id, 'lattice'", "FROM (WITH rows AS (SELECT *, ascii(right(doc_id, 1)) % 3 d FROM main_rows) SELECT doc_id, 'lattice'").replace("main_rows", "rows"))
 def table_cascade(spark, sf_dir):
     """By the document's name: some have lattice rows and stream repeats all, some have only stream's (twice), some neither."""
@@ -411,7 +468,9 @@ def table_cascade(spark, sf_dir):
     return out.groupBy("doc_id", "method").agg(F.count("*").alias("n"), F.round(F.sum("amount_brl").cast("double"), 2).alias("total"))
 
 
-@query("""SELECT idx doc_id, unnest([0, 1])::INT page, unnest(['total', '']) AS name, unnest([description, 'x' || idx]) AS value, unnest([CASE WHEN idx % 2 = 0 THEN 0.5 ELSE 0 END, 0.9])::DOUBLE confidence FROM rows""")
+@query("""SELECT idx doc_id, unnest([0, 1])::INT page, unnest(['total', '']) AS name, unnest([description, 'x' || idx]) AS value,
+ unnest([CASE WHEN idx % 2 = 0 THEN 0.5 ELSE 0 END, 0.9])::DOUBLE confidence
+ FROM rows""")
 def form_fields(spark, sf_dir):
     """Named fields, nameless ones, and empty ones, which don't count."""
     k = F.col("idx")
@@ -424,7 +483,8 @@ def form_fields(spark, sf_dir):
 KINDS = ["Dólar de Conversão R$ 5,43", "12/10 LOJA 10,00 usd", "NEW YORK 54,30 BRL", "LAZER. BELÉM", "nada"]
 
 
-@query(f"""SELECT idx, [NULL, 'rate', 'international', 'abroad', 'category', NULL, 'domestic'][CASE WHEN idx % 2 = 1 THEN CASE WHEN idx % 3 = 0 THEN 1 ELSE 7 END ELSE idx // 2 % 5 + 2 END] kind FROM rows""")
+@query(f"""SELECT idx, [NULL, 'rate', 'international', 'abroad', 'category', NULL, 'domestic'][CASE WHEN idx % 2 = 1 THEN CASE WHEN idx % 3 = 0 THEN 1 ELSE 7 END ELSE idx // 2 % 5 + 2 END] kind
+ FROM rows""")
 def line_kinds(spark, sf_dir):
     """Odd rows are purchases, a third of them broken; even ones go through the other patterns."""
     k, (day, money) = F.col("idx"), _printed()
