@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import drop_path, scratch, stored
 
-BINS, LEAST_BINS, TOLERANCE, KEEP = 1 << 18, 512, 0.001, 0.02
+BINS, LEAST_BINS, TOLERANCE, KEEP = 1 << 13, 512, 0.001, 0.02
 #: Nodes of a level whose searches are kept in the plan; those of larger ones are tables.
-FEW = 1024
+FEW = 256
 #: Rows of a shard that are numbered by one task.
 NUMBERED = 50_000
 
@@ -81,8 +81,10 @@ def _search(rows: DataFrame, state: DataFrame, bins: int) -> DataFrame:
 def _kept(state: DataFrame, path: str, nodes: int) -> tuple[DataFrame, bool]:
     """The state, computed, and whether a search goes on: as rows of a plan for few nodes, else as a table."""
     if nodes <= FEW:
-        rows = state.collect()  # at most FEW
-        return state.sparkSession.createDataFrame(rows, state.schema), any(not r["done"] for r in rows)
+        rows = state.select(F.to_json(F.struct("*")).alias("row"), "done").collect()  # at most FEW
+        held = state.sparkSession.range(1).select(F.explode(F.array(*[F.lit(r["row"]) for r in rows]).cast("array<string>")).alias("row"))
+        kind = F.from_json("row", state.schema).alias("r")
+        return held.select(kind).select("r.*"), any(not r["done"] for r in rows)
     state = stored(state, path)
     return state, not state.filter("not done").isEmpty()
 
@@ -101,8 +103,9 @@ def kd_tree(points: DataFrame, dims: Sequence[str], leaves: int | None = None, t
         leaves = max(1, -(-total // target_bytes))
     spans = rows.agg(*[(F.max(F.get("\0x", F.lit(i))) - F.min(F.get("\0x", F.lit(i)))) for i in range(len(dims))]).first()
     spans = [max(1, s or 0) for s in spans]
-    nodes = spark.createDataFrame([(1, 0, leaves)], "node long, first long, k long")
-    ends, cuts = [nodes.filter("k = 1")], spark.createDataFrame([], "node long, dim int, cut long, at long")
+    nodes = spark.range(1).select(F.lit(1).cast("long").alias("node"), F.lit(0).cast("long").alias("first"), F.lit(leaves).cast("long").alias("k"))
+    none = F.lit(None).cast("long")
+    ends, cuts = [nodes.filter("k = 1")], nodes.limit(0).select("node", F.lit(0).alias("dim"), none.alias("cut"), none.alias("at"))
     levels = (leaves - 1).bit_length()
     for level in range(levels):
         nodes, bins = nodes.filter("k > 1"), max(LEAST_BINS, BINS >> level)
@@ -111,7 +114,6 @@ def kd_tree(points: DataFrame, dims: Sequence[str], leaves: int | None = None, t
         stats = rows.join(nodes.select("node"), "node").groupBy("node").agg(F.sum("size").alias("s"), F.struct(F.min("\0id").alias("low"), F.max("\0id").alias("high")).alias("ids"), *ranges).join(nodes, "node")
         widest = F.array_max(F.array(*[F.struct(((F.col(f"high{i}") - F.col(f"low{i}")) / F.lit(spans[i])).alias("w"), F.lit(-i).alias("i")) for i in range(len(dims))]))
         pick = lambda n: F.get(F.array(*[F.col(f"{n}{i}") for i in range(len(dims))]), F.col("dim"))
-        none = F.lit(None).cast("long")
         state = stats.withColumn("dim", -widest["i"]).select(
             "node", "dim", pick("low").alias("low"), pick("high").alias("high"), F.lit(0).cast("long").alias("under"), (F.col("s") * F.expr("k div 2") / F.col("k")).alias("goal"), (F.col("s") / F.col("k")).alias("leaf"),
             none.alias("value"), "ids", none.alias("cut"), none.alias("at"), F.lit(False).alias("done"),

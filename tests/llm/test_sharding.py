@@ -60,7 +60,7 @@ def walk(cuts, done, row):
     return done[node]
 
 
-@pytest.mark.parametrize(("few", "bins"), [(1024, 1 << 18), (0, 64)])
+@pytest.mark.parametrize(("few", "bins"), [(256, 1 << 13), (0, 64)])
 def test_every_cut_is_as_good_as_any(spark, monkeypatch, few, bins):
     """Each cut lies along the widest dimension, and no other value (or value and id) parts the bytes better, but for the tolerance."""
     monkeypatch.setattr(sharding, "FEW", few)
