@@ -135,7 +135,10 @@ def learned_in_task(rows: DataFrame, order: str, columns: Sequence[str], train:
     def work(batches):
         tuples = (tuple(v.as_py() for v in row) for b in batches for row in zip(*b.columns, strict=True))
         for name, values in (train(tuples) or {}).items():
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(values.shape)], pa.list_(pa.int32())), pa.array([values.tobytes()], pa.binary())], names=["name", "shape", "data"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.array([list(values.shape)], pa.list_(pa.int32())), pa.array([values.tobytes()], pa.binary())],
+                names=["name", "shape", "data"]
+            )
 
     one = rows.repartition(1).sortWithinPartitions(order).select(*columns).mapInArrow(work, "name string, shape array<int>, data binary")
     return {r["name"]: np.frombuffer(r["data"], np.float32).reshape(r["shape"]) for r in one.collect()} or None

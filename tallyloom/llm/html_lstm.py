@@ -169,7 +169,10 @@ def block_features(blocks: list[Block], first: int = 0, total: int | None = None
     known: dict[str, int] = {}
     for i, (path, text, linked, _) in enumerate(blocks):
         heads.append(len(ids))
-        bag = [w for k, name in enumerate(path) for w in (f"<{name}", f"<{len(path) - k}{name.split(' ')[0].rstrip('!')}", *(f"<.{x.lower()}" for x in SPLIT.split(name)))]
+        bag = [
+            w for k,
+            name in enumerate(path) for w in (f"<{name}", f"<{len(path) - k}{name.split(' ')[0].rstrip('!')}", *(f"<.{x.lower()}" for x in SPLIT.split(name)))
+        ]
         words = text.split()
         for w in dict.fromkeys([*bag, *words, "<>"]):
             if w not in known:
@@ -192,7 +195,10 @@ class BiLstm:
         h, d = HIDDEN, DIM + SHAPE
         bias = np.zeros(4 * h, np.float32)
         bias[h : 2 * h] = 1
-        self.p = {"e": draw(BUCKETS, DIM), "wf": draw(d, 4 * h), "uf": draw(h, 4 * h), "bf": bias.copy(), "wb": draw(d, 4 * h), "ub": draw(h, 4 * h), "bb": bias.copy(), "o": draw(2 * h + d), "c": np.zeros(1, np.float32)}
+        self.p = {
+            "e": draw(BUCKETS, DIM), "wf": draw(d, 4 * h), "uf": draw(h, 4 * h), "bf": bias.copy(), "wb": draw(d, 4 * h),
+            "ub": draw(h, 4 * h), "bb": bias.copy(), "o": draw(2 * h + d), "c": np.zeros(1, np.float32)
+        }
         self.sums = {k: np.full(v.shape, 1e-6, np.float32) for k, v in self.p.items()}
 
     def inputs(self, ids, heads, shape):

@@ -65,7 +65,10 @@ def inverse(schedule: Sequence[tuple[float, float]], part: Column) -> Column:
     return F.least(F.lit(schedule[-1][0]), F.greatest(F.lit(schedule[0][0]), out))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, schedules=SCHEDULES, share=SHARE, cap=CAP, carry: Sequence[str] = ()) -> DataFrame:
+def mix(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
+    schedules=SCHEDULES, share=SHARE, cap=CAP, carry: Sequence[str] = ()
+) -> DataFrame:
     """One row a document: id, size, source, source_size, target, taken, copies and position(s).
 
     taken: words the mix takes of the document, repeats counted; the document at the end of
@@ -76,7 +79,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     spark, path = df.sparkSession, scratch(df.sparkSession)
     ids = quoted(id_col)
     key = F.md5(F.coalesce(ids.cast("string"), F.lit("")).cast("binary"))
-    docs = df.select(ids.alias("id"), quoted(source_col).alias("source"), n_words_of(quoted(text_col)).alias("size"), key.alias("key"), *([F.struct(*map(quoted, carry)).alias("carried")] if carry else []))
+    docs = df.select(
+        ids.alias("id"), quoted(source_col).alias("source"), n_words_of(quoted(text_col)).alias("size"), key.alias("key"),
+        *([F.struct(*map(quoted, carry)).alias("carried")] if carry else [])
+    )
     docs = docs.withColumn("bucket", F.substring("key", 1, DIGITS))
     if not carry:
         docs = stored(docs, f"{path}/sizes")
@@ -90,7 +96,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     run = W.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, 0)
     running = docs.withColumn("start", F.sum("size").over(run) - F.col("size"))
     same = F.col("d.source").eqNullSafe(F.col("h.source")) & (F.col("d.bucket") == F.col("h.bucket"))
-    joined = running.alias("d").join(heads.alias("h"), same).select("d.id", "d.size", "d.source", *also, (F.col("start") + F.col("head")).alias("start"), "source_size", "target", "budget", "rank")
+    joined = running.alias("d").join(heads.alias("h"), same).select(
+        "d.id", "d.size", "d.source", *also, (F.col("start") + F.col("head")).alias("start"), "source_size", "target", "budget",
+        "rank"
+    )
     times = range(-int(-cap // 1))
     starts = [F.col("start") + F.col("source_size") * k for k in times]
     gets = [F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - s)) for s in starts]
@@ -107,7 +116,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     out = joined.withColumns({"taken": sum(gets[1:], gets[0]).cast("long"), "copies": sum(halves[1:], halves[0]), "positions": places})
     out = out.withColumn("position", F.get("positions", F.lit(0)))
     name = lambda c, other: other if c in RESULT else c
-    return out.select(F.col("id").alias(name(id_col, "id")), "size", F.col("source").alias(name(source_col, "source")), "source_size", "target", "taken", "copies", "positions", "position", *also)
+    return out.select(
+        F.col("id").alias(name(id_col, "id")), "size", F.col("source").alias(name(source_col, "source")), "source_size", "target",
+        "taken", "copies", "positions", "position", *also
+    )
 
 
 def in_order(mixed: DataFrame, *ties: str) -> DataFrame:

@@ -61,7 +61,9 @@ def _search(rows: DataFrame, state: DataFrame, bins: int) -> DataFrame:
         F.min(F.struct(F.abs(F.col("run") - F.col("goal")).alias("off"), reach.alias("end"))).alias("best"),
         F.min(F.when(F.col("run") >= F.col("goal"), F.struct("bin", (F.col("run") - F.col("b")).alias("before")))).alias("inner"),
     )
-    joined = live.join(found, "node", "left").withColumn("best", F.least(F.struct(F.abs(F.col("under") - F.col("goal")).alias("off"), (F.col("low") - 1).alias("end")), "best"))
+    joined = live.join(found, "node", "left").withColumn(
+        "best", F.least(F.struct(F.abs(F.col("under") - F.col("goal")).alias("off"), (F.col("low") - 1).alias("end")), "best")
+    )
     off, fine = F.col("best.off"), F.col("width") == 1
     ends = (off <= TOLERANCE * F.col("leaf")) | F.col("inner").isNull() | (fine & (F.col("value").isNotNull() | (off <= KEEP * F.col("leaf"))))
     parted = ~ends & fine  # one value holds the cut: part its rows by id
@@ -111,7 +113,9 @@ def kd_tree(points: DataFrame, dims: Sequence[str], leaves: int | None = None, t
         nodes, bins = nodes.filter("k > 1"), max(LEAST_BINS, BINS >> level)
         at = lambda i: F.get("\0x", F.lit(i))
         ranges = [f.alias(f"{n}{i}") for i in range(len(dims)) for n, f in (("low", F.min(at(i))), ("high", F.max(at(i))))]
-        stats = rows.join(nodes.select("node"), "node").groupBy("node").agg(F.sum("size").alias("s"), F.struct(F.min("\0id").alias("low"), F.max("\0id").alias("high")).alias("ids"), *ranges).join(nodes, "node")
+        stats = rows.join(nodes.select("node"), "node").groupBy("node").agg(
+            F.sum("size").alias("s"), F.struct(F.min("\0id").alias("low"), F.max("\0id").alias("high")).alias("ids"), *ranges
+        ).join(nodes, "node")
         widest = F.array_max(F.array(*[F.struct(((F.col(f"high{i}") - F.col(f"low{i}")) / F.lit(spans[i])).alias("w"), F.lit(-i).alias("i")) for i in range(len(dims))]))
         pick = lambda n: F.get(F.array(*[F.col(f"{n}{i}") for i in range(len(dims))]), F.col("dim"))
         state = stats.withColumn("dim", -widest["i"]).select(
@@ -126,11 +130,16 @@ def kd_tree(points: DataFrame, dims: Sequence[str], leaves: int | None = None, t
         cuts = cuts.unionByName(made)
         own = F.get("\0x", F.col("dim"))
         below = F.when(F.col("at").isNull(), own <= F.col("cut")).otherwise((own < F.col("cut")) | ((own == F.col("cut")) & (F.col("\0id") <= F.col("at"))))
-        moved = rows.join(made, "node", "left").withColumn("node", F.when(F.col("dim").isNull(), F.col("node")).when(below, 2 * F.col("node")).otherwise(2 * F.col("node") + 1))
+        moved = rows.join(made, "node", "left").withColumn(
+            "node", F.when(F.col("dim").isNull(), F.col("node")).when(below, 2 * F.col("node")).otherwise(2 * F.col("node") + 1)
+        )
         rows = stored(moved.drop("dim", "cut", "at"), f"{path}/rows{level + 1}")
         drop_path(spark, f"{path}/rows{level}")
         half = F.expr("k div 2")
-        child = F.array(F.struct((2 * F.col("node")).alias("node"), F.col("first"), half.alias("k")), F.struct((2 * F.col("node") + 1).alias("node"), (F.col("first") + half).alias("first"), (F.col("k") - half).alias("k")))
+        child = F.array(
+            F.struct((2 * F.col("node")).alias("node"), F.col("first"), half.alias("k")),
+            F.struct((2 * F.col("node") + 1).alias("node"), (F.col("first") + half).alias("first"), (F.col("k") - half).alias("k"))
+        )
         nodes = nodes.select(F.explode(child).alias("c")).select("c.*")
         ends.append(nodes.filter("k = 1"))
     shards = ends[0]

@@ -131,7 +131,10 @@ def _cell(pivots: np.ndarray, size: int, k: int):
         (q_ids, q), (ids, vectors) = rows_of(asked), rows_of(held)
         i, j, s, _ = search(q_ids, q, ids, vectors, pivots, k) if len(q) and len(ids) else ([], [], [], 0)
         take = lambda x, at: pa.array(x[np.asarray(at, dtype=np.int64)], pa.int64())
-        return pa.table({"query_id": take(q_ids, i), "u": take(asked.column("u").to_numpy(), i), "vec_id": take(ids, j), "score": pa.array(np.asarray(s, dtype=np.int64))})
+        return pa.table({
+            "query_id": take(q_ids, i), "u": take(asked.column("u").to_numpy(), i), "vec_id": take(ids, j),
+            "score": pa.array(np.asarray(s, dtype=np.int64))
+        })
 
     return work
 
@@ -148,7 +151,10 @@ def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "em
     parts = []
     for size, n in counts.items():
         own = rows.filter(F.col("size") == size)
-        chosen = choose_pivots(np.array([r.v for r in own.orderBy(F.xxhash64("id"), "id").limit(PIVOT_ROWS).select("v").collect()], dtype=np.float64).reshape(-1, size), pivots)
+        chosen = choose_pivots(
+            np.array([r.v for r in own.orderBy(F.xxhash64("id"), "id").limit(PIVOT_ROWS).select("v").collect()], dtype=np.float64).reshape(-1, size),
+            pivots
+        )
         c_blocks, q_blocks = -(-n["n"] // CANDIDATES), max(1, -(-n["q"] // QUERIES))
         spread = lambda m, salt: F.pmod(F.xxhash64("id", "u", F.lit(salt)), F.lit(m))
         blocks = lambda a, b: F.concat_ws("/", F.lit(str(size)), a.cast("string"), b.cast("string"))

@@ -83,7 +83,10 @@ def pruned(rules: DataFrame) -> DataFrame:
     """Rules without those that add tokens to a rule of the same verdict and at least their confidence."""
     r = rules.withColumn("rule_id", F.xxhash64("antecedent", "verdict")).withColumn("n", F.size("antecedent"))
     seen = r.select(F.explode("antecedent").alias("token")).groupBy("token").agg(F.count("*").alias("seen"))
-    index = anchored(r, seen).select(F.col("anchor").alias("token"), F.col("antecedent").alias("part"), F.col("verdict").alias("v"), F.col("confidence").alias("c"), F.col("n").alias("m"))
+    index = anchored(r, seen).select(
+        F.col("anchor").alias("token"), F.col("antecedent").alias("part"), F.col("verdict").alias("v"),
+        F.col("confidence").alias("c"), F.col("n").alias("m")
+    )
     pairs = r.select("rule_id", "antecedent", "verdict", "confidence", "n", F.explode("antecedent").alias("token")).join(index, "token")
     worse = pairs.filter((F.col("v") == F.col("verdict")) & (F.col("c") >= F.col("confidence")) & (F.col("m") < F.col("n")) & _holds("antecedent", "part"))
     return r.join(worse.select("rule_id").distinct(), "rule_id", "left_anti")
@@ -123,7 +126,9 @@ def url_filter(df: DataFrame, rules: Sequence[tuple[str, str]], url_col: str = "
     judged = stored(matched(sets, found), f"{path}/judged")
     total = sets.agg(F.sum("seen")).first()[0] or 0
     hot = F.col("seen") * HOT > total
-    few = sets.filter(hot).join(judged.select("key", "mined"), "key", "left").select(F.col("key").alias("\0key"), F.col("mined").alias("\0near"), F.lit(True).alias("\0hot"))
+    few = sets.filter(hot).join(judged.select("key", "mined"), "key", "left").select(
+        F.col("key").alias("\0key"), F.col("mined").alias("\0near"), F.lit(True).alias("\0hot")
+    )
     salt = [quoted(c) for c, kind in df.dtypes if c not in RESULT and "map<" not in kind]  # of equal rows it is the same
     spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*salt), F.lit(1_000_000)).cast("string"))
     near = rows.withColumn("\0salt", spread).join(F.broadcast(few), "\0key", "left")
