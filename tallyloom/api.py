@@ -26,7 +26,10 @@ def extractor(name: str):
 
 def _row(found: DataFrame, sure) -> DataFrame:
     d = F.col("description")
-    return found.select("doc_id", F.col("line_no").cast("long").alias("idx"), "date", "description", "amount_brl", layout.rules.category(d).alias("category"), F.round(sure, 6).alias("confidence"))
+    return found.select(
+        "doc_id", F.col("line_no").cast("long").alias("idx"), "date", "description", "amount_brl",
+        layout.rules.category(d).alias("category"), F.round(sure, 6).alias("confidence")
+    )
 
 
 @extractor("pipeline")
@@ -55,25 +58,41 @@ def run_all(lines: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     parts = [EXTRACTORS[n](lines).select(*COLUMNS, F.lit(n).alias("extractor"), F.lit(None).cast("string").alias("error")) for n in names if n in EXTRACTORS]
     for n in names:
         if n not in EXTRACTORS:
-            none = {c: F.lit(None).cast(k) for c, k in (("idx", "long"), ("date", "date"), ("description", "string"), ("amount_brl", "decimal(18,2)"), ("category", "string"))}
-            parts.append(lines.select("doc_id").distinct().select("doc_id", *[v.alias(c) for c, v in none.items()], F.lit(0.0).alias("confidence"), F.lit(n).alias("extractor"), F.lit(f"unknown extractor {n}").alias("error")))
+            none = {
+                c: F.lit(None).cast(k) for c,
+                k in (("idx", "long"), ("date", "date"), ("description", "string"), ("amount_brl", "decimal(18,2)"), ("category", "string"))
+            }
+            parts.append(lines.select("doc_id").distinct().select(
+                "doc_id", *[v.alias(c) for c, v in none.items()], F.lit(0.0).alias("confidence"), F.lit(n).alias("extractor"),
+                F.lit(f"unknown extractor {n}").alias("error")
+            ))
     return reports.concatenated(parts)
 
 
 def extraction_runs(rows: DataFrame) -> DataFrame:
     """(doc_id, extractor, success, confidence, n) of each run: it succeeds without an error and with a row."""
     good = F.col("error").isNull()
-    return rows.groupBy("doc_id", "extractor").agg(F.bool_and(good).alias("success"), F.round(F.coalesce(F.avg(F.when(good, F.col("confidence"))), F.lit(0.0)), 6).alias("confidence"), F.count_if(good).alias("n"))
+    return rows.groupBy("doc_id", "extractor").agg(
+        F.bool_and(good).alias("success"),
+        F.round(F.coalesce(F.avg(F.when(good, F.col("confidence"))), F.lit(0.0)), 6).alias("confidence"),
+        F.count_if(good).alias("n")
+    )
 
 
 def parse_statements(lines: DataFrame, names: Sequence[str] = ("pipeline", "simple"), threshold: float = 0.9) -> DataFrame:
     """Ensemble of extractors: groups of like rows, the best of each, and whether its merged score reaches the threshold."""
     every = run_all(lines, names).filter("error is null")
     place = F.array_position(F.array(*map(F.lit, names)), F.col("extractor")) * 1_000_000_000_000 + F.col("idx")
-    grouped = linkage.leader_clusters(every.withColumn("order", place.cast("long")).select("doc_id", "order", "date", "description", "amount_brl", "category", "confidence", "extractor"), "order")
+    grouped = linkage.leader_clusters(
+        every.withColumn("order", place.cast("long")).select("doc_id", "order", "date", "description", "amount_brl", "category", "confidence", "extractor"),
+        "order"
+    )
     average = every.groupBy("doc_id", "extractor").agg(F.avg("confidence").alias("pipeline_confidence"))
     best = linkage.resolved(grouped.join(average, ["doc_id", "extractor"]).withColumn("idx", F.col("order")))
-    return best.select("doc_id", F.pmod("order", F.lit(1_000_000_000_000)).alias("idx"), "date", "description", "amount_brl", "category", "extractor", "conflicts", "score", (F.col("score") >= threshold).alias("accepted"))
+    return best.select(
+        "doc_id", F.pmod("order", F.lit(1_000_000_000_000)).alias("idx"), "date", "description", "amount_brl", "category",
+        "extractor", "conflicts", "score", (F.col("score") >= threshold).alias("accepted")
+    )
 
 
 def validate(found: DataFrame, golden: DataFrame, threshold: float = 0.85, **how) -> DataFrame:
@@ -92,7 +111,10 @@ def robust(lines: DataFrame, method: str = "pipeline", least: float = 0.1) -> Da
     """Rows of `method`; of documents where it gives none or is under `least` sure, those of the plain reader at .3, if it has any and by the rule of linkage.chosen."""
     first, second = EXTRACTORS[method](lines), simple(lines).withColumn("confidence", F.lit(0.3))
     docs = lines.select("doc_id").distinct()
-    state = lambda d: docs.join(d.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("confidence").alias("c")), "doc_id", "left").select("doc_id", (F.coalesce("n", F.lit(0)) > 0).alias("success"), F.coalesce("c", F.lit(0.0)).alias("confidence"), F.coalesce("n", F.lit(0)).alias("n"))
+    state = lambda d: docs.join(d.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("confidence").alias("c")), "doc_id", "left").select(
+        "doc_id", (F.coalesce("n", F.lit(0)) > 0).alias("success"), F.coalesce("c", F.lit(0.0)).alias("confidence"),
+        F.coalesce("n", F.lit(0)).alias("n")
+    )
     weak = state(first).filter((~F.col("success")) | (F.col("confidence") < least))
     choice = linkage.chosen(weak, state(second).join(weak.select("doc_id"), "doc_id", "left_semi"))
     switched = choice.filter("choice = 'fallback'").select("doc_id")
@@ -122,7 +144,10 @@ def search(rows: DataFrame, words: str, limit: int = 20) -> DataFrame:
 def batch(lines: DataFrame, method: str = "pipeline") -> DataFrame:
     """One row over all documents: how many gave rows, how many rows, and the mean confidence."""
     state = lines.select("doc_id").distinct().join(robust(lines, method).groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("confidence").alias("c")), "doc_id", "left")
-    return state.agg(F.count("*").alias("documents"), F.count("n").alias("successful"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.round(F.avg("c"), 6).alias("confidence"))
+    return state.agg(
+        F.count("*").alias("documents"), F.count("n").alias("successful"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.round(F.avg("c"), 6).alias("confidence")
+    )
 
 
 def health_check(found: DataFrame, golden: DataFrame, **how) -> DataFrame:
@@ -142,7 +167,10 @@ def metrics(history: DataFrame) -> DataFrame:
 
 def benchmark(history: DataFrame) -> DataFrame:
     """Mean, least and most time, mean confidence and rows of each method's runs."""
-    return history.groupBy("method").agg(F.count("*").alias("runs"), F.round(F.avg("time_ms"), 4).alias("mean_ms"), F.min("time_ms").alias("least_ms"), F.max("time_ms").alias("most_ms"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return history.groupBy("method").agg(
+        F.count("*").alias("runs"), F.round(F.avg("time_ms"), 4).alias("mean_ms"), F.min("time_ms").alias("least_ms"),
+        F.max("time_ms").alias("most_ms"), F.round(F.avg("confidence"), 6).alias("confidence")
+    )
 
 
 def gate(rows: DataFrame, **rules) -> DataFrame:

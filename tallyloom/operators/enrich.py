@@ -158,7 +158,9 @@ def filled(rows: DataFrame) -> DataFrame:
     usd = F.round(F.try_divide(F.col("amount_brl"), F.nullif(F.col("fx_rate"), F.lit(0).cast("decimal(12,6)"))), 2).cast("decimal(18,2)")
     return rows.withColumns(
         {
-            "ledger_hash": F.when(none("ledger_hash"), t.ledger_hash(F.col("date"), F.col("description"), F.col("amount_brl"), F.col("card_last4"))).otherwise(F.col("ledger_hash")),
+            "ledger_hash": F.when(
+                none("ledger_hash"), t.ledger_hash(F.col("date"), F.col("description"), F.col("amount_brl"), F.col("card_last4"))
+            ).otherwise(F.col("ledger_hash")),
             "currency": F.when(none("currency"), rules.currency(F.col("amount_brl"), F.col("amount_orig"))).otherwise(F.col("currency")),
             "amount_usd": F.when(zero("amount_usd") == 0, usd).otherwise(F.col("amount_usd")),
             "installment_seq": F.coalesce("installment_seq", F.lit(1)), "installment_tot": F.coalesce("installment_tot", F.lit(1)),
@@ -202,7 +204,11 @@ def template_lines(lines: DataFrame, year: int = 2024) -> DataFrame:
     fits = F.when(paid, F.col("line").rlike(PAYMENT)).otherwise(F.col("line").rlike(national))
     rows = placed.filter(F.col("section").isNotNull() & fits)
     described = F.when(paid, "PAGAMENTO").otherwise(get(national, 2))
-    rows = rows.select("doc_id", "line_no", "section", t.date(F.substring("line", 1, 5), year).alias("date"), described.alias("description"), t.amount(F.when(paid, get(PAYMENT, 3)).otherwise(get(national, 3))).cast("decimal(18,2)").alias("amount_brl"), F.when(paid, get(PAYMENT, 2)).alias("payment_code"))
+    rows = rows.select(
+        "doc_id", "line_no", "section", t.date(F.substring("line", 1, 5), year).alias("date"), described.alias("description"),
+        t.amount(F.when(paid, get(PAYMENT, 3)).otherwise(get(national, 3))).cast("decimal(18,2)").alias("amount_brl"),
+        F.when(paid, get(PAYMENT, 2)).alias("payment_code")
+    )
     d = F.col("description")
     part = lambda p, k: F.regexp_extract(d, p, k)
     seq = lambda k: F.when(~paid & ~abroad, part(TEMPLATE_INSTALLMENT, k).try_cast("int"))
@@ -259,7 +265,10 @@ def installment_lines(lines: DataFrame) -> DataFrame:
     pattern = rf"^(.+?)\s+(\d{{1,2}})/(\d{{1,2}})\s+({MONEY})"
     get = lambda k: F.regexp_extract("line", pattern, k)
     found = lines.filter(F.col("line").rlike(pattern))
-    return found.select("doc_id", "line_no", get(1).alias("description"), get(2).cast("int").alias("seq"), get(3).cast("int").alias("tot"), t.amount(get(4)).cast("decimal(18,2)").alias("amount_brl"))
+    return found.select(
+        "doc_id", "line_no", get(1).alias("description"), get(2).cast("int").alias("seq"), get(3).cast("int").alias("tot"),
+        t.amount(get(4)).cast("decimal(18,2)").alias("amount_brl")
+    )
 
 
 def scanned(pages: DataFrame, least: int = 100) -> DataFrame:
@@ -299,4 +308,6 @@ def coverage(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: rows with a prediction and their share."""
     some = lambda c: F.count_if(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "")
     wide = rows.agg(F.count("*").alias("\0n"), *[some(c).alias(c) for c in columns])
-    return wide.unpivot(["\0n"], list(columns), "column", "predicted").select("column", "predicted", F.round(F.try_divide(F.col("predicted"), F.col("`\0n`")), 6).alias("rate"))
+    return wide.unpivot(["\0n"], list(columns), "column", "predicted").select(
+        "column", "predicted", F.round(F.try_divide(F.col("predicted"), F.col("`\0n`")), 6).alias("rate")
+    )

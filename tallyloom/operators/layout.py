@@ -128,7 +128,10 @@ def cell_rows(cells: DataFrame, kind: str = "A", header: int | None = None, year
         score = F.lit(0.8) + F.when(F.col("at") > 0, 0.1).otherwise(0.0) + F.when(F.length("description") > 10, 0.1).otherwise(0.0)
     else:
         score = 0.7 + 0.3 * (F.col("sure") + 0.8 * F.greatest(F.lit(0), F.col("columns") - F.col("n"))) / F.greatest("columns", "n")
-    return found.select("doc_id", "table_idx", "row_idx", day.alias("date"), "description", _money(F.col("money")).alias("amount_brl"), *_kinds(), F.round(F.least(score, F.lit(1.0)), 6).alias("confidence"))
+    return found.select(
+        "doc_id", "table_idx", "row_idx", day.alias("date"), "description", _money(F.col("money")).alias("amount_brl"), *_kinds(),
+        F.round(F.least(score, F.lit(1.0)), 6).alias("confidence")
+    )
 
 
 def _kinds() -> list[Column]:
@@ -151,7 +154,10 @@ def text_line(line: Column, year: int = 2024, default: str = "2024-01-01") -> Co
 def text_rows(lines: DataFrame, year: int = 2024, default: str = "2024-01-01", confidence: Column | float = 0.6) -> DataFrame:
     """Rows of lines (doc_id, line_no, line) with an amount; confidence .6, or .9 of what is given."""
     score = F.lit(confidence) if isinstance(confidence, float) else 0.9 * confidence
-    found = lines.select("doc_id", "line_no", F.when(F.spark_partition_id() >= 0, text_line(F.col("line"), year, default)).alias("r"), F.round(F.least(score, F.lit(1.0)), 6).alias("confidence"))
+    found = lines.select(
+        "doc_id", "line_no", F.when(F.spark_partition_id() >= 0, text_line(F.col("line"), year, default)).alias("r"),
+        F.round(F.least(score, F.lit(1.0)), 6).alias("confidence")
+    )
     return found.filter("r is not null").select("doc_id", "line_no", "r.*", "confidence").withColumn("category", rules.category(F.col("description")))
 
 
@@ -190,7 +196,10 @@ def table_cascade(lattice: DataFrame, stream: DataFrame, aggressive: DataFrame,
 def layout_rows(cells: DataFrame, lines: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """Rows of an analysed layout: of its tables and, where these are few, its lines; documents that have rows
     from structured fields (a bank statement model's) keep those alone."""
-    found = with_paragraphs(cell_rows(cells, "B", header=0), text_rows(lines, confidence=F.coalesce("confidence", F.lit(0.7)) if "confidence" in lines.columns else F.lit(0.7)))
+    found = with_paragraphs(
+        cell_rows(cells, "B", header=0),
+        text_rows(lines, confidence=F.coalesce("confidence", F.lit(0.7)) if "confidence" in lines.columns else F.lit(0.7))
+    )
     if fields is None:
         return found
     columns = ["doc_id", "date", "description", "amount_brl", "category", "confidence"]
@@ -205,7 +214,11 @@ def column_rows(cells: DataFrame, columns: DataFrame, method: str = "lattice", y
     rows = known.groupBy(*key, "row_idx").agg(pick("date_col"), pick("amount_col"), pick("description_col"), F.max(F.col("date_col").isNotNull()).alias("dated"))
     rows = rows.filter(looks_like_amount(F.col("amount_col")))
     described = F.coalesce(F.trim("description_col"), F.lit(f"Transaction from {method} table"))
-    out = rows.select(*key, "row_idx", F.when(looks_like_date(F.col("date_col")), row_date(F.col("date_col"), year, _default(default))).otherwise(_default(default)).alias("date"), described.alias("description"), _money(F.col("amount_col")).alias("amount_brl"), "dated")
+    out = rows.select(
+        *key, "row_idx",
+        F.when(looks_like_date(F.col("date_col")), row_date(F.col("date_col"), year, _default(default))).otherwise(_default(default)).alias("date"),
+        described.alias("description"), _money(F.col("amount_col")).alias("amount_brl"), "dated"
+    )
     score = confidence.row(F.col("amount_brl"), F.col("description"), F.lit(0), F.col("dated")) * 0.9
     return out.select(*key, "row_idx", "date", "description", "amount_brl", *_kinds(), F.round(score, 6).alias("confidence"))
 
@@ -233,7 +246,10 @@ def bundles(lines: DataFrame, year: int = 2024) -> DataFrame:
     lines: (doc_id, line_no, line). A line that is taken belongs to no other purchase.
     """
     w = W.partitionBy("doc_id").orderBy("line_no")
-    at = lines.select("doc_id", "line_no", F.row_number().over(w).alias("start"), F.col("line").alias("a"), F.lead("line").over(w).alias("b"), F.lead("line", 2).over(w).alias("c"))
+    at = lines.select(
+        "doc_id", "line_no", F.row_number().over(w).alias("start"), F.col("line").alias("a"), F.lead("line").over(w).alias("b"),
+        F.lead("line", 2).over(w).alias("c")
+    )
     get = lambda c, p, k: F.regexp_extract(c, p, k)
     home = is_category(F.col("b"))
     abroad = F.col("c").contains("Dólar de Conversão") & F.col("b").rlike(ABROAD)
@@ -314,9 +330,17 @@ def entity_rows(entities: DataFrame, least: float = 0.5, year: int = 2024, defau
         kind = F.when(F.lower("type").isin(*types), name).otherwise(kind)
     value = F.trim("value")
     read = entities.filter(F.col("confidence") >= least).withColumn("kind", kind).filter("kind is not null")
-    read = read.withColumns({"date": F.when(F.col("kind") == "date", t.date(value, year, anywhere=True)), "amount": F.when(F.col("kind") == "amount", F.nullif(_money(value), F.lit(0).cast("decimal(18,2)"))), "words": F.when(F.col("kind") == "description", F.nullif(t.clean_description(value), F.lit("")))})
+    read = read.withColumns({
+        "date": F.when(F.col("kind") == "date", t.date(value, year, anywhere=True)),
+        "amount": F.when(F.col("kind") == "amount", F.nullif(_money(value), F.lit(0).cast("decimal(18,2)"))),
+        "words": F.when(F.col("kind") == "description", F.nullif(t.clean_description(value), F.lit("")))
+    })
     read = read.filter(F.coalesce(F.col("date").cast("string"), F.col("amount").cast("string"), "words").isNotNull())
     placed = read.withColumn("place", F.row_number().over(W.partitionBy("doc_id", "kind").orderBy("idx")) - 1)
     rows = placed.groupBy("doc_id", "place").agg(F.max("date").alias("day"), F.max("amount").alias("amount"), F.max("words").alias("words"))
     rows = rows.filter("day is not null or amount is not null")
-    return rows.select("doc_id", "place", F.coalesce("day", _default(default)).alias("date"), F.coalesce("amount", F.lit(0).cast("decimal(18,2)")).alias("amount_brl"), F.coalesce("words", F.lit("Transaction")).alias("description"), F.lit("UNKNOWN").alias("category"))
+    return rows.select(
+        "doc_id", "place", F.coalesce("day", _default(default)).alias("date"),
+        F.coalesce("amount", F.lit(0).cast("decimal(18,2)")).alias("amount_brl"),
+        F.coalesce("words", F.lit("Transaction")).alias("description"), F.lit("UNKNOWN").alias("category")
+    )

@@ -75,7 +75,10 @@ def near_classes(a: DataFrame, b: DataFrame, days: int = 1, within: float = 0.01
     wide = max(1, limit) + 1
     kinds = lambda d: d.groupBy("doc_id", "date", cents(F.col("amount_brl")).alias("cents")).agg(F.count("*").alias("n"))
     left = kinds(a).select("doc_id", F.unix_date("date").alias("day"), F.floor(F.col("cents") / wide).alias("bucket"), F.struct("date", "cents", "n").alias("l"))
-    right = kinds(b).select("doc_id", F.explode(F.sequence(F.unix_date("date") - days, F.unix_date("date") + days)).alias("day"), F.floor(F.col("cents") / wide).alias("mid"), F.struct("date", "cents", "n").alias("r"))
+    right = kinds(b).select(
+        "doc_id", F.explode(F.sequence(F.unix_date("date") - days, F.unix_date("date") + days)).alias("day"),
+        F.floor(F.col("cents") / wide).alias("mid"), F.struct("date", "cents", "n").alias("r")
+    )
     right = right.select("doc_id", "day", F.explode(F.array(F.col("mid") - 1, F.col("mid"), F.col("mid") + 1)).alias("bucket"), "r")
     return left.join(right, ["doc_id", "day", "bucket"]).filter(F.abs(F.col("l.cents") - F.col("r.cents")) <= limit).select("doc_id", "l", "r")
 
@@ -181,7 +184,10 @@ def greedy_match(a: DataFrame, b: DataFrame, order: str, least: float = 0.8, blo
     on = ["doc_id", "day", "cents", "words"]
 
     def side(d: DataFrame, n: str) -> DataFrame:
-        d = d.select("doc_id", F.unix_date("date").alias("day"), cents(F.col("amount_brl")).alias("cents"), F.coalesce(t.comparable(F.col("description")), F.lit("")).alias("words"), F.col(order).cast("long").alias("id"))
+        d = d.select(
+            "doc_id", F.unix_date("date").alias("day"), cents(F.col("amount_brl")).alias("cents"),
+            F.coalesce(t.comparable(F.col("description")), F.lit("")).alias("words"), F.col(order).cast("long").alias("id")
+        )
         return d.dropna(subset=["doc_id", "day", "cents"]).groupBy(*on).agg(F.min("id").alias(f"{n}_at"), F.max("id").alias(f"{n}_id"))
 
     both = side(a, "a").join(side(b, "b"), on, "full_outer")
@@ -240,7 +246,10 @@ def greedy_match(a: DataFrame, b: DataFrame, order: str, least: float = 0.8, blo
 
     schema = f"doc_id {dict(a.dtypes)['doc_id']}, a_id long, b_id long, score double"
     equal = both.filter("a_id is not null and b_id is not null").select("doc_id", "a_id", "b_id", F.lit(1.0).alias("score"))
-    rest = both.filter("a_id is null or b_id is null").select("doc_id", "day", "cents", "words", F.col("a_id").isNotNull().alias("first"), F.coalesce("a_at", "b_at").alias("at"), F.coalesce("a_id", "b_id").alias("id"))
+    rest = both.filter("a_id is null or b_id is null").select(
+        "doc_id", "day", "cents", "words", F.col("a_id").isNotNull().alias("first"), F.coalesce("a_at", "b_at").alias("at"),
+        F.coalesce("a_id", "b_id").alias("id")
+    )
     return equal.union(rest.repartition("doc_id").sortWithinPartitions("doc_id").mapInPandas(run, schema))
 
 

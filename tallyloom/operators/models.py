@@ -16,9 +16,15 @@ from pyspark.sql import functions as F
 from . import enrich
 
 
-def train_categories(rows: DataFrame, text: str = "description", label: str = "category", trees: int = 100, words: int = 1000, depth: int = 10, seed: int = 42, pairs: bool = True, balanced: bool = True) -> PipelineModel:
+def train_categories(
+    rows: DataFrame, text: str = "description", label: str = "category", trees: int = 100, words: int = 1000, depth: int = 10,
+    seed: int = 42, pairs: bool = True, balanced: bool = True
+) -> PipelineModel:
     """TF-IDF of words and word pairs, and a forest with balanced class weights."""
-    sizes = rows.groupBy(label).agg(F.count("*").alias("\0n")).withColumn("weight", F.lit(1.0) if not balanced else F.sum("\0n").over(W.partitionBy()) / (F.col("`\0n`") * F.count("*").over(W.partitionBy())))
+    sizes = rows.groupBy(label).agg(F.count("*").alias("\0n")).withColumn(
+        "weight",
+        F.lit(1.0) if not balanced else F.sum("\0n").over(W.partitionBy()) / (F.col("`\0n`") * F.count("*").over(W.partitionBy()))
+    )
     weighted = rows.join(F.broadcast(sizes.select(label, "weight")), label)  # one row a class
     index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     steps = [
@@ -108,7 +114,9 @@ def enriched(rows: DataFrame, categories: PipelineModel | None = None, cities: D
         out = found.withColumn("merchant_city", F.when(none("merchant_city"), F.col("found_city")).otherwise(F.col("merchant_city"))).drop("found_city", "found_merchant")
     foreign = ~F.coalesce("currency", F.lit("")).isin("", "BRL") & (F.coalesce("fx_rate", F.lit(0)) == 0)
     rate = F.when(foreign, enrich.rate(F.col("amount_brl"), F.col("amount_orig"), F.col("currency"))).otherwise(F.col("fx_rate").cast("double"))
-    usd = F.when(foreign & (F.coalesce("amount_usd", F.lit(0)) == 0), F.round(F.try_divide(F.col("amount_brl").cast("double"), rate), 2)).otherwise(F.col("amount_usd").cast("double"))
+    usd = F.when(
+        foreign & (F.coalesce("amount_usd", F.lit(0)) == 0), F.round(F.try_divide(F.col("amount_brl").cast("double"), rate), 2)
+    ).otherwise(F.col("amount_usd").cast("double"))
     return out.withColumns({"amount_usd": usd, "fx_rate": rate}).select(*rows.columns)
 
 
@@ -125,7 +133,11 @@ def train_all(golden: DataFrame, path: str, key: str = "idx", **how) -> DataFram
 
 def train_rates(rows: DataFrame, features: list[str], label: str = "fx_rate", rounds: int = 20, seed: int = 42) -> PipelineModel:
     """Scaled features to a rate by boosted trees."""
-    steps = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), GBTRegressor(labelCol=label, maxIter=rounds, maxDepth=5, stepSize=0.1, seed=seed)]
+    steps = [
+        VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"),
+        StandardScaler(inputCol="raw", outputCol="features", withMean=True),
+        GBTRegressor(labelCol=label, maxIter=rounds, maxDepth=5, stepSize=0.1, seed=seed)
+    ]
     return Pipeline(stages=steps).fit(rows)
 
 

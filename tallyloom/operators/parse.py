@@ -124,7 +124,10 @@ def fx_chunks(lines: DataFrame) -> DataFrame:
     out = out.withColumns({"ra": rate("a"), "rb": rate("b"), "ta": tax("a"), "tb": tax("b")}).filter("ra is not null or rb is not null")
     out = out.withColumn("end", F.col("start") + F.when(F.col("rb").isNotNull() | F.col("tb").isNotNull(), 2).otherwise(1))
     found = layout.non_overlapping(out).withColumn("\0p", once(parts(F.col("line"), FOREIGN, 4))).withColumn("\0row", _row(F.col("`\0p`"), 4, "fx", 2024))
-    found = found.withColumns({"fx_rate": t.amount(F.coalesce("rb", "ra"), "C").cast("decimal(18,4)"), "iof_brl": F.coalesce(t.amount(F.coalesce("tb", "ta"), "C"), F.lit(0)).cast("decimal(18,2)")})
+    found = found.withColumns({
+        "fx_rate": t.amount(F.coalesce("rb", "ra"), "C").cast("decimal(18,4)"),
+        "iof_brl": F.coalesce(t.amount(F.coalesce("tb", "ta"), "C"), F.lit(0)).cast("decimal(18,2)")
+    })
     found = found.select("doc_id", "line_no", "`\0row`.date", "`\0row`.description", "`\0row`.amount_orig", "`\0row`.amount_brl", "fx_rate", "iof_brl")
     same = W.partitionBy("doc_id", "date", "description", "amount_brl", "amount_orig", "fx_rate").orderBy("line_no")
     return found.withColumn("\0n", F.row_number().over(same)).filter("`\0n` = 1").drop("\0n")
@@ -138,8 +141,14 @@ def infer_columns(cells: DataFrame) -> DataFrame:
     """
     like = lambda p: F.avg(F.col("content").rlike(p).cast("int"))
     key = ["doc_id", "table_idx"]
-    by = cells.groupBy(*key, "col_idx").agg(like(r"\d{1,2}/\d{1,2}").alias("dates"), like(r"\d+[,.]?\d*").alias("amounts"), F.avg(F.length("content")).alias("length"), F.min("row_idx").alias("first"), F.max("row_idx").alias("last"))
-    table = by.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("col_idx", "dates", "amounts", "length"))).alias("c"), F.bool_or(F.col("first") != F.col("last")).alias("rows"))  # a row's columns
+    by = cells.groupBy(*key, "col_idx").agg(
+        like(r"\d{1,2}/\d{1,2}").alias("dates"), like(r"\d+[,.]?\d*").alias("amounts"),
+        F.avg(F.length("content")).alias("length"), F.min("row_idx").alias("first"), F.max("row_idx").alias("last")
+    )
+    table = by.groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct("col_idx", "dates", "amounts", "length"))).alias("c"),
+        F.bool_or(F.col("first") != F.col("last")).alias("rows")
+    )  # a row's columns
     date_col = F.get(F.filter("c", lambda x: x["dates"] > 0.5), F.lit(0))["col_idx"]
     amount_col = F.get(F.filter("c", lambda x: (x["amounts"] > 0.5) & (x["dates"] <= 0.5)), F.lit(0))["col_idx"]
     found = table.filter(F.col("rows") & (F.size("c") >= 3)).withColumns({"date_col": date_col, "amount_col": amount_col})
@@ -151,7 +160,10 @@ def infer_columns(cells: DataFrame) -> DataFrame:
 def word_rows(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """Words (doc_id, page, text, x0, x1, top, bottom) to lines by rounded top, with their box."""
     by = words.groupBy("doc_id", "page", F.bround(F.col("top") / tolerance, 0).cast("long").alias("bucket"))
-    out = by.agg(F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("ws"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"))
+    out = by.agg(
+        F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("ws"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
+        F.min("top").alias("top"), F.max("bottom").alias("bottom")
+    )
     return out.select("doc_id", "page", "bucket", F.array_join(F.transform("ws", lambda w: w["text"]), " ").alias("line"), "x0", "x1", "top", "bottom")
 
 
@@ -169,7 +181,9 @@ def anchored_rows(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
         return F.when(new, F.struct(top.alias("anchor"), F.array_append(a["starts"], top).alias("starts"))).otherwise(a)
 
     starts = heights.select("doc_id", "page", F.posexplode(F.aggregate("tops", none, add)["starts"]).alias("row", "top"))
-    marked = words.select("doc_id", "page", "top", "x0", "text", F.lit(None).cast("int").alias("row")).unionByName(starts.select("doc_id", "page", "top", F.lit(None).cast("double").alias("x0"), F.lit(None).cast("string").alias("text"), "row"))
+    marked = words.select("doc_id", "page", "top", "x0", "text", F.lit(None).cast("int").alias("row")).unionByName(starts.select(
+        "doc_id", "page", "top", F.lit(None).cast("double").alias("x0"), F.lit(None).cast("string").alias("text"), "row"
+    ))
     by_top = W.partitionBy("doc_id", "page").orderBy("top").rangeBetween(W.unboundedPreceding, 0)
     placed = marked.withColumn("row", F.max("row").over(by_top)).filter("text is not null")
     rows = placed.groupBy("doc_id", "page", "row").agg(F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("ws"))
@@ -195,4 +209,6 @@ def totals(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def account(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Account, balance, period and due date that a statement names."""
     text = F.col(text_col)
-    return docs.select("doc_id", t.account(text).alias("account"), t.balance(text).alias("balance"), t.period(text).alias("\0p")).select("doc_id", "account", "balance", "`\0p`.*")
+    return docs.select(
+        "doc_id", t.account(text).alias("account"), t.balance(text).alias("balance"), t.period(text).alias("\0p")
+    ).select("doc_id", "account", "balance", "`\0p`.*")

@@ -77,7 +77,10 @@ def cells(found: DataFrame, golden: DataFrame, order: str, fields: Sequence[str]
     text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
     got = lambda f: (F.col(f"f.{f}"), F.col(f"g.{f}"))
     items = [F.struct(F.lit(f).alias("field"), same(f, *got(f)).alias("same"), text(got(f)[0]).alias("got"), text(got(f)[1]).alias("want")) for f in fields]
-    rows = pairs.select("doc_id", F.col("f").isNotNull().alias("has_f"), F.col("g").isNotNull().alias("has_g"), F.coalesce(f"g.{order}", f"f.{order}").alias("at"), F.explode(F.array(*items)).alias("c"))
+    rows = pairs.select(
+        "doc_id", F.col("f").isNotNull().alias("has_f"), F.col("g").isNotNull().alias("has_g"),
+        F.coalesce(f"g.{order}", f"f.{order}").alias("at"), F.explode(F.array(*items)).alias("c")
+    )
     both = F.col("has_f") & F.col("has_g")
     out = rows.groupBy("doc_id", "c.field").agg(
         F.count_if("has_g").alias("total"), F.count_if(both & F.col("c.same")).alias("correct"), F.count_if(both & ~F.col("c.same")).alias("incorrect"),
@@ -88,7 +91,10 @@ def cells(found: DataFrame, golden: DataFrame, order: str, fields: Sequence[str]
     out = out.withColumn("f1", F.round(f1(F.col("precision"), F.col("recall")), 6))
     if not examples:
         return out
-    wrong = rows.filter(F.col("has_g") & ~(both & F.col("c.same"))).select("doc_id", "c.field", "at", F.when(both, F.concat(F.lit("Expected: "), "c.want", F.lit(", Got: "), "c.got")).otherwise(F.concat(F.lit("Missing: "), "c.want")).alias("error"))
+    wrong = rows.filter(F.col("has_g") & ~(both & F.col("c.same"))).select(
+        "doc_id", "c.field", "at",
+        F.when(both, F.concat(F.lit("Expected: "), "c.want", F.lit(", Got: "), "c.got")).otherwise(F.concat(F.lit("Missing: "), "c.want")).alias("error")
+    )
     return out.join(first_of(wrong, ["doc_id", "field"], ["at", "error"], "error", examples, "examples"), ["doc_id", "field"], "left")
 
 
@@ -114,7 +120,9 @@ def advice(grade: Column, worst: Column) -> Column:
     """What a grade means for the use of an extractor; the poor ones name their worst fields."""
     issues = F.array_join(F.transform(worst, lambda x: F.concat(x["field"], F.lit(" ("), F.format_number(100 * x["accuracy"], 1), F.lit("%)"))), ", ")
     poor = F.concat(F.lit("Poor performance. Major issues with: "), issues, F.lit(". Consider alternative methods."))
-    said = F.when(grade.isin("A+", "A"), "Excellent performance. Use as primary extractor.").when(grade.isin("B+", "B"), "Good performance. Suitable for production with light review.")
+    said = F.when(grade.isin("A+", "A"), "Excellent performance. Use as primary extractor.").when(
+        grade.isin("B+", "B"), "Good performance. Suitable for production with light review."
+    )
     return said.when(grade.isin("C+", "C"), "Fair performance. Use with careful review or as secondary method.").otherwise(poor)
 
 
@@ -142,7 +150,10 @@ def field_compare(pairs: DataFrame, days: int = 1, within: float = 0.01, least:
     day = F.abs(F.datediff("l.date", "r.date")) <= days
     money = F.abs(cents(F.col("l.amount_brl")) - cents(F.col("r.amount_brl"))) <= round(within * 100)
     kind = F.coalesce(F.lower("l.category") == F.lower("r.category"), F.lit(True)) | (F.coalesce("l.category", F.lit("")) == "") | (F.coalesce("r.category", F.lit("")) == "")
-    items = F.array(item("date", day, day.cast("int")), item("description", likeness >= least, likeness), item("amount", money, money.cast("int")), item("category", kind, kind.cast("int")))
+    items = F.array(
+        item("date", day, day.cast("int")), item("description", likeness >= least, likeness),
+        item("amount", money, money.cast("int")), item("category", kind, kind.cast("int"))
+    )
     return pairs.select("pair_id", F.explode(items).alias("i")).select("pair_id", "i.*")
 
 
@@ -178,7 +189,10 @@ def expectations(rows: DataFrame, mostly: float = 0.95, categories: Sequence[str
         "total_between": (flag(F.sum("amount_brl").between(-50000, 50000)), 1.0),
     }
     wide = rows.groupBy("doc_id").agg(*[F.round(c, 6).alias(n) for n, (c, _) in rules.items()])
-    items = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("rule"), F.col(n).alias("ratio"), (F.col(n) >= least).alias("success")) for i, (n, (_, least)) in enumerate(rules.items())])
+    items = F.array(*[
+        F.struct(F.lit(i).alias("place"), F.lit(n).alias("rule"), F.col(n).alias("ratio"), (F.col(n) >= least).alias("success")) for i,
+        (n, (_, least)) in enumerate(rules.items())
+    ])
     return wide.select("doc_id", F.explode(items).alias("i")).select("doc_id", "i.*")
 
 

@@ -13,7 +13,10 @@ from ..functions import confidence
 from . import linkage, quality
 
 
-def semantic_report(found: DataFrame, golden: DataFrame, order: str = "idx", least: float = 0.7, tolerance: float = 0.01, days: int = 1, f1_empty: float = 0.0) -> DataFrame:
+def semantic_report(
+    found: DataFrame, golden: DataFrame, order: str = "idx", least: float = 0.7, tolerance: float = 0.01, days: int = 1,
+    f1_empty: float = 0.0
+) -> DataFrame:
     """Per document: matches, precision, recall, F1, cell accuracy, count and total checks.
 
     Rows are matched one to one (greedy_match) and counted without repeats; counts and totals
@@ -21,7 +24,10 @@ def semantic_report(found: DataFrame, golden: DataFrame, order: str = "idx", lea
     recall are 0. Valid: cells right to .95, equal counts, totals within .05.
     """
     pairs = linkage.greedy_match(found, golden, order, least)
-    key = lambda d: d.dropna(subset=["doc_id", "date", "amount_brl"]).select("doc_id", "date", linkage.cents(F.col("amount_brl")).alias("c"), F.coalesce(linkage.t.comparable(F.col("description")), F.lit("")).alias("w")).distinct()
+    key = lambda d: d.dropna(subset=["doc_id", "date", "amount_brl"]).select(
+        "doc_id", "date", linkage.cents(F.col("amount_brl")).alias("c"),
+        F.coalesce(linkage.t.comparable(F.col("description")), F.lit("")).alias("w")
+    ).distinct()
     count = lambda d, n: key(d).groupBy("doc_id").agg(F.count("*").alias(n))
     all_of = lambda d, n: d.groupBy("doc_id").agg(F.count("*").alias(f"{n}_rows"), F.sum("amount_brl").alias(f"{n}_total"))
     side = lambda d, n: d.select("doc_id", F.col(order).cast("long").alias(f"{n}_id"), F.struct("date", "description", "amount_brl", "category").alias(n))
@@ -43,7 +49,10 @@ def semantic_report(found: DataFrame, golden: DataFrame, order: str = "idx", lea
 def mismatches(pairs: DataFrame) -> DataFrame:
     """Text of each cell that differs, of pairs (pair_id, l, r)."""
     wrong = quality.field_compare(pairs).filter(~F.col("matches")).select("pair_id", "field")
-    value = lambda s: F.coalesce(*[F.when(F.col("field") == n, F.col(f"{s}.{c}").cast("string")) for n, c in (("date", "date"), ("description", "description"), ("amount", "amount_brl"), ("category", "category"))], F.lit(""))
+    value = lambda s: F.coalesce(
+        *[F.when(F.col("field") == n, F.col(f"{s}.{c}").cast("string")) for n, c in (("date", "date"), ("description", "description"), ("amount", "amount_brl"), ("category", "category"))],
+        F.lit("")
+    )
     return wrong.join(pairs, "pair_id").select("pair_id", "field", F.concat("field", F.lit(": '"), value("l"), F.lit("' vs '"), value("r"), F.lit("'")).alias("mismatch"))
 
 
@@ -65,13 +74,18 @@ def validate_batch(found: DataFrame, golden: DataFrame, **how) -> DataFrame:
 
 def combined(suite: DataFrame, golden: DataFrame) -> DataFrame:
     """Rules and golden comparison of each document; documents without golden rows pass by their rules."""
-    return suite.select("doc_id", F.col("success").alias("rules_ok"), "success_percent").join(golden.select("doc_id", F.col("valid").alias("golden_ok"), "f1"), "doc_id", "left").withColumn("ok", F.col("rules_ok") & F.coalesce("golden_ok", F.lit(True)))
+    return suite.select("doc_id", F.col("success").alias("rules_ok"), "success_percent").join(
+        golden.select("doc_id", F.col("valid").alias("golden_ok"), "f1"), "doc_id", "left"
+    ).withColumn("ok", F.col("rules_ok") & F.coalesce("golden_ok", F.lit(True)))
 
 
 def validation_summary(reports: DataFrame) -> DataFrame:
     """One row over the reports: documents, valid ones, pass rate, mean cell accuracy and F1."""
     mean = lambda c: F.round(F.avg(c), 6)
-    return reports.agg(F.count("*").alias("documents"), F.count_if("valid").alias("valid"), mean(F.col("valid").cast("int")).alias("pass_rate"), mean("cell_accuracy").alias("cell_accuracy"), mean("f1").alias("f1"))
+    return reports.agg(
+        F.count("*").alias("documents"), F.count_if("valid").alias("valid"), mean(F.col("valid").cast("int")).alias("pass_rate"),
+        mean("cell_accuracy").alias("cell_accuracy"), mean("f1").alias("f1")
+    )
 
 
 def health_report(found: DataFrame, golden: DataFrame, order: str = "idx") -> DataFrame:
@@ -104,9 +118,14 @@ def field_accuracy(golden: DataFrame, found: DataFrame, order: str = "idx", fiel
     text = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))))
     side = lambda d, n: d.select("doc_id", F.col(order).cast("long").alias(n), F.struct(*[text(f).alias(f) for f in fields]).alias(f"{n}_row"))
     both = pairs.join(side(golden, "g"), ["doc_id", "g"]).join(side(found, "f"), ["doc_id", "f"])
-    long = both.select("doc_id", "g", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"g_row.{f}").alias("golden"), F.col(f"f_row.{f}").alias("extracted")) for f in fields])).alias("c")).select("doc_id", "g", "c.*")
+    long = both.select(
+        "doc_id", "g",
+        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"g_row.{f}").alias("golden"), F.col(f"f_row.{f}").alias("extracted")) for f in fields])).alias("c")
+    ).select("doc_id", "g", "c.*")
     hit = F.col("golden") == F.col("extracted")
-    return long.groupBy("field").agg(F.count("*").alias("total"), F.count_if(hit).alias("correct"), F.round(F.avg(hit.cast("int")), 6).alias("accuracy")), long.filter(~hit)
+    return long.groupBy("field").agg(
+        F.count("*").alias("total"), F.count_if(hit).alias("correct"), F.round(F.avg(hit.cast("int")), 6).alias("accuracy")
+    ), long.filter(~hit)
 
 
 def error_analysis(golden: DataFrame, found: DataFrame, order: str = "idx", **how) -> dict[str, DataFrame]:
@@ -120,7 +139,9 @@ def error_analysis(golden: DataFrame, found: DataFrame, order: str = "idx", **ho
 def before_after(golden: DataFrame, before: DataFrame, after: DataFrame, order: str = "idx", fields: Sequence[str] | None = None) -> DataFrame:
     """Accuracy by field before and after an enrichment, and the gain."""
     one = lambda d, n: field_accuracy(golden, d, order, fields)[0].select("field", F.col("accuracy").alias(n))
-    return one(before, "before").join(one(after, "after"), "field", "full_outer").withColumn("gain", F.round(F.coalesce("after", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)), 6))
+    return one(before, "before").join(one(after, "after"), "field", "full_outer").withColumn(
+        "gain", F.round(F.coalesce("after", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)), 6)
+    )
 
 
 def prediction_accuracy(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
@@ -137,7 +158,10 @@ def merge_driver(groups: DataFrame) -> DataFrame:
     by = groups.groupBy("doc_id").agg(F.count("*").alias("\0rows"), F.count_distinct("leader").alias("\0groups"), F.count_distinct("extractor").alias("pipelines"))
     one = F.col("pipelines") == 1
     label = F.when(one, "single_pipeline").otherwise(F.concat(F.lit("ensemble_merge_"), F.col("pipelines").cast("string"), F.lit("_pipelines")))
-    return by.select("doc_id", "pipelines", F.when(one, F.col("\0rows")).otherwise(F.col("\0groups")).alias("rows"), F.when(one, 0).otherwise(F.col("\0rows") - F.col("\0groups")).alias("conflicts"), label.alias("strategy"))
+    return by.select(
+        "doc_id", "pipelines", F.when(one, F.col("\0rows")).otherwise(F.col("\0groups")).alias("rows"),
+        F.when(one, 0).otherwise(F.col("\0rows") - F.col("\0groups")).alias("conflicts"), label.alias("strategy")
+    )
 
 
 def extractor_confidence(extractor: Column, average: Column, rows: Column, lines: Column, tables: Column, blocks: Column) -> Column:
@@ -157,7 +181,11 @@ def extractor_confidence(extractor: Column, average: Column, rows: Column, lines
 def golden_summary(golden: DataFrame) -> DataFrame:
     """Per document: rows, total, first and last date, number and sorted names of categories."""
     named = F.sort_array(F.collect_set(F.when(F.col("category") != "", F.col("category"))))
-    return golden.groupBy("doc_id").agg(F.count("*").alias("rows"), F.sum("amount_brl").cast("double").alias("total"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.size(named).cast("long").alias("n_categories"), F.array_join(named, ",").alias("categories"))
+    return golden.groupBy("doc_id").agg(
+        F.count("*").alias("rows"), F.sum("amount_brl").cast("double").alias("total"), F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"), F.size(named).cast("long").alias("n_categories"),
+        F.array_join(named, ",").alias("categories")
+    )
 
 
 def batch_summary(runs: DataFrame) -> DataFrame:

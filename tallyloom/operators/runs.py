@@ -50,7 +50,10 @@ def statement_summary(rows: DataFrame) -> DataFrame:
 
 def ensemble_confidence(rows: DataFrame) -> DataFrame:
     """.5 mean pipeline + .4 mean row + .1 min(.1 sources, .3), boosted by .2 of the filled share, at most 1."""
-    by = rows.groupBy("doc_id").agg(F.avg("pipeline_confidence").alias("p"), F.avg("confidence").alias("c"), F.count_distinct("extractor").alias("k"), F.avg("filled").alias("f"))
+    by = rows.groupBy("doc_id").agg(
+        F.avg("pipeline_confidence").alias("p"), F.avg("confidence").alias("c"), F.count_distinct("extractor").alias("k"),
+        F.avg("filled").alias("f")
+    )
     base = 0.5 * F.col("p") + 0.4 * F.col("c") + 0.1 * F.least(0.1 * F.col("k"), F.lit(0.3))
     return by.select("doc_id", rounded(base).alias("ensemble"), rounded(F.least(base + 0.2 * F.col("f"), F.lit(1.0))).alias("boosted"))
 
@@ -64,7 +67,10 @@ def totals_check(rows: DataFrame, totals: DataFrame, within: float = 0.05) -> Da
     sums = rows.groupBy("doc_id").agg(F.sum(F.when(home, F.abs("amount_brl")).otherwise(0)).alias("a"), F.sum(F.when(home, 0).otherwise(F.abs("amount_brl"))).alias("b"))
     near = lambda x, y: F.when(F.col(y) == 0, x == 0).when(F.col(y).isNotNull(), F.abs(x - F.col(y)) <= within * F.abs(F.col(y)))
     a, b = F.col("a"), F.col("b")
-    return sums.join(totals, "doc_id").select("doc_id", near(a, "national").alias("national_ok"), near(b, "international").alias("international_ok"), near(a + b, "overall").alias("overall_ok"))
+    return sums.join(totals, "doc_id").select(
+        "doc_id", near(a, "national").alias("national_ok"), near(b, "international").alias("international_ok"),
+        near(a + b, "overall").alias("overall_ok")
+    )
 
 
 def template_totals(rows: DataFrame, totals: DataFrame, within: float = 0.05) -> DataFrame:

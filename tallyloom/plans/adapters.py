@@ -20,7 +20,9 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     description = F.concat_ws(" ", "c_mktsegment", F.when(k % 5 == 0, "UBER").when(k % 5 == 1, "PADARIA").when(k % 5 == 2, "NETFLIX"), "c_name")
     return o.select(
-        F.concat_ws("/", F.date_format("o_orderdate", "yyyy-MM"), F.floor(F.col("o_custkey") / 100).cast("string")).alias("doc_id"), k.alias("idx"), F.to_date("o_orderdate").alias("date"), description.alias("description"),
+        F.concat_ws(
+            "/", F.date_format("o_orderdate", "yyyy-MM"), F.floor(F.col("o_custkey") / 100).cast("string")
+        ).alias("doc_id"), k.alias("idx"), F.to_date("o_orderdate").alias("date"), description.alias("description"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("amount_brl"), rules.category(description).alias("category"),
         F.when(k % 4 == 0, "USD").when(k % 4 == 1, "EUR").otherwise("BRL").alias("currency"),
         (F.lit(0.5) + (k % 50) / 100).alias("confidence"), (F.lit(0.6) + (k % 3) / 10).alias("pipeline_confidence"),
@@ -33,7 +35,10 @@ def second(found: DataFrame) -> DataFrame:
     k = F.col("idx")
     out = found.filter(k % 7 != 0)
     out = out.withColumn("date", F.when(k % 13 == 0, F.date_add("date", 1)).otherwise(F.col("date")))
-    return out.withColumn("amount_brl", (F.col("amount_brl") + F.when(k % 11 == 0, F.lit("0.01").cast("decimal(18,2)")).otherwise(F.lit("0.00").cast("decimal(18,2)"))).cast("decimal(18,2)"))
+    return out.withColumn(
+        "amount_brl",
+        (F.col("amount_brl") + F.when(k % 11 == 0, F.lit("0.01").cast("decimal(18,2)")).otherwise(F.lit("0.00").cast("decimal(18,2)"))).cast("decimal(18,2)")
+    )
 
 
 def golden(found: DataFrame) -> DataFrame:
@@ -54,7 +59,10 @@ def full_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rows with city, rate and card, each missing on some."""
     k, found = F.col("idx"), rows(spark, sf_dir)
     rate = F.when(F.col("currency") != "BRL", (5 + (k % 10) / 10).cast("decimal(12,6)"))
-    return found.withColumns({"merchant_city": F.when(k % 3 == 0, "SAO PAULO").when(k % 3 == 1, "RIO"), "fx_rate": rate, "card_last4": F.lpad((k % 10000).cast("string"), 4, "0")})
+    return found.withColumns({
+        "merchant_city": F.when(k % 3 == 0, "SAO PAULO").when(k % 3 == 1, "RIO"), "fx_rate": rate,
+        "card_last4": F.lpad((k % 10000).cast("string"), 4, "0")
+    })
 
 
 def labelled(full: DataFrame) -> DataFrame:
@@ -75,11 +83,23 @@ def labelled(full: DataFrame) -> DataFrame:
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table cells of line items: a header row 1, then date, text and amount; every line item is a row."""
     li = table(spark, sf_dir, "lineitem")
-    w = W.partitionBy("l_suppkey", "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_returnflag", "l_quantity", "l_discount", "l_tax")
+    w = W.partitionBy("l_suppkey", "l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_returnflag", "l_quantity", "l_discount", "l_tax"
+    )
     li = li.withColumn("at", F.row_number().over(w))
-    content = F.array(F.date_format("l_shipdate", "dd/MM"), F.concat(F.lit("ITEM "), F.translate(F.col("l_partkey").cast("string"), "0123456789", "abcdefghij"), F.lit(" "), "l_returnflag"), t.money(F.col("l_extendedprice").cast("decimal(18,2)")))
-    body = li.select(F.col("l_suppkey").alias("doc_id"), F.col("l_orderkey").alias("table_idx"), (F.col("at") + 1).alias("row_idx"), F.posexplode(content).alias("col_idx", "content"))
-    head = li.select("l_suppkey", "l_orderkey").distinct().select(F.col("l_suppkey").alias("doc_id"), F.col("l_orderkey").alias("table_idx"), F.lit(1).alias("row_idx"), F.posexplode(F.array(*map(F.lit, ("DATA", "HISTÓRICO", "VALOR R$ 1")))).alias("col_idx", "content"))
+    content = F.array(
+        F.date_format("l_shipdate", "dd/MM"),
+        F.concat(F.lit("ITEM "), F.translate(F.col("l_partkey").cast("string"), "0123456789", "abcdefghij"), F.lit(" "), "l_returnflag"),
+        t.money(F.col("l_extendedprice").cast("decimal(18,2)"))
+    )
+    body = li.select(
+        F.col("l_suppkey").alias("doc_id"), F.col("l_orderkey").alias("table_idx"), (F.col("at") + 1).alias("row_idx"),
+        F.posexplode(content).alias("col_idx", "content")
+    )
+    head = li.select("l_suppkey", "l_orderkey").distinct().select(
+        F.col("l_suppkey").alias("doc_id"), F.col("l_orderkey").alias("table_idx"), F.lit(1).alias("row_idx"),
+        F.posexplode(F.array(*map(F.lit, ("DATA", "HISTÓRICO", "VALOR R$ 1")))).alias("col_idx", "content")
+    )
     return body.unionByName(head)
 
 
@@ -88,7 +108,10 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, k = F.col("l_linenumber"), F.col("l_partkey")
     li = table(spark, sf_dir, "lineitem")
     top, x0 = (n * 2).cast("double"), (k % 500).cast("double")
-    return li.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.concat(F.lit("w"), n.cast("string")).alias("text"), (x0 + n / 10).alias("x0"), (x0 + 5).alias("x1"), top.alias("top"), (top + 2).alias("bottom"))
+    return li.select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.concat(F.lit("w"), n.cast("string")).alias("text"),
+        (x0 + n / 10).alias("x0"), (x0 + 5).alias("x1"), top.alias("top"), (top + 2).alias("bottom")
+    )
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,10 @@ TEXTS = ["1.234,56", "156,78", "R$ 1.234,56", "-156,78", "", "1234.56", "1,234.5
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     fixed = F.array(*map(F.lit, TEXTS))
-    return a.table(spark, sf_dir, "orders").select(k.alias("idx"), F.concat(F.element_at(fixed, (k % 10 + 1).cast("int")), F.when(k % 3 == 0, (k % 97).cast("string")).otherwise("")).alias("text"))
+    return a.table(spark, sf_dir, "orders").select(
+        k.alias("idx"),
+        F.concat(F.element_at(fixed, (k % 10 + 1).cast("int")), F.when(k % 3 == 0, (k % 97).cast("string")).otherwise("")).alias("text")
+    )
 
 
 SQL_TEXTS = f"WITH texts AS (SELECT o_orderkey idx, {TEXTS}[o_orderkey % 10 + 1] || CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 97)::VARCHAR ELSE '' END AS text FROM orders), bare AS (SELECT idx, replace(text, ' ', '') b FROM texts)"
@@ -85,7 +88,10 @@ def desc_norm(spark, sf_dir):
  FROM rows)""")
 def installments(spark, sf_dir):
     k = F.col("idx")
-    x = F.concat("description", F.when(k % 2 == 0, F.concat(F.lit(" 0"), (k % 9).cast("string"), F.lit("/10"))).otherwise(F.concat(F.lit(" final "), F.lpad((k % 10000).cast("string"), 4, "0"))))
+    x = F.concat(
+        "description",
+        F.when(k % 2 == 0, F.concat(F.lit(" 0"), (k % 9).cast("string"), F.lit("/10"))).otherwise(F.concat(F.lit(" final "), F.lpad((k % 10000).cast("string"), 4, "0")))
+    )
     seq, tot = t.installment(x)
     return a.rows(spark, sf_dir).select("idx", seq.alias("seq"), tot.alias("tot"), t.card_last4(x).alias("card"))
 
@@ -97,7 +103,10 @@ def fx_lines(spark, sf_dir):
     rate = F.concat(F.lit("Dólar de Conversão R$ 5,"), F.lpad((k % 9999).cast("string"), 4, "0"))
     line = F.concat(F.lit("SPRINGFIELD 10,00 "), F.when(k % 2 == 0, "USD").otherwise("EUR"), F.lit(" "), (k % 1000).cast("string"), F.lit(",50"))
     x = t.fx_line(line)
-    return a.rows(spark, sf_dir).select("idx", F.round(t.fx_rate(rate).cast("double"), 4).alias("rate"), x["city"].alias("city"), x["currency"].alias("currency"), F.round(x["amount"].cast("double"), 2).alias("amount"))
+    return a.rows(spark, sf_dir).select(
+        "idx", F.round(t.fx_rate(rate).cast("double"), 4).alias("rate"), x["city"].alias("city"), x["currency"].alias("currency"),
+        F.round(x["amount"].cast("double"), 2).alias("amount")
+    )
 
 
 
@@ -145,7 +154,10 @@ def confidence_merge(spark, sf_dir):
     x, y = F.round("confidence", 2), F.round("pipeline_confidence", 2)
     both = F.array(x, y)
     m = lambda how: F.round(confidence.merged(both, how), 6)
-    return a.rows(spark, sf_dir).select("idx", m("weighted").alias("weighted"), m("min").alias("low"), m("max").alias("high"), m("average").alias("mean"), rules.band(x).alias("band"))
+    return a.rows(spark, sf_dir).select(
+        "idx", m("weighted").alias("weighted"), m("min").alias("low"), m("max").alias("high"), m("average").alias("mean"),
+        rules.band(x).alias("band")
+    )
 
 
 @query("""SELECT idx, round((abs(amount_brl) * CASE WHEN currency IN ('', 'BRL') THEN 0.0038 ELSE 0.0638 END)::DOUBLE, 2) iof,
@@ -368,7 +380,10 @@ def confusion(spark, sf_dir):
  WHERE rank <= 5""")
 def auto_golden(spark, sf_dir):
     k = F.col("run_id")
-    found = a.runs(spark, sf_dir).select(F.concat(F.lit("stmt"), k.cast("string")).alias("name"), F.to_date("ts").alias("day"), "confidence", (k % 1000 + 1).alias("n"), (k % 500).alias("total"), k)
+    found = a.runs(spark, sf_dir).select(
+        F.concat(F.lit("stmt"), k.cast("string")).alias("name"), F.to_date("ts").alias("day"), "confidence",
+        (k % 1000 + 1).alias("n"), (k % 500).alias("total"), k
+    )
     return runs.auto_golden(found, found.filter("run_id % 3 = 0")).select("name", F.col("rank").cast("long").alias("rank"))
 
 
@@ -482,7 +497,10 @@ def currency_rates(spark, sf_dir):
 @query("""SELECT method, round(avg(time_ms), 4) mean_ms, min(time_ms) least_ms, max(time_ms) most_ms, count(*) FILTER (WHERE confidence >= 0.7) sure
  FROM runs GROUP BY 1""")
 def run_benchmark(spark, sf_dir):
-    return a.runs(spark, sf_dir).groupBy("method").agg(F.round(F.avg("time_ms"), 4).alias("mean_ms"), F.min("time_ms").alias("least_ms"), F.max("time_ms").alias("most_ms"), F.count_if(F.col("confidence") >= 0.7).alias("sure"))
+    return a.runs(spark, sf_dir).groupBy("method").agg(
+        F.round(F.avg("time_ms"), 4).alias("mean_ms"), F.min("time_ms").alias("least_ms"), F.max("time_ms").alias("most_ms"),
+        F.count_if(F.col("confidence") >= 0.7).alias("sure")
+    )
 
 
 from . import queries_match, queries_parse  # noqa: E402, F401  they register their queries

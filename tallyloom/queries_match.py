@@ -92,7 +92,10 @@ def health_insights(spark, sf_dir):
 
 
 _TEXT = {c: f"lower(trim(coalesce({{}}.{c}::VARCHAR, '')))" for c in ("description", "category", "merchant_city", "card_last4")}
-_FIELDS = " UNION ALL ".join(f"SELECT '{c}' field, {s.format('f')} = {s.format('g')} ok FROM matched JOIN wide f ON f.idx = matched.f JOIN labels1 g ON g.idx = matched.g" for c, s in _TEXT.items())
+_FIELDS = " UNION ALL ".join(
+    f"SELECT '{c}' field, {s.format('f')} = {s.format('g')} ok FROM matched JOIN wide f ON f.idx = matched.f JOIN labels1 g ON g.idx = matched.g" for c,
+    s in _TEXT.items()
+)
 #: Golden rows of one date and about one amount are rare: where a date and nickel bucket hold one row of each side, first fit is a join.
 FIT = f"""{SQL_FULL}, near AS (SELECT g.doc_id, g.idx g, f.idx f FROM labels1 g JOIN wide f ON f.doc_id = g.doc_id AND f.date = g.date AND abs(f.amount_brl - g.amount_brl) <= 0.05), matched AS (SELECT * FROM near WHERE g IN (SELECT g FROM near GROUP BY 1 HAVING count(*) = 1) AND f IN (SELECT f FROM near GROUP BY 1 HAVING count(*) = 1))"""
 
@@ -122,7 +125,10 @@ def before_after(spark, sf_dir):
     """Accuracy before and after the rules name categories anew; checked by brute force in the tests."""
     found, gold = _both(spark, sf_dir)
     poor = found.withColumn("category", F.when(F.col("idx") % 4 == 0, "OUTROS").otherwise(F.col("category")))
-    return reports.before_after(gold.dropDuplicates(["doc_id", "idx"]), poor, poor.withColumn("category", rules.category(F.col("description"))), fields=["category", "merchant_city"])
+    return reports.before_after(
+        gold.dropDuplicates(["doc_id", "idx"]), poor, poor.withColumn("category", rules.category(F.col("description"))),
+        fields=["category", "merchant_city"]
+    )
 
 
 @query("""SELECT idx, round(coalesce(rate, 0)::DOUBLE, 4) rate
@@ -187,7 +193,11 @@ def field_compare(spark, sf_dir):
     k, found = F.col("idx"), a.rows(spark, sf_dir)
     cent = F.when(k % 5 == 0, F.lit("0.02")).otherwise(F.lit("0.01")).cast("decimal(18,2)")
     kind = F.when(k % 3 == 0, "").when(k % 7 == 0, "ANOTHER").otherwise(F.lower("category"))
-    other = F.struct(F.date_add("date", (k % 4).cast("int")).alias("date"), F.when(k % 2 == 0, F.concat("description", F.lit(" EXTRA WORDS"))).otherwise(F.col("description")).alias("description"), (F.col("amount_brl") + cent).cast("decimal(18,2)").alias("amount_brl"), kind.alias("category"))
+    other = F.struct(
+        F.date_add("date", (k % 4).cast("int")).alias("date"),
+        F.when(k % 2 == 0, F.concat("description", F.lit(" EXTRA WORDS"))).otherwise(F.col("description")).alias("description"),
+        (F.col("amount_brl") + cent).cast("decimal(18,2)").alias("amount_brl"), kind.alias("category")
+    )
     return quality.field_compare(found.select(k.alias("pair_id"), F.struct("date", "description", "amount_brl", "category").alias("l"), other.alias("r")))
 
 
@@ -242,7 +252,10 @@ def batch_summary(spark, sf_dir):
  FROM rows GROUP BY 1)""")
 def merge_driver(spark, sf_dir):
     k, found = F.col("idx"), a.rows(spark, sf_dir)
-    groups = found.select(F.concat_ws("/", "doc_id", (k % 2).cast("string")).alias("doc_id"), F.floor(k / 3).alias("leader"), F.when(k % 2 == 0, "one").otherwise(F.col("extractor")).alias("extractor"))
+    groups = found.select(
+        F.concat_ws("/", "doc_id", (k % 2).cast("string")).alias("doc_id"), F.floor(k / 3).alias("leader"),
+        F.when(k % 2 == 0, "one").otherwise(F.col("extractor")).alias("extractor")
+    )
     return reports.merge_driver(groups)
 
 
@@ -266,7 +279,11 @@ def reliability(spark, sf_dir):
 #: Rows of which each rule fails on some documents.
 MESSY = """, messy AS (SELECT doc_id, idx, CASE WHEN idx % 211 <> 0 THEN date END date, CASE WHEN idx % 31 = 0 THEN '  ' WHEN idx % 37 = 0 THEN repeat('x', 201) WHEN idx % 223 <> 0 THEN description END description, CASE WHEN idx % 227 <> 0 THEN amount_brl / CASE WHEN doc_id LIKE '%/1%' THEN 1 ELSE 100 END END amount, CASE WHEN idx % 3 = 0 THEN 'X' WHEN idx % 5 = 0 THEN '' ELSE category END category, confidence + CASE WHEN idx % 29 = 0 THEN 1 ELSE 0 END confidence FROM rows),
  judged AS (SELECT doc_id, [count(*) BETWEEN 1 AND 200, true, count(date) = count(*), true, true, count(description) = count(*), coalesce(avg((length(description) BETWEEN 1 AND 200)::INT), 1) >= 0.95, coalesce(avg((trim(description) <> '')::INT), 1) >= 1, count(amount) = count(*), true, true, round(avg((category <> 'X')::INT), 6) >= 0.8, round(avg((confidence <= 1)::INT), 6) >= 0.95, coalesce(sum(CAST(amount AS DECIMAL(18,2))) BETWEEN -50000 AND 50000, false)] ok FROM messy GROUP BY 1)"""
-RULES = ["row_count", "columns", "date_not_null", "date_format", "date_type", "description_not_null", "description_length", "description_not_blank", "amount_not_null", "amount_type", "amount_format", "category_in_set", "confidence_between", "total_between"]
+RULES = [
+    "row_count", "columns", "date_not_null", "date_format", "date_type", "description_not_null", "description_length",
+    "description_not_blank", "amount_not_null", "amount_type", "amount_format", "category_in_set", "confidence_between",
+    "total_between"
+]
 
 
 def _messy(spark, sf_dir) -> DataFrame:
@@ -311,7 +328,10 @@ def quality_score(spark, sf_dir):
     """Zero and negative amounts, blank texts, years in and out of range, and every speed."""
     k, found = F.col("idx"), a.rows(spark, sf_dir)
     amount = F.when(k % 5 == 0, 0).when(k % 5 == 1, -F.col("amount_brl")).otherwise(F.col("amount_brl")).cast("decimal(18,2)")
-    rows = found.withColumns({"amount_brl": amount, "description": F.when(k % 3 == 0, " ").otherwise(F.col("description")), "date": F.add_months("date", (k % 40 * 12).cast("int"))})
+    rows = found.withColumns({
+        "amount_brl": amount, "description": F.when(k % 3 == 0, " ").otherwise(F.col("description")),
+        "date": F.add_months("date", (k % 40 * 12).cast("int"))
+    })
     place = lambda n: F.ascii(F.substring("doc_id", n, 1)) - 47
     return quality.quality_score(rows, found.select("doc_id").distinct().withColumn("seconds", place(7) * place(4) / 2))
 
@@ -343,8 +363,15 @@ def template_totals(spark, sf_dir):
     """Absolute differences; rows without a currency count as foreign; every second document misses its national total by half."""
     found = a.rows(spark, sf_dir).withColumn("currency", F.when(F.col("idx") % 6 != 0, F.col("currency")))
     home = F.coalesce(F.col("currency") == "BRL", F.lit(False))
-    sums = found.groupBy("doc_id").agg(F.sum(F.when(home, F.col("amount_brl")).otherwise(0)).alias("a"), F.sum(F.when(~home, F.col("amount_brl")).otherwise(0)).alias("b"))
-    totals = sums.select("doc_id", F.when(F.ascii(F.right("doc_id", F.lit(1))) % 2 == 0, F.col("a") + F.lit("0.04").cast("decimal(18,2)")).otherwise(F.round(F.col("a") / 2, 2)).cast("decimal(18,2)").alias("national"), (F.col("b") - F.lit("0.04").cast("decimal(18,2)")).cast("decimal(18,2)").alias("international"))
+    sums = found.groupBy("doc_id").agg(
+        F.sum(F.when(home, F.col("amount_brl")).otherwise(0)).alias("a"),
+        F.sum(F.when(~home, F.col("amount_brl")).otherwise(0)).alias("b")
+    )
+    totals = sums.select(
+        "doc_id",
+        F.when(F.ascii(F.right("doc_id", F.lit(1))) % 2 == 0, F.col("a") + F.lit("0.04").cast("decimal(18,2)")).otherwise(F.round(F.col("a") / 2, 2)).cast("decimal(18,2)").alias("national"),
+        (F.col("b") - F.lit("0.04").cast("decimal(18,2)")).cast("decimal(18,2)").alias("international")
+    )
     return runs.template_totals(found, totals)
 
 
@@ -404,7 +431,10 @@ def result_rows(spark, sf_dir):
     found = a.rows(spark, sf_dir).withColumn("doc_id", F.col("idx"))
     history = found.select("doc_id", "extractor", (F.col("idx") % 4 != 0).alias("success"), F.lit("E1").alias("error"), F.lit(0.5).alias("confidence"))
     out = statements.result_rows(found, history)
-    return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("date") == "ERROR").alias("errors"), F.min("source").alias("source"), F.min("category").alias("category"))
+    return out.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("date") == "ERROR").alias("errors"), F.min("source").alias("source"),
+        F.min("category").alias("category")
+    )
 
 
 @query("""SELECT idx doc_id, count(*) n, round(sum(m)::DOUBLE, 2) total, round(max(c)::DOUBLE, 2) sure
@@ -412,7 +442,10 @@ def result_rows(spark, sf_dir):
  FROM rows) WHERE i < 3 GROUP BY 1""")
 def mock_source(spark, sf_dir):
     out = statements.mock_rows(a.rows(spark, sf_dir).select(F.col("idx").alias("doc_id")), "custom_extractor")
-    return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("amount_brl").cast("double"), 2).alias("total"), F.round(F.max("confidence"), 2).alias("sure"))
+    return out.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.round(F.sum("amount_brl").cast("double"), 2).alias("total"),
+        F.round(F.max("confidence"), 2).alias("sure")
+    )
 
 
 @query()
@@ -462,7 +495,9 @@ def merchant_lookup(spark, sf_dir):
     """Up to five of the results that a table has for a key."""
     found = a.rows(spark, sf_dir).select("idx", F.concat_ws("/", (F.col("idx") % 50).cast("string"), (F.col("idx") % 8).cast("string")).alias("name"))
     keys = found.select("name").distinct().withColumn("n", F.split_part("name", F.lit("/"), F.lit(2)).cast("int")).filter("n > 0")
-    known = keys.select("name", F.explode(F.sequence(F.lit(1), "n")).alias("rank")).withColumn("result", F.concat(F.lit("r"), F.split_part("name", F.lit("/"), F.lit(1)), F.lit("."), F.col("rank").cast("string")))
+    known = keys.select("name", F.explode(F.sequence(F.lit(1), "n")).alias("rank")).withColumn(
+        "result", F.concat(F.lit("r"), F.split_part("name", F.lit("/"), F.lit(1)), F.lit("."), F.col("rank").cast("string"))
+    )
     return enrich.looked_up(found, known, "name").select("idx", F.coalesce(F.array_join("results", ","), F.lit("")).alias("results"))
 
 

@@ -61,7 +61,10 @@ def parse_lines_national_first(spark, sf_dir):
     return _lines(spark, sf_dir, ("national", "fx", "fallback"))
 
 
-PIECES = ["Total da fatura", "Lançamentos: compras", "pagamentos 03/10", "Limite total", "valor", "ITAÚ Unibanco", "Cashback", "LOJA. CIDADE", "ALIMENTAÇÃO. SÃO PAULO", "05/10 COMPRA"]
+PIECES = [
+    "Total da fatura", "Lançamentos: compras", "pagamentos 03/10", "Limite total", "valor", "ITAÚ Unibanco", "Cashback",
+    "LOJA. CIDADE", "ALIMENTAÇÃO. SÃO PAULO", "05/10 COMPRA"
+]
 SQL_PIECES = f"(SELECT idx, {PIECES}[idx % 10 + 1] || CASE WHEN idx % 3 = 0 THEN ' ' || description ELSE '' END l FROM rows)"
 _any = lambda words: " OR ".join(f"contains(upper(l), '{w}')" for w in words)
 
@@ -74,7 +77,11 @@ def line_tests(spark, sf_dir):
     k, line = F.col("idx"), F.col("l")
     text = F.concat(F.element_at(F.array(*map(F.lit, PIECES)), (k % 10 + 1).cast("int")), F.when(k % 3 == 0, F.concat(F.lit(" "), "description")).otherwise(""))
     found = a.rows(spark, sf_dir).select("idx", text.alias("l"))
-    return found.select("idx", layout.is_header(line).alias("header"), layout.is_skipped(line).alias("skipped"), layout.is_summary(line).alias("summary"), layout.is_purchase(line).alias("purchase"), layout.is_category(line).alias("category"))
+    return found.select(
+        "idx", layout.is_header(line).alias("header"), layout.is_skipped(line).alias("skipped"),
+        layout.is_summary(line).alias("summary"), layout.is_purchase(line).alias("purchase"),
+        layout.is_category(line).alias("category")
+    )
 
 
 @query("""SELECT idx, CASE WHEN k % 3 = 0 THEN 'form' WHEN k % 3 = 1 THEN 'invoice' ELSE 'ocr' END route
@@ -84,7 +91,10 @@ def line_tests(spark, sf_dir):
  FROM rows))""")
 def route_docs(spark, sf_dir):
     k = F.col("idx")
-    name = F.concat(F.element_at(F.array(*map(F.lit, ("stmt_", "fatura-", "scan", "my stmt_", "fatura_stmt_"))), (k % 5 + 1).cast("int")), k.cast("string"), F.when(k % 2 == 0, ".pdf").otherwise(".PDF"))
+    name = F.concat(
+        F.element_at(F.array(*map(F.lit, ("stmt_", "fatura-", "scan", "my stmt_", "fatura_stmt_"))), (k % 5 + 1).cast("int")),
+        k.cast("string"), F.when(k % 2 == 0, ".pdf").otherwise(".PDF")
+    )
     return a.rows(spark, sf_dir).select("idx", rules.routed(name, [("form", r"stmt_.*\.pdf"), ("invoice", r"fatura.*\.pdf")], "ocr").alias("route"))
 
 
@@ -122,7 +132,10 @@ def chunk_lines(found: DataFrame) -> DataFrame:
     """Four lines of every row: a foreign purchase with rate and tax in all orders, without rate, twice, and over another purchase."""
     k, (day, money) = F.col("idx"), _printed()
     main, rate, tax, other = F.concat_ws(" ", day, "description", F.lit("10,00"), money), F.lit("Dólar de Conversão R$ 5,5000"), F.lit("Repasse de IOF em R$ 3,51"), F.lit("nada")
-    shapes = [(main, rate, tax, other), (main, tax, rate, other), (main, rate, other, other), (main, tax, other, other), (main, rate, main, rate), (main, main, rate, other), (main, rate, F.lit("Dólar de Conversão R$ 6,1000"), other)]
+    shapes = [
+        (main, rate, tax, other), (main, tax, rate, other), (main, rate, other, other), (main, tax, other, other),
+        (main, rate, main, rate), (main, main, rate, other), (main, rate, F.lit("Dólar de Conversão R$ 6,1000"), other)
+    ]
     four = F.array(other, other, other, other)
     for n, shape in enumerate(shapes):
         four = F.when(k % 8 == n, F.array(*shape)).otherwise(four)
@@ -147,7 +160,10 @@ def infer_columns(spark, sf_dir):
 
 def _sums(found: DataFrame) -> DataFrame:
     described = F.sum(F.length("description")).alias("letters")
-    return found.groupBy("doc_id", "table_idx").agg(F.count("*").alias("n"), F.round(F.sum("amount_brl").cast("double"), 2).alias("total"), F.min("date").alias("first"), described, F.round(F.avg("confidence"), 6).alias("confidence"))
+    return found.groupBy("doc_id", "table_idx").agg(
+        F.count("*").alias("n"), F.round(F.sum("amount_brl").cast("double"), 2).alias("total"), F.min("date").alias("first"),
+        described, F.round(F.avg("confidence"), 6).alias("confidence")
+    )
 
 
 YEAR = "make_date(2024, month(day), day(day))"
@@ -246,7 +262,11 @@ def document_rows(spark, sf_dir):
     segment = lambda x, y: F.struct(x.cast("int").alias("start"), y.cast("int").alias("end"))
     one, two = size("c0"), size("c0") + size("c1")
     half = (size("c1") / 2).cast("int")
-    cells = F.array(F.struct(F.array(segment(F.lit(None), one)).alias("segments")), F.struct(F.array(segment(one, one + half), segment(one + half, two)).alias("segments")), F.struct(F.array(segment(two, F.lit(None))).alias("segments")))
+    cells = F.array(
+        F.struct(F.array(segment(F.lit(None), one)).alias("segments")),
+        F.struct(F.array(segment(one, one + half), segment(one + half, two)).alias("segments")),
+        F.struct(F.array(segment(two, F.lit(None))).alias("segments"))
+    )
     pages = F.array(F.struct(F.array(F.struct(F.array(F.struct(cells.alias("cells"))).alias("rows"))).alias("tables")))
     docs = found.select(F.col("idx").alias("doc_id"), F.concat("c0", "c1", "c2").alias("text"), pages.alias("pages"))
     rows = layout.purchase_rows(layout.document_tables(docs))
@@ -260,10 +280,18 @@ def document_rows(spark, sf_dir):
 def entity_rows(spark, sf_dir):
     """Dates, amounts and descriptions as entities of all names; weak ones, others and zero amounts don't count."""
     k, (day, money) = F.col("idx"), _printed()
-    item = lambda idx, kind, value, sure: F.struct(F.lit(idx).alias("idx"), F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), value.alias("value"), sure.alias("confidence"))
+    item = lambda idx, kind, value, sure: F.struct(
+        F.lit(idx).alias("idx"), F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), value.alias("value"),
+        sure.alias("confidence")
+    )
     items = F.array(
-        item(0, F.when(k % 2 == 0, "Transaction_Date").otherwise("date"), F.concat(F.lit(" em "), day), F.when(k % 3 == 0, 0.4).otherwise(0.9)), item(1, "money", F.lit("0,00"), F.lit(0.9)), item(2, F.when(k % 2 == 0, "MONEY").otherwise("amount"), money, F.lit(0.5)),
-        item(3, "merchant", F.when(k % 2 == 0, F.concat(F.lit(" "), "description", F.lit(" *"))).otherwise("**"), F.lit(0.8)), item(4, "address", F.lit("x"), F.lit(1.0)), item(5, "currency", F.when(k % 7 == 0, "7,50").otherwise(""), F.lit(0.7)),
+        item(
+            0, F.when(k % 2 == 0, "Transaction_Date").otherwise("date"), F.concat(F.lit(" em "), day),
+            F.when(k % 3 == 0, 0.4).otherwise(0.9)
+        ), item(1, "money", F.lit("0,00"), F.lit(0.9)), item(2, F.when(k % 2 == 0, "MONEY").otherwise("amount"), money, F.lit(0.5)),
+        item(
+            3, "merchant", F.when(k % 2 == 0, F.concat(F.lit(" "), "description", F.lit(" *"))).otherwise("**"), F.lit(0.8)
+        ), item(4, "address", F.lit("x"), F.lit(1.0)), item(5, "currency", F.when(k % 7 == 0, "7,50").otherwise(""), F.lit(0.7)),
     )
     found = a.rows(spark, sf_dir).select(k.alias("doc_id"), F.explode(items).alias("i")).select("doc_id", "i.*")
     out = layout.entity_rows(found)
@@ -289,7 +317,11 @@ TEMPLATE = """(SELECT doc_id, idx, idx * 2 + 1 line_no, CASE k % 3 WHEN 0 THEN '
 @query(f"SELECT doc_id, line_no, section, description, amount, code, currency, seq, tot, merchant, city FROM {TEMPLATE}")
 def template_lines(spark, sf_dir):
     found = enrich.template_lines(template_statement(a.rows(spark, sf_dir)))
-    return found.select("doc_id", "line_no", "section", "description", _amount(), F.col("payment_code").alias("code"), "currency", F.col("installment_seq").alias("seq"), F.col("installment_tot").alias("tot"), "merchant", F.col("merchant_city").alias("city"))
+    return found.select(
+        "doc_id", "line_no", "section", "description", _amount(), F.col("payment_code").alias("code"), "currency",
+        F.col("installment_seq").alias("seq"), F.col("installment_tot").alias("tot"), "merchant",
+        F.col("merchant_city").alias("city")
+    )
 
 
 @query(f"""SELECT r.idx, CASE t.section WHEN 'internacional' THEN 'FX' WHEN 'pagamentos' THEN 'PAGAMENTO' ELSE r.category END category,
@@ -299,7 +331,10 @@ def template_lines(spark, sf_dir):
 def template_enhanced(spark, sf_dir):
     found = a.rows(spark, sf_dir)
     template = enrich.template_lines(template_statement(found)).withColumn("idx", ((F.col("line_no") - 1) / 2).cast("long")).filter("idx % 7 <> 0")
-    rows = found.withColumns({"currency": F.when(F.col("idx") % 5 == 0, "").otherwise(F.col("currency")), "installment_seq": F.lit(9), "installment_tot": F.lit(9), "merchant_city": F.lit("X")})
+    rows = found.withColumns({
+        "currency": F.when(F.col("idx") % 5 == 0, "").otherwise(F.col("currency")), "installment_seq": F.lit(9),
+        "installment_tot": F.lit(9), "merchant_city": F.lit("X")
+    })
     out = enrich.with_template(rows, template, ["doc_id", "idx"])
     return out.select("idx", "category", "currency", F.col("installment_seq").alias("seq"), F.col("merchant_city").alias("city"))
 
@@ -311,8 +346,16 @@ def template_enhanced(spark, sf_dir):
  FROM rows""")
 def fx_enhanced(spark, sf_dir):
     k, found = F.col("idx"), a.rows(spark, sf_dir)
-    fx = found.filter("idx % 3 = 0").select("doc_id", "idx", F.lit("5.5").cast("decimal(18,4)").alias("fx_rate"), F.when(k % 2 == 0, F.lit("3.51").cast("decimal(18,2)")).alias("iof_brl"), F.lit("10").cast("decimal(18,2)").alias("amount_orig"))
-    rows = found.withColumns({"currency": F.when(k % 5 == 0, "").otherwise(F.col("currency")), "fx_rate": F.lit("1").cast("decimal(12,6)"), "iof_brl": F.lit("0.25").cast("decimal(18,2)"), "amount_orig": F.lit(None).cast("decimal(18,2)"), "amount_usd": F.when(k % 7 == 0, 1).otherwise(0).cast("decimal(18,2)")})
+    fx = found.filter("idx % 3 = 0").select(
+        "doc_id", "idx", F.lit("5.5").cast("decimal(18,4)").alias("fx_rate"),
+        F.when(k % 2 == 0, F.lit("3.51").cast("decimal(18,2)")).alias("iof_brl"),
+        F.lit("10").cast("decimal(18,2)").alias("amount_orig")
+    )
+    rows = found.withColumns({
+        "currency": F.when(k % 5 == 0, "").otherwise(F.col("currency")), "fx_rate": F.lit("1").cast("decimal(12,6)"),
+        "iof_brl": F.lit("0.25").cast("decimal(18,2)"), "amount_orig": F.lit(None).cast("decimal(18,2)"),
+        "amount_usd": F.when(k % 7 == 0, 1).otherwise(0).cast("decimal(18,2)")
+    })
     out = enrich.with_fx(rows, fx, ["doc_id", "idx"])
     return out.select("idx", _amount("fx_rate", "rate"), _amount("iof_brl", "iof"), "currency", F.round(F.col("amount_usd").cast("double"), 2).alias("usd"))
 
@@ -348,7 +391,11 @@ def date_variants(spark, sf_dir):
     text = F.when(k % 5 == 0, bad).otherwise(short)
     back = lambda c: F.when(k % 5 == 0, F.concat(F.substring(c, 4, 99), F.lit("x"))).otherwise(c)
     iso = F.concat_ws("-", F.lit("2024"), two(k % 15), two(k % 40))
-    return a.rows(spark, sf_dir).select("idx", back(t.date_text(text)).alias("plain"), back(t.date_text(text, checked=True)).alias("checked"), t.date(F.concat(F.lit("em "), short, F.lit(" x")), anywhere=True).alias("anywhere"), t.iso_date(iso).isNotNull().alias("valid"))
+    return a.rows(spark, sf_dir).select(
+        "idx", back(t.date_text(text)).alias("plain"), back(t.date_text(text, checked=True)).alias("checked"),
+        t.date(F.concat(F.lit("em "), short, F.lit(" x")), anywhere=True).alias("anywhere"),
+        t.iso_date(iso).isNotNull().alias("valid")
+    )
 
 
 @query("""SELECT idx, CASE idx % 3 WHEN 0 THEN lpad((idx % 10000)::VARCHAR, 4, '0') END inline,
@@ -378,7 +425,11 @@ def classify_txn(spark, sf_dir):
     line = line.when(k % 5 == 3, F.concat_ws(" ", day, d, F.lit("Saldo"), money)).otherwise(F.concat_ws(" ", d, money))
     found = a.rows(spark, sf_dir).select("idx", line.alias("line"), value.alias("value"))
     x = rules.classified(F.col("line"), F.col("value"))
-    return found.select("idx", x["type"].alias("kind"), rules.is_foreign(F.col("line")).alias("international"), rules.row_class(F.col("line")).alias("class"), x["category"].alias("category"), F.round(x["confidence"], 6).alias("confidence"))
+    return found.select(
+        "idx", x["type"].alias("kind"), rules.is_foreign(F.col("line")).alias("international"),
+        rules.row_class(F.col("line")).alias("class"), x["category"].alias("category"),
+        F.round(x["confidence"], 6).alias("confidence")
+    )
 
 
 @query("""SELECT idx, CASE idx % 6 WHEN 0 THEN 'SAO PAULO' WHEN 1 THEN 'RIO' WHEN 2 THEN 'BELEM' WHEN 4 THEN 'PORTO ALEGRE' WHEN 5 THEN 'NATAL' END city
@@ -424,7 +475,10 @@ def metadata_fill(spark, sf_dir):
         }
     )
     out = enrich.filled(found)
-    return out.select("idx", F.col("installment_seq").alias("seq"), "currency", F.col("ledger_hash").alias("hash"), _amount("amount_usd", "usd"), _amount("prev_bill_amount", "bill"), _amount("interest_amount", "interest"))
+    return out.select(
+        "idx", F.col("installment_seq").alias("seq"), "currency", F.col("ledger_hash").alias("hash"),
+        _amount("amount_usd", "usd"), _amount("prev_bill_amount", "bill"), _amount("interest_amount", "interest")
+    )
 
 
 @query("""SELECT idx, (3 + (currency <> '')::INT + (category <> '')::INT + (idx % 2 = 0)::INT + 2 * (idx % 4 <> 0)::INT + (idx % 3 = 0)::INT)::INT filled,
@@ -432,7 +486,11 @@ def metadata_fill(spark, sf_dir):
  FROM rows""")
 def completeness_counts(spark, sf_dir):
     k = F.col("idx")
-    found = a.rows(spark, sf_dir).withColumns({"card_last4": F.when(k % 2 == 0, "0042").otherwise(" "), "installment_seq": F.when(k % 4 == 1, 0).when(k % 4 != 0, 2), "installment_tot": F.when(k % 4 != 0, 0), "fx_rate": F.when(k % 3 == 0, (1 - k % 2).cast("decimal(12,6)")), "merchant_city": F.lit(""), "amount_usd": F.lit(None).cast("decimal(18,2)")})
+    found = a.rows(spark, sf_dir).withColumns({
+        "card_last4": F.when(k % 2 == 0, "0042").otherwise(" "), "installment_seq": F.when(k % 4 == 1, 0).when(k % 4 != 0, 2),
+        "installment_tot": F.when(k % 4 != 0, 0), "fx_rate": F.when(k % 3 == 0, (1 - k % 2).cast("decimal(12,6)")),
+        "merchant_city": F.lit(""), "amount_usd": F.lit(None).cast("decimal(18,2)")
+    })
     return found.select("idx", enrich.filled_fields(found).alias("filled"), enrich.model_fields(found).alias("model"))
 
 
@@ -455,7 +513,10 @@ def anchored_words(spark, sf_dir):
  FROM (SELECT idx, ((idx % 30) - 5) / 20.0::DOUBLE x FROM rows)""")
 def thresholds(spark, sf_dir):
     x = (F.col("idx") % 30 - 5) / 20
-    return a.rows(spark, sf_dir).select("idx", rules.clamped(x).alias("clamped"), rules.needs_ocr(x).alias("ocr"), rules.in_ensemble(x).alias("ensemble"), rules.highlighted(x).alias("highlighted"))
+    return a.rows(spark, sf_dir).select(
+        "idx", rules.clamped(x).alias("clamped"), rules.needs_ocr(x).alias("ocr"), rules.in_ensemble(x).alias("ensemble"),
+        rules.highlighted(x).alias("highlighted")
+    )
 
 
 @query("""SELECT doc_id, method, count(*) n, round(sum(amount)::DOUBLE, 2) total
@@ -483,7 +544,10 @@ def form_fields(spark, sf_dir):
     k = F.col("idx")
     field = lambda n, v, c: F.struct(n.alias("name"), v.alias("value"), c.cast("double").alias("confidence"))
     none = F.lit(None).cast("string")
-    pages = F.array(F.struct(F.array(field(F.lit("total"), F.col("description"), F.when(k % 2 == 0, 0.5)), field(none, F.lit(""), F.lit(1))).alias("form_fields")), F.struct(F.array(field(none, F.concat(F.lit("x"), k.cast("string")), F.lit(0.9))).alias("form_fields")))
+    pages = F.array(
+        F.struct(F.array(field(F.lit("total"), F.col("description"), F.when(k % 2 == 0, 0.5)), field(none, F.lit(""), F.lit(1))).alias("form_fields")),
+        F.struct(F.array(field(none, F.concat(F.lit("x"), k.cast("string")), F.lit(0.9))).alias("form_fields"))
+    )
     return layout.form_fields(a.rows(spark, sf_dir).select(k.alias("doc_id"), pages.alias("pages"))).select("doc_id", "page", "name", "value", "confidence")
 
 
@@ -504,7 +568,10 @@ def line_kinds(spark, sf_dir):
 def document_kinds(spark, sf_dir):
     k = F.col("idx")
     name = F.element_at(F.array(*map(F.lit, ("in/Bank_2024-1", "a/Fatura_luz", "x/my_RECEIPT", "fatura/scan", "bank_2024-1x"))), (k % 5 + 1).cast("int"))
-    return a.rows(spark, sf_dir).select("idx", rules.document_kind(F.concat(name, F.when(k % 5 == 0, F.concat((k % 10).cast("string"), F.lit(".pdf"))).otherwise(".pdf")), r"bank_20\d\d-\d\d\.pdf").alias("kind"))
+    return a.rows(spark, sf_dir).select(
+        "idx",
+        rules.document_kind(F.concat(name, F.when(k % 5 == 0, F.concat((k % 10).cast("string"), F.lit(".pdf"))).otherwise(".pdf")), r"bank_20\d\d-\d\d\.pdf").alias("kind")
+    )
 
 
 @query("""SELECT idx, idx % 4 < 2 amounts, idx % 5 < 2 dates, idx % 3 <> 2 descriptions FROM rows""")
@@ -515,5 +582,11 @@ def semantic_tests(spark, sf_dir):
     amount = F.when(k % 4 != 3, t.money(m + cents))
     day = lambda d: F.date_format(d, "dd/MM/yyyy")
     other = F.when(k % 5 < 3, day(F.date_add("date", (k % 5).cast("int")))).when(k % 5 == 3, "31/02/2024")
-    words = F.when(k % 3 == 0, F.lower(F.array_join(F.reverse(F.split("description", " ")), " de "))).when(k % 3 == 1, F.col("description")).otherwise(F.concat("description", F.lit(" a b c um dois tres quatro")))
-    return a.rows(spark, sf_dir).select("idx", quality.amounts_match(t.money(m), amount).alias("amounts"), quality.dates_match(F.col("date").cast("string"), other).alias("dates"), quality.descriptions_similar(F.col("description"), words).alias("descriptions"))
+    words = F.when(
+        k % 3 == 0, F.lower(F.array_join(F.reverse(F.split("description", " ")), " de "))
+    ).when(k % 3 == 1, F.col("description")).otherwise(F.concat("description", F.lit(" a b c um dois tres quatro")))
+    return a.rows(spark, sf_dir).select(
+        "idx", quality.amounts_match(t.money(m), amount).alias("amounts"),
+        quality.dates_match(F.col("date").cast("string"), other).alias("dates"),
+        quality.descriptions_similar(F.col("description"), words).alias("descriptions")
+    )

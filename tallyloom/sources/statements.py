@@ -16,7 +16,10 @@ GOLDEN = (
     "merchant_city string, ledger_hash string, prev_bill_amount decimal(18,2), interest_amount decimal(18,2), amount_orig decimal(18,2), currency_orig string, amount_usd decimal(18,2)"
 )
 #: Other names of golden columns.
-ALIASES = {"data": "date", "post_date": "date", "desc_raw": "description", "descricao": "description", "valor": "amount_brl", "amount": "amount_brl", "categoria": "category", "tipo": "transaction_type"}
+ALIASES = {
+    "data": "date", "post_date": "date", "desc_raw": "description", "descricao": "description", "valor": "amount_brl",
+    "amount": "amount_brl", "categoria": "category", "tipo": "transaction_type"
+}
 BLOCKS = "id string, block_type string, text string, row_index int, column_index int, child_ids array<string>"
 
 
@@ -49,7 +52,10 @@ def read_any_golden(spark: SparkSession, path: str, year: int = 2024) -> DataFra
     rows = named(rows.withColumn("doc", golden_doc(F.col("_metadata.file_name"))))
     day = F.trim("date")
     kind = F.nullif(F.trim(F.coalesce("category", F.lit(""))), F.lit("")) if "category" in rows.columns else F.lit(None).cast("string")
-    out = rows.select("doc", F.coalesce(t.iso_date(day), t.date(day, year)).alias("date"), F.trim("description").alias("description"), t.amount(F.trim("amount_brl")).cast("decimal(18,2)").alias("amount_brl"), kind.alias("category"))
+    out = rows.select(
+        "doc", F.coalesce(t.iso_date(day), t.date(day, year)).alias("date"), F.trim("description").alias("description"),
+        t.amount(F.trim("amount_brl")).cast("decimal(18,2)").alias("amount_brl"), kind.alias("category")
+    )
     return out.filter("date is not null").withColumns({"confidence": F.lit(1.0), "key": F.concat("doc", F.lit(".pdf"))})
 
 
@@ -60,7 +66,10 @@ def read_training(spark: SparkSession, path: str) -> DataFrame:
     numbers = ("amount_brl", "amount_orig", "amount_usd", "fx_rate", "iof_brl", "prev_bill_amount")
     zero = {c: F.coalesce(F.col(c), F.lit(0).cast(rows.schema[c].dataType)) for c in numbers}
     text = {c: F.coalesce(c, F.lit("")) for c in ("card_last4", "category", "merchant_city", "ledger_hash")}
-    return rows.withColumns(zero | text | {"installment_seq": one("installment_seq"), "installment_tot": one("installment_tot"), "currency_orig": F.when(F.coalesce("currency_orig", F.lit("")) == "", "BRL").otherwise(F.col("currency_orig"))})
+    return rows.withColumns(zero | text | {
+        "installment_seq": one("installment_seq"), "installment_tot": one("installment_tot"),
+        "currency_orig": F.when(F.coalesce("currency_orig", F.lit("")) == "", "BRL").otherwise(F.col("currency_orig"))
+    })
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
@@ -95,7 +104,10 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
 
 # Rows of a mock reader, and how many and how sure they are by processor.
-MOCK = [("2024-10-05", "UBER DO BRASIL TECNO", "25.30", "TRANSPORTE"), ("2024-10-07", "FARMACIA SAO JOAO", "87.64", "SAÚDE"), ("2024-10-10", "AMAZON WEB SERVICES", "156.78", "TECNOLOGIA")]
+MOCK = [
+    ("2024-10-05", "UBER DO BRASIL TECNO", "25.30", "TRANSPORTE"), ("2024-10-07", "FARMACIA SAO JOAO", "87.64", "SAÚDE"),
+    ("2024-10-10", "AMAZON WEB SERVICES", "156.78", "TECNOLOGIA")
+]
 MOCK_SHARES = {"ocr": (0.6, 0.75), "form_parser": (0.8, 0.82), "layout_parser": (0.9, 0.88), "invoice_parser": (1.0, 0.91), "custom_extractor": (1.2, 0.95)}
 
 
@@ -104,7 +116,10 @@ def mock_rows(docs: DataFrame, processor: str) -> DataFrame:
     share, base = MOCK_SHARES.get(processor, (0.8, 0.8))
     n = max(1, int(3 * share + 1e-9))
     made = [MOCK[i % 3] for i in range(n)]
-    items = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(d).cast("date").alias("date"), F.lit(x).alias("description"), F.lit(m).cast("decimal(18,2)").alias("amount_brl"), F.lit(c).alias("category"), F.lit(round(base + 0.02 * i, 2)).alias("confidence")) for i, (d, x, m, c) in enumerate(made)])
+    items = F.array(*[
+        F.struct(F.lit(i).alias("idx"), F.lit(d).cast("date").alias("date"), F.lit(x).alias("description"), F.lit(m).cast("decimal(18,2)").alias("amount_brl"), F.lit(c).alias("category"), F.lit(round(base + 0.02 * i, 2)).alias("confidence")) for i,
+        (d, x, m, c) in enumerate(made)
+    ])
     return docs.select("doc_id", F.explode(items).alias("r")).select("doc_id", "r.*")
 
 
@@ -126,9 +141,13 @@ def synthetic(spark: SparkSession, statements: int, rows: int, first: str = "202
     shops = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for n, a, b in MERCHANTS])
     start = F.add_months(F.lit(first).cast("date"), F.col("doc_id").cast("int") - 1)
     out = base.withColumn("m", F.get(shops, F.floor(draw("m") * len(MERCHANTS)).cast("int"))).withColumn("abroad", F.lit(international) & (draw("f") < 0.1))
-    out = out.withColumn("amount_brl", F.round(F.col("m.low") + draw("a") * (F.col("m.high") - F.col("m.low")), 2).cast("decimal(18,2)")).withColumn("rate", F.when(F.col("abroad"), F.round(5 + 1.5 * draw("r"), 2).cast("decimal(12,6)")))
+    out = out.withColumn(
+        "amount_brl", F.round(F.col("m.low") + draw("a") * (F.col("m.high") - F.col("m.low")), 2).cast("decimal(18,2)")
+    ).withColumn("rate", F.when(F.col("abroad"), F.round(5 + 1.5 * draw("r"), 2).cast("decimal(12,6)")))
     out = out.select(
-        "doc_id", "idx", F.date_add(start, F.floor(draw("d") * F.datediff(F.add_months(start, 1), start)).cast("int")).alias("date"), F.concat("m.name", F.when(F.col("abroad"), " USA").otherwise("")).alias("description"),
+        "doc_id", "idx", F.date_add(
+            start, F.floor(draw("d") * F.datediff(F.add_months(start, 1), start)).cast("int")
+        ).alias("date"), F.concat("m.name", F.when(F.col("abroad"), " USA").otherwise("")).alias("description"),
         "amount_brl", F.col("rate").alias("fx_rate"), F.round(F.try_divide("amount_brl", "rate"), 2).cast("decimal(18,2)").alias("amount_usd"), F.when(F.col("abroad"), "USD").otherwise("BRL").alias("currency"),
     )
     return out.withColumn("line_no", F.row_number().over(W.partitionBy("doc_id").orderBy("date", "idx")))
@@ -137,7 +156,10 @@ def synthetic(spark: SparkSession, statements: int, rows: int, first: str = "202
 def as_lines(rows: DataFrame) -> DataFrame:
     """(doc_id, line_no, line): rows as a statement prints them."""
     money = lambda c: F.translate(F.format_number(F.col(c), 2), ",.", ".,")
-    return rows.select("doc_id", "line_no", F.concat_ws(" ", F.date_format("date", "dd/MM"), "description", F.when(F.col("currency") != "BRL", money("amount_usd")), money("amount_brl")).alias("line"))
+    return rows.select(
+        "doc_id", "line_no",
+        F.concat_ws(" ", F.date_format("date", "dd/MM"), "description", F.when(F.col("currency") != "BRL", money("amount_usd")), money("amount_brl")).alias("line")
+    )
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
@@ -162,9 +184,15 @@ def read_layout(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(cells, lines) of analysed layouts: cells (doc_id, table_idx, row_idx, col_idx, content, confidence), lines (doc_id, line_no, line, confidence) through all pages."""
     docs = spark.read.schema(LAYOUT).json(path)
     cells = docs.select("doc_id", F.posexplode("tables").alias("table_idx", "t")).select("doc_id", "table_idx", F.explode("t.cells").alias("c"))
-    cells = cells.select("doc_id", "table_idx", F.col("c.row_index").alias("row_idx"), F.col("c.column_index").alias("col_idx"), "c.content", F.coalesce("c.confidence", F.lit(0.8)).alias("confidence"))
+    cells = cells.select(
+        "doc_id", "table_idx", F.col("c.row_index").alias("row_idx"), F.col("c.column_index").alias("col_idx"), "c.content",
+        F.coalesce("c.confidence", F.lit(0.8)).alias("confidence")
+    )
     lines = docs.select("doc_id", F.posexplode("pages").alias("page", "p")).select("doc_id", "page", F.posexplode("p.lines").alias("n", "l"))
-    return cells, lines.select("doc_id", (F.col("page").cast("long") * 1_000_000 + F.col("n")).alias("line_no"), F.col("l.content").alias("line"), F.coalesce("l.confidence", F.lit(0.7)).alias("confidence"))
+    return cells, lines.select(
+        "doc_id", (F.col("page").cast("long") * 1_000_000 + F.col("n")).alias("line_no"), F.col("l.content").alias("line"),
+        F.coalesce("l.confidence", F.lit(0.7)).alias("confidence")
+    )
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -181,11 +209,16 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """OCR blocks as JSON lines to table cells (table_id, row_idx, col_idx, content), words in their order."""
     b = spark.read.schema(BLOCKS).json(path)
     edge = b.select("id", "block_type", "row_index", "column_index", F.posexplode("child_ids").alias("at", "child"))
-    kinds = b.select(F.col("id").alias("child"), F.col("text").alias("word"), F.col("block_type").alias("kind"), F.col("row_index").alias("r"), F.col("column_index").alias("c"))
+    kinds = b.select(
+        F.col("id").alias("child"), F.col("text").alias("word"), F.col("block_type").alias("kind"), F.col("row_index").alias("r"),
+        F.col("column_index").alias("c")
+    )
     in_table = edge.filter("block_type = 'TABLE'").join(kinds.filter("kind = 'CELL'"), "child").select(F.col("id").alias("table_id"), F.col("child").alias("cell"), "r", "c")
     words = edge.filter("block_type = 'CELL'").join(kinds.filter("kind = 'WORD'"), "child").select(F.col("id").alias("cell"), "at", "word")
     text = words.groupBy("cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]), " ").alias("content"))
-    return in_table.join(text, "cell", "left").select("table_id", F.col("r").alias("row_idx"), F.col("c").alias("col_idx"), F.coalesce("content", F.lit("")).alias("content"))
+    return in_table.join(text, "cell", "left").select(
+        "table_id", F.col("r").alias("row_idx"), F.col("c").alias("col_idx"), F.coalesce("content", F.lit("")).alias("content")
+    )
 
 
 def write_draft(rows: DataFrame, path: str) -> None:
@@ -217,7 +250,10 @@ def exported(rows: DataFrame) -> DataFrame:
     number = lambda c, places: F.translate(F.coalesce(has(c), F.lit(0)).cast(f"decimal(18,{places})").cast("string"), ".", ",")
     whole = lambda c: F.coalesce(has(c), F.lit(0)).cast("int").cast("string")
     text = lambda c: F.coalesce(has(c).cast("string"), F.lit(""))
-    made = {"date": F.date_format("date", "dd/MM/yyyy"), "fx_rate": number("fx_rate", 4), "installment_seq": whole("installment_seq"), "installment_tot": whole("installment_tot")}
+    made = {
+        "date": F.date_format("date", "dd/MM/yyyy"), "fx_rate": number("fx_rate", 4), "installment_seq": whole("installment_seq"),
+        "installment_tot": whole("installment_tot")
+    }
     made |= {c: number(c, 2) for c in ("amount_brl", "iof_brl", "prev_bill_amount", "interest_amount", "amount_orig", "amount_usd")}
     return rows.select(*[made.get(c, text(c)).alias(c) for c in EXPORT])
 
@@ -244,7 +280,11 @@ def result_rows(rows: DataFrame, runs: DataFrame) -> DataFrame:
         "doc_id", F.col("t.date").cast("string").alias("date"), "t.description", F.col("t.amount_brl").cast("string").alias("amount_brl"), has("category", F.lit("OUTROS")).alias("category"),
         has("confidence", F.col("r.confidence")).cast("string").alias("confidence"), F.coalesce("r.extractor", F.lit("Unknown")).alias("source"),
     )
-    bad = runs.filter("not success").select("doc_id", F.lit("ERROR").alias("date"), F.coalesce("error", F.lit("Unknown error")).alias("description"), F.lit("0.00").alias("amount_brl"), F.lit("ERROR").alias("category"), F.lit("0.0").alias("confidence"), F.coalesce("extractor", F.lit("Unknown")).alias("source"))
+    bad = runs.filter("not success").select(
+        "doc_id", F.lit("ERROR").alias("date"), F.coalesce("error", F.lit("Unknown error")).alias("description"),
+        F.lit("0.00").alias("amount_brl"), F.lit("ERROR").alias("category"), F.lit("0.0").alias("confidence"),
+        F.coalesce("extractor", F.lit("Unknown")).alias("source")
+    )
     return good.unionByName(bad)
 
 
@@ -255,13 +295,20 @@ def write_results(rows: DataFrame, runs: DataFrame, path: str) -> None:
 
 def write_golden_draft(rows: DataFrame, path: str) -> None:
     """date;description;amount_brl;category with DD/MM/YYYY and decimal comma: a new golden table."""
-    rows.select(F.date_format("date", "dd/MM/yyyy").alias("date"), "description", F.translate(F.col("amount_brl").cast("decimal(18,2)").cast("string"), ".", ",").alias("amount_brl"), F.coalesce("category", F.lit("")).alias("category")).write.mode("overwrite").csv(path, sep=";", header=True)
+    rows.select(
+        F.date_format("date", "dd/MM/yyyy").alias("date"), "description",
+        F.translate(F.col("amount_brl").cast("decimal(18,2)").cast("string"), ".", ",").alias("amount_brl"),
+        F.coalesce("category", F.lit("")).alias("category")
+    ).write.mode("overwrite").csv(path, sep=";", header=True)
 
 
 def write_golden_copy(rows: DataFrame, path: str) -> None:
     """date,description,amount_brl,category,transaction_type with ISO dates and points: a golden table for others."""
     kind = F.coalesce("transaction_type", F.lit("")) if "transaction_type" in rows.columns else F.lit("domestic")
-    rows.select(F.col("date").cast("string").alias("date"), "description", F.col("amount_brl").cast("string").alias("amount_brl"), F.coalesce("category", F.lit("")).alias("category"), kind.alias("transaction_type")).write.mode("overwrite").csv(path, header=True)
+    rows.select(
+        F.col("date").cast("string").alias("date"), "description", F.col("amount_brl").cast("string").alias("amount_brl"),
+        F.coalesce("category", F.lit("")).alias("category"), kind.alias("transaction_type")
+    ).write.mode("overwrite").csv(path, header=True)
 
 
 def appended(golden: DataFrame, key: str, rows: DataFrame) -> DataFrame:

@@ -23,4 +23,6 @@ def parsed_stream(lines: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def run_rates(runs: DataFrame, width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
     """Runs and success rate of each time window, late rows within the delay counted."""
-    return runs.withWatermark("ts", delay).groupBy(F.window("ts", width), "method").agg(F.count("*").alias("runs"), F.avg(F.col("success").cast("int")).alias("success_rate"))
+    return runs.withWatermark("ts", delay).groupBy(F.window("ts", width), "method").agg(
+        F.count("*").alias("runs"), F.avg(F.col("success").cast("int")).alias("success_rate")
+    )
