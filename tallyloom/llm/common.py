@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 from contextlib import contextmanager
@@ -64,23 +65,40 @@ def cleaned(spark: SparkSession):
             drop_path(spark, path)
 
 
+#: Writes of this process that want their shuffle files deleted, and the setting from before the first.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITES: dict = {"lock": threading.Lock(), "count": 0, "before": None}
+
+
+@contextmanager
+def _shuffles_go(spark: SparkSession):
+    """The setting that deletes a query's shuffle files when it ends, until the last of writes at once has ended."""
+    with _WRITES["lock"]:
+        if not _WRITES["count"]:
+            _WRITES["before"] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _WRITES["count"] += 1
+    try:
+        yield
+    finally:
+        with _WRITES["lock"]:
+            _WRITES["count"] -= 1
+            if not _WRITES["count"]:
+                if _WRITES["before"] is None:
+                    spark.conf.unset(CLEANUP)
+                else:
+                    spark.conf.set(CLEANUP, _WRITES["before"])
+
+
 def stored(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
     """Write df as a table and read it back: cuts lineage, survives lost executors.
 
     The write's shuffle files go when it ends, so operators of several rounds need the
     disk of one; what it wrote is in the shared folder.
     """
-    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
+    with _shuffles_go(df.sparkSession):
         df.write.mode(mode).parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
