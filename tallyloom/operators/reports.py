@@ -81,7 +81,7 @@ def combined(suite: DataFrame, golden: DataFrame) -> DataFrame:
 
 def validation_summary(reports: DataFrame) -> DataFrame:
     """One row over the reports: documents, valid ones, pass rate, mean cell accuracy and F1."""
-    mean = lambda c: F.round(F.avg(c), 6)
+    mean = lambda c: quality.rounded(F.avg(c))
     return reports.agg(
         F.count("*").alias("documents"), F.count_if("valid").alias("valid"), mean(F.col("valid").cast("int")).alias("pass_rate"),
         mean("cell_accuracy").alias("cell_accuracy"), mean("f1").alias("f1")
