@@ -198,7 +198,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = stored(docs.groupBy("fp").agg(F.min(ids).alias("least")), f"{path}/distinct")
     groups = components(fingerprint_links(distinct, radius))
     named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = stored(named, f"{path}/named")
+    # A table of its own, so that the join with it is a plain one, which splits a large component.
+    least = stored(named.groupBy("component").agg(F.min("least").alias("component_id")), f"{path}/least")
     # One row a fingerprint, joined to the documents; hot fingerprints are split by the skew join.
     ids_of = stored(named.join(least, "component").select("fp", "component_id"), f"{path}/ids")
     return docs.join(ids_of, "fp")
