@@ -443,7 +443,7 @@ def merchant_city(spark, sf_dir):
 
 
 @query(f"""SELECT idx, CASE WHEN k = 2 THEN 'ONLINE' WHEN k = 4 THEN 'OSASCO' ELSE upper(n_name) END city,
- CASE k WHEN 0 THEN 'Loja' WHEN 1 THEN 'Loja Da Praca' WHEN 2 THEN 'Uber Trip Nation' WHEN 3 THEN 'Super' ELSE 'Padaria' END merchant
+ CASE k WHEN 0 THEN 'Loja' WHEN 1 THEN 'Loja Da Praca' WHEN 2 THEN 'Uber Trip Nation' WHEN 3 THEN 'Super' ELSE 'Padaria 22' END merchant
  FROM (SELECT *, idx % 5 k FROM rows) JOIN nation ON n_nationkey = idx % 25""")
 def learned_cities(spark, sf_dir):
     """Known cities as words and inside words, online shops first, then the patterns; merchants before the city."""
