@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_lstm, mixing, quality, sharding, simhash, sql, topk, toxicity, urls
+from . import bpe, centroids, chat, exact, html_lstm, mixing, quality, sharding, simhash, sql, topk, toxicity, urls, whitening
 from .common import scratch, stored
 
 
@@ -79,6 +79,19 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_lstm.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+    return found.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -91,10 +104,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_perspectives": op8_perspectives,
         "op9_top_k": op9_top_k,
         "op10_main_text": op10_main_text,
+        "op11_elkan_clusters": op11_elkan_clusters,
+        "op12_whitening": op12_whitening,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     q = quality
     op2 = sql.op2(q.COMMON_WORDS, q.CLASSES, (q.CLASS_WORDS, q.CLASS_LIMIT), (q.HIST_WORDS, q.WORD_LIMIT, q.WORD_SLACK), q.REFERENCE_WORDS, q.PARTS)
-    return {"op2_quality_rules": op2, "op6_mixing": sql.OP6, "op8_perspectives": sql.OP8, "op9_top_k": sql.OP9}
+    return {"op2_quality_rules": op2, "op6_mixing": sql.OP6, "op8_perspectives": sql.OP8, "op9_top_k": sql.OP9, "op11_elkan_clusters": sql.op11(), "op13_exact_dedup": sql.OP13}

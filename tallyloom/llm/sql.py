@@ -32,6 +32,29 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 
+OP13 = r"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') t FROM documents),
+r AS (SELECT *, first_value(doc_id) OVER w keep_id, count(*) OVER (PARTITION BY t) group_size, row_number() OVER w n FROM d WINDOW w AS (PARTITION BY t ORDER BY chars DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, n = 1 kept, sha256(t) text_sha256 FROM r"""
+
+
+def op11(k: int = 8, rounds: int = 10, size: int = 64, scale: int = 1024, seed: str = "3") -> str:
+    """Each round compares every vector with every centroid; m is a centroid's number, c its components."""
+    square = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT"
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, any_value(vec_id) vec_id, any_value(x) x, min(struct_pack(d := {square}, m := m)) best FROM v, c{n} GROUP BY r)")
+        sums = f"SELECT best.m m, i, sum(x[i])::BIGINT s, count(*) n FROM a{n}, unnest(range(1, {size + 1})) u(i) GROUP BY ALL"
+        means = f"SELECT m, list((s - (s % n + n) % n) // n ORDER BY i)::BIGINT[] c FROM ({sums}) GROUP BY m"
+        steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c{n}.m, coalesce(t.c, c{n}.c) c FROM c{n} LEFT JOIN ({means}) t ON c{n}.m = t.m)")
+    chain = ",\n".join(steps[:-1])
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) x FROM embeddings
+ WHERE embedding IS NOT NULL AND len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 m, x c FROM (SELECT sha256('{seed}:' || vec_id) h, x FROM v ORDER BY h NULLS LAST, x LIMIT {k})),
+{chain}
+SELECT vec_id, best.m::INT AS "cluster", best.d distance, sum(best.d) OVER (PARTITION BY best.m)::BIGINT cluster_inertia, sum(best.d) OVER ()::BIGINT inertia,
+ sha256(array_to_string(c, ',')) centroid_sha256 FROM a{rounds} JOIN c{rounds} ON best.m = c{rounds}.m"""
+
+
 def op2(words: dict, classes: dict, class_rule: tuple, word_rule: tuple, least: int, parts: int) -> str:
     """The quality rules; words and classes are the operator's tables, rules its limits."""
     lists = " ".join(f"WHEN '{k}' THEN [{', '.join(map(repr, w))}]" for k, w in words.items())
