@@ -1,19 +1,24 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into leaf blocks: runs of text between block tags, each with the path of its
-open tags (with class, id and role; the PATH innermost), its words and its shape. A
-bidirectional LSTM in numpy reads the blocks' vectors in page order (hashed tag path, hashed
-words, shape) and labels each block as main text or not, with the whole document as context.
+open tags (with class, id and role; the PATH innermost as they are, and the words of all outer ones
+as a set of OUTER hash buckets), its words and its shape. A bidirectional LSTM in numpy reads the
+blocks' vectors in page order (hashed tag path, hashed words, shape) and labels each block as main
+text or not, with the whole document as context.
 
 The network is trained in one executor task on a bounded sample of the pages (SAMPLE, the least
 by a hash of the html; all their blocks, in windows of WINDOW). Its teacher are the blocks whose
 open tags say what they are: inside `article` or `main`, or inside navigation, footers, asides,
-forms, headers outside an article, and class names of adverts, notices and comments. What the
-teacher reads is no input as such: in half of the readings all telling names are hidden, so the
-labels must also be learned from words, shape and neighbours. The network alone labels blocks.
+forms, headers outside an article, and class names of adverts, notices and comments. Inside an
+article a class speaks only if all of its words tell (`comments`, not `related-work`); otherwise
+the teacher is silent about that part, and the network decides. What the teacher reads is no
+input as such: one of three readings hides all telling names, so the labels must also be learned from
+words, shape and neighbours, and one leaves only SHORT tags of a path, so that outer ones are learned. The
+network alone labels blocks.
 
 Null and empty pages have no blocks and an empty text; so have pages whose blocks are all
-other. Without taught blocks of both kinds all blocks are main text. Markup may be broken: tags
+other. Without taught blocks of both kinds all blocks are main text. Tags are read as HTML reads them:
+a quote holds a value together only after `=`, and the first other `>` ends the tag. Markup may be broken: tags
 left open end with their parent; from a tag on that never ends, quotes don't hold tags together,
 and an unclosed script or style takes the rest. Time is linear in the page, and memory for a page
 is that of its blocks. Repeated rows get equal texts, empty tables give none; columns pass
@@ -25,6 +30,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable
 from typing import NamedTuple
 
@@ -41,13 +47,15 @@ by_value(__name__)
 SAMPLE, BUCKETS, DIM, HIDDEN, EPOCHS, RATE = 400, 4096, 12, 12, 8, 0.08
 #: Values of a block's shape, open tags of its path, blocks of a training window, pages of a training step.
 SHAPE, PATH, WINDOW, BATCH = 6, 8, 256, 32
+#: Buckets of the words of tags outside a path, and tags of a path that the shortened reading leaves.
+OUTER, SHORT = 256, 2
 #: Pages' characters that are parsed at once, blocks that are read at once, and steps whose inputs are made at once.
 CHARS, CELLS, STEPS = 4_000_000, 32_768, 512
 # HTML's elements that show no text, whose text is raw, that end their like, that
 # never stay open, and that are set inside a line.
 SILENT = {"script", "style", "noscript", "template", "title", "svg", "iframe", "select", "textarea", "button"}
 RAW = {"script", "style"}
-SILENT_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in SILENT}
+SILENT_END = {tag: re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.I) for tag in SILENT}
 SIBLINGS = {"li", "dt", "dd", "tr", "td", "th"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -55,25 +63,49 @@ INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i i
 OTHER_TAGS, MAIN_TAGS = {"nav", "footer", "aside", "form", "menu"}, {"article", "main"}
 OTHER_WORDS = set("ad ads advert advertisement advertising banner sponsor sponsored promo cookie cookies consent notice notices menu navbar navigation sidebar footer masthead comment comments replies disqus related share social breadcrumb breadcrumbs newsletter subscribe popup modal login search widget pagination".split())
 UNSAID = {"has", "with", "no", "without"}
-MARKUP = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
-#: A tag whose quotes hold it together, ending in > unless it never ends; and one that any > ends.
-TAG = re.compile(MARKUP + r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(>?)""", re.S)
+#: What a tag says inside an article whose class tells in part: nothing, nor do the tags in it that aren't other.
+SILENCED = -1
+MARKUP = r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
+#: An attribute: a name (which may begin with =) and, after =, a value in quotes or up to a blank or >. A quote that never closes takes the rest.
+NAME = r"(?:=[^ \t\n\f\r/>=]*+|[^ \t\n\f\r/>=]++)"
+VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\f\r>"'][^ \t\n\f\r>]*+)"""
+#: A tag, ending in > unless it never ends; and one that any > ends.
+TAG = re.compile(MARKUP + rf"((?:[ \t\n\f\r/]++|{NAME}(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+{VALUE}?+)?+)*+)(>?)", re.S)
 LOOSE = re.compile(MARKUP + r"([^>]*)(>?)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
+ATTRIBUTE = re.compile(rf"({NAME})(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+({VALUE})?+)?+", re.S)
+MARKS = re.compile("class|id|role", re.I)
 SPLIT = re.compile(r"[^a-zA-Z]+")
 
 
 class Block(NamedTuple):
-    """A run of text: the names of its innermost open tags, its text, its share of linked characters, and what its tags say it is."""
+    """A run of text: the names of its innermost open tags, its text, its share of linked characters, what its tags say it is, and the outer tags' words."""
 
     path: tuple[str, ...]
     text: str
     linked: float
     said: int | None
+    outer: tuple[str, ...] = ()
+
+
+def marks_of(attributes: str) -> tuple[str, bool]:
+    """The class, id and role of a tag, in its order, and whether the tag closes itself."""
+    found: dict[str, str] = {}
+    end, slash = 0, attributes.endswith("/")
+    for m in ATTRIBUTE.finditer(attributes) if slash or MARKS.search(attributes) else ():
+        name, value, end = m[1].lower(), m[2] or "", m.end()
+        if name in ("class", "id", "role"):
+            found.setdefault(name, entities.unescape(value[1:].removesuffix(value[0]) if value[:1] in ("'", '"') else value))
+    return " ".join(found.values()), slash and end < len(attributes)
+
+
+def outer_words(name: str) -> list[str]:
+    """Buckets of the words of a tag's name; a telling name's are marked."""
+    telling = "!" if name[-1] == "!" else ""
+    return [f"^{telling}{zlib.crc32(w.encode()) % OUTER}" for w in SPLIT.split(name.lower()) if w]
 
 
 def said_by(tag: str, marks: str, outer: int | None) -> int | None:
-    """What an open tag says of its blocks: 0 other, 1 main, None nothing; outer is its parent's word."""
+    """What an open tag says of its blocks: 0 other, 1 main, None or SILENCED nothing; outer is its parent's word."""
     if outer == 0 or tag in ("html", "body"):
         return outer
     if tag in OTHER_TAGS or (tag == "header" and outer is None):
@@ -81,7 +113,9 @@ def said_by(tag: str, marks: str, outer: int | None) -> int | None:
     for mark in marks.lower().split():
         words = [w for w in SPLIT.split(mark) if w]
         if not UNSAID.intersection(words) and OTHER_WORDS.intersection(words):
-            return 0
+            return 0 if outer is None or OTHER_WORDS.issuperset(words) else SILENCED
+    if outer == SILENCED:
+        return outer
     return 1 if tag in MAIN_TAGS or "main" in marks.lower().split() else outer
 
 
@@ -93,19 +127,36 @@ def leaf_blocks(page: str | None) -> list[Block]:
     endless: set[str] = set()
     linked = False
     known: dict[tuple, tuple] = {}
+    read: dict[str, tuple[str, bool]] = {}
+    outside: Counter[str] = Counter()
+    beyond: tuple[str, ...] | None = ()
 
     def flush():
-        nonlocal links
+        nonlocal links, beyond
         text = " ".join(entities.unescape("".join(run)).split())
         run.clear()
         if text:
             path = tuple(names[-PATH:])
-            blocks.append(Block(known.setdefault(path, path), text, min(1.0, links / len(text)), stack[-1][1] if stack else None))
+            said = stack[-1][1] if stack else None
+            if beyond is None:
+                beyond = tuple(sorted(outside))
+            blocks.append(Block(known.setdefault(path, path), text, min(1.0, links / len(text)), None if said == SILENCED else said, beyond))
         links = 0
 
+    def moved(name: str, out: bool):
+        """A tag has left the PATH innermost, or comes back."""
+        nonlocal beyond
+        for w in outer_words(name):
+            outside[w] += 1 if out else -1
+            if not outside[w]:
+                del outside[w]
+        beyond = None
+
     def shut():
         open_now[stack.pop()[0]] -= 1
         names.pop()
+        if len(names) >= PATH:
+            moved(names[-PATH], False)
 
     while m := pattern.search(page, at):
         if m[2] is not None and not m[4] and pattern is TAG:  # the tag, or a quote in it, never ends
@@ -143,13 +194,17 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         if stack and (stack[-1][0] == "p" or (tag == stack[-1][0] and tag in SIBLINGS)):
             shut()
-        if not m[3].endswith("/"):
-            marks = " ".join(["".join(x[1:]) for x in ATTRIBUTE.findall(m[3])])
+        if m[3] not in read:
+            read[m[3]] = marks_of(m[3])
+        marks, closed = read[m[3]]
+        if not closed:
             outer = stack[-1][1] if stack else None
             said = said_by(tag, marks, outer)
             stack.append((tag, said))
             open_now[tag] = open_now.get(tag, 0) + 1
             names.append(f"{tag} {marks}".strip() + "!" * (said != outer or tag in OTHER_TAGS | MAIN_TAGS))
+            if len(names) > PATH:
+                moved(names[-PATH - 1], True)
     run.append(page[at:])
     flush()
     return blocks
@@ -157,7 +212,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
 def hidden(blocks: list[Block]) -> list[Block]:
     """The blocks with each telling name of their paths made a plain div."""
-    return [b._replace(path=tuple("div" if name[-1] == "!" else name for name in b.path)) for b in blocks]
+    return [b._replace(path=tuple("div" if name[-1] == "!" else name for name in b.path), outer=tuple(w for w in b.outer if w[1] != "!")) for b in blocks]
+
+
+def shortened(blocks: list[Block]) -> list[Block]:
+    """The blocks with SHORT tags in their paths, and the words of the others among the outer ones."""
+    return [b._replace(path=b.path[-SHORT:], outer=tuple(sorted({*b.outer, *(w for name in b.path[:-SHORT] for w in outer_words(name))}))) for b in blocks]
 
 
 def block_features(blocks: list[Block], first: int = 0, total: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,14 +227,14 @@ def block_features(blocks: list[Block], first: int = 0, total: int | None = None
     """
     ids, heads, shape = [], [], np.zeros((len(blocks), SHAPE), np.float32)
     known: dict[str, int] = {}
-    for i, (path, text, linked, _) in enumerate(blocks):
+    for i, (path, text, linked, _, outer) in enumerate(blocks):
         heads.append(len(ids))
         bag = [
             w for k,
             name in enumerate(path) for w in (f"<{name}", f"<{len(path) - k}{name.split(' ')[0].rstrip('!')}", *(f"<.{x.lower()}" for x in SPLIT.split(name)))
         ]
         words = text.split()
-        for w in dict.fromkeys([*bag, *words, "<>"]):
+        for w in dict.fromkeys([*bag, *outer, *words, "<>"]):
             if w not in known:
                 known[w] = zlib.crc32(w.encode()) % BUCKETS
             ids.append(known[w])
@@ -293,7 +353,7 @@ class BiLstm:
 def train(pages: Iterable, seed: int = 1) -> dict | None:
     """Parameters learned from (html,) rows by the teacher's labels; None unless it names blocks of both kinds.
 
-    Each page is read as it is and with all telling names hidden.
+    Each page is read as it is, with all telling names hidden and with shortened paths.
     """
     net, rnd, read, kinds = BiLstm(seed), np.random.default_rng(seed), [], set()
     for (page,) in pages:
@@ -302,7 +362,7 @@ def train(pages: Iterable, seed: int = 1) -> dict | None:
             part = blocks[at : at + WINDOW]
             labels = np.array([-1 if b.said is None else b.said for b in part], np.float32)
             kinds.update(labels.tolist())
-            read += [(*block_features(x, at, len(blocks)), labels) for x in (part, hidden(part))]
+            read += [(*block_features(x, at, len(blocks)), labels) for x in (part, hidden(part), shortened(part))]
     if not {0.0, 1.0} <= kinds:
         return None
     for epoch in range(EPOCHS):

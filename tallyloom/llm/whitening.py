@@ -38,7 +38,8 @@ DIGITS = 18
 def whole_vectors(df: DataFrame, id_col: str, vector_col: str, size: int | None, scale: float, shift: int) -> DataFrame:
     """(id, x): the vectors that take part, as integers."""
     vector = quoted(vector_col)
-    whole = F.transform(vector, lambda c: F.floor(F.lit(scale) * c.cast("double")) + F.lit(shift))
+    near = lambda x: F.greatest(F.lit(-2 * LARGEST), F.least(F.lit(2 * LARGEST), x))
+    whole = F.transform(vector, lambda c: near(F.floor(F.lit(scale) * c.cast("double"))) + F.lit(shift))
     good = usable(vector) & ~F.exists(whole, lambda x: F.abs(x) >= LARGEST)
     rows = df.select(quoted(id_col).alias("id"), F.when(usable(vector, size), whole).alias("x"), F.when(good, 1).alias("fits"))
     return rows.filter("x is not null and size(x) > 0").withColumn("x", F.when(F.col("fits") == 1, F.col("x")).otherwise(F.raise_error("a component's size is 2^40 or more"))).drop("fits")

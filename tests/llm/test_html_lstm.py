@@ -52,6 +52,60 @@ def test_leaf_blocks_of_broken_markup():
     assert [t for _, t in shown("a<script>b<p>c")] == ["a"] and [t for _, t in shown("a<svg>b<p>c")] == ["ab", "c"]
 
 
+def test_tags_are_read_by_attribute_states():
+    texts = lambda page: [t for _, t in shown(page)]
+    assert texts("<article><p title=don't>Hello world one.</p><p>It's fine two.</p><p>Third para.</p></article>") == ["Hello world one.", "It's fine two.", "Third para."]
+    assert texts("<p it's>one</p><p 'a' \"b>two</p><p a=b'c\"d>three</p><p a = 'x>y' b>four") == ["one", "two", "three", "four"]
+    assert texts("<p a=>one<p =\"x>two<p a=\"b\"c='d>'>three<p a==\"b>four<p a/='b>five") == ["one", "two", "three", "four", "five"]
+    assert texts("a<p a='never>b<p>c it's") == ["a", "b", "c it's"]  # the quote closes, but then the tag never ends
+    assert texts("x<!-->y<!--->z<!--a--!>w<!-- > -->v") == ["xyzwv"]
+    assert texts("<p>a<script>x</script foo='>b<script>y</SCRIPT/>c") == ["abc"]
+    assert shown("<div title='class=ad' CLASS=\"a&amp;b\" class=no><p data-id=3 id=x/>t<p/>u") == [("div a&b p x/", "t"), ("div a&b", "u")]
+
+
+def test_outer_tags_reach_the_network():
+    deep = lambda head: H.leaf_blocks(head + "<div>" * 9 + "<p>one</p>" + "</div>" * 9 + "<p>two</p>")
+    nav, art, ad = (deep(h) for h in ("<nav>", "<article>", "<div class='promo x'>"))
+    assert [b.path for b in nav] == [b.path for b in art][:1] + [("nav!", "p")]
+    assert nav[0].outer != art[0].outer and len(ad[0].outer) == 4 and not nav[1].outer
+    assert [b.outer for b in H.hidden(nav)] == [tuple(w for w in nav[0].outer if w[1] != "!"), ()] and len(nav[0].outer) == 2
+    words = lambda blocks: {tuple(H.block_features([b])[0]) for b in blocks}
+    assert not words(nav[:1]) & words(art[:1])
+    short = H.shortened(H.leaf_blocks("<nav><ul class=x><li><p>a"))
+    assert short[0].path == ("li", "p") and set(short[0].outer) == {*H.outer_words("nav!"), *H.outer_words("ul x")}
+    began = time.process_time()
+    H.leaf_blocks("".join(f"<div class='c{i} d{i % 7}'>a" for i in range(30_000)))
+    assert time.process_time() - began < 4
+
+
+def test_deep_outer_tags_decide(spark):
+    """Pages whose telling tags lie ten tags up: only outer words tell menus from text."""
+    rnd = random.Random(11)
+    wrap = lambda h: h.replace("<article>", "<article>" + "<div>" * 10).replace("</article>", "</div>" * 10 + "</article>").replace("<nav>", "<nav>" + "<div>" * 10).replace("</nav>", "</div>" * 10 + "</nav>")
+    made = [page(rnd) for _ in range(160)]
+    rows = [(i, "u", h if i % 2 else wrap(h)) for i, (h, _) in enumerate(made)]
+    out = H.extract(spark.createDataFrame(rows, SCHEMA), sample=80).collect()
+    assert np.mean([r.text == made[r.page_id][1] for r in out]) > 0.97
+
+
+def test_a_class_inside_an_article_does_not_decide_alone(spark):
+    said = lambda page: [b.said for b in H.leaf_blocks(page)]
+    assert said("<article>a<section class=related-work>b<p>c<aside>d</aside></section><div id=search-results-table>e</div><div class='comments'>f") == [1, None, None, 0, None, 0]
+    rnd = random.Random(12)
+    made, more = [], ["So re mi, la do fa so far in the prose of this part.", "La la do, re mi so it goes on."]
+    for i in range(200):
+        html, text = page(rnd)
+        if i >= 150:
+            html = html.replace("</article>", f"<section class='related-work'><p>{more[0]}</p></section><div id='search-results-table'><p>{more[1]}</p></div></article>")
+            text = "\n".join([text, *more])
+        made.append((html, text))
+    net = H.BiLstm.__new__(H.BiLstm)
+    net.p = H.train([(h,) for h, _ in made[:150]])
+    got = H.main_texts(net, [h for h, _ in made[150:]])
+    assert np.mean([m in g for g in got for m in more]) > 0.9  # the teacher's list alone would drop all of them
+    assert np.mean([set(g.split("\n")) <= set(t.split("\n")) for g, (_, t) in zip(got, made[150:], strict=True)]) > 0.95
+
+
 def test_what_tags_say():
     said = lambda page: [b.said for b in H.leaf_blocks(page)]
     assert said("<body class='search'>a<article><header>t</header><p>b<aside>c</aside></article><header>d</header><div class='comment-list'><article>e") == [None, 1, 1, 0, 0, 0]
