@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import sys
 from bisect import bisect_left, bisect_right
-from collections import Counter, deque
+from collections import deque
+from math import floor
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -16,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import confidence
+from ..functions import alike, confidence
 from ..functions import text as t
+from ..store import Tables
+from . import rounds
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
@@ -27,41 +30,9 @@ def cents(value: Column) -> Column:
     return F.round(value * 100, 0).cast("long")
 
 
-def _common(p: str, q: str) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(q) + 1)
-    for c in p:
-        diagonal = 0
-        for j, d in enumerate(q):
-            diagonal, row[j + 1] = row[j + 1], diagonal + 1 if c == d else max(row[j + 1], row[j])
-    return row[-1]
-
-
 def token_set_ratio(a: str, b: str, least: float = 0.0) -> float:
-    """Similarity 0 to 100 of two texts' word sets: 100 if one holds the other, else by longest common subsequences.
-
-    Below `least` any value below it may come back: subsequences are only measured where shared letters allow more.
-    """
-    x, y = set((a or "").split()), set((b or "").split())
-    if not x or not y:
-        return 0.0
-    both = x & y
-    if both and (x <= y or y <= x):
-        return 100.0
-    base = " ".join(sorted(both))
-    one, two = (" ".join(filter(None, [base, " ".join(sorted(s - both))])) for s in (x, y))
-
-    def ratio(p: str, q: str) -> float:
-        size = len(p) + len(q)
-        if not size:
-            return 100.0
-        shared = sum((Counter(p) & Counter(q)).values())
-        if 200 * shared < least * size:
-            return 0.0
-        return 200 * _common(p, q) / size
-
-    pairs = [(one, two)] + ([(base, one), (base, two)] if base else [])
-    return max(ratio(p, q) for p, q in pairs)
+    """Similarity 0 to 100 of two texts' word sets; below `least` any value below it may come back."""
+    return alike.ratio(alike.Words(a), alike.Words(b), least)
 
 
 def near_classes(a: DataFrame, b: DataFrame, days: int = 1, within: float = 0.01) -> DataFrame:
@@ -116,28 +87,29 @@ def _in_blocks(rows: DataFrame, order: list, schema, start, step, finish) -> Dat
     return rows.repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", *order).mapInPandas(run, schema)
 
 
-def leader_clusters(rows: DataFrame, order: str, days: int = 1, within: float = 0.01, least: float = 70.0) -> DataFrame:
+def leader_clusters(rows: DataFrame, order: str, days: int = 1, within: float = 0.01, least: float = 70.0, held: int = rounds.HELD) -> DataFrame:
     """rows with `leader`: the order value of the first earlier row of their document that is near and alike, else their own.
 
     Only leaders within the days and cents are compared, in order; blocks keep together whatever
-    is near. Rows without a date or amount are near nothing.
+    is near. Rows without a date or amount are near nothing. A block of at most `held` rows is
+    streamed by one task; larger ones are decided by rounds.
     """
-    schema, limit = rows.withColumn("leader", F.col(order).cast("long")).schema, round(within * 100)
+    tables, limit = Tables(rows.sparkSession), round(within * 100)
+    cut = tables.keep(blocks(rows, days, limit).withColumn("\0row", F.monotonically_increasing_id()))
+    group = F.concat_ws("\0", F.col("doc_id").cast("string"), F.coalesce("block", F.lit("")))
+    slim = cut.select(
+        F.col("`\0row`").alias("row"), group.alias("grp"), F.col(order).cast("long").alias("own"), F.unix_date("date").alias("day"), cents(F.col("amount_brl")).alias("cents"), "description"
+    )
+    large = tables.keep(slim.groupBy("grp").count().filter(F.col("count") > held).select("grp"))
 
     def step(leaders: dict, row):
-        own = getattr(row, order)
-        if pd.isna(row.date) or pd.isna(row.amount_brl):
-            return own
-        day, money = row.date.toordinal(), round(row.amount_brl * 100)
-        near = [x for d in range(day - days, day + days + 1) for c in range(money - limit, money + limit + 1) for x in leaders.get((d, c), ())]
-        for lead, description in sorted(near):
-            if token_set_ratio(row.description, description, least) >= least:
-                return lead
-        leaders.setdefault((day, money), []).append((own, row.description or ""))
-        return own
+        return row.row, rounds.lead(leaders, row, days, limit, least)
 
-    finish = lambda pdf, found: pdf.drop(columns=["block"]).assign(leader=found)[schema.names]
-    return _in_blocks(blocks(rows, days, limit), [order], schema, dict, step, finish)
+    small = slim.join(large, "grp", "left_anti")
+    found = rounds.streamed(small, ["grp"], ["own", "row"], "row long, leader long", dict, step)
+    if not large.isEmpty():
+        found = found.unionByName(rounds.leader_rounds(slim.join(large, "grp", "left_semi"), days, limit, least, tables))
+    return cut.join(found.withColumnRenamed("row", "\0row").withColumnRenamed("leader", "\0leader"), "\0row").select(*[c for c in rows.columns if c != "leader"], F.col("`\0leader`").alias("leader"))
 
 
 def strict_dedup(rows: DataFrame, order: str) -> DataFrame:
@@ -172,14 +144,14 @@ def aligned(found: DataFrame, golden: DataFrame, order: str) -> DataFrame:
     return keyed(found, "f").join(keyed(golden, "g"), on, "full_outer").select("doc_id", "date", "f", "g")
 
 
-def greedy_match(a: DataFrame, b: DataFrame, order: str, least: float = 0.8, blocked: bool = True) -> DataFrame:
+def greedy_match(a: DataFrame, b: DataFrame, order: str, least: float = 0.8, held: int = rounds.HELD) -> DataFrame:
     """One-to-one matches: first the equal rows, then in a's order the best b left at or above `least`.
 
     Scores are .3 date (1 - days / 7) + .4 amount (1 - relative difference) + .3 shared words,
     rounded to 9 places; the first b wins ties. Rows equal in document, date, cents and words
     count once, at the place of the first and with the id of the last. Equal rows meet in a
-    join; the rest of a document is scored against buckets of a day, sorted by amount, cut to
-    what can still reach `least` (all of them unless `blocked`). No pairs are stored.
+    join; of the rest, a document of at most `held` rows is matched by one task, against buckets of
+    a day, sorted by amount, cut to what can still reach `least`; larger ones by rounds. No pairs are stored.
     """
     on = ["doc_id", "day", "cents", "words"]
 
@@ -210,9 +182,9 @@ def greedy_match(a: DataFrame, b: DataFrame, order: str, least: float = 0.8, blo
                 dated = max(0.0, 1 - abs(day - other) / 7)
                 room = (loss - 0.3 * (1 - dated)) / 0.4  # of the amount's score
                 low, high = 0, len(held)
-                if blocked and room < 0:
+                if room < 0:
                     continue
-                if blocked and room < 1:  # of one sign and near, or both 0
+                if room < 1:  # of one sign and near, or both 0
                     ends = sorted((money * (1 - room), money / (1 - room)))
                     low, high = bisect_left(amounts, ends[0] - 0.5), bisect_right(amounts, ends[1] + 0.5)
                 for k in range(low, high):
@@ -222,10 +194,10 @@ def greedy_match(a: DataFrame, b: DataFrame, order: str, least: float = 0.8, blo
                         able.append((0.3 * dated + 0.4 * near, held[k]))
             best = None
             for partial, (at, b_id, theirs) in sorted(able, key=lambda x: -x[0]):
-                if round(partial + 0.3, 9) < (best[0] if best else least):
+                if partial + 0.3 + 1e-9 < (best[0] if best else least):
                     break
-                alike = len(mine & theirs) / len(mine | theirs) if mine or theirs else 1.0
-                score = round(float(partial + 0.3 * alike), 9)
+                shared = len(mine & theirs) / len(mine | theirs) if mine or theirs else 1.0
+                score = floor(float(partial + 0.3 * shared) * 1e9 + 0.5) / 1e9
                 if score >= least and (best is None or (score, -at) > (best[0], -best[1])):
                     best = score, at, b_id
             if best:
@@ -250,7 +222,15 @@ def greedy_match(a: DataFrame, b: DataFrame, order: str, least: float = 0.8, blo
         "doc_id", "day", "cents", "words", F.col("a_id").isNotNull().alias("first"), F.coalesce("a_at", "b_at").alias("at"),
         F.coalesce("a_id", "b_id").alias("id")
     )
-    return equal.union(rest.repartition("doc_id").sortWithinPartitions("doc_id").mapInPandas(run, schema))
+    tables = Tables(a.sparkSession)
+    rest = tables.keep(rest)
+    large = tables.keep(rest.groupBy("doc_id").count().filter(F.col("count") > held).select("doc_id"))
+    small = rest.join(large, "doc_id", "left_anti").select(rest.columns)
+    out = equal.union(small.repartition("doc_id").sortWithinPartitions("doc_id").mapInPandas(run, schema))
+    if large.isEmpty():
+        return out
+    big = rest.join(large, "doc_id", "left_semi")
+    return out.unionByName(rounds.matched(big.filter("first"), big.filter("not first"), least, tables))
 
 
 def first_fit(golden: DataFrame, found: DataFrame, order: str, within: float = 0.05) -> DataFrame:

@@ -1,8 +1,11 @@
 import random
 from datetime import date, timedelta
 from decimal import Decimal
+from functools import partial
 
-from tallyloom.operators import linkage, quality
+import pytest
+
+from tallyloom.operators import linkage, quality, rounds
 
 SCHEMA = "doc_id string, idx long, date date, description string, amount_brl decimal(18,2), category string, currency string"
 
@@ -82,6 +85,31 @@ def test_leader_clusters_equal_the_sequential_rule(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("head,dealt", [(3, 4), (1, 1000), (40, 7)])
+def test_leader_rounds_equal_the_stream(spark, monkeypatch, head, dealt):
+    """One date and amount with many descriptions, among others; heads and shares of any size."""
+    monkeypatch.setattr(rounds, "leader_rounds", partial(rounds.leader_rounds, head=head, dealt=dealt))
+    r = random.Random(head)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(2, 6)))
+    same = [("d0", i, date(2024, 1, 1), f"{word()} {word()}", Decimal("5.00"), "A", "BRL") for i in range(60)]
+    found = [*same, *[(d, i + 100, *rest) for d, i, *rest in rows(60, 6)], ("d0", 900, None, "A", Decimal("5.00"), "A", "BRL"), ("d0", 901, date(2024, 1, 1), None, Decimal("5.00"), "A", "BRL")]
+    df = spark.createDataFrame(found, SCHEMA)
+    want = {x.idx: x.leader for x in linkage.leader_clusters(df, "idx").collect()}
+    got = {x.idx: x.leader for x in linkage.leader_clusters(df, "idx", held=5).collect()}
+    assert got == want and 2 < len({want[i] for i in range(60)}) < 60
+
+
+def test_greedy_rounds_push_out_later_rows(spark):
+    """Chains: every row wants the same few, so rounds push later ones out again and again."""
+    r = random.Random(13)
+    make = lambda n, at, seed: [("d", at + i, date(2024, 1, 1 + i % 3), "UBER SUL" if i % 2 else "UBER", Decimal(r.randint(1000, 1100)) / 100, "A", "BRL") for i in range(n)]
+    a, b = make(40, 0, 1), make(30, 500, 2)
+    a += [("d", 300, date(2024, 1, 1), None, Decimal("0.00"), "A", "BRL"), ("d", 301, date(2024, 1, 2), "", Decimal("0.00"), "A", "BRL"), ("e", 302, None, "X", Decimal("1.00"), "A", "BRL"), ("d", 303, date(2024, 1, 1), "X", None, "A", "BRL")]
+    b += [("d", 700, date(2024, 1, 3), "", Decimal("0.00"), "A", "BRL"), ("d", 701, date(2024, 1, 1), "NEG", Decimal("-7.00"), "A", "BRL")]
+    found = [{tuple(x) for x in linkage.greedy_match(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), "idx", held=n).collect()} for n in (1000, 0)]
+    assert found[0] == found[1] and len(found[0]) > 25
+
+
 def test_token_set_ratio():
     assert linkage.token_set_ratio("a b", "b a c") == 100
     assert linkage.token_set_ratio("", "a") == 0
@@ -129,9 +157,9 @@ def test_greedy_match_equals_brute_force(spark):
     off = lambda i: (timedelta(i % 3 == 0), Decimal("0.01") * (i % 5 == 0))  # noqa: E731  a day later, a cent off
     b = [(d, i + 1000, day + off(i)[0], words, amount + off(i)[1], c, m) for d, i, day, words, amount, c, m in a if i % 7] + [(d, i + 2000, day, " ".join(sorted(words.split())), amount, c, m) for d, i, day, words, amount, c, m in rows(30, 6)]
     for least in (0.8, 0.7, 0.55, 0.95):
-        for blocked in (True, False):
-            found = linkage.greedy_match(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), "idx", least, blocked).collect()
-            assert {(x.a_id, x.b_id, x.score) for x in found} == greedy_by_force(a, b, least), (least, blocked)
+        for held in (20_000, 0):
+            found = linkage.greedy_match(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), "idx", least, held).collect()
+            assert {(x.a_id, x.b_id, x.score) for x in found} == greedy_by_force(a, b, least), (least, held)
             assert len(found) == len({x.a_id for x in found}) == len({x.b_id for x in found})
 
 
