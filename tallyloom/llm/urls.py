@@ -5,6 +5,14 @@ urls; FP-growth mines token combinations of those, rules to a verdict are pruned
 and confidence, and each other url takes the best rule whose tokens it has all of, found by
 an inverted index from token to rule. Urls with the same tokens are judged once.
 
+A rule that adds tokens to one of the same verdict and at least its confidence never counts, so
+mining leaves out what can only make such rules. Tokens that the same labelled urls have are one
+class, mined once (any of them stands for it in a url). Rules of a single class are counted
+directly. FP-growth then combines the classes that are frequent, have both verdicts and aren't in
+every labelled url: others gain nothing from a further token. A labelled url of thousands of parts,
+rare or repeated, is a class or two. What is left grows with the combinations of classes that
+labelled urls of different verdicts share.
+
 Null urls, and urls without `://`, have empty host and path, fit no rule and have no tokens:
 the default verdict. Repeated rows get equal verdicts. Empty tables give none; further
 columns pass through unless named as a result column.
@@ -12,10 +20,12 @@ columns pass through unless named as a result column.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import quoted, scratch, stored
@@ -64,6 +74,52 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     )
 
 
+def labelled_sets(labelled: DataFrame) -> DataFrame:
+    """(tokens, verdict, n, a, b): the distinct rows of (tokens, verdict), their number and two hashes."""
+    sets = labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n"))
+    return sets.withColumns({"a": F.xxhash64("tokens", "verdict"), "b": F.xxhash64("verdict", "tokens", F.lit(1))})
+
+
+def counted(sets: DataFrame, least: int) -> DataFrame:
+    """(token, verdict, hits, seen, most, cls) of the tokens that `least` rows of one verdict have.
+
+    cls: the first of the tokens that exactly the same rows have (told by 128 bits of their
+    hashes, combined); they are all in one url, so a class is no larger than that. most: hits
+    of the token's commonest verdict.
+    """
+    each = sets.select("verdict", "n", "a", "b", F.explode("tokens").alias("token"))
+    by_verdict = each.groupBy("token", "verdict").agg(F.sum("n").alias("hits"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    by_token = by_verdict.groupBy("token").agg(F.sum("hits").alias("seen"), F.max("hits").alias("most"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    same = W.partitionBy("a", "b", "seen")
+    classes = by_token.filter(F.col("most") >= least).select("token", "seen", "most", F.min("token").over(same).alias("cls"))
+    return by_verdict.select("token", "verdict", "hits").join(classes, "token")
+
+
+def minimal_rules(labelled: DataFrame, support: float, confidence: float, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rules over classes, (token, cls)): mined_rules() of rows (tokens, verdict) without those that pruned() drops."""
+    sets = stored(labelled_sets(labelled), f"{path}/labelled")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    tokens = stored(counted(sets, max(1, math.ceil(support * total))), f"{path}/tokens")
+    heads = tokens.filter("token = cls")
+    sure = F.col("hits") / F.col("seen")
+    singles = heads.filter((F.col("hits") >= math.ceil(support * total)) & (sure >= confidence)).select(
+        F.array("token").alias("antecedent"), "verdict", sure.alias("confidence"), (F.col("hits") / F.lit(max(1, total))).alias("support")
+    )
+    mixed = heads.filter((F.col("most") < F.col("seen")) & (F.col("seen") < total)).select("token").distinct()
+    held = sets.select("a", "b", F.explode("tokens").alias("token")).join(mixed, "token").groupBy("a", "b").agg(F.collect_list("token").alias("left"))
+    rows = sets.join(held, ["a", "b"], "left").select(
+        F.coalesce("left", F.array().cast("array<string>")).alias("tokens"), "verdict", F.explode(F.sequence(F.lit(1), "n")).alias("copy")
+    )
+    several = mined_rules(rows, support, confidence).filter(F.size("antecedent") > 1)
+    return pruned(stored(singles.unionByName(several), f"{path}/mined")), tokens.select("token", "cls").distinct()
+
+
+def in_classes(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Sets (key, tokens, seen) with the classes of their tokens as tokens; sets without any are left out."""
+    each = sets.select("key", "seen", F.explode("tokens").alias("token")).join(classes, "token")
+    return each.groupBy("key").agg(F.first("seen").alias("seen"), F.collect_set("cls").alias("tokens"))
+
+
 def anchored(rules: DataFrame, counts: DataFrame) -> DataFrame:
     """rules with `anchor`: the token of each that is rarest by counts (token, seen), the first of equals.
 
@@ -119,11 +175,12 @@ def url_filter(df: DataFrame, rules: Sequence[tuple[str, str]], url_col: str = "
     base = df.select(*keep, host.alias("host"), way.alias("path"))
     base = base.withColumns({"\0rule": listed(F.col("host"), F.col("path"), rules), "\0tokens": tokens(F.col("host"), F.col("path"))})
     labelled = base.filter("`\0rule` is not null").select(F.col("`\0tokens`").alias("tokens"), F.col("`\0rule`.verdict").alias("verdict"))
-    found = stored(pruned(mined_rules(labelled, support, confidence)), f"{path}/rules")
+    found, classes = minimal_rules(labelled, support, confidence, path)
+    found = stored(found, f"{path}/rules")
     asks = F.col("`\0rule`").isNull() & (F.size("`\0tokens`") > 0)
     rows = base.filter(asks).withColumn("\0key", F.array_join("`\0tokens`", " "))
     sets = stored(rows.groupBy(F.col("`\0key`").alias("key")).agg(F.first("`\0tokens`").alias("tokens"), F.count("*").alias("seen")), f"{path}/sets")
-    judged = stored(matched(sets, found), f"{path}/judged")
+    judged = stored(matched(in_classes(sets, classes), found), f"{path}/judged")
     total = sets.agg(F.sum("seen")).first()[0] or 0
     hot = F.col("seen") * HOT > total
     few = sets.filter(hot).join(judged.select("key", "mined"), "key", "left").select(

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -109,3 +110,34 @@ def test_very_long_urls_and_repeats(spark):
     long = "http://e.net/" + "/".join(f"p{i}" for i in range(3000))
     out = urls.url_filter(table(spark, [long, long, "http://a.org/" + "x" * 100_000]), RULES).collect()
     assert len(out) == 3 and {r.verdict for r in out} == {"allow"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_minimal_rules_equal_pruned_ones_of_every_combination(spark, tmp_path, seed):
+    """Over few rows, where any combination is frequent: the same rules, each class of tokens named by its first."""
+    rnd = random.Random(seed)
+    rows = [(sorted({rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 6))} | {"always"}), rnd.choice(["allow", "block", "block"])) for _ in range(40)]
+    rows += [(r[0] + ["x", "y"], r[1]) for r in rows[:9]] + [(["solo", "solo2", "solo3"], "allow"), ([], "block")]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    having = {t: frozenset(i for i, (own, _) in enumerate(rows) if t in own) for own, _ in rows for t in own}
+    cls = {t: min(u for u in having if having[u] == mine) for t, mine in having.items()}
+    for support, confidence in ((0.001, 0.6), (0.1, 0.5)):
+        found, classes = urls.minimal_rules(labelled, support, confidence, f"{tmp_path}/{support}")
+        got = {(tuple(r.antecedent), r.verdict): (r.confidence, r.support) for r in found.collect()}
+        plain = {(tuple(r.antecedent), r.verdict): (r.confidence, r.support) for r in urls.pruned(urls.mined_rules(labelled, support, confidence)).collect()}
+        assert got == {k: v for k, v in plain.items() if all(cls[t] == t for t in k[0])}
+        assert {(tuple(sorted(cls[t] for t in a)), v) for a, v in plain} == {(tuple(sorted(a)), v) for a, v in got}
+        assert all(cls[r.token] == r.cls for r in classes.collect())
+
+
+def test_long_labelled_urls_end_soon(spark):
+    """A labelled url of 3,000 parts, alone, in one row of a hundred, and under both verdicts."""
+    long = lambda host, way: f"http://{host}/{way}/" + "/".join(f"p{i}" for i in range(3000))
+    short = [f"http://s{i % 7}.{'bad.com/de' if i % 2 else 'x.org/fr'}/{i}" for i in range(600)]
+    found = [long("a.org", "x")] + [long("b.org", "y")] * 6 + [long("c.com", "de")] * 6 + short + ["http://q.net/p0/p1/p2/p7", "http://q.net/de/1", long("d.net", "z"), None]
+    began = time.time()
+    out = {(r.url or ""): r.verdict for r in urls.url_filter(table(spark, found), RULES).collect()}
+    assert time.time() - began < 60 and len(out) == len(set(found))
+    assert (out[long("a.org", "x")], out[long("c.com", "de")], out["http://q.net/de/1"], out[""]) == ("allow", "block", "block", "allow")
+    eleven = "http://a.org/" + "/".join(f"k{i}" for i in range(11))
+    assert [r.verdict for r in urls.url_filter(table(spark, [eleven, "http://q.net/" + "/".join(f"k{i}" for i in range(3))]), RULES).collect()] == ["allow", "allow"]
