@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as t
 from ..functions.text import MONEY
+from . import contain
 
 # Plausible rates by currency, rates used without any other, words of online shops, and patterns of cities and merchants.
 RATES = {"USD": (4.5, 6.5), "EUR": (5.0, 7.0), "GBP": (6.0, 8.0)}
@@ -87,22 +88,6 @@ def known_merchants(golden: DataFrame) -> DataFrame:
     return golden.select(F.trim(F.substr(d, F.lit(1), at - 1)).alias("merchant")).filter("length(merchant) > 3").distinct()
 
 
-def _contained(descriptions: DataFrame, known: DataFrame, name: str) -> DataFrame:
-    """(description, found): the longest known name inside each upper-case description, the first of equals.
-
-    Names meet the places of a description by their first characters, so the join is an equi-join.
-    """
-    sizes = [r.n for r in known.select(F.least(F.length(name), F.lit(3)).alias("n")).distinct().collect()]  # 1, 2 and 3 at most
-    up = F.upper("description")
-    index = known.select(F.col(name).alias("name"), F.substring(name, 1, 3).alias("key"))
-    if not sizes:
-        return descriptions.select("description", F.lit(None).cast("string").alias("found")).limit(0)
-    places = descriptions.select("description", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("description")))).alias("at"))
-    keyed = places.select("description", "at", F.explode(F.array_distinct(F.array(*[F.substr(up, F.col("at"), F.lit(n)) for n in sizes]))).alias("key"))
-    hits = keyed.join(index, "key").filter(F.substr(up, F.col("at"), F.length("name")) == F.col("name"))
-    return hits.groupBy("description").agg(F.min(F.struct(-F.length("name"), "name"))["name"].alias("found"))
-
-
 def city_by_pattern(text: Column) -> Column:
     """Upper-case city by the first pattern that names one of over 2 letters without a card word."""
     out = []
@@ -132,9 +117,9 @@ def cities(rows: DataFrame, known: DataFrame, merchants: DataFrame | None = None
     distinct = rows.select(F.trim(F.coalesce("description", F.lit(""))).alias("description")).distinct()
     d = F.col("description")
     online = F.upper(d).rlike("|".join(ONLINE))
-    found = distinct.join(_contained(distinct, known, "city").withColumnRenamed("found", "\0city"), "description", "left")
+    found = distinct.join(contain.longest_known(distinct, F.upper("description"), known, "city").withColumnRenamed("found", "\0city"), "description", "left")
     if merchants is not None:
-        found = found.join(_contained(distinct, merchants, "merchant").withColumnRenamed("found", "\0known"), "description", "left")
+        found = found.join(contain.longest_known(distinct, F.upper("description"), merchants, "merchant").withColumnRenamed("found", "\0known"), "description", "left")
     else:
         found = found.withColumn("\0known", F.lit(None).cast("string"))
     found = found.withColumn("found_city", F.when(online, "ONLINE").otherwise(F.coalesce("\0city", city_by_pattern(d))))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import confidence, rules
 from ..functions import text as t
 from ..functions.text import MONEY
+from ..store import Tables
 
 # Words of a statement's headers and footers, and words of lines that are skipped
 # unless they hold a date.
@@ -223,21 +224,52 @@ def column_rows(cells: DataFrame, columns: DataFrame, method: str = "lattice", y
     return out.select(*key, "row_idx", "date", "description", "amount_brl", *_kinds(), F.round(score, 6).alias("confidence"))
 
 
-def non_overlapping(candidates: DataFrame, key: str = "doc_id", start: str = "start", end: str = "end") -> DataFrame:
+#: Candidates of an island that are folded in one row; larger islands are chained by doubling.
+ISLAND = 1000
+
+
+def non_overlapping(candidates: DataFrame, key: str = "doc_id", start: str = "start", end: str = "end", island: int = ISLAND) -> DataFrame:
     """Of candidates that take the places start..end of their document, those a scan from the front takes.
 
-    A scan takes a candidate if its start is behind all that was taken. Islands of candidates
-    that overlap each other are folded one by one.
+    A scan takes a candidate if its start is behind all that was taken. Islands of at most `island`
+    candidates that overlap each other are folded one by one, larger ones are chained.
     """
+    tables = Tables(candidates.sparkSession)
+    rows = tables.keep(candidates.withColumn(start, F.col(start).cast("long")))
     w = W.partitionBy(key).orderBy(start)
     reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    islands = candidates.withColumn("\0new", (F.col(start) > F.coalesce(reach, F.lit(-1))).cast("int"))
-    islands = islands.withColumn("\0island", F.sum("\0new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    spans = islands.groupBy(key, "\0island").agg(F.array_sort(F.collect_list(F.struct(F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")))).alias("x"))
+    islands = rows.select(key, F.col(start).alias("s"), F.col(end).cast("long").alias("e"), (F.col(start) > F.coalesce(reach, F.lit(-1))).cast("int").alias("new"))
+    islands = islands.withColumn("island", F.sum("new").over(W.partitionBy(key).orderBy("s").rowsBetween(W.unboundedPreceding, 0)))
+    islands = tables.keep(islands.select(key, "island", "s", "e"))
+    large = tables.keep(islands.groupBy(key, "island").count().filter(F.col("count") > island).select(key, "island"))
+    spans = islands.join(large, [key, "island"], "left_anti").groupBy(key, "island").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("x"))
     none = F.struct(F.lit(-1).cast("long").alias("free"), F.array().cast("array<bigint>").alias("taken"))
     step = lambda a, x: F.when(x["s"] > a["free"], F.struct(x["e"].alias("free"), F.array_append(a["taken"], x["s"]).alias("taken"))).otherwise(a)
     taken = spans.select(key, F.explode(F.aggregate("x", none, step)["taken"]).alias(start))
-    return candidates.withColumn(start, F.col(start).cast("long")).join(taken, [key, start], "left_semi")
+    if not large.isEmpty():
+        taken = taken.unionByName(_chained(islands.join(large, [key, "island"], "left_semi"), [key, "island"], tables).select(key, F.col("s").alias(start)))
+    return rows.join(taken, [key, start], "left_semi")
+
+
+def _chained(spans: DataFrame, keys: list[str], tables: Tables) -> DataFrame:
+    """(keys, s) of the spans (keys, s, e) on the chain from each group's first to its next free one and so on.
+
+    A span's next is the first that starts behind its end. Jumps of 1, 2, 4, ... links are made by
+    joining the jumps with themselves, and each takes all that was taken so far as many links
+    further, so a chain of n links takes log n rounds, each a join of all spans.
+    """
+    first = spans.groupBy(*keys, "s").agg(F.min("e").alias("e"))  # of spans with one start the scan takes one
+    places = first.select(*keys, F.col("s").alias("at"), F.lit(1).alias("opens")).unionByName(first.select(*keys, F.col("e").alias("at"), F.lit(0).alias("opens")))
+    behind = W.partitionBy(*keys).orderBy(F.desc("at"), "opens").rowsBetween(W.unboundedPreceding, 0)
+    nexts = places.distinct().withColumn("to", F.last(F.when(F.col("opens") == 1, F.col("at")), ignorenulls=True).over(behind)).filter("opens = 0")
+    jumps = tables.keep(first.join(nexts.select(*keys, F.col("at").alias("e"), "to"), [*keys, "e"]).filter("to is not null").select(*keys, "s", "to"))
+    taken = new = tables.keep(first.groupBy(*keys).agg(F.min("s").alias("s")))
+    while not new.isEmpty():
+        new = tables.keep(taken.join(jumps, [*keys, "s"]).select(*keys, F.col("to").alias("s")))
+        taken = taken.unionByName(new)
+        further = jumps.select(*keys, F.col("s").alias("to"), F.col("to").alias("last"))
+        jumps = tables.keep(jumps.join(further, [*keys, "to"]).select(*keys, "s", F.col("last").alias("to")))
+    return taken
 
 
 def bundles(lines: DataFrame, year: int = 2024) -> DataFrame:

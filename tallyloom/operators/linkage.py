@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import alike, confidence
 from ..functions import text as t
 from ..store import Tables
-from . import rounds
+from . import contain, rounds
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
@@ -255,17 +255,6 @@ def first_fit(golden: DataFrame, found: DataFrame, order: str, within: float = 0
     return _in_blocks(both, ["golden", "id"], schema, dict, step, lambda _, out: pd.DataFrame([x for x in out if x], columns=["doc_id", "g", "f"]))
 
 
-def _cuts(whole: DataFrame, parts: DataFrame) -> DataFrame:
-    """(doc_id, whole, text): each distinct text of whole cut at each place into the lengths that the document's parts have.
-
-    So "holds" becomes an equi-join: no pairs of texts are made.
-    """
-    lengths = parts.groupBy("doc_id").agg(F.collect_set(F.length("text")).alias("sizes"))
-    cut = whole.select("doc_id", F.col("text").alias("whole")).distinct().join(lengths, "doc_id").select("doc_id", "whole", F.explode("sizes").alias("n")).filter(F.length("whole") >= F.col("n"))
-    places = F.transform(F.sequence(F.lit(1), F.length("whole") - F.col("n") + 1), lambda at: F.substr("whole", at, F.col("n")))
-    return cut.select("doc_id", "whole", F.explode(F.array_distinct(places)).alias("text"))
-
-
 def description_matches(golden: DataFrame, found: DataFrame) -> DataFrame:
     """Per document how many golden descriptions are extracted exactly, or in part (either holds the other), with rates in percent.
 
@@ -276,9 +265,8 @@ def description_matches(golden: DataFrame, found: DataFrame) -> DataFrame:
     g, f = text(golden).groupBy(*on).agg(F.count("*").alias("n")), text(found)
     names = f.distinct()
     exact, rest = g.join(names, on, "left_semi"), g.join(names, on, "left_anti")
-    inside = rest.join(_cuts(names, rest), on, "left_semi").select(*on)
-    holds = _cuts(rest, names).join(names, on, "left_semi").select("doc_id", F.col("whole").alias("text"))
-    partly = rest.join(inside.unionByName(holds).distinct(), on, "left_semi")
+    either = contain.held(names, rest).unionByName(contain.holders(rest, names))
+    partly = rest.join(either.distinct(), on, "left_semi")
     count = lambda d, name: d.groupBy("doc_id").agg(F.sum("n").alias(name))
     out = count(g, "golden").join(f.groupBy("doc_id").agg(F.count("*").alias("found")), "doc_id", "full_outer").join(count(exact, "exact"), "doc_id", "left").join(count(partly, "partial"), "doc_id", "left")
     out = out.fillna(0, ["golden", "found", "exact", "partial"])

@@ -63,7 +63,7 @@ def lead(leaders: dict, row, days: int, limit: int, least: float) -> int:
 
 
 #: Arrow's types of result columns.
-KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+KINDS = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
 
 
 def streamed(rows: DataFrame, keys: list[str], order: list, columns: str, start, step) -> DataFrame:

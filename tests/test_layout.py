@@ -1,3 +1,4 @@
+import random
 from datetime import date
 from decimal import Decimal as D
 
@@ -35,12 +36,21 @@ def greedy(spans):
 
 
 def test_non_overlapping_equals_a_scan(spark):
-    import random
-
     r = random.Random(3)
     spans = [(f"d{d}", s, s + r.randint(0, 4)) for d in range(6) for s in range(60) if r.random() < 0.6]
     got = layout.non_overlapping(spark.createDataFrame(spans, "doc_id string, start int, end int")).collect()
-    assert sorted((x.doc_id, x.start) for x in got) == sorted((f"d{d}", s) for d in range(6) for s in greedy([x[1:] for x in spans if x[0] == f"d{d}"]))
+    want = sorted((f"d{d}", s) for d in range(6) for s in greedy([x[1:] for x in spans if x[0] == f"d{d}"]))
+    assert sorted((x.doc_id, x.start) for x in got) == want
+    chained = layout.non_overlapping(spark.createDataFrame(spans, "doc_id string, start int, end int"), island=2).collect()
+    assert sorted((x.doc_id, x.start) for x in chained) == want
+
+
+def test_a_long_island_is_chained(spark):
+    """One island over a whole document: each span overlaps the next."""
+    r = random.Random(5)
+    spans = [("d", s, s + r.randint(1, 6)) for s in range(3000)]
+    got = layout.non_overlapping(spark.createDataFrame(spans, "doc_id string, start int, end int")).collect()
+    assert sorted(x.start for x in got) == greedy([x[1:] for x in spans])
 
 
 def test_fx_chunks_consume_and_count_once(spark):
