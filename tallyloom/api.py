@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import extractors
 from .operators import layout, linkage, parse, quality, reports, runs
 
 #: Extractors by name: lines (doc_id, line_no, line) to rows (doc_id, idx, date, description, amount_brl, category, confidence).
@@ -24,6 +26,16 @@ def extractor(name: str):
     return register
 
 
+def python_extractor(name: str):
+    """Registers a class of extractors.table_function under a name: one that raises costs its document."""
+
+    def register(make):
+        EXTRACTORS[name] = lambda lines: extractors.settled(extractors.extracted(lines, make)).withColumn("category", layout.rules.category(F.col("description")))
+        return make
+
+    return register
+
+
 def _row(found: DataFrame, sure) -> DataFrame:
     d = F.col("description")
     return found.select(
@@ -52,20 +64,29 @@ def ocr_lines(lines: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("line_no").cast("long").alias("idx"), "date", "description", "amount_brl", "category", "confidence")
 
 
+def _failed(lines: DataFrame, name: str, error: str) -> DataFrame:
+    """An error row of an extractor for each document."""
+    none = {"idx": "long", "date": "date", "description": "string", "amount_brl": "decimal(18,2)", "category": "string"}
+    return lines.select("doc_id").distinct().select(
+        "doc_id", *[F.lit(None).cast(k).alias(c) for c, k in none.items()], F.lit(0.0).alias("confidence"), F.lit(name).alias("extractor"), F.lit(error).alias("error")
+    )
+
+
 def run_all(lines: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """Every extractor's rows with its name; a name that isn't registered gives an error row for each document."""
-    names = list(names or EXTRACTORS)
-    parts = [EXTRACTORS[n](lines).select(*COLUMNS, F.lit(n).alias("extractor"), F.lit(None).cast("string").alias("error")) for n in names if n in EXTRACTORS]
-    for n in names:
+    """Every extractor's rows with its name. One that isn't registered, or raises before it reads anything,
+    gives an error row for each document; a Python one gives error rows for the documents on which it raises."""
+    parts = []
+    for n in names or EXTRACTORS:
         if n not in EXTRACTORS:
-            none = {
-                c: F.lit(None).cast(k) for c,
-                k in (("idx", "long"), ("date", "date"), ("description", "string"), ("amount_brl", "decimal(18,2)"), ("category", "string"))
-            }
-            parts.append(lines.select("doc_id").distinct().select(
-                "doc_id", *[v.alias(c) for c, v in none.items()], F.lit(0.0).alias("confidence"), F.lit(n).alias("extractor"),
-                F.lit(f"unknown extractor {n}").alias("error")
-            ))
+            parts.append(_failed(lines, n, f"unknown extractor {n}"))
+            continue
+        try:
+            found = EXTRACTORS[n](lines)
+        except Exception as e:  # any fault of an extractor is its own
+            parts.append(_failed(lines, n, f"{type(e).__name__}: {e}"[:500]))
+            continue
+        error = F.col("error") if "error" in found.columns else F.lit(None).cast("string")
+        parts.append(found.select(*COLUMNS, F.lit(n).alias("extractor"), error.alias("error")))
     return reports.concatenated(parts)
 
 
@@ -79,18 +100,29 @@ def extraction_runs(rows: DataFrame) -> DataFrame:
     )
 
 
-def parse_statements(lines: DataFrame, names: Sequence[str] = ("pipeline", "simple"), threshold: float = 0.9) -> DataFrame:
-    """Ensemble of extractors: groups of like rows, the best of each, and whether its merged score reaches the threshold."""
-    every = run_all(lines, names).filter("error is null")
-    place = F.array_position(F.array(*map(F.lit, names)), F.col("extractor")) * 1_000_000_000_000 + F.col("idx")
-    grouped = linkage.leader_clusters(
-        every.withColumn("order", place.cast("long")).select("doc_id", "order", "date", "description", "amount_brl", "category", "confidence", "extractor"),
-        "order"
-    )
+def raced(rows: DataFrame, names: Sequence[str], enough: float = 0.9) -> DataFrame:
+    """Of run_all's rows those of each document's extractors up to the first, in the order of names, that is sure enough on average; of all if none is."""
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("extractor"))
+    sure = rows.groupBy("doc_id", "extractor").agg(F.avg(F.when(F.col("error").isNull(), F.col("confidence"))).alias("c"))
+    last = sure.groupBy("doc_id").agg(F.coalesce(F.min(F.when(F.col("c") >= enough, place)), F.lit(len(names))).alias("\0last"))
+    return rows.join(last, "doc_id").filter(place <= F.col("`\0last`")).select(rows.columns)
+
+
+def parse_statements(lines: DataFrame, names: Sequence[str] = ("pipeline", "simple"), threshold: float = 0.9, race: float | None = None) -> DataFrame:
+    """Ensemble of extractors: groups of like rows, the best of each, and whether its merged score reaches the threshold.
+
+    race: extractors after the first that is so sure on a document don't count there.
+    """
+    every = run_all(lines, names)
+    every = (every if race is None else raced(every, names, race)).filter("error is null")
+    # Rows are numbered in a document by extractor, then place.
+    by_place = W.partitionBy("doc_id").orderBy(F.array_position(F.array(*map(F.lit, names)), F.col("extractor")), "idx", "description", "amount_brl")
+    every = every.withColumn("order", F.row_number().over(by_place).cast("long"))
+    grouped = linkage.leader_clusters(every.select("doc_id", "order", "idx", "date", "description", "amount_brl", "category", "confidence", "extractor"), "order")
     average = every.groupBy("doc_id", "extractor").agg(F.avg("confidence").alias("pipeline_confidence"))
-    best = linkage.resolved(grouped.join(average, ["doc_id", "extractor"]).withColumn("idx", F.col("order")))
+    best = linkage.resolved(grouped.join(average, ["doc_id", "extractor"]).withColumns({"place": F.col("idx"), "idx": F.col("order")}))
     return best.select(
-        "doc_id", F.pmod("order", F.lit(1_000_000_000_000)).alias("idx"), "date", "description", "amount_brl", "category",
+        "doc_id", F.col("place").alias("idx"), "date", "description", "amount_brl", "category",
         "extractor", "conflicts", "score", (F.col("score") >= threshold).alias("accepted")
     )
 

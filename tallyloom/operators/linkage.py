@@ -87,7 +87,7 @@ def _in_blocks(rows: DataFrame, order: list, schema, start, step, finish) -> Dat
     return rows.repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", *order).mapInPandas(run, schema)
 
 
-def leader_clusters(rows: DataFrame, order: str, days: int = 1, within: float = 0.01, least: float = 70.0, held: int = rounds.HELD) -> DataFrame:
+def leader_clusters(rows: DataFrame, order: str, days: int = 1, within: float = 0.01, least: float = 70.0, held: int = rounds.BLOCK) -> DataFrame:
     """rows with `leader`: the order value of the first earlier row of their document that is near and alike, else their own.
 
     Only leaders within the days and cents are compared, in order; blocks keep together whatever
@@ -102,8 +102,8 @@ def leader_clusters(rows: DataFrame, order: str, days: int = 1, within: float =
     )
     large = tables.keep(slim.groupBy("grp").count().filter(F.col("count") > held).select("grp"))
 
-    def step(leaders: dict, row):
-        return row.row, rounds.lead(leaders, row, days, limit, least)
+    def step(leaders: dict, row, lead=rounds.lead):  # the function goes along with the job, its module wouldn't
+        return row.row, lead(leaders, row, days, limit, least)
 
     small = slim.join(large, "grp", "left_anti")
     found = rounds.streamed(small, ["grp"], ["own", "row"], "row long, leader long", dict, step)

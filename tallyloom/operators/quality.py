@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import confidence
 from ..functions import text as t
+from ..sources.golden_store import publish
 from .linkage import aligned, cents
 
 #: The fields whose cells are compared; the critical ones count twice and decide the grade.
@@ -161,8 +162,8 @@ def field_compare(pairs: DataFrame, days: int = 1, within: float = 0.01, least:
 COLUMNS = ("date", "description", "amount_brl", "category", "confidence")
 
 
-def expectations(rows: DataFrame, mostly: float = 0.95, categories: Sequence[str] = (), columns: Sequence[str] = COLUMNS) -> DataFrame:
-    """The 14 rules of a statement's rows: rule, pass ratio and success, by document in one pass.
+def rules_of(rows: DataFrame, mostly: float = 0.95, categories: Sequence[str] = (), columns: Sequence[str] = COLUMNS) -> dict[str, tuple[Column, float]]:
+    """The 14 rules of a statement's rows by name: the aggregate of its pass ratio, and the least that passes.
 
     Dates and amounts are judged as the text they are exported as; ratios are of the rows with a value.
     """
@@ -172,7 +173,7 @@ def expectations(rows: DataFrame, mostly: float = 0.95, categories: Sequence[str
     kinds = dict(rows.dtypes)
     money = F.replace(F.col("amount_brl").cast("string"), F.lit("."), F.lit(","))
     known = F.coalesce("category", F.lit("")) == ""
-    rules = {
+    return {
         "row_count": (flag(F.count("*").between(1, 200)), 1.0),
         "columns": (F.lit(float([c for c in rows.columns if c in columns] == list(columns))), 1.0),
         "date_not_null": (filled("date"), 1.0),
@@ -188,6 +189,11 @@ def expectations(rows: DataFrame, mostly: float = 0.95, categories: Sequence[str
         "confidence_between": (share(F.col("confidence").between(0, 1)), mostly),
         "total_between": (flag(F.sum("amount_brl").between(-50000, 50000)), 1.0),
     }
+
+
+def expectations(rows: DataFrame, **how) -> DataFrame:
+    """The 14 rules (rules_of) of a statement's rows: rule, pass ratio and success, by document in one pass."""
+    rules = rules_of(rows, **how)
     wide = rows.groupBy("doc_id").agg(*[F.round(c, 6).alias(n) for n, (c, _) in rules.items()])
     items = F.array(*[
         F.struct(F.lit(i).alias("place"), F.lit(n).alias("rule"), F.col(n).alias("ratio"), (F.col(n) >= least).alias("success")) for i,
@@ -205,6 +211,15 @@ def suite(results: DataFrame, most: int = 5) -> DataFrame:
     )
 
 
+def publish_gated(rows: DataFrame, path: str, **rules) -> DataFrame:
+    """suite() of all rows as one statement, written once: the table appears under path only if every rule holds."""
+    found = rules_of(rows, **rules)
+    least = {n: x for n, (_, x) in found.items()}
+    seen = publish(rows, path, {n: (F.round(c, 6), lambda v, x=x: v is not None and v >= x) for n, (c, x) in found.items()})
+    results = [(path, i, n, float(seen[n][0] or 0.0), seen[n][1]) for i, n in enumerate(least)]
+    return suite(rows.sparkSession.createDataFrame(results, "doc_id string, place int, rule string, ratio double, success boolean"))
+
+
 def gate(rows: DataFrame, **rules) -> DataFrame:
     """(doc_id, ok): whether all rules hold; a document that can't be judged doesn't."""
     return suite(expectations(rows, **rules)).select("doc_id", F.coalesce("success", F.lit(False)).alias("ok"))

@@ -34,8 +34,10 @@ from ..store import Tables
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
-#: Rows of a group that a task may hold; larger groups go by rounds. Rows decided in order in a round, and rows of a task that compares.
-HELD, HEAD, DEALT = 20_000, 4096, 4096
+#: Rows of a document that one task matches, and of a block whose leaders it finds; larger ones go by rounds.
+HELD, BLOCK = 20_000, 2000
+#: Rows decided in order in a round, and rows of a task that compares.
+HEAD, DEALT = 2048, 1024
 #: Width of an amount's bucket, at least, as a factor.
 NARROW = 1.02
 
@@ -168,7 +170,8 @@ def matched(asking: DataFrame, asked: DataFrame, least: float, tables: Tables) -
         near = F.when(most > 0, F.greatest(F.lit(0.0), 1 - F.abs(F.col("cents") - F.col("b_cents")) / most)).otherwise(F.lit(1.0))
         dated = F.greatest(F.lit(0.0), 1 - F.abs(F.col("day") - F.col("b_day")) / 7)
         score = F.floor((0.3 * dated + 0.4 * near + 0.3 * _alike(F.col("words"), F.col("b_words"))) * 1e9 + 0.5) / 1e9
-        pairs = keyed(active, True).join(theirs, keys).withColumn("score", score).filter(F.col("score") >= least)
+        able = F.lit(0.3) * dated + F.lit(0.4) * near + 0.3 >= least - 1e-9  # before words are compared
+        pairs = keyed(active, True).join(theirs, keys).filter(able).withColumn("score", score).filter(F.col("score") >= least)
         open_pairs = pairs.join(taken, ["doc_id", "b_at"], "left").filter("by is null or by > at")
         best = open_pairs.groupBy("doc_id", "at").agg(F.max(F.struct("score", (-F.col("b_at")).alias("less"), "b_id")).alias("best"))
         asks = active.join(best, ["doc_id", "at"]).select(*mine, (-F.col("best.less")).alias("b_at"), F.col("best.b_id").alias("b_id"), F.col("best.score").alias("score"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import api
-from .functions import confidence, rules
-from .operators import enrich, linkage, models, parse, quality, reports, runs
+from . import api, extractors
+from .functions import confidence, rules, text
+from .operators import enrich, linkage, models, parse, quality, reports, runs, sketches
 from .plans import adapters as a
 from .registry import SQL_FULL, query
 from .sources import statements
@@ -467,25 +470,6 @@ def result_rows(spark, sf_dir):
     )
 
 
-@query("""SELECT idx doc_id, count(*) n, round(sum(m)::DOUBLE, 2) total, round(max(c)::DOUBLE, 2) sure
- FROM (SELECT idx, unnest([25.30, 87.64, 156.78, 25.30]) m, unnest([0.95, 0.97, 0.99, 1.01]) c, unnest([0, 1, 2, 3]) i
- FROM rows) WHERE i < 3 GROUP BY 1""")
-def mock_source(spark, sf_dir):
-    out = statements.mock_rows(a.rows(spark, sf_dir).select(F.col("idx").alias("doc_id")), "custom_extractor")
-    return out.groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.round(F.sum("amount_brl").cast("double"), 2).alias("total"),
-        F.round(F.max("confidence"), 2).alias("sure")
-    )
-
-
-@query()
-def synthetic_round_trip(spark, sf_dir):
-    """Made statements as lines, parsed back; the tests compare every row with what was made."""
-    made = statements.synthetic(spark, 200, 40)
-    found = api.pipeline(statements.as_lines(made))
-    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("amount_brl").cast("double"), 2).alias("total"))
-
-
 @query("""SELECT doc_id, CASE WHEN k = 0 THEN 'pipeline' WHEN k = 1 THEN 'fallback' END AS method, round(amount_brl::DOUBLE, 2) amount
  FROM (SELECT idx doc_id, idx % 3 k, amount_brl FROM rows) WHERE k < 2""")
 def robust_parse(spark, sf_dir):
@@ -569,3 +553,44 @@ def rate_model(spark, sf_dir):
 def platt_scores(spark, sf_dir):
     found = a.rows(spark, sf_dir).select("idx", "confidence", (F.col("idx") % 50 > F.col("idx") % 37).alias("hit"))
     return models.platt(found, ["confidence"]).select("idx", F.round("score", 4).alias("score"))
+
+
+@query(""", h AS (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS start FROM runs), e AS (SELECT start, method, error, count(*) n FROM h WHERE error IS NOT NULL GROUP BY ALL),
+t AS (SELECT start, method, string_agg(error || ':' || n, ',' ORDER BY n DESC, error) top FROM e GROUP BY ALL)
+SELECT h.start, h.method, count(*) runs, round(avg(success::INT), 6) success_rate, true AS near, coalesce(any_value(top), '') top FROM h LEFT JOIN t ON h.start = t.start AND h.method = t.method GROUP BY 1, 2""")
+def sketch_dashboard(spark, sf_dir):
+    """Sketches of five minutes merged into hours: numbers, errors, and whether the median's rank is within the sketch's bound."""
+    history = a.runs(spark, sf_dir)
+    found = sketches.estimated(sketches.merged(sketches.sketched(history)))
+    near = sketches.within_error(found, history)
+    top = F.array_join(F.transform("top_errors", lambda x: F.concat_ws(":", x["error"], x["n"].cast("string"))), ",")
+    return found.join(near, ["start", "method"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "method", "runs", "success_rate", "near", F.coalesce(top, F.lit("")).alias("top"))
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
+
+
+class _Plain:
+    """Day, text and amount of a line; a line without them raises."""
+
+    def line(self, line_no, line):
+        from datetime import date
+
+        day, *words, money = line.split()
+        if "/" not in day:
+            raise ValueError(f"line {line_no}")
+        return date(2024, int(day[3:5]), int(day[:2])), " ".join(words), money.replace(".", "").replace(",", "."), 0.8
+
+
+@query("""SELECT doc_id, 'plain' extractor, NOT bool_or(idx % 97 = 5) success, CASE WHEN bool_or(idx % 97 = 5) THEN 0 ELSE count(*) END n,
+ CASE WHEN bool_or(idx % 97 = 5) THEN 0 ELSE round(sum(amount_brl)::DOUBLE, 2) END total, 'ValueError: line ' || min(idx) FILTER (WHERE idx % 97 = 5) error FROM rows GROUP BY 1""")
+def extractor_errors(spark, sf_dir):
+    """A Python extractor over every line; the documents with a line that it can't read have an error row alone."""
+    found, (day, money) = a.rows(spark, sf_dir), (F.date_format("date", "dd/MM"), text.money(F.col("amount_brl")))
+    line = F.when(F.col("idx") % 97 == 5, "nada nada").otherwise(F.concat_ws(" ", day, "description", money))
+    out = extractors.settled(extractors.extracted(found.select("doc_id", F.col("idx").alias("line_no"), line.alias("line")), _Plain))
+    good = F.col("error").isNull()
+    return out.groupBy("doc_id").agg(
+        F.lit("plain").alias("extractor"), F.bool_and(good).alias("success"), F.count_if(good).alias("n"),
+        F.round(F.coalesce(F.sum("amount_brl"), F.lit(0)).cast("double"), 2).alias("total"), F.max("error").alias("error")
+    )

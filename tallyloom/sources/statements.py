@@ -103,65 +103,6 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return some.select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
 
 
-# Rows of a mock reader, and how many and how sure they are by processor.
-MOCK = [
-    ("2024-10-05", "UBER DO BRASIL TECNO", "25.30", "TRANSPORTE"), ("2024-10-07", "FARMACIA SAO JOAO", "87.64", "SAÚDE"),
-    ("2024-10-10", "AMAZON WEB SERVICES", "156.78", "TECNOLOGIA")
-]
-MOCK_SHARES = {"ocr": (0.6, 0.75), "form_parser": (0.8, 0.82), "layout_parser": (0.9, 0.88), "invoice_parser": (1.0, 0.91), "custom_extractor": (1.2, 0.95)}
-
-
-def mock_rows(docs: DataFrame, processor: str) -> DataFrame:
-    """Fixed rows for each document: max(1, 3 times the processor's share), each .02 surer than the one before."""
-    share, base = MOCK_SHARES.get(processor, (0.8, 0.8))
-    n = max(1, int(3 * share + 1e-9))
-    made = [MOCK[i % 3] for i in range(n)]
-    items = F.array(*[
-        F.struct(F.lit(i).alias("idx"), F.lit(d).cast("date").alias("date"), F.lit(x).alias("description"), F.lit(m).cast("decimal(18,2)").alias("amount_brl"), F.lit(c).alias("category"), F.lit(round(base + 0.02 * i, 2)).alias("confidence")) for i,
-        (d, x, m, c) in enumerate(made)
-    ])
-    return docs.select("doc_id", F.explode(items).alias("r")).select("doc_id", "r.*")
-
-
-# Merchants of made statements, with the least and most of their amounts.
-MERCHANTS = [
-    ("UBER DO BRASIL", 15, 80), ("99 TAXI", 15, 80), ("NETFLIX", 39.9, 39.9), ("AMAZON", 25, 200), ("RESTAURANTE CENTRAL", 45, 150), ("RESTAURANTE DO PORTO", 45, 150), ("SUPERMERCADO LIMA", 80, 300), ("CARREFOUR", 80, 300),
-    ("FARMACIA BOA", 20, 250), ("POSTO NORTE", 20, 250), ("LOJA DA PRACA", 20, 250), ("PADARIA SOL", 20, 250), ("LIVRARIA LUZ", 20, 250), ("CINEMA REAL", 20, 250), ("CLINICA VIDA", 20, 250),
-]
-
-
-def synthetic(spark: SparkSession, statements: int, rows: int, first: str = "2024-01-01", international: bool = True, seed: int = 42) -> DataFrame:
-    """Made statements: doc_id 0.., one a month from `first`, each with `rows` rows of the month before, in order of date.
-
-    Every value follows from the seed and the row's numbers, so reruns and lost executors agree.
-    About a tenth are foreign, at a rate of 5.0 to 6.5.
-    """
-    base = spark.range(statements).select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("idx"))
-    draw = lambda salt: F.pmod(F.xxhash64("doc_id", "idx", F.lit(seed), F.lit(salt)), F.lit(1_000_000)) / 1_000_000
-    shops = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for n, a, b in MERCHANTS])
-    start = F.add_months(F.lit(first).cast("date"), F.col("doc_id").cast("int") - 1)
-    out = base.withColumn("m", F.get(shops, F.floor(draw("m") * len(MERCHANTS)).cast("int"))).withColumn("abroad", F.lit(international) & (draw("f") < 0.1))
-    out = out.withColumn(
-        "amount_brl", F.round(F.col("m.low") + draw("a") * (F.col("m.high") - F.col("m.low")), 2).cast("decimal(18,2)")
-    ).withColumn("rate", F.when(F.col("abroad"), F.round(5 + 1.5 * draw("r"), 2).cast("decimal(12,6)")))
-    out = out.select(
-        "doc_id", "idx", F.date_add(
-            start, F.floor(draw("d") * F.datediff(F.add_months(start, 1), start)).cast("int")
-        ).alias("date"), F.concat("m.name", F.when(F.col("abroad"), " USA").otherwise("")).alias("description"),
-        "amount_brl", F.col("rate").alias("fx_rate"), F.round(F.try_divide("amount_brl", "rate"), 2).cast("decimal(18,2)").alias("amount_usd"), F.when(F.col("abroad"), "USD").otherwise("BRL").alias("currency"),
-    )
-    return out.withColumn("line_no", F.row_number().over(W.partitionBy("doc_id").orderBy("date", "idx")))
-
-
-def as_lines(rows: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line): rows as a statement prints them."""
-    money = lambda c: F.translate(F.format_number(F.col(c), 2), ",.", ".,")
-    return rows.select(
-        "doc_id", "line_no",
-        F.concat_ws(" ", F.date_format("date", "dd/MM"), "description", F.when(F.col("currency") != "BRL", money("amount_usd")), money("amount_brl")).alias("line")
-    )
-
-
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """A CSV whose separator is seen in its first line, with trimmed lower-case names and aliases resolved."""
     head = spark.read.text(path).limit(1).collect()

@@ -105,11 +105,9 @@ def test_exports(spark, tmp_path):
     assert [(r.key, r.description) for r in more.collect()] == [("k1", "new")]
 
 
-def test_page_texts_and_mock(spark):
+def test_page_texts(spark):
     pages = spark.createDataFrame([("d", 2, "b"), ("d", 1, "a"), ("d", 3, ""), ("e", 1, None)], "doc_id string, page int, text string")
     assert [tuple(r) for r in s.page_texts(pages).collect()] == [("d", "a\nb")]
-    docs = spark.createDataFrame([("d",)], "doc_id string")
-    assert [s.mock_rows(docs, p).count() for p in ("ocr", "form_parser", "layout_parser", "invoice_parser", "custom_extractor", "x")] == [1, 2, 2, 3, 3, 2]
 
 
 def test_run_rates_stream(spark, tmp_path):
