@@ -283,16 +283,25 @@ def worst(accuracies: DataFrame, k: int = 3) -> DataFrame:
     return accuracies.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def zipped_pairs(a: DataFrame, b: DataFrame, order: str) -> DataFrame:
-    """Rows of equal place in their documents' order side by side, as structs a and b."""
+def zipped_pairs(a: DataFrame, b: DataFrame, order: str, strict: bool = False) -> DataFrame:
+    """Rows of equal place in their documents' order side by side, as structs a and b; strict: a place without both is an error."""
     place = lambda d, n: d.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy(order)).alias("place"), F.struct(*d.columns).alias(n))
-    return place(a, "a").join(place(b, "b"), ["doc_id", "place"], "full_outer")
+    out = place(a, "a").join(place(b, "b"), ["doc_id", "place"], "full_outer")
+    if not strict:
+        return out
+    odd = F.concat(F.lit("rows of unequal number in document "), F.col("doc_id").cast("string"))
+    return out.withColumn("a", F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error(odd)).otherwise(F.col("a")))
 
 
-def coverage(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column: rows with a prediction and their share."""
-    some = lambda c: F.count_if(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "")
-    wide = rows.agg(F.count("*").alias("\0n"), *[some(c).alias(c) for c in columns])
-    return wide.unpivot(["\0n"], list(columns), "column", "predicted").select(
-        "column", "predicted", F.round(F.try_divide(F.col("predicted"), F.col("`\0n`")), 6).alias("rate")
-    )
+def coverage(rows: DataFrame, columns: Sequence[str], confidence: str | None = None) -> DataFrame:
+    """Per column: rows with a prediction, their share and, with a confidence column, their mean confidence, in one pass."""
+    has = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != ""
+    sure = lambda c: F.avg(F.when(has(c), F.col(confidence))) if confidence else F.lit(None).cast("double")
+    wide = rows.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count_if(has(c)).alias("predicted"), F.count("*").alias("n"), sure(c).alias("confidence")) for c in columns]).alias("x"))
+    out = wide.select(F.explode("x").alias("x")).select("x.*")
+    return out.select("column", "predicted", F.round(F.try_divide("predicted", "n"), 6).alias("rate"), *([F.round("confidence", 6).alias("confidence")] if confidence else []))
+
+
+def mean_rates(rows: DataFrame) -> DataFrame:
+    """Mean rate of each currency, of the rows that have one."""
+    return rows.groupBy("currency").agg(F.round(F.avg("fx_rate"), 6).alias("rate"))

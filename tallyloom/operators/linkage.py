@@ -276,6 +276,12 @@ def description_matches(golden: DataFrame, found: DataFrame) -> DataFrame:
     return out.select("doc_id", "golden", "found", "exact", "partial", *[F.round(100 * c, 6).alias(n) for n, c in rate.items()])
 
 
+def missing_extra(found: DataFrame, golden: DataFrame, on: tuple[str, ...] = ("doc_id", "date", "amount_brl")) -> DataFrame:
+    """(kind, doc_id, n): golden rows that aren't found (missing) and found rows that aren't golden (extra), by document."""
+    side = lambda kind, x, y: x.join(y, list(on), "left_anti").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "doc_id", "n")
+    return side("missing", golden, found).union(side("extra", found, golden))
+
+
 def fx_match(rows: DataFrame, fx: DataFrame, order: str) -> DataFrame:
     """Foreign rows with the first fx item of the document whose amount is within a cent."""
     items = fx.select("doc_id", F.explode(F.array(*[cents(F.col("amount_brl")) + k for k in (-1, 0, 1)])).alias("\0cents"), F.struct(order, "fx_rate").alias("item"))

@@ -27,7 +27,11 @@ def lines_of(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
 
 
 def once(struct: Column) -> Column:
-    """The struct, held as a column: the optimizer would otherwise repeat its expression for each field read."""
+    """The struct, held as a column: the optimizer would otherwise repeat its expression for each field read.
+
+    The partition's number only makes the expression one that mustn't be repeated; its value doesn't count.
+    Filters on a column made so aren't pushed below it, those on other columns before it are.
+    """
     return F.when(F.spark_partition_id() >= 0, struct)
 
 
@@ -86,7 +90,9 @@ def parse_lines(lines: DataFrame, year: int = 2024, order: Sequence[str] = ("fx"
     A line with two amounts also fits the national shape, so foreign comes first unless the order says otherwise.
     """
     line = F.trim("line")
-    kept = lines.filter((line != "") & ~layout.is_header(line)).withColumns({"\0fx": once(parts(line, FOREIGN, 4)), "\0national": once(parts(line, NATIONAL, 3))})
+    kept = lines.filter((line != "") & ~layout.is_header(line)).withColumn("\0national", once(parts(line, NATIONAL, 3)))
+    # A line of two amounts fits both shapes, so only lines that fit the national one are read for it.
+    kept = kept.withColumn("\0fx", once(F.when(F.size("\0national") == 3, parts(line, FOREIGN, 4))))
     shapes = {"fx": _row(F.col("`\0fx`"), 4, "fx", year), "national": _row(F.col("`\0national`"), 3, "national", year), "fallback": last_amount(line, year, default)}
     return kept.withColumn("\0row", once(F.coalesce(*[shapes[s] for s in order]))).filter("`\0row` is not null").select("doc_id", "line_no", "`\0row`.*")
 

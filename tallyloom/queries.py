@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import api
 from .functions import confidence, rules
 from .functions import text as t
 from .operators import enrich, linkage, models, parse, quality, runs
@@ -289,9 +290,7 @@ def prf_set(spark, sf_dir):
  WHERE r.doc_id = g.doc_id AND r.date = g.date AND r.amount_brl = g.amount_brl) GROUP BY ALL""")
 def missing_extra(spark, sf_dir):
     found = a.rows(spark, sf_dir)
-    gold, on = a.golden(found), ["doc_id", "date", "amount_brl"]
-    side = lambda kind, x, y: x.join(y, on, "left_anti").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "doc_id", "n")
-    return side("missing", gold, found).union(side("extra", found, gold))
+    return linkage.missing_extra(found, a.golden(found))
 
 
 
@@ -388,14 +387,14 @@ def auto_golden(spark, sf_dir):
 
 
 
-@query("""SELECT doc_id, CASE WHEN NOT max(success) FILTER (WHERE side = 0) AND max(success) FILTER (WHERE side = 1) THEN 'fallback' ELSE 'primary' END choice
- FROM (SELECT idx doc_id, 0 side, idx % 3 <> 0 success FROM rows UNION ALL SELECT idx, 1, idx % 2 = 0
- FROM rows) GROUP BY 1""")
+@query("""SELECT idx doc_id, CASE WHEN NOT ps AND ss THEN 'fallback' WHEN ps AND ss AND sc > pc + 0.1::DOUBLE THEN 'fallback' WHEN pn = 0 AND sn > 0 THEN 'fallback' ELSE 'primary' END choice
+ FROM (SELECT idx, idx % 3 <> 0 ps, idx % 2 = 0 ss, idx % 5 / 8.0::DOUBLE pc, idx % 7 / 8.0::DOUBLE sc, idx % 4 pn, idx % 9 sn FROM rows)""")
 def fallback_merge(spark, sf_dir):
+    """Documents for each of the rules: a primary that failed, is less sure, or is empty, and none of them."""
     k = F.col("idx")
     found = a.rows(spark, sf_dir)
-    side = lambda ok: found.select(k.alias("doc_id"), ok.alias("success"), F.lit(0.5).alias("confidence"), F.lit(1).alias("n"))
-    return linkage.chosen(side(k % 3 != 0), side(k % 2 == 0))
+    side = lambda ok, sure, n: found.select(k.alias("doc_id"), ok.alias("success"), (sure / 8).alias("confidence"), n.alias("n"))
+    return linkage.chosen(side(k % 3 != 0, k % 5, k % 4), side(k % 2 == 0, k % 7, k % 9))
 
 
 
@@ -475,32 +474,31 @@ def golden_candidates(spark, sf_dir):
 
 
 
-@query("SELECT doc_id, count(*) pairs FROM rows GROUP BY 1")
+@query(""", x AS (SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY idx) place FROM rows), y AS (SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY idx) place FROM second)
+SELECT coalesce(x.doc_id, y.doc_id) doc_id, coalesce(x.place, y.place) place, x.idx a_idx, y.idx b_idx FROM x FULL JOIN y ON x.doc_id = y.doc_id AND x.place = y.place""")
 def positional_zip(spark, sf_dir):
     found = a.rows(spark, sf_dir)
-    return enrich.zipped_pairs(found, a.second(found), "idx").groupBy("doc_id").agg(F.count("*").alias("pairs"))
+    return enrich.zipped_pairs(found, a.second(found), "idx").select("doc_id", F.col("place").cast("long").alias("place"), F.col("a.idx").alias("a_idx"), F.col("b.idx").alias("b_idx"))
 
 
-@query("""SELECT 'category' AS column, count(*) predicted, 1.0::DOUBLE AS rate FROM rows
- UNION ALL SELECT 'currency', count(*) FILTER (WHERE currency <> 'BRL'), round(avg((currency <> 'BRL')::INT), 6)
+@query("""SELECT 'category' AS column, count(*) FILTER (WHERE idx % 7 <> 0) predicted, round(avg((idx % 7 <> 0)::INT), 6) AS rate, round(avg(confidence) FILTER (WHERE idx % 7 <> 0), 6) confidence FROM rows
+ UNION ALL SELECT 'currency', count(*) FILTER (WHERE currency <> 'BRL'), round(avg((currency <> 'BRL')::INT), 6), round(avg(confidence) FILTER (WHERE currency <> 'BRL'), 6)
  FROM rows""")
 def prediction_coverage(spark, sf_dir):
     found = a.rows(spark, sf_dir).withColumn("currency", F.when(F.col("currency") != "BRL", F.col("currency")))
-    return enrich.coverage(found, ["category", "currency"])
+    found = found.withColumn("category", F.when(F.col("idx") % 7 == 0, F.when(F.col("idx") % 2 == 0, " ")).otherwise(F.col("category")))
+    return enrich.coverage(found, ["category", "currency"], "confidence")
 
 
 @query("SELECT currency, round(avg(5 + (idx % 10) / 10.0::DOUBLE), 6) rate FROM rows GROUP BY 1")
 def currency_rates(spark, sf_dir):
-    return a.rows(spark, sf_dir).groupBy("currency").agg(F.round(F.avg(5 + (F.col("idx") % 10) / 10), 6).alias("rate"))
+    return enrich.mean_rates(a.rows(spark, sf_dir).withColumn("fx_rate", 5 + (F.col("idx") % 10) / 10))
 
 
-@query("""SELECT method, round(avg(time_ms), 4) mean_ms, min(time_ms) least_ms, max(time_ms) most_ms, count(*) FILTER (WHERE confidence >= 0.7) sure
+@query("""SELECT method, count(*) runs, round(avg(time_ms), 4) mean_ms, min(time_ms) least_ms, max(time_ms) most_ms, round(avg(confidence), 6) confidence
  FROM runs GROUP BY 1""")
 def run_benchmark(spark, sf_dir):
-    return a.runs(spark, sf_dir).groupBy("method").agg(
-        F.round(F.avg("time_ms"), 4).alias("mean_ms"), F.min("time_ms").alias("least_ms"), F.max("time_ms").alias("most_ms"),
-        F.count_if(F.col("confidence") >= 0.7).alias("sure")
-    )
+    return api.benchmark(a.runs(spark, sf_dir))
 
 
 from . import queries_match, queries_parse  # noqa: E402, F401  they register their queries

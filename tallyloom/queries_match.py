@@ -159,7 +159,7 @@ def fuzzy_merge(spark, sf_dir):
     return out.join(twin, ["doc_id", "date", "amount_brl"], "left_anti").select("idx")
 
 
-_G = "SELECT doc_id, lower(trim(CASE WHEN idx % 5 = 0 THEN 'LOJA ' || description WHEN idx % 5 = 1 THEN substr(description, 3, 9) WHEN idx % 5 = 2 THEN 'ZZ' || idx ELSE description END)) t FROM rows WHERE idx % 2 = 0"
+_G = "SELECT doc_id, lower(trim(CASE WHEN idx % 5 = 0 THEN 'LOJA ' || description WHEN idx % 5 = 1 THEN substr(description, 3, 9) WHEN idx % 5 = 2 THEN 'ZZ' || idx ELSE description END)) t FROM rows WHERE idx % 2 = 0 OR idx % 3 = 0"
 
 
 @query(f""", g AS ({_G}), f AS (SELECT doc_id, lower(trim(description)) t FROM rows
@@ -180,7 +180,7 @@ _G = "SELECT doc_id, lower(trim(CASE WHEN idx % 5 = 0 THEN 'LOJA ' || descriptio
 def description_matches(spark, sf_dir):
     k, d, found = F.col("idx"), F.col("description"), a.rows(spark, sf_dir)
     text = F.when(k % 5 == 0, F.concat(F.lit("LOJA "), d)).when(k % 5 == 1, F.substring(d, 3, 9)).when(k % 5 == 2, F.concat(F.lit("ZZ"), k.cast("string"))).otherwise(F.concat(F.lit(" "), d))
-    return linkage.description_matches(found.filter("idx % 2 = 0").withColumn("description", text), found.filter("idx % 3 <> 0"))
+    return linkage.description_matches(found.filter("idx % 2 = 0 or idx % 3 = 0").withColumn("description", text), found.filter("idx % 3 <> 0"))
 
 
 _X, _Y = "list_distinct(string_split(lower(replace(a, '#', ' ')), ' '))", "list_distinct(string_split(lower(replace(b, '#', ' ')), ' '))"

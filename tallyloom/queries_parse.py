@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import rules
 from .functions import text as t
-from .operators import enrich, layout, parse, quality
+from .operators import enrich, layout, parse, quality, tables
 from .plans import adapters as a
 from .registry import CASES, SQL_ITEMS, num, query
 
@@ -590,3 +591,23 @@ def semantic_tests(spark, sf_dir):
         quality.dates_match(F.col("date").cast("string"), other).alias("dates"),
         quality.descriptions_similar(F.col("description"), words).alias("descriptions")
     )
+
+
+@query("""WITH i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_shipdate, l_returnflag, l_quantity, l_discount, l_tax)::INT row_idx, count(*) OVER (PARTITION BY l_orderkey) n FROM lineitem)
+SELECT l_orderkey doc_id, row_idx, make_date(2024, month(l_shipdate), day(l_shipdate)) AS date, 'ITEM ' || translate(l_partkey::VARCHAR, '0123456789', 'abcdefghij') || ' ' || l_returnflag AS description,
+ round(CAST(l_extendedprice AS DECIMAL(18,2))::DOUBLE, 2) amount FROM i WHERE n > 1""", rows=False)
+def word_tables(spark, sf_dir):
+    """Line items as word boxes, three words of a text between a day and a right-aligned amount; tables of more than one row are found again."""
+    li = a.table(spark, sf_dir, "lineitem")
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_returnflag", "l_quantity", "l_discount", "l_tax")
+    name, money = F.translate(F.col("l_partkey").cast("string"), "0123456789", "abcdefghij"), t.money(F.col("l_extendedprice").cast("decimal(18,2)"))
+    box = lambda word, x0, x1: F.struct(word.alias("text"), x0.cast("double").alias("x0"), x1.cast("double").alias("x1"))
+    after = 84 + 5 * F.length(name)
+    boxes = F.array(
+        box(F.date_format("l_shipdate", "dd/MM"), F.lit(10), F.lit(35)), box(F.lit("ITEM"), F.lit(60), F.lit(80)), box(name, F.lit(83), after - 2), box(F.col("l_returnflag"), after, after + 5),
+        box(money, 300 - 5 * F.length(money), F.lit(300)),
+    )
+    words = li.withColumn("at", F.row_number().over(w)).select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), (F.col("at") * 12 + F.col("l_partkey") % 3).cast("double").alias("top"), F.explode(boxes).alias("b"))
+    cells = tables.table_cells(words.select("doc_id", "page", "b.*", "top", (F.col("top") + 9).alias("bottom")))
+    out = layout.column_rows(cells, parse.infer_columns(cells))
+    return out.select("doc_id", "row_idx", "date", "description", F.round(F.col("amount_brl").cast("double"), 2).alias("amount"))
