@@ -137,6 +137,7 @@ def row_class(spark, sf_dir):
 @query("""SELECT idx, round(least(0.5 + 0.2 + CASE WHEN length(description) > 5 THEN 0.2 ELSE 0 END + least((idx % 8) * 0.02, 0.1) + CASE WHEN idx % 2 = 0 THEN 0.05 ELSE 0 END, 1.0)::DOUBLE, 6) row_c,
  round((0.25 + 0.35 + 0.2 * confidence + 0.1 * pipeline_confidence)::DOUBLE, 6) txn_c,
  round(least(0.6 * least((idx % 20) / greatest(idx % 10, 1)::DOUBLE, 1.0) + 0.4 * CASE WHEN idx % 20 > 0 THEN 0.5 ELSE 0 END, 1.0)::DOUBLE, 6) ext_c,
+ round(least(0.4 * least((idx % 20) / greatest(idx % 10, 1)::DOUBLE, 1.0) + 0.3 * CASE WHEN idx % 20 > 0 THEN 0.5 ELSE 0 END + 0.3 * confidence, 1.0)::DOUBLE, 6) ext_ocr,
  round((confidence * CASE extractor WHEN 'camelot' THEN 0.9 WHEN 'pdfplumber' THEN 0.85 ELSE 1 END)::DOUBLE, 6) calibrated
  FROM rows""")
 def row_confidence(spark, sf_dir):
@@ -144,7 +145,8 @@ def row_confidence(spark, sf_dir):
     return a.rows(spark, sf_dir).select(
         "idx", F.round(confidence.row(F.col("amount_brl"), F.col("description"), k % 8, k % 2 == 0), 6).alias("row_c"),
         F.round(confidence.transaction(F.lit(True), F.lit(True), F.col("confidence"), F.lit(False), F.col("pipeline_confidence")), 6).alias("txn_c"),
-        F.round(confidence.extraction(k % 20, k % 10, (k % 20) / 2), 6).alias("ext_c"), F.round(confidence.calibrated(F.col("confidence"), F.col("extractor")), 6).alias("calibrated"),
+        F.round(confidence.extraction(k % 20, k % 10, (k % 20) / 2), 6).alias("ext_c"), F.round(confidence.extraction(k % 20, k % 10, (k % 20) / 2, F.col("confidence")), 6).alias("ext_ocr"),
+        F.round(confidence.calibrated(F.col("confidence"), F.col("extractor")), 6).alias("calibrated"),
     )
 
 

@@ -73,12 +73,11 @@ def worst_fields(spark, sf_dir):
  FROM fk FULL OUTER JOIN gk ON fk.doc_id = gk.doc_id AND fk.date = gk.date AND fk.amount_brl = gk.amount_brl
  GROUP BY 1)
  SELECT doc_id, grade, overall, critical, round(CASE WHEN f = 0 THEN 0 ELSE tp / f::DOUBLE END, 6) AS precision,
- round(CASE WHEN g = 0 THEN 0 ELSE tp / g::DOUBLE END, 6) recall, (SELECT accuracy
- FROM rated x WHERE x.doc_id = grades.doc_id AND field = 'description') description_accuracy FROM grades
+ round(CASE WHEN g = 0 THEN 0 ELSE tp / g::DOUBLE END, 6) recall, {", ".join(f"(SELECT accuracy FROM rated x WHERE x.doc_id = grades.doc_id AND field = '{c}') {c}_accuracy" for c in _SAME)} FROM grades
  JOIN sets USING (doc_id)""")
 def health_report(spark, sf_dir):
     found = reports.health_report(*_both(spark, sf_dir))
-    return found.select("doc_id", "grade", "overall", "critical", "precision", "recall", "description_accuracy")
+    return found.select("doc_id", "grade", "overall", "critical", "precision", "recall", *[f"{c}_accuracy" for c in quality.FIELDS])
 
 
 @query(f"""{CELLS}, named AS (SELECT split_part(doc_id, '/', 2) extractor, round(avg(overall), 6) overall, min(grade) grade

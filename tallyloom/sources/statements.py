@@ -142,7 +142,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text): one row a text file."""
+    """(doc_id, text): one row a text file; an empty one gives none."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))
 
 
