@@ -12,6 +12,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 
 #: Columns that letters are counted in; letters that share one are counted as one, which only lets more pairs through.
 LETTERS = 64
+#: Letters of a text that is compared with many at once: as many as an integer has bits.
+LONG = 64
 
 
 def common(p: str, q: str) -> int:
@@ -39,6 +41,13 @@ class Words:
         self.size = len(letters)
         self.bag = Counter(letters)
 
+    def codes(self) -> np.ndarray | None:
+        """The sorted words' letters; None if they are more than LONG or outside the first 65,536 (0 stands for none)."""
+        line = " ".join(sorted(self.words))
+        if not line or len(line) > LONG or max(line) > "\uffff" or min(line) == "\0":
+            return None
+        return np.frombuffer(line.encode("utf-16-le", "surrogatepass"), np.uint16)
+
     def counts(self) -> np.ndarray:
         out = np.zeros(LETTERS, np.int16)
         for c, n in self.bag.items():
@@ -70,32 +79,65 @@ def ratio(x: Words, y: Words, least: float = 0.0) -> float:
 
 
 class Leaders:
-    """Texts in order, asked for the first that is alike to another by `least`."""
+    """Texts in order, asked for the first that is alike to another by `least`.
+
+    Letters rule some out. Of the rest, texts that share no word with the asked one are compared all at
+    once: their subsequences with it are counted as bits, one letter of every text at a time. Those
+    that share a word, or are longer than LONG, are compared one by one.
+    """
 
     def __init__(self, least: float):
         self.least, self.held, self.by_word = least, [], {}
         self.bags, self.sizes = np.zeros((16, LETTERS), np.int16), np.zeros(16, np.int32)
+        self.codes, self.plain = np.zeros((16, LONG), np.uint16), np.zeros(16, bool)
+        self.table = np.zeros(1 << 16, np.uint64)
 
     def add(self, own, text: Words) -> None:
         n = len(self.held)
         if n == len(self.bags):
-            self.bags, self.sizes = np.concatenate([self.bags, np.zeros_like(self.bags)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            self.bags, self.sizes, self.codes, self.plain = (np.concatenate([x, np.zeros_like(x)]) for x in (self.bags, self.sizes, self.codes, self.plain))
         self.bags[n], self.sizes[n] = text.counts(), text.size
+        if (line := text.codes()) is not None:
+            self.codes[n, : len(line)], self.plain[n] = line, True
         self.held.append((own, text))
         for w in text.words:
             self.by_word.setdefault(w, []).append(n)
 
     def first(self, text: Words):
-        """The (place, own) of the first alike, or None. Letters rule most out; texts that share a word are looked at in any case."""
+        """The own of the first alike, or None."""
         n = len(self.held)
         if not n or not text.words:
             return None
         shared = np.minimum(self.bags[:n], text.counts()).sum(axis=1)
         able = 200 * shared >= self.least * (self.sizes[:n] + text.size)
+        alone, line = np.zeros(n, bool), text.codes()
+        if line is None:
+            alone[:] = able
+        else:
+            alone = able & ~self.plain[:n]
         for w in text.words:
-            able[self.by_word.get(w, ())] = True
-        for k in np.flatnonzero(able):
+            if at := self.by_word.get(w):
+                alone[at] = True
+        found = n
+        if line is not None and len(at := np.flatnonzero(able & ~alone)):
+            total = self.sizes[at] + text.size
+            good = 200 * self._common(line, self.codes[at, : int(self.sizes[at].max())]) / total >= self.least
+            if good.any():
+                found = int(at[good.argmax()])
+        for k in np.flatnonzero(alone[:found]):
             own, other = self.held[k]
             if ratio(text, other, self.least) >= self.least:
                 return own
-        return None
+        return self.held[found][0] if found < n else None
+
+    def _common(self, line: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common subsequences of a line and rows of others, as in common()."""
+        for i, c in enumerate(line.tolist()):
+            self.table[c] |= np.uint64(1 << i)
+        whole = np.uint64((1 << len(line)) - 1)
+        row = np.full(len(others), whole, np.uint64)
+        for column in others.T:
+            hit = row & self.table[column]
+            row = ((row + hit) | (row - hit)) & whole
+        self.table[line] = 0
+        return len(line) - np.bitwise_count(row).astype(np.int64)

@@ -139,7 +139,7 @@ def enriched(
     return out.withColumns({"amount_usd": usd, "fx_rate": rate}).select(*rows.columns)
 
 
-def train_all(golden: DataFrame, path: str, key: str = "idx", **how) -> DataFrame:
+def train_all(golden: DataFrame, path: str, key: str = "idx", rate_rounds: int = 100, **how) -> DataFrame:
     """Trains and stores the category model, the rate model (where there are rates enough) and the vocabularies of cities and
     merchants; one row of what was learned: rows, cities, merchants, and the rates' rows and held-out errors."""
     model = train_categories(golden, **how)
@@ -150,7 +150,7 @@ def train_all(golden: DataFrame, path: str, key: str = "idx", **how) -> DataFram
     count = lambda n: spark.read.parquet(f"{path}/{n}").count()
     rates, learned = None, (0, None, None)
     if {"fx_rate", "currency", "amount_orig", "date"} <= set(golden.columns):
-        rates, errors = learn_rates(golden, key)
+        rates, errors = learn_rates(golden, key, rate_rounds)
         if rates is not None:
             rates.model.write().overwrite().save(f"{path}/rates")
             learned = errors["rows"], errors["mae"], errors["r2"]

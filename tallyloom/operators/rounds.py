@@ -35,9 +35,9 @@ from ..store import Tables
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 #: Rows of a document that one task matches, and of a block whose leaders it finds; larger ones go by rounds.
-HELD, BLOCK = 20_000, 2000
+HELD, BLOCK = 20_000, 5000
 #: Rows decided in order in a round, and rows of a task that compares.
-HEAD, DEALT = 2048, 1024
+HEAD, DEALT = 4096, 2048
 #: Width of an amount's bucket, at least, as a factor.
 NARROW = 1.02
 

@@ -42,5 +42,5 @@ def test_rate_model_is_learned_and_used(spark, tmp_path):
     got = {x.idx: x for x in models.enriched(gaps, rates=model).collect()}
     assert len(got) == 400 and all(got[i].fx_rate is None for i, c, *_ in rows if c == "BRL")
     assert all(4.5 <= got[i].fx_rate <= 5.5 for i, c, *_ in rows if c == "USD") and all(got[i].fx_rate > 5.5 for i, c, *_ in rows if c == "EUR")
-    learned = models.train_all(df, f"{tmp_path}/all", trees=3, words=20, depth=2).first()
-    assert learned.rate_rows == errors["rows"] and PipelineModel.load(f"{tmp_path}/all/rates").stages[-1].getNumTrees == 100
+    learned = models.train_all(df, f"{tmp_path}/all", rate_rounds=3, trees=3, words=20, depth=2).first()
+    assert learned.rate_rows == errors["rows"] and PipelineModel.load(f"{tmp_path}/all/rates").stages[-1].getNumTrees == 3
