@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Amounts as statements print them, and names of cities in capitals.
 MONEY = r"-?\d{1,3}(?:\.\d{3})*,\d{2}"
+CITY_NAME = r"([A-Z]{2,}(?:\s+[A-Z]{2,})*)"
 #: Characters stripped from the start of a line (fixed values).
 LEADING = ">@§$Z)_•*®«» "
 #: Words that a description loses before it is compared (fixed values).
@@ -165,8 +167,7 @@ def fx_rate(text: Column) -> Column:
 
 def city(text: Column) -> Column:
     """City of a description: capitals before BR, at the end, or before a number; NO_CITY words are passed over."""
-    name = r"([A-Z]{2,}(?:\s+[A-Z]{2,})*)"
-    tries = [F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for p in (rf"\b{name}\s+BR\b", rf"\b{name}\s*$", rf"\s+{name}\s+\d")]
+    tries = [F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for p in (rf"\b{CITY_NAME}\s+BR\b", rf"\b{CITY_NAME}\s*$", rf"\s+{CITY_NAME}\s+\d")]
     return F.coalesce(*[F.when(~t.isin(*NO_CITY), t) for t in tries])
 
 

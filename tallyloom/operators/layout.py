@@ -35,6 +35,7 @@ PLAIN_MONEY, DAY, DAY_YEAR = r"\d{1,3}(?:\.\d{3})*,\d{2}", r"\d{1,2}/\d{1,2}", r
 PURCHASE = r"^(\d{2}/\d{2})\s+(.+?)\s+([\d.,]+)$"
 CATEGORY = r"^([A-ZÇÉÂÕ ]+)\.\s+([A-ZÂÁÉÍÓÚÊÔÛ .-]+)$"
 ABROAD = r"^([A-ZÂÁÉÍÓÚÊÔÛ .-]+)\s+([\d.,]+)\s+([A-Z]{3})\s+([\d.,]+)$"
+ANY_AMOUNT, CENTS, CODES = r"\d+[,.]?\d*", r"[\d.,]+,\d{2}", r"[A-Z0-9*]"
 CONVERSION = r"Dólar de Conversão R\$\s*([\d.,]+)"
 # The catalogue of line patterns, in the order they are tried.
 CATALOGUE = {
@@ -86,7 +87,7 @@ def looks_like_date(text: Column) -> Column:
 
 def looks_like_amount(text: Column) -> Column:
     """True for any digit."""
-    return text.rlike(r"\d+[,.]?\d*")
+    return text.rlike(ANY_AMOUNT)
 
 
 def row_date(text: Column, year: int, default: Column) -> Column:
@@ -323,14 +324,14 @@ def purchase_rows(rows: DataFrame, year: int = 2024) -> DataFrame:
         return F.try_to_date(F.concat_ws("-", F.coalesce(part(3), F.lit(str(year))), F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0")), "yyyy-MM-dd")
 
     def value(x: Column) -> Column:
-        got = t.amount(F.nullif(F.regexp_extract(x, r"[\d.,]+,\d{2}", 0), F.lit("")), "C").cast("decimal(18,2)")
+        got = t.amount(F.nullif(F.regexp_extract(x, CENTS, 0), F.lit("")), "C").cast("decimal(18,2)")
         return F.when(got.between(0.01, 100000), got)
 
     def named(x: Column) -> Column:
-        return (F.length(x) > 5) & ~F.regexp_replace(x, "[ .,]", "").rlike(r"^\d+$") & x.rlike(r"[A-Z0-9*]")
+        return (F.length(x) > 5) & ~F.regexp_replace(x, "[ .,]", "").rlike(r"^\d+$") & x.rlike(CODES)
 
     first = lambda f: F.get(F.filter(F.transform("cells", f), lambda x: x.isNotNull()), F.lit(0))
-    bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, DAY + r"(?:/\d{4})?", ""), r"[\d.,]+,\d{2}", ""), r"\s+", " "))
+    bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, DAY + r"(?:/\d{4})?", ""), CENTS, ""), r"\s+", " "))
     words = F.filter(F.transform(F.filter("cells", named), bare), lambda x: F.length(x) > 3)
     dotted = F.try_element_at(F.filter("cells", lambda x: named(x) & x.contains(".")), F.lit(-1))
     part = lambda k, default: F.coalesce(F.trim(F.get(F.split("dotted", r"\."), F.lit(k))), F.lit(default))

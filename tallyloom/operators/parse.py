@@ -17,6 +17,8 @@ NATIONAL = rf"^(\d{{2}}/\d{{2}})\s+(.+?)\s+({MONEY})$"
 FOREIGN = rf"^(\d{{2}}/\d{{2}})\s+(.+?)\s+({MONEY})\s+({MONEY})$"
 SECOND = r"^([A-ZÇÉÂÊÕ ]+)\.\s+([A-ZÂÁÉÍÓÚÊÔÛ .-]+)$"
 IOF, RATE = r"(?iu)Repasse de IOF", r"D[óo]lar de Convers[ãa]o.*?([\d.]+,\d{2,4})"
+# Dates anywhere in a line, the longer first, and amounts with their sign.
+FULL_DAY, SHORT_DAY, REAIS = r"\d{1,2}/\d{1,2}/\d{4}", r"\d{1,2}/\d{1,2}", rf"R\$\s*({MONEY})"
 # Section headings.
 SECTIONS = {"domestic": "lançamentos: compras e saques", "international": "lançamentos internacionais", "instalments_next": "compras parceladas – próximas faturas"}
 
@@ -55,8 +57,8 @@ def _row(found: Column, groups: int, shape: str, year: int) -> Column:
 
 def fallback(line: Column, year: int = 2024) -> Column:
     """Struct of the first date and first amount anywhere in a line of 10 characters or more."""
-    day = F.coalesce(F.nullif(F.regexp_extract(line, r"\d{1,2}/\d{1,2}/\d{4}", 0), F.lit("")), F.nullif(F.regexp_extract(line, r"\d{1,2}/\d{1,2}", 0), F.lit("")))
-    money = F.coalesce(F.nullif(F.regexp_extract(line, rf"R\$\s*({MONEY})", 1), F.lit("")), F.nullif(F.regexp_extract(line, MONEY, 0), F.lit("")))
+    day = F.coalesce(F.nullif(F.regexp_extract(line, FULL_DAY, 0), F.lit("")), F.nullif(F.regexp_extract(line, SHORT_DAY, 0), F.lit("")))
+    money = F.coalesce(F.nullif(F.regexp_extract(line, REAIS, 1), F.lit("")), F.nullif(F.regexp_extract(line, MONEY, 0), F.lit("")))
     rest = F.replace(F.replace(F.replace(line, day, F.lit("")), money, F.lit("")), F.lit("R$"), F.lit(""))
     rest = F.trim(F.regexp_replace(rest, r"\s+", " "))
     ok = (F.length(line) >= 10) & day.isNotNull() & money.isNotNull() & (F.length(rest) > 3) & t.date(day, year).isNotNull()
@@ -72,7 +74,7 @@ def fallback(line: Column, year: int = 2024) -> Column:
 def last_amount(line: Column, year: int = 2024, default: str = "2024-01-01") -> Column:
     """Struct of the last amount in a line, the first date anywhere (or the default) and the rest; null without an amount."""
     money = F.try_element_at(F.regexp_extract_all(line, F.lit(f"({MONEY})"), F.lit(1)), F.lit(-1))
-    day = F.regexp_extract(line, r"\d{1,2}/\d{1,2}", 0)
+    day = F.regexp_extract(line, SHORT_DAY, 0)
     rest = F.trim(F.replace(line, money, F.lit("")))
     rest = F.when(day != "", F.trim(F.replace(rest, day, F.lit("")))).otherwise(rest)
     return F.when(

@@ -165,19 +165,21 @@ COLUMNS = ("date", "description", "amount_brl", "category", "confidence")
 def rules_of(rows: DataFrame, mostly: float = 0.95, categories: Sequence[str] = (), columns: Sequence[str] = COLUMNS) -> dict[str, tuple[Column, float]]:
     """The 14 rules of a statement's rows by name: the aggregate of its pass ratio, and the least that passes.
 
-    Dates and amounts are judged as the text they are exported as; ratios are of the rows with a value.
+    Formats are judged of the raw text (date_text, amount_text) where rows have it, else of the text that dates and amounts are
+    exported as; ratios are of the rows with a value.
     """
     share = lambda c: F.coalesce(F.avg(c.cast("int")), F.lit(1.0))
     filled = lambda c: F.avg(F.col(c).isNotNull().cast("int"))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int").cast("double")
     kinds = dict(rows.dtypes)
-    money = F.replace(F.col("amount_brl").cast("string"), F.lit("."), F.lit(","))
+    raw = lambda c, typed: F.col(c) if c in rows.columns else F.col(typed).cast("string")
+    money = F.replace(raw("amount_text", "amount_brl"), F.lit("."), F.lit(","))
     known = F.coalesce("category", F.lit("")) == ""
     return {
         "row_count": (flag(F.count("*").between(1, 200)), 1.0),
         "columns": (F.lit(float([c for c in rows.columns if c in columns] == list(columns))), 1.0),
         "date_not_null": (filled("date"), 1.0),
-        "date_format": (share(F.col("date").cast("string").rlike(r"^\d{4}-\d{2}-\d{2}$")), mostly),
+        "date_format": (share(raw("date_text", "date").rlike(r"^\d{4}-\d{2}-\d{2}$")), mostly),
         "date_type": (F.lit(float(kinds["date"] == "date")), 1.0),
         "description_not_null": (filled("description"), 1.0),
         "description_length": (share(F.length("description").between(1, 200)), mostly),

@@ -308,7 +308,7 @@ def reliability(spark, sf_dir):
 
 #: Rows of which each rule fails on some documents.
 MESSY = """, messy AS (SELECT doc_id, idx, CASE WHEN idx % 211 <> 0 THEN date END date, CASE WHEN idx % 31 = 0 THEN '  ' WHEN idx % 37 = 0 THEN repeat('x', 201) WHEN idx % 223 <> 0 THEN description END description, CASE WHEN idx % 227 <> 0 THEN amount_brl / CASE WHEN doc_id LIKE '%/1%' THEN 1 ELSE 100 END END amount, CASE WHEN idx % 3 = 0 THEN 'X' WHEN idx % 5 = 0 THEN '' ELSE category END category, confidence + CASE WHEN idx % 29 = 0 THEN 1 ELSE 0 END confidence FROM rows),
- judged AS (SELECT doc_id, [count(*) BETWEEN 1 AND 200, true, count(date) = count(*), true, true, count(description) = count(*), coalesce(avg((length(description) BETWEEN 1 AND 200)::INT), 1) >= 0.95, coalesce(avg((trim(description) <> '')::INT), 1) >= 1, count(amount) = count(*), true, true, round(avg((category <> 'X')::INT), 6) >= 0.8, round(avg((confidence <= 1)::INT), 6) >= 0.95, coalesce(sum(CAST(amount AS DECIMAL(18,2))) BETWEEN -50000 AND 50000, false)] ok FROM messy GROUP BY 1)"""
+ judged AS (SELECT doc_id, [count(*) BETWEEN 1 AND 200, true, count(date) = count(*), coalesce(round(avg((idx % 41 <> 0)::INT) FILTER (WHERE idx % 211 <> 0), 6), 1) >= 0.95, true, count(description) = count(*), coalesce(avg((length(description) BETWEEN 1 AND 200)::INT), 1) >= 0.95, coalesce(avg((trim(description) <> '')::INT), 1) >= 1, count(amount) = count(*), true, coalesce(round(avg((idx % 43 <> 0)::INT) FILTER (WHERE idx % 227 <> 0), 6), 1) >= 0.95, round(avg((category <> 'X')::INT), 6) >= 0.8, round(avg((confidence <= 1)::INT), 6) >= 0.95, coalesce(sum(CAST(amount AS DECIMAL(18,2))) BETWEEN -50000 AND 50000, false)] ok FROM messy GROUP BY 1)"""
 RULES = [
     "row_count", "columns", "date_not_null", "date_format", "date_type", "description_not_null", "description_length",
     "description_not_blank", "amount_not_null", "amount_type", "amount_format", "category_in_set", "confidence_between",
@@ -322,6 +322,10 @@ def _messy(spark, sf_dir) -> DataFrame:
     return found.select(
         "doc_id", "idx", F.when(k % 211 != 0, F.col("date")).alias("date"), F.when(k % 31 == 0, "  ").when(k % 37 == 0, F.lit("x" * 201)).when(k % 223 != 0, F.col("description")).alias("description"),
         F.when(k % 227 != 0, small).cast("decimal(18,2)").alias("amount_brl"), F.when(k % 3 == 0, "X").when(k % 5 == 0, "").otherwise(F.col("category")).alias("category"), (F.col("confidence") + F.when(k % 29 == 0, 1).otherwise(0)).alias("confidence"),
+        F.when(k % 211 != 0, F.date_format("date", "yyyy-MM-dd")).alias("iso"), F.when(k % 227 != 0, small).cast("decimal(18,2)").cast("string").alias("plain"),
+    ).select(
+        "doc_id", "idx", "date", "description", "amount_brl", "category", "confidence", F.when(k % 41 == 0, F.date_format("date", "dd/MM/yyyy")).otherwise(F.col("iso")).alias("date_text"),
+        F.when(k % 43 == 0, F.concat(F.lit("R$ "), "plain")).otherwise(F.col("plain")).alias("amount_text"),
     )
 
 
