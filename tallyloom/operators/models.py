@@ -14,14 +14,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..store import Tables
 from . import enrich
 
 
+#: Points that a forest learns from, beyond which equal rows share one, and the parts they are spread over.
+POINTS, PARTS = 200_000, 32
+
+
 def train_categories(
     rows: DataFrame, text: str = "description", label: str = "category", trees: int = 100, words: int = 1000, depth: int = 10,
     seed: int = 42, pairs: bool = True, balanced: bool = True
 ) -> PipelineModel:
-    """TF-IDF of words and word pairs, and a forest with balanced class weights."""
+    """TF-IDF of words and word pairs, and a forest with balanced class weights.
+
+    Terms are counted over all rows. The forest learns from points: rows of equal terms and label, as many as make POINTS
+    points at most besides one or two of each kind, joined to a point of their whole weight. No row is left out; up to POINTS rows each is its own point.
+    """
+    rows = Tables(rows.sparkSession).keep(rows.select(text, label))  # read by every step
     sizes = rows.groupBy(label).agg(F.count("*").alias("\0n")).withColumn(
         "weight",
         F.lit(1.0) if not balanced else F.sum("\0n").over(W.partitionBy()) / (F.col("`\0n`") * F.count("*").over(W.partitionBy()))
@@ -35,10 +45,23 @@ def train_categories(
         SQLTransformer(statement=f"SELECT *, {'concat(words, pairs)' if pairs else 'words'} AS terms FROM __THIS__"),
         CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=words, minDF=2, maxDF=0.95),
         IDF(inputCol="counts", outputCol="features"),
-        RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, weightCol="weight", seed=seed),
-        IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels),
     ]
-    return Pipeline(stages=steps).fit(index.transform(weighted))
+    marked = index.transform(weighted)
+    terms = Pipeline(stages=steps).fit(marked)
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, weightCol="weight", seed=seed)
+    names = IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)
+    return PipelineModel([*terms.stages, forest.fit(_points(terms.transform(marked))), names])
+
+
+def _points(rows: DataFrame, points: int = POINTS, parts: int = PARTS) -> DataFrame:
+    """(features, label, weight) of equal rows joined, spread over tasks whatever the files' cut; weights add up to the rows'."""
+    kinds = Tables(rows.sparkSession).keep(rows.groupBy("features", "label", "weight").agg(F.count("*").alias("n")))
+    size = -(-(kinds.agg(F.sum("n")).first()[0] or 0) // points) or 1
+    many = F.greatest(F.ceil(F.col("n") / size), F.least(F.col("n"), F.lit(2)))  # two rows may be a leaf, and so may two points
+    cut = kinds.withColumn("many", many).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "many")).alias("k"))
+    held = F.floor(F.col("n") / F.col("many")) + (F.col("k") <= F.col("n") % F.col("many")).cast("int")
+    hashed = F.xxhash64("features", "label")
+    return cut.withColumn("weight", F.col("weight") * held).select("features", "label", "weight", "k", hashed.alias("h")).repartition(parts, "h", "k").sortWithinPartitions("h", "k").drop("h", "k")
 
 
 def predict_categories(model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -404,7 +404,8 @@ def fallback_merge(spark, sf_dir):
 def category_model(spark, sf_dir):
     found = a.rows(spark, sf_dir).select("idx", "description", "category")
     model = models.train_categories(found)
-    return models.predict_categories(model, found).groupBy("category", "predicted").agg(F.count("*").alias("n"))
+    texts = found.groupBy("description", "category").agg(F.count("*").alias("n"))  # a text is predicted once
+    return models.predict_categories(model, texts).groupBy("category", "predicted").agg(F.sum("n").alias("n"))
 
 
 @query()
