@@ -10,6 +10,9 @@ begin in. A page is the unit of every window, so documents of any length are spr
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,21 +29,28 @@ def placed_rows(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
 def column_edges(rows: DataFrame, gap: float = 4.0, cells: int = 3) -> DataFrame:
     """(doc_id, page, col_idx, low, high) of the columns of placed_rows' pages, from the left, col_idx from 0."""
     page = ["doc_id", "page"]
-    full = rows.withColumn("\0n", F.count("*").over(W.partitionBy(*page, "row_idx")))
-    full = full.withColumn("\0most", F.max("\0n").over(W.partitionBy(*page))).filter((F.col("`\0n`") >= cells) | (F.col("`\0most`") < cells))
-    w = W.partitionBy(*page).orderBy("x0", "x1")
-    reach = F.max("x1").over(w.rowsBetween(W.unboundedPreceding, -1))
-    runs = full.select(*page, "x0", "x1", F.coalesce((F.col("x0") >= reach + gap).cast("int"), F.lit(0)).alias("new"))
-    runs = runs.withColumn("col_idx", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
-    return runs.groupBy(*page, "col_idx").agg(F.min("x0").alias("low"), F.max("x1").alias("high"))
+    return _in_columns(rows, gap, cells).filter("full").groupBy(*page, "col_idx").agg(F.min("x0").alias("low"), F.max("x1").alias("high"))
+
+
+def _in_columns(rows: DataFrame, gap: float, cells: int) -> DataFrame:
+    """placed_rows with `full`, whether a word's row takes part in finding columns, and col_idx, the last column that begins at or before the word.
+
+    Both come from two sorted runs over a page: by rows, where a row of `cells` words holds a stretch of as many
+    places round each of its words, and by left edges, where a column is begun by a word past all full words before it.
+    """
+    page = W.partitionBy("doc_id", "page")
+    down, right = page.orderBy("top", "x0", "x1", "text"), page.orderBy("x0", "x1")
+    same = lambda k: F.lag("row_idx", k).over(down) == F.col("row_idx") if k > 0 else F.lead("row_idx", -k).over(down) == F.col("row_idx") if k < 0 else F.lit(True)
+    long = reduce(or_, [F.coalesce(same(k) & same(k + 1 - cells), F.lit(False)) for k in range(cells)])
+    rows = rows.withColumn("\0long", long)
+    rows = rows.withColumn("full", F.col("`\0long`") | ~F.max("\0long").over(page))
+    reach = F.max(F.when(F.col("full"), F.col("x1"))).over(right.rowsBetween(W.unboundedPreceding, -1))
+    begins = F.coalesce((F.col("full") & (F.col("x0") >= reach + gap)).cast("int"), F.lit(0))
+    return rows.withColumn("\0begins", begins).withColumn("col_idx", F.sum("\0begins").over(page.orderBy("x0").rangeBetween(W.unboundedPreceding, 0)).cast("int")).drop("\0begins", "\0long")
 
 
 def table_cells(words: DataFrame, tolerance: float = 3.0, gap: float = 4.0, cells: int = 3) -> DataFrame:
     """(doc_id, table_idx, row_idx, col_idx, content): a page's cells, its words in order; for infer_columns and column_rows."""
-    rows = placed_rows(words, tolerance)
-    edges = F.array_sort(F.collect_list(F.struct("low", "col_idx"))).alias("edges")  # a page's columns
-    known = rows.join(column_edges(rows, gap, cells).groupBy("doc_id", "page").agg(edges), ["doc_id", "page"])
-    begun = F.filter("edges", lambda e: e["low"] <= F.col("x0"))
-    placed = known.withColumn("col_idx", F.coalesce(F.get(begun, F.size(begun) - 1)["col_idx"], F.lit(0)))
+    placed = _in_columns(placed_rows(words, tolerance), gap, cells)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "x1", F.trim("text").alias("t")))), lambda w: w["t"]), " ")
     return placed.groupBy("doc_id", F.col("page").alias("table_idx"), "row_idx", "col_idx").agg(text.alias("content"))

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tallyloom.operators import models
+from tallyloom.operators import models, tables
+from tallyloom.plans import adapters
 
 SF = "/root/testdata/sf0.001"
 ROW = "doc_id string, idx long, date date, description string, amount_brl decimal(18,2), category string, confidence double"
@@ -48,3 +49,9 @@ def test_cascade_counts_an_amount_of_stream_as_its_sql(spark, tmp_path):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     want = db.execute(__spark_entry__.oracle_sql()["table_cascade"]).fetchall()
     assert [tuple(r) for r in __spark_entry__.queries()["table_cascade"](spark, str(tmp_path)).collect()] == want == [("2024-03/1", "stream", 2, 150.0)]
+
+
+def test_table_cells_sort_pages_without_a_join(spark):
+    words = adapters.words(spark, SF)
+    plan = _plan(tables.table_cells(words))
+    assert "Join" not in plan and plan.count("Relation") == 1
