@@ -5,6 +5,8 @@ All are null in, null out unless they say otherwise; none raises on bad text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ ACCOUNTS = [(r"(?iu)Conta[:\s]+(\d{4,}-?\d?)", 1), (r"(?iu)Account[:\s]+(\d{4,}-
 BALANCES = [r"(?iu)Saldo[:\s]+R\$\s*([-]?\d{1,3}(?:\.\d{3})*,\d{2})", r"(?iu)Balance[:\s]+R\$\s*([-]?\d{1,3}(?:\.\d{3})*,\d{2})"]
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once; written out, it would be computed wherever f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _decimal(text: Column) -> Column:
     return text.try_cast("decimal(38,6)")
 
@@ -40,13 +47,19 @@ def amount(text: Column, variant: str = "A") -> Column:
     C: points always go, a comma is the point; bad text is null.  G: as C, bad text is 0.
     D: only digits, commas and minus count.  F: a comma is the point, points stay; 0 without digits.
     """
-    bare = F.regexp_replace(text, r"\s", "")
+    if variant == "D":
+        return _decimal(F.replace(F.regexp_replace(text, r"[^0-9,\-]", ""), F.lit(","), F.lit(".")))
+    return let(F.regexp_replace(text, r"\s", ""), lambda bare: _amount(bare, variant))
+
+
+def _amount(bare: Column, variant: str) -> Column:
+    """amount of a text without white space."""
     swapped = F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     comma = F.replace(bare, F.lit(","), F.lit("."))
     if variant == "A":
         both = bare.contains(",") & bare.contains(".")
         plain = F.when(both, swapped).when(bare.contains(","), comma).otherwise(bare)
-        return F.when(text.isNotNull(), F.coalesce(_decimal(F.regexp_replace(plain, r"[^0-9.\-]", "")), F.lit(0)))
+        return F.when(bare.isNotNull(), F.coalesce(_decimal(F.regexp_replace(plain, r"[^0-9.\-]", "")), F.lit(0)))
     if variant == "B":
         last = lambda c: F.length(bare) - F.locate(c, F.reverse(bare))
         brazil = bare.contains(",") & (~bare.contains(".") | (last(",") > last(".")))
@@ -54,20 +67,22 @@ def amount(text: Column, variant: str = "A") -> Column:
     if variant == "C":
         return _decimal(swapped)
     if variant == "G":
-        return F.when(text.isNotNull(), F.coalesce(_decimal(swapped), F.lit(0)))
-    if variant == "D":
-        return _decimal(F.replace(F.regexp_replace(text, r"[^0-9,\-]", ""), F.lit(","), F.lit(".")))
+        return F.when(bare.isNotNull(), F.coalesce(_decimal(swapped), F.lit(0)))
     if variant == "F":
-        return F.when(bare.rlike("[0-9]"), _decimal(comma)).when(text.isNotNull(), F.lit(0))
+        return F.when(bare.rlike("[0-9]"), _decimal(comma)).when(bare.isNotNull(), F.lit(0))
     raise ValueError(f"no variant {variant}")
 
 
 def date(text: Column, year: int | Column = 2024, anywhere: bool = False) -> Column:
     """D/M or D/M/YYYY as a date; null for days that don't exist. anywhere: not only at the start."""
-    pattern = ("" if anywhere else "^") + r"\s*(\d{1,2})/(\d{1,2})(?:/(\d{4}))?"
-    part = lambda k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
-    y = F.coalesce(part(3), (F.lit(year) if isinstance(year, int) else year).cast("string"))
-    return F.try_to_date(F.concat_ws("-", y, F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0")), "yyyy-MM-dd")
+    pattern = ("" if anywhere else "^") + r"\s*(\d{1,2}/\d{1,2}(?:/\d{4})?)"
+
+    def of(parts: Column) -> Column:
+        y = F.coalesce(F.get(parts, F.lit(2)), (F.lit(year) if isinstance(year, int) else year).cast("string"))
+        iso = F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(F.get(parts, F.lit(1)), 2, "0"), F.lpad(F.get(parts, F.lit(0)), 2, "0"))
+        return F.when(F.size(parts) > 1, iso.try_cast("date"))
+
+    return let(F.split(F.regexp_extract(text, pattern, 1), "/"), of)
 
 
 def iso_date(text: Column) -> Column:
@@ -168,7 +183,7 @@ def fx_rate(text: Column) -> Column:
 def city(text: Column) -> Column:
     """City of a description: capitals before BR, at the end, or before a number; NO_CITY words are passed over."""
     tries = [F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for p in (rf"\b{CITY_NAME}\s+BR\b", rf"\b{CITY_NAME}\s*$", rf"\s+{CITY_NAME}\s+\d")]
-    return F.coalesce(*[F.when(~t.isin(*NO_CITY), t) for t in tries])
+    return F.coalesce(*[let(t, lambda x: F.when(~x.isin(*NO_CITY), x)) for t in tries])
 
 
 def fx_line(text: Column) -> Column:
@@ -192,6 +207,6 @@ def money(value: Column, places: int = 2) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """Shared share of the words of two comparable texts: both empty 1, one empty 0."""
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
-    x, y = words(a), words(b)
-    both = F.size(F.array_union(x, y))
-    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / F.nullif(both, F.lit(0)))
+    both = F.struct(words(a).alias("x"), words(b).alias("y"))
+    sizes = let(both, lambda w: F.struct(F.size(F.array_union(w["x"], w["y"])).alias("all"), F.size(F.array_intersect(w["x"], w["y"])).alias("shared")))
+    return let(sizes, lambda n: F.when(n["all"] == 0, F.lit(1.0)).otherwise(n["shared"] / F.nullif(n["all"], F.lit(0))))

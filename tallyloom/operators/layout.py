@@ -114,20 +114,24 @@ def cell_rows(cells: DataFrame, kind: str = "A", header: int | None = None, year
     least = {"A": 3, "B": 5}[kind]
     rows = cells if header is None else cells.filter(F.col("row_idx") != header)
     sure = F.col("confidence") if "confidence" in cells.columns else F.lit(0.8)
-    by = rows.groupBy("doc_id", "table_idx", "row_idx").agg(
-        F.array_sort(F.collect_list(F.struct("col_idx", F.trim(F.coalesce("content", F.lit(""))).alias("x")))).alias("cells"),
-        F.sum(F.coalesce(sure, F.lit(0.8))).alias("sure"), F.count("*").alias("n"), (F.max("col_idx") + 1).alias("columns"),
+    text = rows.select("doc_id", "table_idx", "row_idx", "col_idx", F.coalesce(sure, F.lit(0.8)).alias("sure"), F.trim(F.coalesce("content", F.lit(""))).alias("x"))
+    cell = F.when(F.col("x") != "", F.struct("col_idx", "x"))
+    dated, able = looks_like_date(F.col("x")), looks_like_amount(F.col("x"))  # a date has digits, so it is able too
+    by = text.groupBy("doc_id", "table_idx", "row_idx").agg(
+        F.min(F.when(dated, cell)).alias("first_day"), F.max(F.when(able, cell)).alias("last"), F.max(F.when(able & ~dated, cell)).alias("last_plain"),
+        F.min(F.when(~able & (F.length("x") > least), cell)).alias("first_text"), F.count_if(dated & cell.isNotNull()).alias("days"),
+        F.sum("sure").alias("sure"), F.count("*").alias("n"), (F.max("col_idx") + 1).alias("columns"),
     )
-    text = F.filter(F.transform("cells", lambda c: c["x"]), lambda x: x != "")
-    by = by.select("doc_id", "table_idx", "row_idx", text.alias("x"), "sure", "n", "columns")
-    at = F.array_position(F.transform("x", looks_like_date), True)
-    amounts = F.filter("x", lambda x, i: looks_like_amount(x) & (i + 1 != F.col("at")))
-    texts = F.filter("x", lambda x, i: ~looks_like_amount(x) & (F.length(x) > least) & (i + 1 != F.col("at")))
-    found = by.withColumn("at", at).select("*", F.try_element_at(amounts, F.lit(-1)).alias("money"), F.get(texts, F.lit(0)).alias("text"))
-    found = found.filter("money is not null").withColumn("description", F.coalesce("text", F.lit(UNKNOWN)))
-    day = row_date(F.try_element_at("x", F.nullif(F.col("at"), F.lit(0)).cast("int")), year, _default(default))
+    # The date is no amount: where it is the last cell with a digit, the last other one is, which then is no date.
+    other = F.col("first_day").isNull() | (F.col("last") != F.col("first_day")) | (F.col("days") > 1)
+    found = by.select(
+        "doc_id", "table_idx", "row_idx", F.col("first_day.x").alias("day"), F.when(other, F.col("last.x")).otherwise(F.col("last_plain.x")).alias("money"),
+        F.col("first_text.x").alias("text"), "sure", "n", "columns"
+    ).filter("money is not null")
+    found = found.withColumn("description", F.coalesce("text", F.lit(UNKNOWN)))
+    day = row_date(F.col("day"), year, _default(default))
     if kind == "A":
-        score = F.lit(0.8) + F.when(F.col("at") > 0, 0.1).otherwise(0.0) + F.when(F.length("description") > 10, 0.1).otherwise(0.0)
+        score = F.lit(0.8) + F.when(F.col("day").isNotNull(), 0.1).otherwise(0.0) + F.when(F.length("description") > 10, 0.1).otherwise(0.0)
     else:
         score = 0.7 + 0.3 * (F.col("sure") + 0.8 * F.greatest(F.lit(0), F.col("columns") - F.col("n"))) / F.greatest("columns", "n")
     return found.select(
@@ -142,15 +146,24 @@ def _kinds() -> list[Column]:
     return [rules.category(d).alias("category"), F.when(rules.is_foreign(d), "international").otherwise("domestic").alias("transaction_type")]
 
 
+def without(text: Column, day: Column) -> Column:
+    """The text without a day that it names; an empty day changes nothing."""
+    return F.when(day != "", F.trim(F.replace(text, day, F.lit("")))).otherwise(text)
+
+
+def described(text: Column) -> Column:
+    return t.let(text, lambda x: F.when(x == "", UNKNOWN).otherwise(x))
+
+
 def text_line(line: Column, year: int = 2024, default: str = "2024-01-01") -> Column:
     """Struct of a line's first amount, first date and the rest; null without an amount."""
-    line = F.trim(line)
-    money, day = F.regexp_extract(line, PLAIN_MONEY, 0), F.regexp_extract(line, DAY, 0)
-    rest = F.trim(F.replace(line, money, F.lit("")))
-    rest = F.when(day != "", F.trim(F.replace(rest, day, F.lit("")))).otherwise(rest)
-    described = F.when(rest == "", UNKNOWN).otherwise(rest)
-    row = F.struct(row_date(day, year, _default(default)).alias("date"), described.alias("description"), _money(money).alias("amount_brl"))
-    return F.when(money != "", row)
+
+    def row(x: Column) -> Column:
+        rest = without(F.trim(F.replace(x["line"], x["money"], F.lit(""))), x["day"])
+        return F.struct(row_date(x["day"], year, _default(default)).alias("date"), described(rest).alias("description"), _money(x["money"]).alias("amount_brl"))
+
+    parts = t.let(F.trim(line), lambda x: F.struct(x.alias("line"), F.regexp_extract(x, PLAIN_MONEY, 0).alias("money"), F.regexp_extract(x, DAY, 0).alias("day")))
+    return t.let(parts, lambda x: F.when(x["money"] != "", row(x)))
 
 
 def text_rows(lines: DataFrame, year: int = 2024, default: str = "2024-01-01", confidence: Column | float = 0.6) -> DataFrame:

@@ -1,5 +1,6 @@
 """Work that is done once: patterns of an expression, inputs of an operator, equal rows of a model."""
 
+import random
 from datetime import date, datetime
 from decimal import Decimal as D
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tallyloom.operators import models, tables
+from tallyloom.operators import layout, models, tables
 from tallyloom.plans import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +56,24 @@ def test_table_cells_sort_pages_without_a_join(spark):
     words = adapters.words(spark, SF)
     plan = _plan(tables.table_cells(words))
     assert "Join" not in plan and plan.count("Relation") == 1
+
+
+def test_cells_come_from_one_reading(spark):
+    assert _plan(adapters.cells(spark, SF)).count("Relation") == 1
+
+
+def test_cell_rows_take_the_date_and_the_last_other_number(spark):
+    """All rows of up to four cells out of dates, amounts and texts, against the rule as stated."""
+    kinds, r, made, want = ["01/02", "9,00", "7", "LOJA X", "ab", ""], random.Random(3), [], {}
+    for k in range(300):
+        row = [r.choice(kinds) for _ in range(r.randint(1, 4))]
+        made += [("d", 1, k, c, x) for c, x in enumerate(row)]
+        cells = [x for x in row if x]
+        at = next((i for i, x in enumerate(cells) if "/" in x), None)
+        others = [x for i, x in enumerate(cells) if i != at]
+        able = [x for x in others if any(c.isdigit() for c in x)]
+        text = [x for x in others if not any(c.isdigit() for c in x) and len(x) > 3]
+        if able:
+            want[k] = (date(2024, 2, 1) if at is not None else date(2024, 1, 1), text[0] if text else layout.UNKNOWN)
+    got = layout.cell_rows(spark.createDataFrame(made, "doc_id string, table_idx int, row_idx int, col_idx int, content string"))
+    assert {x.row_idx: (x.date, x.description) for x in got.collect()} == want
