@@ -57,33 +57,37 @@ def _row(found: Column, groups: int, shape: str, year: int) -> Column:
 
 def fallback(line: Column, year: int = 2024) -> Column:
     """Struct of the first date and first amount anywhere in a line of 10 characters or more."""
-    day = F.coalesce(F.nullif(F.regexp_extract(line, FULL_DAY, 0), F.lit("")), F.nullif(F.regexp_extract(line, SHORT_DAY, 0), F.lit("")))
-    money = F.coalesce(F.nullif(F.regexp_extract(line, REAIS, 1), F.lit("")), F.nullif(F.regexp_extract(line, MONEY, 0), F.lit("")))
-    rest = F.replace(F.replace(F.replace(line, day, F.lit("")), money, F.lit("")), F.lit("R$"), F.lit(""))
-    rest = F.trim(F.regexp_replace(rest, r"\s+", " "))
-    ok = (F.length(line) >= 10) & day.isNotNull() & money.isNotNull() & (F.length(rest) > 3) & t.date(day, year).isNotNull()
-    return F.when(
-        ok,
-        F.struct(
-            t.date(day, year).alias("date"), rest.alias("description"), t.amount(money).cast("decimal(18,2)").alias("amount_brl"),
+
+    def row(x: Column) -> Column:
+        rest = F.replace(F.replace(F.replace(x["line"], x["day"], F.lit("")), x["money"], F.lit("")), F.lit("R$"), F.lit(""))
+        return F.struct(
+            t.date(x["day"], year).alias("date"), F.trim(F.regexp_replace(rest, r"\s+", " ")).alias("description"), t.amount(x["money"]).cast("decimal(18,2)").alias("amount_brl"),
             F.lit(None).cast("decimal(18,2)").alias("amount_orig"), F.lit("fallback").alias("shape"), F.lit(0.7).alias("share"),
-        ),
-    )
+        )
+
+    def found(text: Column) -> Column:
+        get = lambda p, k: t.let(F.regexp_extract(text, p, k), lambda x: F.when(x != "", x))
+        day, money = F.coalesce(get(FULL_DAY, 0), get(SHORT_DAY, 0)), F.coalesce(get(REAIS, 1), get(MONEY, 0))
+        parts = F.when(F.length(text) >= 10, F.struct(text.alias("line"), day.alias("day"), money.alias("money")))
+        read = t.let(parts, lambda x: F.when(x["day"].isNotNull() & x["money"].isNotNull(), row(x)))
+        return t.let(read, lambda r: F.when(r["date"].isNotNull() & (F.length(r["description"]) > 3), r))
+
+    return t.let(line, found)
 
 
 def last_amount(line: Column, year: int = 2024, default: str = "2024-01-01") -> Column:
     """Struct of the last amount in a line, the first date anywhere (or the default) and the rest; null without an amount."""
-    money = F.try_element_at(F.regexp_extract_all(line, F.lit(f"({MONEY})"), F.lit(1)), F.lit(-1))
-    day = F.regexp_extract(line, SHORT_DAY, 0)
-    rest = F.trim(F.replace(line, money, F.lit("")))
-    rest = F.when(day != "", F.trim(F.replace(rest, day, F.lit("")))).otherwise(rest)
-    return F.when(
-        money.isNotNull(),
-        F.struct(
-            F.coalesce(t.date(day, year), F.lit(default).cast("date")).alias("date"), F.when(rest == "", layout.UNKNOWN).otherwise(rest).alias("description"), t.amount(money).cast("decimal(18,2)").alias("amount_brl"),
+    money = lambda text: F.try_element_at(F.regexp_extract_all(text, F.lit(f"({MONEY})"), F.lit(1)), F.lit(-1))
+
+    def row(x: Column) -> Column:
+        rest = layout.without(F.trim(F.replace(x["line"], x["money"], F.lit(""))), x["day"])
+        return F.struct(
+            F.coalesce(t.date(x["day"], year), F.lit(default).cast("date")).alias("date"), layout.described(rest).alias("description"), t.amount(x["money"]).cast("decimal(18,2)").alias("amount_brl"),
             F.lit(None).cast("decimal(18,2)").alias("amount_orig"), F.lit("fallback").alias("shape"), F.lit(0.7).alias("share"),
-        ),
-    )
+        )
+
+    parts = t.let(line, lambda x: F.struct(x.alias("line"), money(x).alias("money"), F.regexp_extract(x, SHORT_DAY, 0).alias("day")))
+    return t.let(parts, lambda x: F.when(x["money"].isNotNull(), row(x)))
 
 
 def parse_lines(lines: DataFrame, year: int = 2024, order: Sequence[str] = ("fx", "national", "fallback"), default: str = "2024-01-01") -> DataFrame:

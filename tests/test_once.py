@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tallyloom.operators import layout, models, tables
+from tallyloom.operators import layout, models, parse, tables
 from tallyloom.plans import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -62,6 +62,13 @@ def test_cells_come_from_one_reading(spark):
     assert _plan(adapters.cells(spark, SF)).count("Relation") == 1
 
 
+@pytest.mark.parametrize("read", [parse.fallback, parse.last_amount, layout.text_line])
+def test_a_line_is_searched_once_for_each_pattern(spark, read):
+    lines = spark.createDataFrame([("01/02/2024 LOJA R$ 1,00",)], "line string")
+    plan = _plan(lines.select(read(F.concat("line", F.lit(" "))).alias("r")))
+    assert plan.count(r"\d{3})*,\d{2}") <= 2 and plan.count("concat(") == 1
+
+
 def test_cell_rows_take_the_date_and_the_last_other_number(spark):
     """All rows of up to four cells out of dates, amounts and texts, against the rule as stated."""
     kinds, r, made, want = ["01/02", "9,00", "7", "LOJA X", "ab", ""], random.Random(3), [], {}
