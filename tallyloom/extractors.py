@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
+from .store import Tables
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 SCHEMA = T.StructType([
@@ -74,5 +76,6 @@ def extracted(lines: DataFrame, make) -> DataFrame:
 
 def settled(rows: DataFrame) -> DataFrame:
     """Extracted rows without those of documents that failed later on; error rows stay."""
+    rows = Tables(rows.sparkSession).keep(rows)  # the extractor runs once
     failed = rows.filter("error is not null").select("doc_id").distinct()
     return rows.filter("error is null").join(failed, "doc_id", "left_anti").unionByName(rows.filter("error is not null"))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tallyloom import api, extractors
 from tallyloom.operators import layout, models, parse, tables
 from tallyloom.plans import adapters
 
@@ -84,3 +85,17 @@ def test_cell_rows_take_the_date_and_the_last_other_number(spark):
             want[k] = (date(2024, 2, 1) if at is not None else date(2024, 1, 1), text[0] if text else layout.UNKNOWN)
     got = layout.cell_rows(spark.createDataFrame(made, "doc_id string, table_idx int, row_idx int, col_idx int, content string"))
     assert {x.row_idx: (x.date, x.description) for x in got.collect()} == want
+
+
+def test_extractors_read_their_lines_once(spark, counted):
+    class Plain:
+        def line(self, line_no, line):
+            if line_no == 3:
+                raise ValueError("three")
+            return date(2024, 1, 1), line, "1.00", 0.5
+
+    found, calls = counted
+    lines = found.select("doc_id", F.col("idx").alias("line_no"), F.col("description").alias("line"))
+    assert extractors.settled(extractors.extracted(lines, Plain)).count() == 1 and calls.value == 20
+    both = lines.withColumn("line", F.concat(F.lit("01/02 "), "line", F.lit(" 5,00")))
+    assert api.parse_statements(both).count() > 0 and calls.value <= 20 + 60  # each extractor once, one filters the lines besides
