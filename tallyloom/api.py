@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import extractors
 from .operators import layout, linkage, parse, quality, reports, runs
+from .store import Tables
 
 #: Extractors by name: lines (doc_id, line_no, line) to rows (doc_id, idx, date, description, amount_brl, category, confidence).
 EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -141,14 +142,16 @@ def mint_golden(rows: DataFrame, scores: DataFrame, threshold: float = 0.95, app
 
 def robust(lines: DataFrame, method: str = "pipeline", least: float = 0.1) -> DataFrame:
     """Rows of `method`; of documents where it gives none or is under `least` sure, those of the plain reader at .3, if it has any and by the rule of linkage.chosen."""
-    first, second = EXTRACTORS[method](lines), simple(lines).withColumn("confidence", F.lit(0.3))
-    docs = lines.select("doc_id").distinct()
-    state = lambda d: docs.join(d.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("confidence").alias("c")), "doc_id", "left").select(
+    tables = Tables(lines.sparkSession)
+    first = tables.keep(EXTRACTORS[method](lines))
+    state = lambda docs, d: docs.join(d.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("confidence").alias("c")), "doc_id", "left").select(
         "doc_id", (F.coalesce("n", F.lit(0)) > 0).alias("success"), F.coalesce("c", F.lit(0.0)).alias("confidence"),
         F.coalesce("n", F.lit(0)).alias("n")
     )
-    weak = state(first).filter((~F.col("success")) | (F.col("confidence") < least))
-    choice = linkage.chosen(weak, state(second).join(weak.select("doc_id"), "doc_id", "left_semi"))
+    weak = tables.keep(state(lines.select("doc_id").distinct(), first).filter((~F.col("success")) | (F.col("confidence") < least)))
+    docs = weak.select("doc_id")
+    second = tables.keep(simple(lines.join(docs, "doc_id", "left_semi")).withColumn("confidence", F.lit(0.3)))  # only where it may be taken
+    choice = linkage.chosen(weak, state(docs, second))
     switched = choice.filter("choice = 'fallback'").select("doc_id")
     keep = first.join(switched, "doc_id", "left_anti").withColumn("method", F.lit(method))
     return keep.unionByName(second.join(switched, "doc_id", "left_semi").withColumn("method", F.lit("fallback")))
