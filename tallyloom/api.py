@@ -118,7 +118,7 @@ def parse_statements(lines: DataFrame, names: Sequence[str] = ("pipeline", "simp
     every = (every if race is None else raced(every, names, race)).filter("error is null")
     # Rows are numbered in a document by extractor, then place.
     by_place = W.partitionBy("doc_id").orderBy(F.array_position(F.array(*map(F.lit, names)), F.col("extractor")), "idx", "description", "amount_brl")
-    every = every.withColumn("order", F.row_number().over(by_place).cast("long"))
+    every = Tables(lines.sparkSession).keep(every.withColumn("order", F.row_number().over(by_place).cast("long")))  # each extractor runs once
     grouped = linkage.leader_clusters(every.select("doc_id", "order", "idx", "date", "description", "amount_brl", "category", "confidence", "extractor"), "order")
     average = every.groupBy("doc_id", "extractor").agg(F.avg("confidence").alias("pipeline_confidence"))
     best = linkage.resolved(grouped.join(average, ["doc_id", "extractor"]).withColumns({"place": F.col("idx"), "idx": F.col("order")}))
