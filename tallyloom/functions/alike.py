@@ -14,6 +14,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 LETTERS = 64
 #: Letters of a text that is compared with many at once: as many as an integer has bits.
 LONG = 64
+#: Leaders that are compared one by one.
+FEW = 4
 
 
 def common(p: str, q: str) -> int:
@@ -33,13 +35,19 @@ def common(p: str, q: str) -> int:
 class Words:
     """A text as its set of words, with what comparisons need."""
 
-    __slots__ = ("bag", "size", "words")
+    __slots__ = ("_bag", "letters", "size", "words")
 
     def __init__(self, text: str | None):
         self.words = frozenset((text or "").split())
-        letters = " ".join(self.words)
-        self.size = len(letters)
-        self.bag = Counter(letters)
+        self.letters, self._bag = " ".join(self.words), None
+        self.size = len(self.letters)
+
+    @property
+    def bag(self) -> Counter:
+        """Numbers of letters, counted when first asked for."""
+        if self._bag is None:
+            self._bag = Counter(self.letters)
+        return self._bag
 
     def codes(self) -> np.ndarray | None:
         """The sorted words' letters; None if they are more than LONG or outside the first 65,536 (0 stands for none)."""
@@ -83,23 +91,31 @@ class Leaders:
 
     Letters rule some out. Of the rest, texts that share no word with the asked one are compared all at
     once: their subsequences with it are counted as bits, one letter of every text at a time. Those
-    that share a word, or are longer than LONG, are compared one by one.
+    that share a word, or are longer than LONG, are compared one by one. So are the first FEW, as most groups
+    have no more: the arrays are made when another comes.
     """
 
     def __init__(self, least: float):
         self.least, self.held, self.by_word = least, [], {}
-        self.bags, self.sizes = np.zeros((16, LETTERS), np.int16), np.zeros(16, np.int32)
-        self.codes, self.plain = np.zeros((16, LONG), np.uint16), np.zeros(16, bool)
-        self.table = np.zeros(1 << 16, np.uint64)
+        self.bags = None
 
     def add(self, own, text: Words) -> None:
-        n = len(self.held)
+        self.held.append((own, text))
+        if self.bags is not None:
+            self._set(len(self.held) - 1, text)
+        elif len(self.held) > FEW:
+            self.bags, self.sizes = np.zeros((16, LETTERS), np.int16), np.zeros(16, np.int32)
+            self.codes, self.plain = np.zeros((16, LONG), np.uint16), np.zeros(16, bool)
+            self.table = np.zeros(1 << 16, np.uint64)
+            for n, (_, held) in enumerate(self.held):
+                self._set(n, held)
+
+    def _set(self, n: int, text: Words) -> None:
         if n == len(self.bags):
             self.bags, self.sizes, self.codes, self.plain = (np.concatenate([x, np.zeros_like(x)]) for x in (self.bags, self.sizes, self.codes, self.plain))
         self.bags[n], self.sizes[n] = text.counts(), text.size
         if (line := text.codes()) is not None:
             self.codes[n, : len(line)], self.plain[n] = line, True
-        self.held.append((own, text))
         for w in text.words:
             self.by_word.setdefault(w, []).append(n)
 
@@ -108,6 +124,8 @@ class Leaders:
         n = len(self.held)
         if not n or not text.words:
             return None
+        if self.bags is None:
+            return next((own for own, other in self.held if ratio(text, other, self.least) >= self.least), None)
         shared = np.minimum(self.bags[:n], text.counts()).sum(axis=1)
         able = 200 * shared >= self.least * (self.sizes[:n] + text.size)
         alone, line = np.zeros(n, bool), text.codes()

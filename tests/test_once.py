@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tallyloom import api, extractors
+from tallyloom.functions import alike
 from tallyloom.operators import layout, models, parse, tables
 from tallyloom.plans import adapters
 
@@ -99,3 +100,17 @@ def test_extractors_read_their_lines_once(spark, counted):
     assert extractors.settled(extractors.extracted(lines, Plain)).count() == 1 and calls.value == 20
     both = lines.withColumn("line", F.concat(F.lit("01/02 "), "line", F.lit(" 5,00")))
     assert api.parse_statements(both).count() > 0 and calls.value <= 20 + 60  # each extractor once, one filters the lines besides
+
+
+def test_few_leaders_need_no_arrays():
+    r, texts = random.Random(1), [" ".join(x) for x in zip("ABCDEFGHIJ" * 4, "KLMNOPQRST" * 4, strict=True)]
+    texts += ["LOJA UM", "LOJA UMA", "LOJB UN", "PADARIA"]
+    for n in range(1, 9):
+        held = r.sample(texts, n)
+        leaders = alike.Leaders(70.0)
+        for k, x in enumerate(held):
+            leaders.add(k, alike.Words(x))
+        assert (leaders.bags is None) == (n <= alike.FEW)
+        for x in texts:
+            want = next((k for k, y in enumerate(held) if alike.ratio(alike.Words(x), alike.Words(y), 70.0) >= 70), None)
+            assert leaders.first(alike.Words(x)) == want
