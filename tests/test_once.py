@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tallyloom import api, extractors
 from tallyloom.functions import alike
-from tallyloom.operators import layout, models, parse, tables
+from tallyloom.operators import layout, models, parse, reports, tables
 from tallyloom.plans import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -88,6 +88,18 @@ def test_cell_rows_take_the_date_and_the_last_other_number(spark):
     assert {x.row_idx: (x.date, x.description) for x in got.collect()} == want
 
 
+def test_reports_read_their_rows_once(spark, counted):
+    found, calls = counted
+    gold = spark.createDataFrame(found.collect(), ROW)
+    before = calls.value
+    assert {x.tp for x in reports.semantic_report(found, gold).collect()} == {20}
+    assert calls.value - before == 20
+    made = reports.error_analysis(gold, found, fields=["description"])
+    assert [made[n].count() for n in ("report", "mismatches", "missing", "extra")] == [1, 0, 0, 0] and calls.value - before == 40
+    reports.before_after(gold, found, gold, fields=["description"]).collect()
+    assert calls.value - before == 60
+
+
 def test_extractors_read_their_lines_once(spark, counted):
     class Plain:
         def line(self, line_no, line):
