@@ -33,6 +33,9 @@ CLASSES = {
     "sign": r"#$%&*+/<=>@\[\]\\^_`{|}~",
     "wide": r"^\x00-\x7F",
 }
+SYMBOLS = r"#*$%&|<>"
+#: Most characters of a text, of no class and no symbol.
+PLAIN = r"a-z\x20\x09-\x0D"
 CLASS_WORDS, CLASS_LIMIT = 50, 0.32
 #: The word distance of honest short texts is larger: its limit is WORD_LIMIT + WORD_SLACK / sqrt(words).
 HIST_WORDS, WORD_LIMIT, WORD_SLACK = 100, 0.20, 0.7
@@ -52,6 +55,11 @@ def _total(bins: Column) -> Column:
     return F.aggregate(bins, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def _with_totals(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with each histogram's total, null if it is 0, as a column of its own: in a function of bins it would be summed anew for each bin."""
+    return df.withColumns({f"\0n_{c}": F.nullif(_total(F.col(f"`\0{c}`")), F.lit(0)) for c in names})
+
+
 def _repeat_words(n: str, starts: str) -> Column:
     """Words covered by windows of WINDOW words that start at the sorted positions `starts`."""
     new = F.transform(
@@ -65,13 +73,14 @@ def features(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
     """Adds the base counts, base_failed, lang_key and the two histograms (`\\0classes`, `\\0common`).
 
     Repeated windows are found per row by sorting (64-bit window hash, position) and
-    comparing neighbours, so nothing is exploded or shuffled.
+    comparing neighbours, so nothing is exploded or shuffled; texts whose hashes are all
+    different need no sorting. Characters are counted in what is left without the PLAIN ones.
     """
     text, lang = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col(f"`{lang_col}`")
     key = F.when(lang.isin(*COMMON_WORDS), lang).otherwise(F.lit("other"))
-    listed = F.create_map(*[c for k, ws in COMMON_WORDS.items() for c in (F.lit(k), F.array(*map(F.lit, ws)))])
-    none = F.array().cast("array<string>")
-    count = lambda body: F.regexp_count(text, F.lit(f"[{body}]"))
+    spaced = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
+    listed = F.create_map(*[F.lit(x) for k, ws in COMMON_WORDS.items() for x in (k, f" {' '.join(ws)} ")])
+    count = lambda body: (F.length("`\0rest`") - F.length(F.regexp_replace("`\0rest`", f"[{body}]+", ""))).cast("long")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     kept = [quoted(c) for c in df.columns if c not in RESULT]
 
@@ -79,38 +88,41 @@ def features(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
         *kept,
         key.alias("lang_key"),
         F.filter(F.split(text, f"{BLANK}+"), lambda w: w != "").alias("\0words"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_replace(text, f"[{PLAIN}]+", "").alias("\0rest"),
         F.length(text).cast("long").alias("\0chars"),
         lines.alias("\0lines"),
-        F.coalesce(F.try_element_at(listed, key), none).alias("\0list"),
-        *[count(body).cast("long").alias(f"\0{name}") for name, body in CLASSES.items()],
+        F.coalesce(F.try_element_at(listed, key), F.lit("")).alias("\0listed"),
     )
     words = F.col("`\0words`")
+    longest = max(len(w.encode()) for ws in COMMON_WORDS.values() for w in ws)
     two = one.select(
         *kept,
         "lang_key",
-        "n_symbols",
+        count(SYMBOLS).alias("n_symbols"),
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         (F.size("`\0lines`") - F.size(F.array_distinct("`\0lines`"))).cast("long").alias("n_dup_lines"),
         F.transform(words, lambda w: F.xxhash64(w)).alias("\0hashes"),
-        F.filter(words, lambda w: F.array_contains(F.col("`\0list`"), w)).alias("\0found"),
-        "`\0list`",
+        F.filter(words, lambda w: (F.octet_length(w) <= longest) & F.contains(F.col("`\0listed`"), spaced(w))).alias("\0found"),
+        "`\0listed`",
         "`\0chars`",
-        *[f"`\0{name}`" for name in CLASSES],
+        *[count(body).alias(f"\0{name}") for name, body in CLASSES.items()],
     )
     at = lambda i, k: F.get(F.col("`\0hashes`"), i + k)
-    window = lambda i: F.struct(F.xxhash64(*[at(i, k) for k in range(WINDOW)]).alias("h"), i.alias("i"))
+    window = lambda i: F.xxhash64(*[at(i, k) for k in range(WINDOW)])
     last = F.greatest(F.lit(0), F.size("`\0hashes`") - WINDOW)
     three = two.select(
         *[quoted(c) for c in two.columns if c[0] != "\0"],
-        F.sort_array(F.transform(F.sequence(F.lit(0), last), window)).alias("\0windows"),
-        F.transform("`\0list`", lambda b: F.size(F.filter(F.col("`\0found`"), lambda w: w == b)).cast("long")).alias("\0bins"),
+        F.transform(F.sequence(F.lit(0), last), window).alias("\0all"),
+        F.transform(F.array_remove(F.split("`\0listed`", " "), ""), lambda b: F.size(F.filter(F.col("`\0found`"), lambda w: w == b)).cast("long")).alias("\0bins"),
         F.size("`\0found`").cast("long").alias("\0n_found"),
         *[f"`\0{name}`" for name in CLASSES],
         (F.col("`\0chars`") - F.col("word_chars")).alias("\0blank"),
         (F.col("word_chars") - sum((F.col(f"`\0{name}`") for name in CLASSES), F.lit(0))).alias("\0lower"),
     )
+    numbered = F.sort_array(F.transform("`\0all`", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    some = F.size(F.array_distinct("`\0all`")) < F.size("`\0all`")
+    three = three.select(*[quoted(c) for c in three.columns if c != "\0all"], F.when(some, numbered).otherwise(F.array()).alias("\0windows"))
     near = lambda k: F.get(F.col("`\0windows`"), k)["h"]
     repeated = F.filter("`\0windows`", lambda x, k: near(k - 1).eqNullSafe(x["h"]) | near(k + 1).eqNullSafe(x["h"]))
     classes = F.array(*[F.col(f"`\0{c}`") for c in (*CLASSES, "blank", "lower")])
@@ -134,8 +146,11 @@ def references(found: DataFrame) -> DataFrame:
     partial sums are made before the shuffle, so a language may hold most rows.
     """
     used = found.filter(~F.col("base_failed") & (F.col("n_words") >= REFERENCE_WORDS))
-    parts = lambda c: F.transform(F.col(c), lambda x: F.floor(x * PARTS / _total(F.col(c))).cast("long"))
-    used = used.select("lang_key", parts("`\0classes`").alias("c"), parts("`\0common`").alias("w"))
+    used = _with_totals(used, ["classes", "common"])
+    # A total that is named twice stays a column; one that is named once is put back into the function of bins.
+    share = lambda x, n: F.when(n > 0, F.floor(x * PARTS / n).cast("long"))
+    parts = lambda c: F.transform(f"`\0{c}`", lambda x: share(x, F.col(f"`\0n_{c}`")))
+    used = used.select("lang_key", parts("classes").alias("c"), parts("common").alias("w"))
     n_c, n_w = len(CLASSES) + 2, max(map(len, COMMON_WORDS.values())) + 1
     sums = lambda c, n: [F.sum(F.get(F.col(c), F.lit(i))).alias(f"{c}{i}") for i in range(n)]
     array = lambda c, n: F.filter(F.array(*[F.col(f"{c}{i}") for i in range(n)]), lambda x: x.isNotNull())
@@ -146,13 +161,12 @@ def references(found: DataFrame) -> DataFrame:
     )
 
 
-def distance(bins: Column, ref: Column) -> Column:
-    """Jensen-Shannon distance (0 to 1) of two histograms of counts; null if either is empty."""
+def distance(bins: Column, ref: Column, n: Column, m: Column) -> Column:
+    """Jensen-Shannon distance (0 to 1) of two histograms of counts, `n` and `m` their totals; null if either is empty."""
 
     def term(x: Column, y: Column) -> Column:
         return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
 
-    n, m = F.nullif(_total(bins), F.lit(0)), F.nullif(_total(ref), F.lit(0))
     parts = F.zip_with(bins, ref, lambda b, r: term(b / n, r / m) + term(r / m, b / n))
     total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
     return F.when(total.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), total / 2)))
@@ -161,12 +175,9 @@ def distance(bins: Column, ref: Column) -> Column:
 def judged(found: DataFrame, refs: DataFrame) -> DataFrame:
     """Adds class_distance, word_distance and kept; refs is the bounded table of references()."""
     joined = found.join(F.broadcast(refs), "lang_key", "left")
-    joined = joined.withColumns(
-        {
-            "class_distance": distance(F.col("`\0classes`"), F.col("`\0ref_classes`")),
-            "word_distance": distance(F.col("`\0common`"), F.col("`\0ref_common`")),
-        }
-    )
+    joined = _with_totals(joined, ["classes", "common", "ref_classes", "ref_common"])
+    far = lambda c: distance(*[F.col(f"`\0{x}`") for x in (c, f"ref_{c}", f"n_{c}", f"n_ref_{c}")])
+    joined = joined.withColumns({"class_distance": far("classes"), "word_distance": far("common")})
     odd_classes = (F.col("n_words") >= CLASS_WORDS) & (F.col("class_distance") > CLASS_LIMIT)
     odd_words = (F.col("n_words") >= HIST_WORDS) & (F.col("word_distance") > WORD_LIMIT + WORD_SLACK / F.sqrt(F.col("n_words")))
     odd = F.coalesce(odd_classes, F.lit(False)) | F.coalesce(odd_words, F.lit(False))

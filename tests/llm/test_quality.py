@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -74,3 +75,24 @@ def test_odd_column_names(spark):
     out = quality.quality_rules(spark.createDataFrame(rows, "`a.b` long, text string, lang string, n_words double"))
     row = out.first()
     assert "a.b" in out.columns and row["a.b"] == 1 and row.n_words == 30
+
+
+def test_counts_of_odd_characters_equal_brute_force(spark):
+    r = random.Random(5)
+    pools = ["aZ9 .", "az\n\t\x0b ", "ßé漢😀a ", "^]\\[-`~|& ", "\x00\x01\x7f\x80a "]
+    rows = [(i, "".join(r.choices(pools[i % 5] + pools[i % 4], k=r.randint(0, 90))), r.choice(["de", "fr", "es", "en", "xx"]), "s", 1) for i in range(150)]
+    rows += [(600 + i, " ".join(r.choices([*quality.COMMON_WORDS[k], "fü", "nichts", "in.", "漢"], k=120)), k, "s", 1) for i, k in enumerate(quality.COMMON_WORDS)]
+    out = quality.quality_rules(spark.createDataFrame(rows, DOCS)).collect()
+    assert {x.doc_id: tuple(x[c] for c in quality.FEATURES) + (x.kept,) for x in out} == brute(rows)
+
+
+def test_plain_characters_have_no_class():
+    assert not any(s.match(chr(c)) for s in [*SETS, re.compile(f"[{quality.SYMBOLS}]")] for c in range(256) if re.match(f"[{quality.PLAIN}]", chr(c)))
+
+
+def test_work_is_done_once_a_text_or_word(spark):
+    """Totals are no part of the distance's terms, word lists are made outside of the words, and characters aren't counted as arrays of matches."""
+    found = quality.features(spark.createDataFrame([], DOCS))
+    plan = quality.judged(found, quality.references(found))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "array_contains" not in plan
+    assert plan.count("aggregate(") <= 20 and not re.search(r"transform\([^\n]*lambdafunction\([^\n]*aggregate\([^\n]* AS c#", plan) and plan.count("array_join(") == 2
