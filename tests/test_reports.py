@@ -2,6 +2,7 @@ import random
 from datetime import date, timedelta
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import quality, reports
@@ -86,3 +87,25 @@ def test_batch_by_keys_and_suite(spark):
     odd = found.select("doc_id", "description", "date", "amount_brl", "category").withColumn("confidence", F.lit(2.0))
     assert {r.failures for r in quality.suite(quality.expectations(odd, categories=["Z"])).filter("doc_id = 'My_Stmt'").collect()} == {"columns,category_in_set,confidence_between"}
     assert not quality.gate(odd).filter("ok").count()
+
+
+def test_before_after_of_columns_equals_that_of_tables(spark, monkeypatch):
+    golden, found = rows(60, 3), [(x[0], x[1] + 100, *x[2:]) for x in rows(55, 4)]
+    df = lambda x: spark.createDataFrame(x, SCHEMA)
+    new = {"category": F.when(F.col("idx") % 2 == 0, "A").otherwise(F.col("category"))}
+    want = {tuple(r) for r in reports.before_after(df(golden), df(found), df(found).withColumns(new), fields=["category", "description"]).collect()}
+    calls, fit = [], reports.linkage.first_fit
+    monkeypatch.setattr(reports.linkage, "first_fit", lambda *a: calls.append(a) or fit(*a))
+    got = reports.before_after(df(golden), df(found), new, fields=["category", "description"])
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 2 and len(calls) == 1
+    assert reports.before_after(df([]), df(found), new).count() == 0
+    with pytest.raises(ValueError):
+        reports.before_after(df(golden), df(found), {"date": F.current_date()})
+
+
+def test_first_fit_streams_only_blocks_with_a_choice(spark, monkeypatch):
+    day, streamed, run = date(2024, 1, 1), [], reports.linkage._in_blocks
+    monkeypatch.setattr(reports.linkage, "_in_blocks", lambda d, *a: streamed.append(d.count()) or run(d, *a))
+    side = lambda x: spark.createDataFrame([("d", i, day, "A", D(a), "") for i, a in x], SCHEMA)
+    golden, found = side([(1, "1.00"), (2, "5.00"), (3, "9.00"), (4, "20.00")]), side([(11, "1.05"), (12, "5.00"), (13, "5.04"), (14, "30.00")])
+    assert {tuple(r) for r in reports.linkage.first_fit(golden, found, "idx").collect()} == {("d", 1, 11), ("d", 2, 12)} and streamed == [3]
